@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, token_files, warc
+from . import decontaminate, langid, packing, pii, sharding, token_files, topk, warc
 
-MODULES = (packing, warc, sharding, token_files)
+MODULES = (topk, packing, warc, sharding, token_files, pii, decontaminate, langid)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
