@@ -21,7 +21,7 @@ from typing import Any
 import numpy as np
 
 #: Words, and runs, kept by a worker; at the limit a cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Characters for which the cuts below are those of the vocabularies' patterns.
 SURE = re.compile(r"[ \n\t\r!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 LETTERS, SYMBOLS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+", r"[!-/:-@\[-`{-~]+"
