@@ -28,7 +28,9 @@ from .shared import save, table, text_batches
 from .words import SPACED, mix, words_of
 
 SHINGLE, PERCENT = 2, 80
-TREES, DEPTH, LEAST_DEPTH, NEIGHBOURS = 32, 6, 3, 6
+TREES, DEPTH, LEAST_DEPTH = 32, 6, 3
+#: Places in an order within which rows are compared: of all rows at first, then of rows whose components are still different.
+NEAR, FAR = 6, 48
 #: From so many documents in a region on, one more level is asked for, and again from DENSE times as many on.
 DENSE = 256
 #: Bytes of a sketch, one for each of as many MinHash values, and how many must agree. At a similarity of 0.8 fewer do in 1 of 100,000 pairs.
@@ -98,8 +100,8 @@ def features(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, signature binary")
 
 
-def neighbours(labels: np.ndarray, trees: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates among rows in forest order: (a, b, agreeing bytes of the sketches), a < b."""
+def neighbours(labels: np.ndarray, trees: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, groups: np.ndarray, percent: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates of different groups among rows in forest order: (a, b, agreeing bytes of the sketches), a < b."""
     n = len(ids)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -109,12 +111,12 @@ def neighbours(labels: np.ndarray, trees: np.ndarray, ids: np.ndarray, sizes: np
     dense = np.bincount(region)[region]
     asked = LEAST_DEPTH + sum((dense >= DENSE ** (1 + level)).astype(int) for level in range(DEPTH - LEAST_DEPTH))
     out = []
-    for shift in range(1, min(NEIGHBOURS, n - 1) + 1):
-        i = np.flatnonzero(region[shift:] == region[:-shift])
+    for shift in range(1, min(reach, n - 1) + 1):
+        i = np.flatnonzero((region[shift:] == region[:-shift]) & (groups[shift:] != groups[:-shift]))
         j = i + shift
         same = np.cumprod(labels[i] == labels[j], axis=1).sum(1)
         least, most = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        use = (same >= asked[i]) & (100 * least >= percent * most) & (ids[i] != ids[j])
+        use = (same >= asked[i]) & (100 * least >= percent * most)
         i, j = i[use], j[use]
         agree = (sketches[i] == sketches[j]).sum(1)
         use = agree >= AGREE
@@ -122,26 +124,26 @@ def neighbours(labels: np.ndarray, trees: np.ndarray, ids: np.ndarray, sizes: np
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-ROW = "tree int, label binary, doc_id long, n_shingles long, sketch binary"
+ROW = "tree int, label binary, doc_id long, n_shingles long, sketch binary, component long"
 
 
 def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
     labels = np.frombuffer(b"".join(rows["label"]), ">u2").reshape(-1, DEPTH)
     sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, SKETCH)
-    return labels, rows["tree"].to_numpy(), rows["doc_id"].to_numpy(), rows["n_shingles"].to_numpy(), sketches
+    return labels, rows["tree"].to_numpy(), rows["doc_id"].to_numpy(), rows["n_shingles"].to_numpy(), sketches, rows["component"].to_numpy()
 
 
-def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b, agree): distinct candidate pairs of reps (doc_id, n_shingles, signature)."""
+def candidates(reps: DataFrame, percent: int, reach: int) -> DataFrame:
+    """(a, b, agree): distinct candidate pairs of reps (doc_id, n_shingles, signature, component), of different components and at most `reach` places apart in an order."""
     values = F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, substring(signature, t * {2 * DEPTH} + 1, {2 * DEPTH}) AS label))")
     # the sketch: the low byte of the first value or two of each tree
     sketch = F.expr("concat(" + ", ".join(f"substring(signature, {2 * DEPTH * t + 2 * (DEPTH - 1) + 2}, 1)" for t in range(SKETCH)) + ")")
-    rows = reps.select("doc_id", "n_shingles", sketch.alias("sketch"), F.explode(values).alias("v")).select("v.tree", "v.label", "doc_id", "n_shingles", "sketch")
+    rows = reps.select("doc_id", "n_shingles", "component", sketch.alias("sketch"), F.explode(values).alias("v")).select("v.tree", "v.label", "doc_id", "n_shingles", "sketch", "component")
     ordered = rows.repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id").withColumn("part", F.spark_partition_id())
     kinds = "a long, b long, agree long, side int, " + ROW
 
     def pairs(arrays: tuple[np.ndarray, ...]) -> pd.DataFrame:
-        a, b, agree = neighbours(*arrays, percent)
+        a, b, agree = neighbours(*arrays, percent, reach)
         return pd.DataFrame({"a": a, "b": b, "agree": agree}).drop_duplicates(["a", "b"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,11 +155,11 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
             part = int(frame["part"].iloc[0])
             frame = frame.drop(columns="part")
             if first:
-                yield frame.head(NEIGHBOURS).assign(side=part, a=None, b=None, agree=None)
+                yield frame.head(reach).assign(side=part, a=None, b=None, agree=None)
                 first = False
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            yield pairs(_arrays(frame)).assign(side=-1, tree=None, label=None, doc_id=None, n_shingles=None, sketch=None)
-            held = frame.tail(NEIGHBOURS)
+            yield pairs(_arrays(frame)).assign(side=-1, tree=None, label=None, doc_id=None, n_shingles=None, sketch=None, component=None)
+            held = frame.tail(reach)
         if held is not None:
             yield held.assign(side=part + 1, a=None, b=None, agree=None)
 
@@ -168,7 +170,7 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
         """The last rows of one range and the first of the next."""
         return pairs(_arrays(frame.sort_values(["tree", "label", "doc_id"])))
 
-    seams = found.where("side >= 0").select("side", "tree", "label", "doc_id", "n_shingles", "sketch").groupBy("side").applyInPandas(seam, "a long, b long, agree long")
+    seams = found.where("side >= 0").select("side", "tree", "label", "doc_id", "n_shingles", "sketch", "component").groupBy("side").applyInPandas(seam, "a long, b long, agree long")
     return found.where("side < 0").select("a", "b", "agree").unionByName(seams).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
@@ -190,6 +192,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    known = lambda end: groups.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+    return pairs.join(known("a"), "a", "left").join(known("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links) and kept, a row for each row of docs.
 
@@ -202,25 +210,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = save(sound.groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
     key = ["n_shingles", "key1", "key2"]
     reps = sound.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"]).groupBy("doc_id").agg(F.min(F.struct("n_shingles", "signature")).alias("s")).select("doc_id", "s.*")
-    pairs = save(candidates(save(reps, "reps"), percent), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    reps = save(reps, "reps")
+    pairs = save(candidates(reps.withColumn("component", F.col("doc_id")), percent, NEAR), "pairs")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        return save(rows.join(ends, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, hashes binary").groupBy("doc_id").agg(F.min("hashes").alias("hashes")), "sets")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text"):
             raws = [packed(s) for s in shingle_sets(batch.column("text").to_pylist(), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raws, pa.binary())], names=["doc_id", "hashes"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = save(rows.join(ends, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, hashes binary").groupBy("doc_id").agg(F.min("hashes").alias("hashes")), "sets")
-
     # first each document's most promising pairs, then those that still lie between components
+    sets = sets_of(pairs)
     rank = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("agree"), "a", "b"))
     first = pairs.withColumn("n", F.least(rank("a"), rank("b"))).where(F.col("n") <= BEST)
     links = save(confirmed(first, sets, percent), "links")
     groups = components(links)
-    known = lambda end: groups.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
-    between = pairs.join(known("a"), "a", "left").join(known("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
-    more = save(confirmed(between, sets, percent), "links")
+    links = links.unionByName(save(confirmed(between(pairs, groups), sets, percent), "links"))
+    groups = components(links)
+    # then the orders once more: a row in the midst of a large component sees the next rows of others
+    labelled = reps.join(groups, reps["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", "signature", F.coalesce("label", "doc_id").alias("component"))
+    further = save(candidates(labelled, percent, FAR).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = save(confirmed(further, sets_of(further), percent), "links")
     if not more.isEmpty():
         groups = components(links.unionByName(more))
     placed = found.join(classes, key, "left").join(groups, F.col("rep") == F.col("node"), "left")
