@@ -30,7 +30,9 @@ from .words import SPACED, mix, words_of
 SHINGLE, PERCENT = 2, 80
 TREES, DEPTH, LEAST_DEPTH = 32, 6, 3
 #: Places in an order within which rows are compared: of all rows at first, then of rows whose components are still different.
-NEAR, FAR = 6, 48
+NEAR, FAR = 3, 48
+#: Up to so many ids (8 bytes each) go to all tasks to pick texts; more are joined by a shuffle.
+SENT_IDS = 2_000_000
 #: From so many documents in a region on, one more level is asked for, and again from DENSE times as many on.
 DENSE = 256
 #: Bytes of a sketch, one for each of as many MinHash values, and how many must agree. At a similarity of 0.8 fewer do in 1 of 100,000 pairs.
@@ -195,7 +197,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     known = lambda end: groups.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
-    return pairs.join(known("a"), "a", "left").join(known("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+    return pairs.join(known("a"), "a", "left").join(known("b"), "b", "left").select("a", "b", "agree", F.coalesce("a_label", "a").alias("a_label"), F.coalesce("b_label", "b").alias("b_label")).where("a_label <> b_label")
+
+
+def one_for_each(left: DataFrame) -> DataFrame:
+    """The most promising pair between each two components."""
+    return left.groupBy(F.least("a_label", "b_label"), F.greatest("a_label", "b_label")).agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,7 +222,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ends = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+        ends = F.broadcast(ends) if ends.count() <= SENT_IDS else ends
         return save(rows.join(ends, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, hashes binary").groupBy("doc_id").agg(F.min("hashes").alias("hashes")), "sets")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,14 +237,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     first = pairs.withColumn("n", F.least(rank("a"), rank("b"))).where(F.col("n") <= BEST)
     links = save(confirmed(first, sets, percent), "links")
     groups = components(links)
-    links = links.unionByName(save(confirmed(between(pairs, groups), sets, percent), "links"))
-    groups = components(links)
+    # one pair, the most promising, for each two components joins most of a large group; what is still between is tried in full
+    for some in (one_for_each, lambda left: left):
+        links = links.unionByName(save(confirmed(some(between(pairs, groups)), sets, percent), "links"))
+        groups = components(links)
     # then the orders once more: a row in the midst of a large component sees the next rows of others
     labelled = reps.join(groups, reps["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", "signature", F.coalesce("label", "doc_id").alias("component"))
     further = save(candidates(labelled, percent, FAR).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = save(confirmed(further, sets_of(further), percent), "links")
-    if not more.isEmpty():
-        groups = components(links.unionByName(more))
+    sets = sets_of(further)
+    for some in (one_for_each, lambda left: left):
+        more = save(confirmed(some(between(further, groups)), sets, percent), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            groups = components(links)
     placed = found.join(classes, key, "left").join(groups, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
