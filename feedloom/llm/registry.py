@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, near_dedup, packing, pii, sharding, token_files, topk, warc
+from . import decontaminate, langid, near_dedup, packing, pii, repeats, sharding, token_files, topk, warc
 
-MODULES = (topk, packing, warc, sharding, token_files, pii, near_dedup, decontaminate, langid)
+MODULES = (topk, packing, repeats, warc, sharding, token_files, pii, near_dedup, decontaminate, langid)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
