@@ -38,7 +38,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[ -]?[0-9])++", "(?:[0-9][ -]?){15}[0-9]", 0.8, r"card|credit|debit|visa|master|payment|expir"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "[+][0-9]", 0.6, r"phone|tel|mobile|call|fax|whatsapp"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", 0.7, r"iban|bank|account|transfer|bic|swift", base=False),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]{2}-[0-9]", 0.4, r"\bssn\b|social security|taxpayer", base=False),
+    Kind("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", "[0-9]-[0-9]{2}-[0-9]", 0.4, r"\bssn\b|social security|taxpayer", base=False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 NOT_PERSONAL = r"example only|dummy|placeholder|version|order no|invoice no|serial"

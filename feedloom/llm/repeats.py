@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     source = docs if docs.inputFiles() else save(docs, "documents")
     rows = source.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("block"))
-    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())  # grows with the input's splits
     keys_path, answers_path = shared_dir(spark, "keys"), shared_dir(spark, "answers")
 
     def split(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
