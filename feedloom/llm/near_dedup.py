@@ -35,8 +35,10 @@ NEAR, FAR = 3, 48
 SENT_IDS = 2_000_000
 #: From so many documents in a region on, one more level is asked for, and again from DENSE times as many on.
 DENSE = 256
-#: Bytes of a sketch, one for each of as many MinHash values, and how many must agree. At a similarity of 0.8 fewer do in 1 of 100,000 pairs.
-SKETCH, AGREE = 32, 16
+#: A sketch holds the low bits of every MinHash value: few where rows are many and pairs few, more where a region's rows meet many others.
+NEAR_BITS, FAR_BITS = 1, 3
+#: Bytes of one bit of every value.
+PLANE = TREES * DEPTH // 8
 BEST = 2
 
 _RNG = np.random.default_rng(8)
@@ -68,6 +70,18 @@ def signatures(sets: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
+def planes(values: np.ndarray) -> np.ndarray:
+    """rows x (FAR_BITS * PLANE) bytes: the lowest bit of each row's values, then the next, so that a beginning is a sketch of fewer bits."""
+    return np.hstack([np.packbits((values >> bit) & 1, axis=1) for bit in range(FAR_BITS)])
+
+
+def least_agreeing(bits: int, percent: int) -> int:
+    """How many values' low bits agree at least: at a similarity of `percent` fewer do in 1 of 100,000 pairs (4.3 standard deviations)."""
+    n, alike = TREES * DEPTH, percent / 100
+    p = alike + (1 - alike) / 2**bits
+    return int(n * p - 4.3 * (n * p * (1 - p)) ** 0.5)
+
+
 def packed(hashes: np.ndarray) -> bytes:
     """The low 48 bits of each hash, six bytes each."""
     return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -79,31 +93,32 @@ def unpacked(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("signature", pa.binary())])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("signature", pa.binary()), ("planes", pa.binary())])
 
 
 def features(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set, and the signature as 16-bit values (none for empty sets)."""
+    """doc_id, n_shingles, a 128-bit key of the set, the signature as 16-bit values and its planes (none for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text", 2_000_000):
             sets = shingle_sets(batch.column("text").to_pylist(), shingle)
             full = [i for i, s in enumerate(sets) if len(s)]
             found: list[bytes | None] = [None] * len(sets)
+            bits: list[bytes | None] = [None] * len(sets)
             if full:
-                low = (signatures([sets[i] for i in full]) & np.uint32(0xFFFF)).astype(">u2")
-                for i, row in zip(full, low, strict=True):
-                    found[i] = row.tobytes()
+                low = (signatures([sets[i] for i in full]) & np.uint32(0xFFFF)).astype(np.uint16)
+                for i, row, own in zip(full, low.astype(">u2"), planes(low), strict=True):
+                    found[i], bits[i] = row.tobytes(), own.tobytes()
             keys = [(int(mix(s).sum().astype(np.int64)), int(mix(s ^ STEP).sum().astype(np.int64))) for s in sets]
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(found, pa.binary())]
+            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(found, pa.binary()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=FEATURES)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, signature binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, signature binary, planes binary")
 
 
 def neighbours(labels: np.ndarray, trees: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, groups: np.ndarray, percent: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates of different groups among rows in forest order: (a, b, agreeing bytes of the sketches), a < b."""
+    """Candidates of different groups among rows in forest order: (a, b, agreeing values of the sketches), a < b."""
     n = len(ids)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -112,6 +127,7 @@ def neighbours(labels: np.ndarray, trees: np.ndarray, ids: np.ndarray, sizes: np
     region = np.cumsum(fresh) - 1
     dense = np.bincount(region)[region]
     asked = LEAST_DEPTH + sum((dense >= DENSE ** (1 + level)).astype(int) for level in range(DEPTH - LEAST_DEPTH))
+    enough = least_agreeing(sketches.shape[1], percent)
     out = []
     for shift in range(1, min(reach, n - 1) + 1):
         i = np.flatnonzero((region[shift:] == region[:-shift]) & (groups[shift:] != groups[:-shift]))
@@ -120,8 +136,8 @@ def neighbours(labels: np.ndarray, trees: np.ndarray, ids: np.ndarray, sizes: np
         least, most = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
         use = (same >= asked[i]) & (100 * least >= percent * most)
         i, j = i[use], j[use]
-        agree = (sketches[i] == sketches[j]).sum(1)
-        use = agree >= AGREE
+        agree = TREES * DEPTH - np.bitwise_count(np.bitwise_or.reduce(sketches[i] ^ sketches[j], axis=1)).sum(1, dtype=np.int64)
+        use = agree >= enough
         out.append((np.minimum(ids[i], ids[j])[use], np.maximum(ids[i], ids[j])[use], agree[use]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -131,15 +147,14 @@ ROW = "tree int, label binary, doc_id long, n_shingles long, sketch binary, comp
 
 def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
     labels = np.frombuffer(b"".join(rows["label"]), ">u2").reshape(-1, DEPTH)
-    sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, SKETCH)
+    sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1, PLANE)
     return labels, rows["tree"].to_numpy(), rows["doc_id"].to_numpy(), rows["n_shingles"].to_numpy(), sketches, rows["component"].to_numpy()
 
 
-def candidates(reps: DataFrame, percent: int, reach: int) -> DataFrame:
-    """(a, b, agree): distinct candidate pairs of reps (doc_id, n_shingles, signature, component), of different components and at most `reach` places apart in an order."""
+def candidates(reps: DataFrame, percent: int, reach: int, bits: int) -> DataFrame:
+    """(a, b, agree): distinct candidate pairs of reps (doc_id, n_shingles, signature, planes, component), of different components and at most `reach` places apart in an order."""
     values = F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, substring(signature, t * {2 * DEPTH} + 1, {2 * DEPTH}) AS label))")
-    # the sketch: the low byte of the first value or two of each tree
-    sketch = F.expr("concat(" + ", ".join(f"substring(signature, {2 * DEPTH * t + 2 * (DEPTH - 1) + 2}, 1)" for t in range(SKETCH)) + ")")
+    sketch = F.substring("planes", 1, bits * PLANE)
     rows = reps.select("doc_id", "n_shingles", "component", sketch.alias("sketch"), F.explode(values).alias("v")).select("v.tree", "v.label", "doc_id", "n_shingles", "sketch", "component")
     ordered = rows.repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id").withColumn("part", F.spark_partition_id())
     kinds = "a long, b long, agree long, side int, " + ROW
@@ -216,9 +231,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     sound = found.where("doc_id IS NOT NULL AND signature IS NOT NULL")
     classes = save(sound.groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
     key = ["n_shingles", "key1", "key2"]
-    reps = sound.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"]).groupBy("doc_id").agg(F.min(F.struct("n_shingles", "signature")).alias("s")).select("doc_id", "s.*")
+    reps = sound.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"]).groupBy("doc_id").agg(F.min(F.struct("n_shingles", "signature", "planes")).alias("s")).select("doc_id", "s.*")
     reps = save(reps, "reps")
-    pairs = save(candidates(reps.withColumn("component", F.col("doc_id")), percent, NEAR), "pairs")
+    pairs = save(candidates(reps.withColumn("component", F.col("doc_id")), percent, NEAR, NEAR_BITS), "pairs")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -242,8 +257,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         links = links.unionByName(save(confirmed(some(between(pairs, groups)), sets, percent), "links"))
         groups = components(links)
     # then the orders once more: a row in the midst of a large component sees the next rows of others
-    labelled = reps.join(groups, reps["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", "signature", F.coalesce("label", "doc_id").alias("component"))
-    further = save(candidates(labelled, percent, FAR).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    labelled = reps.join(groups, reps["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", "signature", "planes", F.coalesce("label", "doc_id").alias("component"))
+    further = save(candidates(labelled, percent, FAR, FAR_BITS).join(pairs, ["a", "b"], "left_anti"), "pairs")
     sets = sets_of(further)
     for some in (one_for_each, lambda left: left):
         more = save(confirmed(some(between(further, groups)), sets, percent), "links")
