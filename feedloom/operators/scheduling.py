@@ -47,11 +47,29 @@ def claim_candidates(tasks: DataFrame, workers: DataFrame, batches: DataFrame, a
     return fits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
 
 
-def claim_greedy(candidates: DataFrame, budget: int) -> DataFrame:
-    """Walks each worker's candidates (at most a few hundred) in order and takes those that still fit in its slots."""
-    rows = candidates.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("n", "id", "slot_cost"))).alias("rows"))
-    start = F.struct(F.lit(budget).alias("left"), F.array().cast("array<struct<n:int,id:bigint,slot_cost:int>>").alias("got"))
-    step = lambda s, x: F.when(x["slot_cost"] <= s["left"], F.struct((s["left"] - x["slot_cost"]).alias("left"), F.array_append(s["got"], x).alias("got"))).otherwise(s)
+def backfill_left(workers: DataFrame, tasks: DataFrame, quota: int = 1) -> DataFrame:
+    """(node_id, backfill_left): slots that a resident worker may still give to backfills, beside those it runs."""
+    runs = tasks.where("status = 'running' AND workload = 'backfill'").groupBy(F.col("locked_by").alias("node_id")).agg(F.sum("slot_cost").alias("used"))
+    left = F.lit(quota) - F.coalesce("used", F.lit(0))
+    return workers.where("mode = 'resident'").select("node_id").join(runs, "node_id", "left").select("node_id", left.cast("long").alias("backfill_left"))
+
+
+def claim_greedy(candidates: DataFrame, budget: int, backfill: DataFrame | None = None) -> DataFrame:
+    """Walks each worker's candidates (at most a few hundred) in order and takes those that still fit in its slots.
+
+    With `backfill` (node_id, backfill_left) a backfill must also fit in what is
+    left there; workers that it doesn't name, and a null, have no such limit.
+    """
+    if backfill is None:
+        rows = candidates.select("node_id", "n", "id", "slot_cost", F.lit(0).alias("part"), F.lit(None).cast("long").alias("backfill_left"))
+    else:
+        part = F.when(F.col("workload") == "backfill", F.col("slot_cost")).otherwise(0)
+        rows = candidates.select("node_id", "n", "id", "slot_cost", part.alias("part")).join(backfill, "node_id", "left")
+    rows = rows.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("n", "id", "slot_cost", "part"))).alias("rows"), F.min("backfill_left").alias("limit"))
+    start = F.struct(F.lit(budget).alias("left"), F.col("limit").alias("quota"), F.array().cast("array<struct<n:int,id:bigint,slot_cost:int,part:int>>").alias("got"))
+    fits = lambda s, x: (x["slot_cost"] <= s["left"]) & ((x["part"] == 0) | s["quota"].isNull() | (x["part"] <= s["quota"]))
+    taken = lambda s, x: F.struct((s["left"] - x["slot_cost"]).alias("left"), (s["quota"] - x["part"]).alias("quota"), F.array_append(s["got"], x).alias("got"))
+    step = lambda s, x: F.when(fits(s, x), taken(s, x)).otherwise(s)
     return rows.select("node_id", F.explode(F.aggregate("rows", start, step, lambda s: s["got"])).alias("t")).select("node_id", "t.id", "t.slot_cost", "t.n")
 
 

@@ -48,10 +48,10 @@ def sitemap_locs(maps: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def json_records(rows: DataFrame, payload: str, items: str, fields: Mapping[str, str]) -> DataFrame:
-    """A row per element of the array at path `items`, with each field as a string; fields that are missing are null."""
+    """A row per element of the array at path `items`, with each field as a string; fields that are missing are null, malformed payloads have no rows."""
     own = ", ".join(f"try_variant_get(value, '{path}', 'string') AS {name}" for name, path in fields.items())
     name = "{rows}"
-    return rows.sparkSession.sql(f"SELECT * EXCEPT ({payload}, pos, key, value), {own} FROM {name}, LATERAL variant_explode(try_variant_get(parse_json({payload}), '{items}', 'variant'))", rows=rows)
+    return rows.sparkSession.sql(f"SELECT * EXCEPT ({payload}, pos, key, value), {own} FROM {name}, LATERAL variant_explode(try_variant_get(try_parse_json({payload}), '{items}', 'variant'))", rows=rows)
 
 
 def enriched(items: DataFrame, pages: DataFrame) -> DataFrame:

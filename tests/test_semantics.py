@@ -45,3 +45,17 @@ def test_private_addresses_and_links(spark):
     rows = spark.createDataFrame([("127.0.0.1", "https://a.example/x/y", "../z"), ("example.com", "https://a.example/x/", "//b.example/q")], "host string, base string, ref string")
     got = rows.select(expr.private_address(F.col("host")).alias("p"), expr.join_url(F.col("base"), F.col("ref")).alias("u")).collect()
     assert [(r.p, r.u) for r in got] == [(True, "https://a.example/z"), (False, "https://b.example/q")]
+
+
+def test_malformed_json_has_no_rows(spark):
+    rows = spark.createDataFrame([(1, '{"data":[{"k":1},{}]}'), (2, '{"data":'), (3, None)], "id int, payload string")
+    assert sorted((r.id, r.k or "") for r in extract.json_records(rows, "payload", "$.data", {"k": "$.k"}).collect()) == [(1, ""), (1, "1")]
+
+
+def test_claims_keep_the_backfill_quota(spark):
+    columns = "node_id string, n int, id long, slot_cost int, workload string"
+    rows = spark.createDataFrame([(w, n, n * 10, cost, kind) for w in ("a", "b") for n, cost, kind in ((1, 2, "backfill"), (2, 1, "backfill"), (3, 3, "scheduled"), (4, 1, "backfill"), (5, 1, "scheduled"))], columns)
+    workers = spark.createDataFrame([("a", "resident"), ("b", "burst")], "node_id string, mode string")
+    tasks = spark.createDataFrame([("a", "running", "backfill", 1), ("a", "running", "scheduled", 5)], "locked_by string, status string, workload string, slot_cost int")
+    got = scheduling.claim_greedy(rows, 5, scheduling.backfill_left(workers, tasks, quota=2)).collect()
+    assert sorted((r.node_id, r.n) for r in got) == [("a", 2), ("a", 3), ("a", 5), ("b", 1), ("b", 2), ("b", 4), ("b", 5)]
