@@ -5,7 +5,8 @@ there and a document's ids are its words' ids in a row. A word that isn't
 cached is cut into the runs the vocabulary's own pattern would cut, and the
 library's model encodes each run that isn't cached either. Words with
 characters beyond those the cuts are certain for go through the library's
-whole chain, and so do texts of other vocabularies.
+whole chain, and so do texts that hold an added token (the library finds those
+before it cuts) and texts of other vocabularies.
 """
 
 from __future__ import annotations
@@ -67,9 +68,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            self.kind = self._kind(json.load(f))
+            spec = json.load(f)
+        self.kind, self.added = self._kind(spec), [t["content"] for t in spec.get("added_tokens") or ()]
         self.cache_words, self.tokenize = cache_words, self.tokenizer.model.tokenize
         self.words, self.runs = Known(self._word), Known(self._run)
         self.cut = RUNS[self.kind].findall if self.kind in RUNS else None
@@ -77,6 +78,8 @@ class WordEncoder:
     @staticmethod
     def _kind(spec: dict[str, Any]) -> str:
         pre = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") and any(t["normalized"] for t in spec.get("added_tokens") or ()):
+            return "whole"  # such a token may stand in a text only after it is normalized
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer"):
             return "bytes"
         if pre.get("type") == "Sequence" and spec["model"].get("end_of_word_suffix") == "</w>" and (spec.get("normalizer") or {}).get("type") == "Sequence":
@@ -111,7 +114,9 @@ class WordEncoder:
                         known.clear()
                         known[""] = b""
             ids = self.words.__getitem__
-            if self.kind == "words":
+            if any(t in text for t in self.added):
+                out += self._whole([text])
+            elif self.kind == "words":
                 out.append(b"".join(map(ids, text.replace("\n", " ").split(" "))))
             elif unsure(text):
                 out += self._whole([text])

@@ -39,6 +39,20 @@ def test_words_are_the_librarys():
         assert e.encode(texts) == e._whole(texts)
 
 
+def test_added_tokens_are_the_librarys(docs):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y<|endoftext|><|endoftext|>", "a  <|endoftext|>\n b é", "<|ENDOFTEXT|> <|endoftext| >", "<|endoftext|", "", "plain words", *[t or "" for t in TEXTS]]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        fresh = Tokenizer.from_file(path)
+        want = [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert tokens.WordEncoder(path).encode(texts) == want
+        assert len(want[0]) == 4 * (4 if name.startswith("byte") else 3)
+        got = [r for r in packing.pack(docs, path, with_ids=True).collect() if r.doc_id == len(TEXTS) - 1]
+        assert b"".join(r.ids for r in got) == want[-1] + np.uint32(2).tobytes()
+
+
 def test_packing(docs, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(docs, path, 128, with_ids=True).collect()
