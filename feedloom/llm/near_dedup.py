@@ -9,8 +9,11 @@ full sets confirm the rest, and confirmed links make components.
 
 Orders are range-partitioned with ties broken by id: neither a very common
 prefix nor a group with a third of all documents meets in one task, and pairs
-are taken from neighbours, never from all of a group. Documents with equal sets
-count once.
+are taken from neighbours. A region with more rows than the places looked at
+gets an exact way for the rest: its documents' rarest shingles (a prefix that
+two similar sets share at least one of) are joined, so that each pair of
+different components is compared or ruled out by that bound. Documents with
+equal sets count once.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -29,8 +32,10 @@ from .words import SPACED, mix, words_of
 
 SHINGLE, PERCENT = 2, 80
 TREES, DEPTH, LEAST_DEPTH = 32, 6, 3
-#: Places in an order within which rows are compared: of all rows at first, then of rows whose components are still different.
+#: Places in an order within which rows are compared: of all rows at first, then of rows whose components are still different. Regions with more rows go on with `rare_pairs`.
 NEAR, FAR = 3, 48
+#: Counters that order the shingles of crowded regions by how rare they are, and those in a row of the shuffle that sums them.
+COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: Up to so many ids (8 bytes each) go to all tasks to pick texts; more are joined by a shuffle.
 SENT_IDS = 2_000_000
 #: From so many documents in a region on, one more level is asked for, and again from DENSE times as many on.
@@ -151,11 +156,29 @@ def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return labels, rows["tree"].to_numpy(), rows["doc_id"].to_numpy(), rows["n_shingles"].to_numpy(), sketches, rows["component"].to_numpy()
 
 
-def candidates(reps: DataFrame, percent: int, reach: int, bits: int) -> DataFrame:
-    """(a, b, agree): distinct candidate pairs of reps (doc_id, n_shingles, signature, planes, component), of different components and at most `reach` places apart in an order."""
-    values = F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, substring(signature, t * {2 * DEPTH} + 1, {2 * DEPTH}) AS label))")
+def in_trees(reps: DataFrame, columns: Sequence[str | Column], depth: int) -> DataFrame:
+    """tree, label (the tree's first `depth` values) and the columns, a row for each tree of each rep."""
+    values = F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, substring(signature, t * {2 * DEPTH} + 1, {2 * depth}) AS label))")
+    return reps.select(*columns, F.explode(values).alias("v")).select("v.tree", "v.label", "*").drop("v")
+
+
+def regions(arrays: tuple[np.ndarray, ...], reach: int) -> pd.DataFrame:
+    """The regions of rows in forest order that may be crowded: tree, label, rows (a), least and largest component (b, agree). Those at the edges may go on elsewhere."""
+    labels, trees, _, _, _, groups = arrays
+    fresh = np.ones(len(trees), bool)
+    fresh[1:] = (trees[1:] != trees[:-1]) | (labels[1:, :LEAST_DEPTH] != labels[:-1, :LEAST_DEPTH]).any(1)
+    at = np.flatnonzero(fresh)
+    n, low, high = np.diff(np.append(at, len(trees))), np.minimum.reduceat(groups, at), np.maximum.reduceat(groups, at)
+    tell = (n > reach + 1) & (low != high)
+    tell[[0, -1]] = True
+    return pd.DataFrame({"tree": trees[at[tell]], "label": [x.tobytes() for x in labels[at[tell], :LEAST_DEPTH]], "a": n[tell], "b": low[tell], "agree": high[tell]})
+
+
+def candidates(reps: DataFrame, percent: int, reach: int, bits: int, crowds: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(a, b, agree): distinct candidate pairs of reps (doc_id, n_shingles, signature, planes, component), of different components and at most `reach` places apart in an order;
+    and, if asked for, (tree, label) of the crowded regions: those of several components with rows further apart."""
     sketch = F.substring("planes", 1, bits * PLANE)
-    rows = reps.select("doc_id", "n_shingles", "component", sketch.alias("sketch"), F.explode(values).alias("v")).select("v.tree", "v.label", "doc_id", "n_shingles", "sketch", "component")
+    rows = in_trees(reps, ["doc_id", "n_shingles", sketch.alias("sketch"), "component"], DEPTH)
     ordered = rows.repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id").withColumn("part", F.spark_partition_id())
     kinds = "a long, b long, agree long, side int, " + ROW
 
@@ -171,6 +194,8 @@ def candidates(reps: DataFrame, percent: int, reach: int, bits: int) -> DataFram
                 continue
             part = int(frame["part"].iloc[0])
             frame = frame.drop(columns="part")
+            if crowds:
+                yield regions(_arrays(frame), reach).assign(side=-2, doc_id=None, n_shingles=None, sketch=None, component=None)
             if first:
                 yield frame.head(reach).assign(side=part, a=None, b=None, agree=None)
                 first = False
@@ -188,7 +213,53 @@ def candidates(reps: DataFrame, percent: int, reach: int, bits: int) -> DataFram
         return pairs(_arrays(frame.sort_values(["tree", "label", "doc_id"])))
 
     seams = found.where("side >= 0").select("side", "tree", "label", "doc_id", "n_shingles", "sketch", "component").groupBy("side").applyInPandas(seam, "a long, b long, agree long")
-    return found.where("side < 0").select("a", "b", "agree").unionByName(seams).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    crowded = found.where("side = -2").groupBy("tree", "label").agg(F.sum("a").alias("n"), F.min("b").alias("low"), F.max("agree").alias("high")).where((F.col("n") > reach + 1) & (F.col("low") != F.col("high"))).select("tree", "label")
+    return found.where("side = -1").select("a", "b", "agree").unionByName(seams).groupBy("a", "b").agg(F.max("agree").alias("agree")), crowded
+
+
+def rare_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b, agree): all pairs of sets (doc_id, hashes) of different components that may be similar enough.
+
+    In any one order of all shingles, two sets with `percent` in common share
+    one of each set's first n - ceil(n * percent / 100) + 1; the first they share
+    leaves enough behind it in both. Rare shingles come first.
+    """
+    spark = sets.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for raw in batch.column("hashes"):
+                counts[(unpacked(raw.as_py()) % np.uint64(COUNTERS)).astype(np.int64)] += 1
+        chunks = counts.reshape(-1, CHUNK)
+        use = np.flatnonzero(chunks.any(1))
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(use, pa.int32()), "counts": pa.array([chunks[i].tobytes() for i in use], pa.binary())})
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.int64) for x in frame["counts"])
+        return pd.DataFrame({"chunk": frame["chunk"].head(1), "counts": [total.tobytes()]})
+
+    counts = np.zeros((COUNTERS // CHUNK, CHUNK), np.int64)
+    for r in sets.select("hashes").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
+        counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    sent = spark.sparkContext.broadcast(counts.ravel())
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+            for doc_id, component, raw in zip(batch.column("doc_id").to_pylist(), batch.column("component").to_pylist(), batch.column("hashes"), strict=True):
+                own = unpacked(raw.as_py())
+                n = len(own)
+                order = np.lexsort((own, sent.value[(own % np.uint64(COUNTERS)).astype(np.int64)]))[: n + (-n * percent) // 100 + 1]
+                for column, value in zip(found, (own[order].astype(np.int64), np.full(len(order), doc_id), np.full(len(order), component), np.full(len(order), n), np.arange(n, n - len(order), -1)), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names=["shingle", "doc_id", "component", "n", "left"])
+
+    placed = sets.join(groups, sets["doc_id"] == groups["node"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("component"), "hashes")
+    first = save(placed.mapInArrow(heads, "shingle long, doc_id long, component long, n long, left long"), "heads")
+    x, y = first.alias("x"), first.alias("y")
+    fits = F.expr(f"x.shingle = y.shingle AND x.doc_id < y.doc_id AND x.component <> y.component AND {100 + percent} * least(x.left, y.left) >= {percent} * (x.n + y.n)")
+    return x.join(y, fits).groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("agree"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,7 +304,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     key = ["n_shingles", "key1", "key2"]
     reps = sound.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"]).groupBy("doc_id").agg(F.min(F.struct("n_shingles", "signature", "planes")).alias("s")).select("doc_id", "s.*")
     reps = save(reps, "reps")
-    pairs = save(candidates(reps.withColumn("component", F.col("doc_id")), percent, NEAR, NEAR_BITS), "pairs")
+    pairs = save(candidates(reps.withColumn("component", F.col("doc_id")), percent, NEAR, NEAR_BITS)[0], "pairs")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
@@ -256,15 +327,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     for some in (one_for_each, lambda left: left):
         links = links.unionByName(save(confirmed(some(between(pairs, groups)), sets, percent), "links"))
         groups = components(links)
-    # then the orders once more: a row in the midst of a large component sees the next rows of others
-    labelled = reps.join(groups, reps["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", "signature", "planes", F.coalesce("label", "doc_id").alias("component"))
-    further = save(candidates(labelled, percent, FAR, FAR_BITS).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    sets = sets_of(further)
-    for some in (one_for_each, lambda left: left):
-        more = save(confirmed(some(between(further, groups)), sets, percent), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            groups = components(links)
+    # then the orders once more, with rows of the same component left out of the pairs
+    def with_component(groups: DataFrame) -> DataFrame:
+        return reps.join(groups, reps["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", "signature", "planes", F.coalesce("label", "doc_id").alias("component"))
+
+    further, crowded = candidates(with_component(groups), percent, FAR, FAR_BITS, crowds=True)
+    further, crowded = save(further.join(pairs, ["a", "b"], "left_anti"), "pairs"), save(crowded, "crowded")
+
+    def look(further: DataFrame, sets: DataFrame) -> None:
+        nonlocal links, groups
+        for some in (one_for_each, lambda left: left):
+            more = save(confirmed(some(between(further, groups)), sets, percent), "links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                groups = components(links)
+
+    look(further, sets_of(further))
+    # regions with more rows than FAR places, if they are still of several components: every pair that the rarest shingles don't rule out
+    if not crowded.isEmpty():
+        members = save(in_trees(with_component(groups), ["doc_id", "component"], LEAST_DEPTH).join(crowded, ["tree", "label"]), "members")
+        mixed = members.groupBy("tree", "label").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("tree", "label")
+        crowd = members.join(mixed, ["tree", "label"]).select("doc_id").distinct()
+        sets = sets_of(crowd.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
+        known = pairs.select("a", "b").unionByName(further.select("a", "b"))
+        look(save(rare_pairs(sets, groups, percent).join(known, ["a", "b"], "left_anti"), "pairs"), sets)
     placed = found.join(classes, key, "left").join(groups, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

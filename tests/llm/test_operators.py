@@ -171,6 +171,27 @@ def test_near_duplicates(spark, docs, nothing):
     assert {r.node: r.label for r in components.components(chain).collect()} == {**dict.fromkeys(range(41), 0), 98: 98, 99: 98}
 
 
+def test_near_duplicates_in_a_crowd(spark, monkeypatch):
+    """One template, 20 slots: 300 documents about 0.7 similar, and of these 20 pairs of 0.802, however few places of an order are looked at."""
+    rng = np.random.default_rng(5)
+    slots = rng.integers(0, 30, (300, 20))
+    slots[150:170, :8] = slots[:20, :8]
+    slots[150:170, 8:] = (slots[:20, 8:] + 1) % 30
+    texts = [" ".join(" ".join(f"f{10 * j + k}" for k in range(10)) + f" s{j}v{v}" for j, v in enumerate(row)) for row in slots]
+    words = [t.split() for t in texts]
+    sets = [set(zip(w, w[1:], strict=False)) for w in words]
+    links = [(i, j) for i in range(300) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert {(i + 150, i) for i in range(20)} <= set(links)
+    want = list(range(300))
+    for _ in range(5):
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    monkeypatch.setattr(near_dedup, "NEAR", 1)
+    monkeypatch.setattr(near_dedup, "FAR", 1)
+    got = by_id(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    assert [got[i].component_id for i in range(300)] == want
+
+
 def test_contamination(spark, docs, nothing):
     items = spark.createDataFrame([(1, "A b c d e f g h i j K"), (2, "two three"), (3, None), (4, "zz"), (None, "1234"), (1, "A b c d e f g h i j K")], "item_id long, text string")
     got = by_id(decontaminate.find_contamination(docs, items))
