@@ -2,41 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from feedloom.operators import upsert
 
 
-def latest(spark, path: str, schema) -> DataFrame | None:
-    """The snapshot that the last finished batch left, if any."""
+def done_before(spark, path: str, number: int) -> list[int]:
+    """The finished batches below this number, the last one first."""
     try:
-        done = spark.read.parquet(f"{path}/log").agg(F.max("batch").alias("b")).first()["b"]
+        done = spark.read.parquet(f"{path}/log").where(F.col("batch") < number).select("batch").distinct().collect()
     except Exception as e:  # no batch yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return None
-    return None if done is None else spark.read.schema(schema).parquet(f"{path}/current/batch={done}")
+        return []
+    return sorted((r["batch"] for r in done), reverse=True)
 
 
 def upsert_stream(arrivals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Runs over what is there. arrivals: source_id, external_id, content_hash, seq and more.
 
     Each batch writes its outcomes, the new versions and the whole current
-    table under its own number and logs the number last, so a batch that runs
-    again after a failure replaces what it had written and counts nothing twice.
+    table under its own number and logs the number last. It builds on the batches
+    below its own number, so one that runs again, before or after its number was
+    logged, replaces what it had written and counts nothing twice.
     """
-    schema = arrivals.schema
+    return arrivals.writeStream.foreachBatch(writer(path, arrivals.schema)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def writer(path: str, schema: StructType) -> Callable[[DataFrame, int], None]:
+    """What is done with a batch and its number."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stored = latest(spark, path, schema)
+        done = done_before(spark, path, number)
+        stored = spark.read.schema(schema).parquet(f"{path}/current/batch={done[0]}") if done else None
+        versions = spark.read.schema(schema).parquet(*[f"{path}/versions/batch={n}" for n in done]) if done else None
         outcomes = upsert.outcomes(batch, stored)
         outcomes.write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
+        upsert.version_history(batch, versions).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/versions/batch={number}")
         last = upsert.current_state(batch).select(*batch.columns)
         kept = last if stored is None else last.unionByName(stored.join(last, list(upsert.KEY), "left_anti").select(*batch.columns))
         kept.write.mode("overwrite").parquet(f"{path}/current/batch={number}")
         spark.range(1).select(F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{path}/log/batch_number={number}")
 
-    return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return write

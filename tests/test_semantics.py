@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import expr
 from feedloom.operators import scheduling, upsert
 from feedloom.sources import extract
-from feedloom.streaming.upsert_stream import upsert_stream
+from feedloom.streaming.upsert_stream import upsert_stream, writer
 
 
 def test_cron_in_a_zone():
@@ -30,6 +30,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r["outcome"]: r["count"] for r in got} == {r["outcome"]: r["count"] for r in upsert.outcomes(rows).groupBy("outcome").count().collect()}
 
 
+def test_stream_keeps_versions_and_runs_again(spark, tmp_path):
+    rows = spark.createDataFrame([("s", "1", h, i) for i, h in enumerate("ABAC")], "source_id string, external_id string, content_hash string, seq long")
+    path = str(tmp_path / "out")
+    write = writer(path, rows.schema)
+    read = lambda name: sorted((r.content_hash, r.seq, r.batch) for r in spark.read.parquet(f"{path}/{name}").collect())
+    for number in (0, 1, 2, 2, 3, 3):
+        write(rows.where(f"seq = {number}"), number)
+    assert read("versions") == [("A", 0, 0), ("B", 1, 1), ("C", 3, 3)]
+    assert read("current") == [("A", 0, 0), ("A", 2, 2), ("B", 1, 1), ("C", 3, 3)]
+    assert [r.outcome for r in spark.read.parquet(f"{path}/outcomes").orderBy("seq").collect()] == ["added", "updated", "updated", "updated"]
+
+
 def test_backfill_windows(spark):
     one = spark.createDataFrame([(dt.datetime(2026, 7, 1), dt.datetime(2026, 7, 4))], "range_start timestamp_ntz, range_end timestamp_ntz")
     assert scheduling.backfill_windows(one, 86_400).count() == 3
