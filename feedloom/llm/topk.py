@@ -5,8 +5,9 @@ dimensions. Phase one gathers each list's k best entries and its least score;
 the k-th best sum that these prove is a lower bound of the k-th best score.
 Phase two broadcasts the bound: a vector that stays below its uniform share in
 every list can't reach it, so only vectors with an entry at or above the share
-are collected, and those whose upper bound stays below are left out. Phase
-three takes the exact sums of the rest. Queries go through in blocks of a
+are collected, and those whose upper bound stays below the bound, or below the
+k-th best that their task has found so far, are left out. Phase three takes the
+exact sums of the rest. Queries go through in blocks of a
 bounded number, each against all rows, and rows are never shuffled.
 """
 
@@ -17,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,30 +141,34 @@ def one_block(rows: DataFrame, queries: Queries, k: int, lists: int, scale: int)
     parts = spans(queries.vectors.shape[1], lists)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phase one: each list's k best entries and its least score."""
+        """Phase one: each list's k best entries, by row (repeated ids are rows of their own), and its least score."""
         q = sent.value
+        row = (TaskContext.get().partitionId() << 40) - 1
         kept = [Kept(len(q.ids), k) for _ in parts]
         least = np.full((len(parts), len(q.ids)), np.inf)
         for first, ids, vectors, itself in tiles(batches, q, scale):
+            if first == 0:
+                keys = np.arange(row + 1, row + 1 + len(ids))
+                row += len(ids)
             for n, part in enumerate(parts):
                 scores = q.vectors[first : first + TILE, part] @ vectors[:, part].T
                 scores[itself] = np.inf
                 low = least[n, first : first + TILE]
                 np.minimum(low, scores.min(1), out=low)
                 scores[itself] = -np.inf
-                kept[n].add(first, ids, scores)
+                kept[n].add(first, keys, scores)
         for n, some in enumerate(kept):
-            query, vec, score = some.rows(q.ids)
+            query, found, score = some.rows(q.ids)
             use = np.isfinite(least[n])
-            query, vec, score = np.append(query, q.ids[use]), np.append(vec, np.full(use.sum(), -1)), np.append(score, least[n][use].astype(np.int64))
+            query, found, score = np.append(query, q.ids[use]), np.append(found, np.full(use.sum(), -1)), np.append(score, least[n][use].astype(np.int64))
             bound = np.arange(len(query)) >= len(query) - use.sum()
-            yield pa.RecordBatch.from_pydict({"query_id": query, "list": np.full(len(query), n, np.int32), "vec_id": vec, "score": score, "bound": bound})
+            yield pa.RecordBatch.from_pydict({"query_id": query, "list": np.full(len(query), n, np.int32), "row": found, "score": score, "bound": bound})
 
-    lists_of = save(rows.mapInArrow(gather, "query_id long, list int, vec_id long, score long, bound boolean"), "lists")
+    lists_of = save(rows.mapInArrow(gather, "query_id long, list int, row long, score long, bound boolean"), "lists")
     least = lists_of.where("bound").groupBy("query_id", "list").agg(F.min("score").alias("least"))
-    in_list = Window.partitionBy("query_id", "list").orderBy(F.desc("score"), "vec_id")
+    in_list = Window.partitionBy("query_id", "list").orderBy(F.desc("score"), "row")
     heads = lists_of.where("NOT bound").withColumn("n", F.row_number().over(in_list)).where(F.col("n") <= k)
-    above = heads.join(least, ["query_id", "list"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("score") - F.col("least")).alias("above"))
+    above = heads.join(least, ["query_id", "list"]).groupBy("query_id", "row").agg(F.sum(F.col("score") - F.col("least")).alias("above"))
     in_query = Window.partitionBy("query_id").orderBy(F.desc("above"))
     proven = above.withColumn("n", F.row_number().over(in_query)).where(F.col("n") == k).select("query_id", "above")
     floor = least.groupBy("query_id").agg(F.collect_list(F.struct("list", "least")).alias("least"))
@@ -175,18 +181,20 @@ def one_block(rows: DataFrame, queries: Queries, k: int, lists: int, scale: int)
         """Phases two and three on the vectors of this task; a task's k best of each query leave it."""
         q, (low, bound) = sent.value, safe.value
         kept = Kept(len(q.ids), k)
-        share = bound / len(parts)
+        share = np.floor(bound / len(parts))
         for first, ids, vectors, itself in tiles(batches, q, scale):
             here = slice(first, first + TILE)
-            total, most, enough = (np.zeros(itself.shape) for _ in range(3))
-            for n, part in enumerate(parts):
-                scores = q.vectors[here, part] @ vectors[:, part].T
-                total += scores
-                scores -= low[here, n, None]
+            above = [q.vectors[here, part] @ vectors[:, part].T - low[here, n, None] for n, part in enumerate(parts)]
+            most, collected = np.zeros(itself.shape), np.zeros(itself.shape, bool)
+            for scores in above:
                 seen = scores >= share[here, None]
-                enough += seen
+                collected |= seen
                 most += np.where(seen, scores, np.maximum(share[here, None], 0))
-            total[(enough == 0) | (most < bound[here, None]) | itself] = -np.inf
+            base = low[here].sum(1)
+            own = np.array([s[k - 1] if len(s) == k else -np.inf for s in kept.scores[here]]) - base
+            left = collected & (most >= np.maximum(bound[here], own)[:, None]) & ~itself
+            total = np.full(itself.shape, -np.inf)
+            total[left] = sum(scores[left] for scores in above) + np.broadcast_to(base[:, None], left.shape)[left]
             kept.add(first, ids, total)
         query, vec, score = kept.rows(q.ids)
         yield pa.RecordBatch.from_pydict({"query_id": query, "vec_id": vec, "score": score})

@@ -216,6 +216,17 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    """12 vectors that are large in one list, three times each, don't hide ten that are middling in all."""
+    large = [(i, [float(989 + i) if n == i % 4 else 0.0 for n in range(4)]) for i in range(12)]
+    df = spark.createDataFrame(3 * large + [(100 + i, [700.0] * 4) for i in range(10)], "vec_id long, embedding array<double>").repartition(2)
+    ones = spark.createDataFrame([(-1, [1.0] * 4)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, ones, scale=1).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(100 + i, 2800) for i in range(10)]
+    got = topk.top_k(df.where("vec_id < 100"), ones, scale=1).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 989 + i) for i in (11, 11, 11, 10, 10, 10, 9, 9, 9, 8)]
+
+
 def test_language(spark, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
