@@ -30,3 +30,8 @@ def test_same_rows(spark, duck, name):
     columns = sorted(ours.columns)
     assert columns == sorted(theirs.columns)
     assert rows(ours, columns) == rows(theirs, columns)
+
+
+def test_source_list_has_no_limit(spark):
+    found = catalog.QUERIES["source_list"](spark, SF)
+    assert "Limit" not in found._jdf.queryExecution().analyzed().toString()
