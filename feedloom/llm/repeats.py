@@ -8,14 +8,14 @@ splits) follow:
 1. a block tells each bucket of keys which it has; keys of one document only
    are done with;
 2. of the rest it sends each distinct segment's bytes once, with the least
-   document. A bucket sorts the suffixes of its segments, takes the longest
-   common prefixes of neighbours and scans the common-prefix intervals: each
-   interval of SPAN bytes or more is one repeated string with all occurrences,
-   and has the least document of them all;
+   document. A bucket sorts the windows of its segments; equal ones are one
+   repeated string, which has the least document of them all;
 3. a block looks its segments up in what the buckets answered, and each
    document drops the bytes that smaller documents have.
 
-Buckets get one row for each block, however common a string is.
+Buckets get one row for each block, however common a string is; the bytes of
+these rows grow with the distinct segments of the bucket's keys, and a key isn't
+split. Maximal repeats and their occurrences aren't given.
 """
 
 from __future__ import annotations
