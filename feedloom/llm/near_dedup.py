@@ -2,53 +2,55 @@
 
 A document is its set of distinct shingles. Each tree of the forest sorts the
 documents by a signature of its own: equal beginnings stand next to each other.
-Neighbours in an order whose longest common prefix is deep enough are
-candidates; where a region (a run with one short prefix) is dense, a longer one
-is asked for. A sketch of the signature and the sizes rule out most candidates,
-full sets confirm the rest, and confirmed links make components.
-
-Orders are range-partitioned with ties broken by id: neither a very common
-prefix nor a group with a third of all documents meets in one task, and pairs
-are taken from neighbours. A region with more rows than the places looked at
-gets an exact way for the rest: its documents' rarest shingles (a prefix that
-two similar sets share at least one of) are joined, so that each pair of
-different components is compared or ruled out by that bound. Documents with
-equal sets count once.
+A region is a run with one short prefix; where it is dense, a longer prefix
+cuts it into smaller ones. Most documents are alone in all their regions and
+are left out at once. The others go two ways:
+
+1. neighbours in an order, those with the longest common prefix, are tried
+   first, each document's most promising ones only, so that rows grow with
+   documents and most of a large group is joined;
+2. then every two documents of a region that are still in different components
+   are compared, in blocks of a bounded number of rows.
+
+No pair is left out for its place. A profile (how many shingles fall into each
+of `WIDTH` cells) gives an upper bound of what two sets share, so a pair that
+it rules out can't be similar enough; full sets confirm all others. Two similar
+documents are missed only if no tree puts them in one region: at a similarity
+of 0.8 one pair in 2 * 10**7, in regions with more than `DENSE` documents, cut
+to five or six values, one in 3 * 10**5 or 2 * 10**4. Documents with equal sets
+count once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import save, table, text_batches
+from .components import components, merged
+from .shared import save, scratch, table, text_batches
 from .words import SPACED, mix, words_of
 
 SHINGLE, PERCENT = 2, 80
-TREES, DEPTH, LEAST_DEPTH = 32, 6, 3
-#: Places in an order within which rows are compared: of all rows at first, then of rows whose components are still different. Regions with more rows go on with `rare_pairs`.
-NEAR, FAR = 3, 48
-#: Counters that order the shingles of crowded regions by how rare they are, and those in a row of the shuffle that sums them.
-COUNTERS, CHUNK = 1 << 20, 1 << 14
-#: Up to so many ids (8 bytes each) go to all tasks to pick texts; more are joined by a shuffle.
-SENT_IDS = 2_000_000
-#: From so many documents in a region on, one more level is asked for, and again from DENSE times as many on.
-DENSE = 256
-#: A sketch holds the low bits of every MinHash value: few where rows are many and pairs few, more where a region's rows meet many others.
-NEAR_BITS, FAR_BITS = 1, 3
-#: Bytes of one bit of every value.
-PLANE = TREES * DEPTH // 8
-BEST = 2
+#: A tree's order has DEPTH values; regions share the first LEAST_DEPTH, or one more and again one more where they hold over DENSE documents.
+TREES, DEPTH, LEAST_DEPTH, DENSE = 32, 6, 4, 4096
+#: Neighbours of a row that are tried first, in two rounds.
+REACH = (4, 16)
+#: Rows of one block; two blocks are compared in one group.
+BLOCK = 512
+#: Cells of a profile, four bits each, and those of its coarse form.
+WIDTH, COARSE = 512, 64
+#: Up to so many bytes of ids go to all tasks to pick texts; more are joined by a shuffle.
+SENT_BYTES = 16_000_000
 
 _RNG = np.random.default_rng(8)
 FACTORS = _RNG.integers(0, 2**63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9DDFEA08EB382D69)
+Keep = Callable[[DataFrame, str], DataFrame]
 
 
 def shingle_sets(texts: Sequence[str | None], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -75,16 +77,9 @@ def signatures(sets: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
-def planes(values: np.ndarray) -> np.ndarray:
-    """rows x (FAR_BITS * PLANE) bytes: the lowest bit of each row's values, then the next, so that a beginning is a sketch of fewer bits."""
-    return np.hstack([np.packbits((values >> bit) & 1, axis=1) for bit in range(FAR_BITS)])
-
-
-def least_agreeing(bits: int, percent: int) -> int:
-    """How many values' low bits agree at least: at a similarity of `percent` fewer do in 1 of 100,000 pairs (4.3 standard deviations)."""
-    n, alike = TREES * DEPTH, percent / 100
-    p = alike + (1 - alike) / 2**bits
-    return int(n * p - 4.3 * (n * p * (1 - p)) ** 0.5)
+def set_keys(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    return int(mix(hashes).sum().astype(np.int64)), int(mix(hashes ^ STEP).sum().astype(np.int64))
 
 
 def packed(hashes: np.ndarray) -> bytes:
@@ -98,168 +93,159 @@ def unpacked(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("signature", pa.binary()), ("planes", pa.binary())])
+def profile(hashes: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each cell, 15 at most, two cells a byte."""
+    cells = np.minimum(np.bincount((hashes & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH), 15).astype(np.uint8)
+    return (cells[0::2] << 4 | cells[1::2]).tobytes()
 
 
-def features(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set, the signature as 16-bit values and its planes (none for empty sets)."""
+def features(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, n_shingles, a 128-bit key of the set and the signature as 16-bit values (null for empty sets)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text", 2_000_000):
             sets = shingle_sets(batch.column("text").to_pylist(), shingle)
             full = [i for i, s in enumerate(sets) if len(s)]
             found: list[bytes | None] = [None] * len(sets)
-            bits: list[bytes | None] = [None] * len(sets)
             if full:
-                low = (signatures([sets[i] for i in full]) & np.uint32(0xFFFF)).astype(np.uint16)
-                for i, row, own in zip(full, low.astype(">u2"), planes(low), strict=True):
-                    found[i], bits[i] = row.tobytes(), own.tobytes()
-            keys = [(int(mix(s).sum().astype(np.int64)), int(mix(s ^ STEP).sum().astype(np.int64))) for s in sets]
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(found, pa.binary()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, schema=FEATURES)
+                low = (signatures([sets[i] for i in full]) & np.uint32(0xFFFF)).astype(">u2")
+                for i, row in zip(full, low, strict=True):
+                    found[i] = row.tobytes()
+            keys = [set_keys(s) for s in sets]
+            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, signature binary, planes binary")
-
-
-def neighbours(labels: np.ndarray, trees: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, groups: np.ndarray, percent: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates of different groups among rows in forest order: (a, b, agreeing values of the sketches), a < b."""
-    n = len(ids)
-    if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    fresh = np.ones(n, bool)
-    fresh[1:] = (trees[1:] != trees[:-1]) | (labels[1:, :LEAST_DEPTH] != labels[:-1, :LEAST_DEPTH]).any(1)
-    region = np.cumsum(fresh) - 1
-    dense = np.bincount(region)[region]
-    asked = LEAST_DEPTH + sum((dense >= DENSE ** (1 + level)).astype(int) for level in range(DEPTH - LEAST_DEPTH))
-    enough = least_agreeing(sketches.shape[1], percent)
-    out = []
-    for shift in range(1, min(reach, n - 1) + 1):
-        i = np.flatnonzero((region[shift:] == region[:-shift]) & (groups[shift:] != groups[:-shift]))
-        j = i + shift
-        same = np.cumprod(labels[i] == labels[j], axis=1).sum(1)
-        least, most = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        use = (same >= asked[i]) & (100 * least >= percent * most)
-        i, j = i[use], j[use]
-        agree = TREES * DEPTH - np.bitwise_count(np.bitwise_or.reduce(sketches[i] ^ sketches[j], axis=1)).sum(1, dtype=np.int64)
-        use = agree >= enough
-        out.append((np.minimum(ids[i], ids[j])[use], np.maximum(ids[i], ids[j])[use], agree[use]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-ROW = "tree int, label binary, doc_id long, n_shingles long, sketch binary, component long"
-
-
-def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    labels = np.frombuffer(b"".join(rows["label"]), ">u2").reshape(-1, DEPTH)
-    sketches = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1, PLANE)
-    return labels, rows["tree"].to_numpy(), rows["doc_id"].to_numpy(), rows["n_shingles"].to_numpy(), sketches, rows["component"].to_numpy()
-
-
-def in_trees(reps: DataFrame, columns: Sequence[str | Column], depth: int) -> DataFrame:
-    """tree, label (the tree's first `depth` values) and the columns, a row for each tree of each rep."""
-    values = F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, substring(signature, t * {2 * DEPTH} + 1, {2 * depth}) AS label))")
-    return reps.select(*columns, F.explode(values).alias("v")).select("v.tree", "v.label", "*").drop("v")
-
-
-def regions(arrays: tuple[np.ndarray, ...], reach: int) -> pd.DataFrame:
-    """The regions of rows in forest order that may be crowded: tree, label, rows (a), least and largest component (b, agree). Those at the edges may go on elsewhere."""
-    labels, trees, _, _, _, groups = arrays
-    fresh = np.ones(len(trees), bool)
-    fresh[1:] = (trees[1:] != trees[:-1]) | (labels[1:, :LEAST_DEPTH] != labels[:-1, :LEAST_DEPTH]).any(1)
-    at = np.flatnonzero(fresh)
-    n, low, high = np.diff(np.append(at, len(trees))), np.minimum.reduceat(groups, at), np.maximum.reduceat(groups, at)
-    tell = (n > reach + 1) & (low != high)
-    tell[[0, -1]] = True
-    return pd.DataFrame({"tree": trees[at[tell]], "label": [x.tobytes() for x in labels[at[tell], :LEAST_DEPTH]], "a": n[tell], "b": low[tell], "agree": high[tell]})
-
-
-def candidates(reps: DataFrame, percent: int, reach: int, bits: int, crowds: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(a, b, agree): distinct candidate pairs of reps (doc_id, n_shingles, signature, planes, component), of different components and at most `reach` places apart in an order;
-    and, if asked for, (tree, label) of the crowded regions: those of several components with rows further apart."""
-    sketch = F.substring("planes", 1, bits * PLANE)
-    rows = in_trees(reps, ["doc_id", "n_shingles", sketch.alias("sketch"), "component"], DEPTH)
-    ordered = rows.repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id").withColumn("part", F.spark_partition_id())
-    kinds = "a long, b long, agree long, side int, " + ROW
-
-    def pairs(arrays: tuple[np.ndarray, ...]) -> pd.DataFrame:
-        a, b, agree = neighbours(*arrays, percent, reach)
-        return pd.DataFrame({"a": a, "b": b, "agree": agree}).drop_duplicates(["a", "b"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, signature binary")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, hashes (packed) and profile of the wanted documents (doc_id); of several texts of one id, that with the least keys."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(batches, "text"):
+            sets = shingle_sets(batch.column("text").to_pylist(), shingle)
+            keys = [set_keys(s) for s in sets]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "key1": pa.array([a for a, _ in keys], pa.int64()), "key2": pa.array([b for _, b in keys], pa.int64()),
+                "hashes": pa.array([packed(s) for s in sets], pa.binary()), "profile": pa.array([profile(s) for s in sets], pa.binary()),
+            })
+
+    some = F.broadcast(wanted) if 8 * wanted.count() <= SENT_BYTES else wanted
+    rows = docs.join(some, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, n long, key1 long, key2 long, hashes binary, profile binary").where("n > 0")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("n", "key1", "key2", "hashes", "profile")).alias("s")).select("doc_id", "s.n", "s.hashes", "s.profile")
+
+
+def region_rows(reps: DataFrame, keep: Keep) -> DataFrame:
+    """(region, tree, doc_id, n): the places of documents (doc_id, signature) in regions with several, n of them."""
+
+    def counted(rows: DataFrame) -> DataFrame:
+        several = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return rows.join(several, "region")
+
+    key = lambda depth: F.xxhash64("tree", F.substring("signature", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * depth)))
+    trees = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+    members = keep(counted(trees.select(key(LEAST_DEPTH).alias("region"), "tree", "doc_id")), "members")
+    for depth in range(LEAST_DEPTH + 1, DEPTH + 1):
+        dense = members.where(F.col("n") > DENSE)
+        if dense.isEmpty():
+            break
+        deeper = counted(dense.select("tree", "doc_id").join(reps, "doc_id").select(key(depth).alias("region"), "tree", "doc_id"))
+        members = keep(members.where(F.col("n") <= DENSE).unionByName(deeper), "members")
+    return members
+
+
+class Rows:
+    """Rows of several groups in order, with what bounds their sets' intersections."""
+
+    def __init__(self, frame: pd.DataFrame, keys: Sequence[str]):
+        self.ids, self.sizes, self.components = (frame[c].to_numpy(np.int64) for c in ("doc_id", "n", "component"))
+        columns = frame[list(keys)]
+        self.group = np.cumsum((columns != columns.shift()).any(axis=1).to_numpy()) - 1
+        raw = np.frombuffer(b"".join(frame["profile"]), np.uint8).reshape(len(frame), -1)
+        self.fine = np.stack([raw >> 4, raw & 15], axis=2).reshape(len(frame), WIDTH)
+        self.coarse = self.fine.reshape(len(frame), COARSE, -1).sum(2, dtype=np.uint8)
+        self.rest = self.sizes - self.fine.sum(1, dtype=np.int64)
+
+    def pairs(self, percent: int, reach: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, similarity at most) of rows of one group and different components up to `reach` places apart that the profiles don't rule out.
+        apart: only rows of different blocks, where it isn't -1, count."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        largest = int(np.bincount(self.group).max()) if len(self.group) else 0
+        for shift in range(1, min(reach, largest - 1) + 1):
+            i = np.flatnonzero((self.group[shift:] == self.group[:-shift]) & (self.components[shift:] != self.components[:-shift]))
+            j = i + shift
+            use = 100 * np.minimum(self.sizes[i], self.sizes[j]) >= percent * np.maximum(self.sizes[i], self.sizes[j])
+            if apart is not None:
+                use &= (apart[i] < 0) | (apart[i] != apart[j])
+            i, j = i[use], j[use]
+            for cells in (self.coarse, self.fine):
+                most = np.minimum(cells[i], cells[j]).sum(1, dtype=np.int64) + np.minimum(self.rest[i], self.rest[j])
+                both = self.sizes[i] + self.sizes[j]
+                use = (100 + percent) * most >= percent * both
+                i, j, alike = i[use], j[use], most[use] / np.maximum(both[use] - most[use], 1)
+            out.append((i, j, alike))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def nearest(placed: DataFrame, percent: int, reach: int) -> DataFrame:
+    """(a, b): for each document the most promising of its neighbours in all orders (region, label, doc_id, n, component, profile)."""
+    ordered = placed.repartitionByRange("region", "label", "doc_id").sortWithinPartitions("region", "label", "doc_id")
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
-        first = True
         for frame in frames:
-            if frame.empty:
-                continue
-            part = int(frame["part"].iloc[0])
-            frame = frame.drop(columns="part")
-            if crowds:
-                yield regions(_arrays(frame), reach).assign(side=-2, doc_id=None, n_shingles=None, sketch=None, component=None)
-            if first:
-                yield frame.head(reach).assign(side=part, a=None, b=None, agree=None)
-                first = False
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            yield pairs(_arrays(frame)).assign(side=-1, tree=None, label=None, doc_id=None, n_shingles=None, sketch=None, component=None)
             held = frame.tail(reach)
-        if held is not None:
-            yield held.assign(side=part + 1, a=None, b=None, agree=None)
-
-    names = [x.split()[0] for x in kinds.split(", ")]
-    found = save(ordered.mapInPandas(lambda frames: (f[names] for f in run(frames)), kinds), "candidates")
+            rows = Rows(frame, ["region"])
+            i, j, alike = rows.pairs(percent, reach)
+            ends = pd.DataFrame({"doc": rows.ids[np.append(i, j)], "other": rows.ids[np.append(j, i)], "alike": np.append(alike, alike)})
+            yield ends.sort_values("alike").drop_duplicates("doc", keep="last")
 
-    def seam(frame: pd.DataFrame) -> pd.DataFrame:
-        """The last rows of one range and the first of the next."""
-        return pairs(_arrays(frame.sort_values(["tree", "label", "doc_id"])))
+    found = ordered.mapInPandas(look, "doc long, other long, alike double")
+    best = found.groupBy("doc").agg(F.max(F.struct("alike", "other")).alias("b"))
+    return best.select(F.least("doc", "b.other").alias("a"), F.greatest("doc", "b.other").alias("b")).distinct()
 
-    seams = found.where("side >= 0").select("side", "tree", "label", "doc_id", "n_shingles", "sketch", "component").groupBy("side").applyInPandas(seam, "a long, b long, agree long")
-    crowded = found.where("side = -2").groupBy("tree", "label").agg(F.sum("a").alias("n"), F.min("b").alias("low"), F.max("agree").alias("high")).where((F.col("n") > reach + 1) & (F.col("low") != F.col("high"))).select("tree", "label")
-    return found.where("side = -1").select("a", "b", "agree").unionByName(seams).groupBy("a", "b").agg(F.max("agree").alias("agree")), crowded
 
+def rest_of_regions(placed: DataFrame, percent: int, keep: Keep) -> DataFrame:
+    """(a, b): every two documents of a region and different components that the profiles don't rule out.
 
-def rare_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b, agree): all pairs of sets (doc_id, hashes) of different components that may be similar enough.
-
-    In any one order of all shingles, two sets with `percent` in common share
-    one of each set's first n - ceil(n * percent / 100) + 1; the first they share
-    leaves enough behind it in both. Rare shingles come first.
+    A region up to BLOCK rows is one group. In a larger one the rows of its
+    most frequent component aren't compared with each other: blocks of the
+    other rows are compared with all blocks, each two in a group of their own.
     """
-    spark = sets.sparkSession
+    each = placed.groupBy("region", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = each.groupBy("region").agg(F.sum("m").alias("size"), F.max(F.struct("m", "component")).alias("top")).where("top.m < size")
+    rows = placed.join(mixed, "region").withColumn("minor", F.col("component") != F.col("top.component"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    less, more, whole = blocks(F.col("size") - F.col("top.m")), blocks(F.col("top.m")), F.col("size") <= BLOCK
+    spot = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    block = F.when(whole, 0).when(F.col("minor"), spot(less)).otherwise(less + spot(more))
+    last = F.when(whole, 0).when(F.col("minor"), less + more - 1).otherwise(less - 1)
+    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.select("region", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "n", "component", "profile")
+    keys = ["region", "x", "y"]
+    ordered = keep(dealt, "dealt").repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = (frame[keys] == frame[keys].iloc[-1]).all(axis=1)  # a group may go on in the next frame; it has two blocks at most
+            held = frame[last]
+            yield compare(frame[~last])
+        if held is not None:
+            yield compare(held)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for raw in batch.column("hashes"):
-                counts[(unpacked(raw.as_py()) % np.uint64(COUNTERS)).astype(np.int64)] += 1
-        chunks = counts.reshape(-1, CHUNK)
-        use = np.flatnonzero(chunks.any(1))
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(use, pa.int32()), "counts": pa.array([chunks[i].tobytes() for i in use], pa.binary())})
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in frame["counts"])
-        return pd.DataFrame({"chunk": frame["chunk"].head(1), "counts": [total.tobytes()]})
-
-    counts = np.zeros((COUNTERS // CHUNK, CHUNK), np.int64)
-    for r in sets.select("hashes").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():
-        counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    sent = spark.sparkContext.broadcast(counts.ravel())
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
-            for doc_id, component, raw in zip(batch.column("doc_id").to_pylist(), batch.column("component").to_pylist(), batch.column("hashes"), strict=True):
-                own = unpacked(raw.as_py())
-                n = len(own)
-                order = np.lexsort((own, sent.value[(own % np.uint64(COUNTERS)).astype(np.int64)]))[: n + (-n * percent) // 100 + 1]
-                for column, value in zip(found, (own[order].astype(np.int64), np.full(len(order), doc_id), np.full(len(order), component), np.full(len(order), n), np.arange(n, n - len(order), -1)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names=["shingle", "doc_id", "component", "n", "left"])
-
-    placed = sets.join(groups, sets["doc_id"] == groups["node"], "left").select("doc_id", F.coalesce("label", "doc_id").alias("component"), "hashes")
-    first = save(placed.mapInArrow(heads, "shingle long, doc_id long, component long, n long, left long"), "heads")
-    x, y = first.alias("x"), first.alias("y")
-    fits = F.expr(f"x.shingle = y.shingle AND x.doc_id < y.doc_id AND x.component <> y.component AND {100 + percent} * least(x.left, y.left) >= {percent} * (x.n + y.n)")
-    return x.join(y, fits).groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("agree"))
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) < 2:
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        rows = Rows(frame, keys)
+        apart = np.where(frame["x"] == frame["y"], -1, frame["block"]).astype(np.int64)
+        i, j, _ = rows.pairs(percent, len(frame), apart)
+        return pd.DataFrame({"a": np.minimum(rows.ids[i], rows.ids[j]), "b": np.maximum(rows.ids[i], rows.ids[j])}).drop_duplicates()
+
+    return ordered.mapInPandas(look, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -280,80 +266,45 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def between(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    known = lambda end: groups.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
-    return pairs.join(known("a"), "a", "left").join(known("b"), "b", "left").select("a", "b", "agree", F.coalesce("a_label", "a").alias("a_label"), F.coalesce("b_label", "b").alias("b_label")).where("a_label <> b_label")
-
-
-def one_for_each(left: DataFrame) -> DataFrame:
-    """The most promising pair between each two components."""
-    return left.groupBy(F.least("a_label", "b_label"), F.greatest("a_label", "b_label")).agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links) and kept, a row for each row of docs.
 
     Documents without words have an empty set and are linked with nothing.
-    Rows of one id are one document and share its component. A row with a null
-    id links with nothing, has a null component and is kept. No rows, no rows.
+    Rows of one id are one document: that with the least keys of their sets is
+    compared, all share its component. A row with a null id links with nothing,
+    has a null component and is kept. No rows, no rows. The result is a table in
+    the shared folder; what else was written there is removed.
     """
-    found = save(features(docs, shingle, id_col, text_col), "features")
-    sound = found.where("doc_id IS NOT NULL AND signature IS NOT NULL")
-    classes = save(sound.groupBy("n_shingles", "key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
-    key = ["n_shingles", "key1", "key2"]
-    reps = sound.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"]).groupBy("doc_id").agg(F.min(F.struct("n_shingles", "signature", "planes")).alias("s")).select("doc_id", "s.*")
-    reps = save(reps, "reps")
-    pairs = save(candidates(reps.withColumn("component", F.col("doc_id")), percent, NEAR, NEAR_BITS)[0], "pairs")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ends = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-        ends = F.broadcast(ends) if ends.count() <= SENT_IDS else ends
-        return save(rows.join(ends, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, hashes binary").groupBy("doc_id").agg(F.min("hashes").alias("hashes")), "sets")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, "text"):
-            raws = [packed(s) for s in shingle_sets(batch.column("text").to_pylist(), shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raws, pa.binary())], names=["doc_id", "hashes"])
-
-    # first each document's most promising pairs, then those that still lie between components
-    sets = sets_of(pairs)
-    rank = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("agree"), "a", "b"))
-    first = pairs.withColumn("n", F.least(rank("a"), rank("b"))).where(F.col("n") <= BEST)
-    links = save(confirmed(first, sets, percent), "links")
-    groups = components(links)
-    # one pair, the most promising, for each two components joins most of a large group; what is still between is tried in full
-    for some in (one_for_each, lambda left: left):
-        links = links.unionByName(save(confirmed(some(between(pairs, groups)), sets, percent), "links"))
-        groups = components(links)
-    # then the orders once more, with rows of the same component left out of the pairs
-    def with_component(groups: DataFrame) -> DataFrame:
-        return reps.join(groups, reps["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", "signature", "planes", F.coalesce("label", "doc_id").alias("component"))
-
-    further, crowded = candidates(with_component(groups), percent, FAR, FAR_BITS, crowds=True)
-    further, crowded = save(further.join(pairs, ["a", "b"], "left_anti"), "pairs"), save(crowded, "crowded")
-
-    def look(further: DataFrame, sets: DataFrame) -> None:
-        nonlocal links, groups
-        for some in (one_for_each, lambda left: left):
-            more = save(confirmed(some(between(further, groups)), sets, percent), "links")
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                groups = components(links)
-
-    look(further, sets_of(further))
-    # regions with more rows than FAR places, if they are still of several components: every pair that the rarest shingles don't rule out
-    if not crowded.isEmpty():
-        members = save(in_trees(with_component(groups), ["doc_id", "component"], LEAST_DEPTH).join(crowded, ["tree", "label"]), "members")
-        mixed = members.groupBy("tree", "label").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("tree", "label")
-        crowd = members.join(mixed, ["tree", "label"]).select("doc_id").distinct()
-        sets = sets_of(crowd.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
-        known = pairs.select("a", "b").unionByName(further.select("a", "b"))
-        look(save(rare_pairs(sets, groups, percent).join(known, ["a", "b"], "left_anti"), "pairs"), sets)
-    placed = found.join(classes, key, "left").join(groups, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    key = ["n_shingles", "key1", "key2"]
+    with scratch(docs.sparkSession, "near-duplicates") as keep:
+        found = keep(features(rows, shingle), "features")
+        sound = found.where("doc_id IS NOT NULL AND signature IS NOT NULL")
+        named = sound.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("k")).select("doc_id", "k.*")
+        classes = keep(named.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
+        one = sound.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"]).dropDuplicates(["doc_id"])
+        reps = keep(one.select("doc_id", "signature"), "reps")
+        members = region_rows(reps, keep)
+        wanted = keep(members.select("doc_id").distinct(), "wanted")
+        sets = keep(full_sets(rows, wanted, shingle), "sets")
+        cards = keep(reps.join(sets.select("doc_id", "n", "profile"), "doc_id"), "cards")
+
+        def placed(groups: DataFrame | None) -> DataFrame:
+            own = cards.withColumn("component", F.col("doc_id")) if groups is None else cards.join(groups, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("label", "doc_id"))
+            label = F.substring("signature", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH))
+            return members.select("region", "tree", "doc_id").join(own, "doc_id").select("region", label.alias("label"), "doc_id", own["n"], "component", "profile")
+
+        groups: DataFrame | None = None
+        for reach in (*REACH, None):
+            here = keep(placed(groups), "placed")
+            pairs = keep(nearest(here, percent, reach) if reach else rest_of_regions(here, percent, keep), "pairs")
+            links = keep(confirmed(pairs, sets, percent), "links")
+            if groups is None or not links.isEmpty():
+                groups = components(links, keep) if groups is None else merged(groups, links, keep)
+        known = named.join(classes, key).join(groups, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("label", "rep").alias("component"))
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        result = found.select("doc_id", "n_shingles").join(known, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+        return save(result, "components")
 
 
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

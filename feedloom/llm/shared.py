@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +33,26 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, shared_dir(df.sparkSession, name))
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A `save` whose tables are removed at the end; what is to outlast it must be saved elsewhere before."""
+    folder = shared_dir(spark, name)
+    try:
+        yield lambda df, step: stored(df, f"{folder}/{step}-{uuid.uuid4().hex}")
+    finally:
+        system, path = pafs.FileSystem.from_uri(folder)
+        if system.get_file_info(path).type == pafs.FileType.Directory:
+            system.delete_dir(path)
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:

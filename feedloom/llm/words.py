@@ -20,19 +20,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def lowered(kept: Sequence[int]) -> np.ndarray:
-    """A byte table: A-Z to a-z, the kept bytes to themselves, others to 0."""
-    of = np.zeros(256, np.uint8)
-    of[list(kept)] = list(kept)
-    for b in range(ord("A"), ord("Z") + 1):
-        of[b] = of[b + 32]
-    return of
+@dataclass
+class Alphabet:
+    """Which bytes stand inside words, and every byte with A-Z as a-z."""
+
+    inside: np.ndarray
+    lower: np.ndarray
+
+
+def alphabet(kept: Sequence[int]) -> Alphabet:
+    inside = np.zeros(256, bool)
+    inside[list(kept)] = True
+    lower = np.arange(256, dtype=np.uint8)
+    lower[ord("A") : ord("Z") + 1] += 32
+    return Alphabet(inside, lower)
 
 
 #: Words of digits, letters and everything beyond ASCII.
-ALNUM = lowered([*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)])
-#: Words between white space (space, tab to carriage return).
-SPACED = lowered([b for b in range(256) if b not in {0x20, *range(0x09, 0x0E)}])
+ALNUM = alphabet([*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", *range(0x80, 0x100)])
+#: Words between white space (space, tab to carriage return); U+0000 is a character like others.
+SPACED = alphabet([b for b in range(256) if b not in {0x20, *range(0x09, 0x0E)}])
 
 
 @dataclass
@@ -41,13 +48,12 @@ class Words:
     bounds: np.ndarray  # of text i: hashes[bounds[i]:bounds[i + 1]]
 
 
-def words_of(texts: Sequence[str | None], kept: np.ndarray) -> Words:
+def words_of(texts: Sequence[str | None], kept: Alphabet) -> Words:
     """The lower-cased words of each text; none for None."""
     raws = [b"" if t is None else t.encode() for t in texts]
     lengths = np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws))
-    separator = bytes([int(np.flatnonzero(kept == 0)[1])]) if kept[10] else b"\n"
-    data = kept[np.frombuffer(separator.join(raws) + separator, np.uint8)] if raws else np.zeros(0, np.uint8)
-    inside = data != 0
+    raw = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8) if raws else np.zeros(0, np.uint8)
+    inside, data = kept.inside[raw], kept.lower[raw]
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     starts, stops = edges[::2], edges[1::2]
     if not len(starts):
