@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import ipaddress
 from collections.abc import Iterator, Sequence
-from urllib.parse import urljoin
 from zoneinfo import ZoneInfo
 
 import pandas as pd
@@ -36,7 +35,20 @@ def content_hash(*fields: Column) -> Column:
     return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(f).cast("string"), F.lit(":"), f), F.lit("-")) for f in (x.cast("string") for x in fields)]), 256)
 
 
-def hash_modulo(c: Column, m: int) -> Column:
+#: What of a record makes a new version when it changes.
+HASHED = ("kind", "url", "title", "content", "content_type", "language", "published_at", "attributes", "tags")
+
+
+def record_hash(columns: Sequence[str]) -> Column:
+    """SHA-256 of a record's nine fields in canonical form; the id and the time of observation don't count.
+
+    Times are ISO 8601, attributes JSON texts with sorted keys, tags a JSON list; a field that `columns` lacks is null.
+    """
+    form = {"published_at": iso_utc, "attributes": canonical_json, "tags": F.to_json}
+    return content_hash(*[form.get(c, lambda x: x)(F.col(c)) if c in columns else F.lit(None) for c in HASHED])
+
+
+def hash_modulo(c: Column, m: int | Column) -> Column:
     """The 256-bit hash of a text modulo m, digit by digit."""
     digits = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.conv(F.substr(F.sha2(c, 256), i, F.lit(1)), 16, 10).cast("long"))
     return F.aggregate(digits, F.lit(0).cast("long"), lambda a, d: (a * 16 + d) % m)
@@ -51,12 +63,17 @@ def csv_array(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(c, ","))
 
 
-def retry_delay(attempts: Column, base: int = 30, most: int = 3600, backoff: str = "exponential", retry_after: Column | None = None) -> Column:
+def retry_delay(
+    attempts: Column, base: Column | int = 30, most: Column | int = 3600, backoff: Column | str = "exponential", retry_after: Column | None = None
+) -> Column:
     """Seconds until the next attempt: what the server asks for, else base * 2^(attempts - 1), both at most `most`; fixed delays aren't cut."""
-    own = F.least(F.lit(float(most)), base * F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0)))) if backoff == "exponential" else F.lit(float(base))
+    base, most = (F.lit(x).cast("double") for x in (base, most))
+    backoff = F.lit(backoff) if isinstance(backoff, str) else backoff
+    doubled = F.least(most, base * F.pow(F.lit(2.0), F.greatest(attempts - 1, F.lit(0))))
+    own = F.when(backoff == "exponential", doubled).otherwise(base)
     if retry_after is None:
         return own
-    return F.when(retry_after.isNotNull(), F.least(F.lit(float(most)), F.greatest(F.lit(0.0), retry_after.cast("double")))).otherwise(own)
+    return F.when(retry_after.isNotNull(), F.least(most, F.greatest(F.lit(0.0), retry_after.cast("double")))).otherwise(own)
 
 
 def retryable(error_class: Column, attempts: Column, most: Column) -> Column:
@@ -70,6 +87,22 @@ def retry_after_seconds(header: Column, as_of: Column, fallback: float) -> Colum
     return F.when(ask.isNull(), F.lit(fallback)).otherwise(F.least(F.lit(3600.0), F.greatest(F.lit(0.0), ask)))
 
 
+def iso_utc(c: Column) -> Column:
+    """ISO 8601 in UTC; microseconds are written only where there are any."""
+    micros = F.when(F.date_format(c, "SSSSSS") != "000000", F.date_format(c, ".SSSSSS")).otherwise("")
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), micros, F.lit("+00:00"))
+
+
+def half_even(c: Column, digits: int = 0) -> Column:
+    """Rounds halves to the even neighbour."""
+    return F.bround(c, digits)
+
+
+def canonical_json(c: Column) -> Column:
+    """A JSON text without spaces and with sorted keys; null for malformed ones."""
+    return F.to_json(F.try_parse_json(c))
+
+
 def parse_time(c: Column) -> Column:
     """ISO 8601 or RFC 2822 to a timestamp; without a zone UTC; null if neither."""
     rfc = F.try_to_timestamp(F.regexp_replace(c, "^[A-Za-z]+, *", ""), F.lit("d MMM yyyy HH:mm:ss z"))
@@ -102,24 +135,73 @@ def content_type_allowed(c: Column, allowed: Sequence[str]) -> Column:
     return (kind == "") | fits
 
 
-@F.pandas_udf(T.BooleanType())
-def private_address(hosts: pd.Series) -> pd.Series:
-    """Whether a host is a literal address that must not be fetched."""
-
-    def judge(host: str | None) -> bool:
-        try:
-            a = ipaddress.ip_address((host or "").strip("[]"))
-        except ValueError:
-            return (host or "").lower() == "localhost"
-        return a.is_private or a.is_loopback or a.is_link_local or a.is_multicast or a.is_reserved or a.is_unspecified
-
-    return hosts.map(judge).astype(bool)
-
-
-@F.pandas_udf(T.StringType())
-def join_url(bases: pd.Series, references: pd.Series) -> pd.Series:
-    """RFC 3986 resolution of a reference against its base."""
-    return pd.Series([None if b is None or r is None else urljoin(b, r) for b, r in zip(bases, references, strict=True)], dtype=object)
+#: IPv4 networks that must not be fetched, as first address and prefix length: private, shared, loopback, link-local, protocol, test, multicast, reserved.
+BLOCKED_V4 = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24),
+    ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
+)
+#: IPv6 beginnings of the same kinds: loopback and unspecified, mapped IPv4, discard, documentation, unique local, link-local, site-local, multicast.
+BLOCKED_V6 = r"^(::1?$|::ffff:|64:ff9b:1:|100::|2001:db8:|f[cd]|fe[89a-f]|ff)"
+
+
+def ipv4_number(host: Column) -> Column:
+    """The address as a number, null if it isn't a dotted one."""
+    parts = F.split(host, "[.]")
+    number = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p.cast("long"))
+    fits = host.rlike(r"^[0-9]{1,3}([.][0-9]{1,3}){3}$")
+    return F.when(fits & F.forall(F.when(fits, parts).otherwise(F.array()), lambda p: p.cast("int") <= 255), number)
+
+
+def private_address(host: Column) -> Column:
+    """Whether a host is a literal address (or localhost) that must not be fetched. Names are resolved, and judged again, where they are fetched."""
+    number = ipv4_number(host)
+    inside = F.lit(False)
+    for first, bits in BLOCKED_V4:
+        low = int(ipaddress.ip_address(first))
+        inside = inside | number.between(low, low + 2 ** (32 - bits) - 1)
+    plain = F.lower(F.regexp_replace(host, r"^\[|\]$", ""))
+    six = F.contains(plain, F.lit(":")) & plain.rlike(BLOCKED_V6)
+    return F.coalesce(inside, F.lit(False)) | F.coalesce(six | (plain == "localhost"), F.lit(False))
+
+
+def url_allowed(url: Column, allowed_hosts: Sequence[str] = ()) -> Column:
+    """Whether the policy lets a URL be fetched: http or https, a host, and that listed or not a blocked address."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    listed = host.isin(*allowed_hosts) if allowed_hosts else F.lit(False)
+    return F.coalesce(url.rlike("^(?i)https?://") & host.isNotNull() & (listed | ~private_address(host)), F.lit(False))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments resolved."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        F.filter(parts, lambda p: p != "."), F.array().cast("array<string>"),
+        lambda a, p: F.when(p != "..", F.array_append(a, p)).when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a),
+    )
+    whole = F.array_join(kept, "/")
+    return F.when(last.isin(".", "..") & ~F.endswith(whole, F.lit("/")), F.concat(whole, F.lit("/"))).otherwise(whole)
+
+
+def join_url(base: Column, reference: Column) -> Column:
+    """RFC 3986 resolution of a reference against an absolute base; null if either is null."""
+    scheme = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    root = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    bare = F.regexp_replace(base, "#.*$", "")
+    own = F.regexp_extract(reference, "^([^?#]*)", 1)
+    tail = F.substr(reference, F.length(own) + 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "^(.*/)", 1))
+    return (
+        F.when(base.isNull() | reference.isNull(), None)
+        .when(reference == "", base)
+        .when(reference.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), reference)
+        .when(F.startswith(reference, F.lit("//")), F.concat(scheme, F.lit(":"), reference))
+        .when(F.startswith(reference, F.lit("#")), F.concat(bare, reference))
+        .when(F.startswith(reference, F.lit("?")), F.concat(root, path, reference))
+        .when(F.startswith(reference, F.lit("/")), F.concat(root, _without_dots(own), tail))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, own)), tail))
+    )
 
 
 def _field(text: str, low: int, high: int) -> set[int]:

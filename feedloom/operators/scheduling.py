@@ -31,46 +31,119 @@ def backfill_windows(ranges: DataFrame, seconds: int) -> DataFrame:
 
 
 def next_run(kind: Column, seconds: Column, once_at: Column, cron: Column, zone: Column, after: Column) -> Column:
-    """interval: after + seconds; once: its time if still to come, else null; cron: the next minute in its zone."""
+    """interval: after + seconds; once: its time if still to come, else null; cron: the next minute in its zone.
+
+    Only cron rows have a line to work on: the others pass a null through that function."""
     later = after + F.make_dt_interval(secs=seconds)
-    return F.when(kind == "interval", later).when(kind == "once", F.when(once_at > after, once_at)).when(kind == "cron", expr.cron_after(cron, zone, after))
+    line = F.when(kind == "cron", cron)
+    return F.when(kind == "interval", later).when(kind == "once", F.when(once_at > after, once_at)).otherwise(expr.cron_after(line, zone, after))
 
 
-def claim_candidates(tasks: DataFrame, workers: DataFrame, batches: DataFrame, as_of: dt.datetime, most: int = 200) -> DataFrame:
-    """Each online worker's first tasks in order: right queue and capabilities, no other preferred worker, batch absent or running."""
+def ready_tasks(tasks: DataFrame, batches: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Waiting tasks whose time has come and whose batch, if they have one, is running."""
     ready = tasks.where(F.col("status").isin("pending", "retry") & (F.col("not_before") <= F.lit(as_of).cast("timestamp_ntz")))
     running = batches.where("status = 'running'").select(F.col("id").alias("batch_id"), F.lit(True).alias("runs"))
-    ready = ready.join(running, "batch_id", "left").where(F.col("batch_id").isNull() | F.col("runs"))
-    places = workers.where("effective_state = 'online'").select("node_id", expr.csv_array(F.col("caps_csv")).alias("offered"), F.explode(expr.csv_array(F.col("queues_csv"))).alias("queue"))
-    fits = ready.join(places, "queue").where(expr.contains_all(expr.csv_array(F.col("caps_csv")), F.col("offered")) & (F.col("preferred_worker").isNull() | (F.col("preferred_worker") == F.col("node_id"))))
+    return ready.join(running, "batch_id", "left").where(F.col("batch_id").isNull() | F.col("runs")).drop("runs")
+
+
+def online_places(workers: DataFrame) -> DataFrame:
+    """(node_id, offered, queue): what each online worker offers, a row for each of its queues."""
+    queues = F.explode(expr.csv_array(F.col("queues_csv"))).alias("queue")
+    return workers.where("effective_state = 'online'").select("node_id", expr.csv_array(F.col("caps_csv")).alias("offered"), queues)
+
+
+def claim_candidates(tasks: DataFrame, workers: DataFrame, batches: DataFrame, as_of: dt.datetime, most: int = 200) -> DataFrame:
+    """Each online worker's first tasks in order: right queue and capabilities, no other preferred worker, batch absent or running."""
+    preferred = F.col("preferred_worker").isNull() | (F.col("preferred_worker") == F.col("node_id"))
+    able = expr.contains_all(expr.csv_array(F.col("caps_csv")), F.col("offered"))
+    fits = ready_tasks(tasks, batches, as_of).join(online_places(workers), "queue").where(able & preferred)
+    return first_of_each(fits, most)
+
+
+def first_of_each(fits: DataFrame, most: int) -> DataFrame:
     order = Window.partitionBy("node_id").orderBy("priority", "not_before", "id")
     return fits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
 
 
-def backfill_left(workers: DataFrame, tasks: DataFrame, quota: int = 1) -> DataFrame:
-    """(node_id, backfill_left): slots that a resident worker may still give to backfills, beside those it runs."""
-    runs = tasks.where("status = 'running' AND workload = 'backfill'").groupBy(F.col("locked_by").alias("node_id")).agg(F.sum("slot_cost").alias("used"))
-    left = F.lit(quota) - F.coalesce("used", F.lit(0))
-    return workers.where("mode = 'resident'").select("node_id").join(runs, "node_id", "left").select("node_id", left.cast("long").alias("backfill_left"))
+def offers(tasks: DataFrame, workers: DataFrame, batches: DataFrame, as_of: dt.datetime, most: int = 200) -> DataFrame:
+    """As `claim_candidates`, but each task is offered to one worker only, so that all may claim at once: to the preferred one,
+    else to the (id mod number)-th of those that can take it. Workers are matched with the few distinct (queue, capabilities)."""
+    ready = ready_tasks(tasks, batches, as_of)
+    able = expr.contains_all(expr.csv_array(F.col("caps_csv")), F.col("offered"))
+    kinds = ready.select("queue", "caps_csv").distinct().join(online_places(workers), "queue").where(able)
+    takers = kinds.groupBy("queue", "caps_csv").agg(F.array_sort(F.collect_set("node_id")).alias("takers"))
+    turn = F.element_at("takers", (F.pmod(F.col("id"), F.size("takers")) + 1).cast("int"))
+    own = F.when(F.col("preferred_worker").isNull(), turn).when(F.array_contains("takers", F.col("preferred_worker")), F.col("preferred_worker"))
+    return first_of_each(ready.join(takers, ["queue", "caps_csv"]).withColumn("node_id", own).where("node_id IS NOT NULL"), most)
+
+
+def slots_left(workers: DataFrame, tasks: DataFrame, quota: int = 1) -> DataFrame:
+    """(node_id, slots, backfill_left): free slots of each worker, and of these what a resident one may still give to backfills (null: no limit)."""
+    running = tasks.where("status = 'running'").groupBy(F.col("locked_by").alias("node_id"))
+    used = running.agg(F.sum("slot_cost").alias("used"), F.sum(F.when(F.col("workload") == "backfill", F.col("slot_cost"))).alias("backfill"))
+    left = F.when(F.col("mode") == "resident", F.lit(quota) - F.coalesce("backfill", F.lit(0)))
+    rows = workers.join(used, "node_id", "left")
+    return rows.select("node_id", F.greatest(F.col("max_concurrency") - F.coalesce("used", F.lit(0)), F.lit(0)).cast("int").alias("slots"), left.cast("long").alias("backfill_left"))
+
+
+def held_slots(leases: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """The live leases' slots by resource, as one row with a map `held`; resources are few."""
+    live = leases.where(F.col("expires_at") > F.lit(as_of).cast("timestamp_ntz")).groupBy("resource_key").agg(F.collect_set("slot").alias("slots"))
+    return live.agg(F.map_from_entries(F.collect_list(F.struct("resource_key", "slots"))).alias("held"))
 
 
-def claim_greedy(candidates: DataFrame, budget: int, backfill: DataFrame | None = None) -> DataFrame:
-    """Walks each worker's candidates (at most a few hundred) in order and takes those that still fit in its slots.
+def claim_greedy(candidates: DataFrame, slots: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """Walks each worker's candidates (at most a few hundred) in order and takes those that still fit: node_id, id, slot_cost, n, leases.
 
-    With `backfill` (node_id, backfill_left) a backfill must also fit in what is
-    left there; workers that it doesn't name, and a null, have no such limit.
+    slots: node_id, slots and backfill_left, which a backfill must fit in too unless it is null. Candidates may carry
+    `resources`, a map of keys to capacities: such a task needs the lowest free slot of each of them, all or none; `held`
+    (one row, a map of keys to taken slots) says which are taken. Only the claims of one worker see each other's slots,
+    so either workers claim one after the other or no two of them share a resource.
     """
-    if backfill is None:
-        rows = candidates.select("node_id", "n", "id", "slot_cost", F.lit(0).alias("part"), F.lit(None).cast("long").alias("backfill_left"))
-    else:
-        part = F.when(F.col("workload") == "backfill", F.col("slot_cost")).otherwise(0)
-        rows = candidates.select("node_id", "n", "id", "slot_cost", part.alias("part")).join(backfill, "node_id", "left")
-    rows = rows.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("n", "id", "slot_cost", "part"))).alias("rows"), F.min("backfill_left").alias("limit"))
-    start = F.struct(F.lit(budget).alias("left"), F.col("limit").alias("quota"), F.array().cast("array<struct<n:int,id:bigint,slot_cost:int,part:int>>").alias("got"))
-    fits = lambda s, x: (x["slot_cost"] <= s["left"]) & ((x["part"] == 0) | s["quota"].isNull() | (x["part"] <= s["quota"]))
-    taken = lambda s, x: F.struct((s["left"] - x["slot_cost"]).alias("left"), (s["quota"] - x["part"]).alias("quota"), F.array_append(s["got"], x).alias("got"))
-    step = lambda s, x: F.when(fits(s, x), taken(s, x)).otherwise(s)
-    return rows.select("node_id", F.explode(F.aggregate("rows", start, step, lambda s: s["got"])).alias("t")).select("node_id", "t.id", "t.slot_cost", "t.n")
+    taken = "map<string,array<int>>"
+    has = "resources" in candidates.columns
+    need = F.array_sort(F.map_entries(F.coalesce("resources", F.create_map().cast("map<string,int>")))) if has else F.array().cast("array<struct<key:string,value:int>>")
+    part = F.when(F.col("workload") == "backfill", F.col("slot_cost")).otherwise(0)
+    rows = candidates.select("node_id", F.struct("n", "id", "slot_cost", part.alias("part"), need.alias("need")).alias("t"))
+    rows = rows.groupBy("node_id").agg(F.array_sort(F.collect_list("t")).alias("rows")).join(slots, "node_id")
+    rows = rows.join(F.broadcast(held)) if held is not None else rows.withColumn("held", F.create_map().cast(taken))
+    got = "array<struct<n:int,id:bigint,slot_cost:int,leases:array<struct<key:string,slot:int>>>>"
+    start = F.struct(F.col("slots").alias("left"), F.col("backfill_left").alias("quota"), F.coalesce("held", F.create_map().cast(taken)).cast(taken).alias("held"), F.array().cast(got).alias("got"))
+
+    def free(state: Column, r: Column) -> Column:
+        every = F.sequence(F.lit(1), F.greatest(r["value"], F.lit(1)))
+        return F.array_min(F.array_except(every, F.coalesce(F.element_at(state["held"], r["key"]), F.array().cast("array<int>"))))
+
+    def fits(state: Column, t: Column) -> Column:
+        backfill = (t["part"] == 0) | state["quota"].isNull() | (t["part"] <= state["quota"])
+        return (t["slot_cost"] <= state["left"]) & backfill & F.forall(t["need"], lambda r: free(state, r).isNotNull())
+
+    def take(state: Column, t: Column) -> Column:
+        leases = F.transform(t["need"], lambda r: F.struct(r["key"].alias("key"), free(state, r).alias("slot")))
+        others = F.map_filter(state["held"], lambda k, v: ~F.exists(t["need"], lambda r: r["key"] == k))
+        longer = lambda x: F.concat(F.coalesce(F.element_at(state["held"], x["key"]), F.array().cast("array<int>")), F.array(x["slot"]))
+        more = F.map_from_entries(F.transform(leases, lambda x: F.struct(x["key"].alias("key"), longer(x).alias("value"))))
+        one = F.struct(t["n"].alias("n"), t["id"].alias("id"), t["slot_cost"].alias("slot_cost"), leases.alias("leases"))
+        return F.struct((state["left"] - t["slot_cost"]).alias("left"), (state["quota"] - t["part"]).alias("quota"), F.map_concat(others, more).alias("held"), F.array_append(state["got"], one).alias("got"))
+
+    walked = F.aggregate("rows", start, lambda s, t: F.when(fits(s, t), take(s, t)).otherwise(s), lambda s: s["got"])
+    return rows.select("node_id", F.explode(walked).alias("t")).select("node_id", "t.id", "t.slot_cost", "t.n", "t.leases")
+
+
+def claimed(tasks: DataFrame, claims: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """The claimed tasks as they are afterwards: running, one attempt more, locked, with a lease token made of task, attempt and worker."""
+    time = F.lit(as_of).cast("timestamp_ntz")
+    rows = tasks.drop("locked_by", "locked_at", "heartbeat_at", "lease_token", "status").join(claims.select("id", F.col("node_id").alias("locked_by")), "id")
+    rows = rows.withColumn("attempts", F.col("attempts") + 1).withColumn("status", F.lit("running"))
+    token = F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.col("attempts").cast("string"), "locked_by"), 256)
+    return rows.withColumn("locked_at", time).withColumn("heartbeat_at", time).withColumn("lease_token", token)
+
+
+def lease_rows(claims: DataFrame, as_of: dt.datetime, stale_seconds: int = 180) -> DataFrame:
+    """resource_key, slot, task_id, worker_id and expires_at of the claims' leases."""
+    until = F.lit(as_of).cast("timestamp_ntz") + F.make_dt_interval(secs=F.lit(max(300, stale_seconds + 60)))
+    each = claims.select("id", "node_id", F.explode("leases").alias("l"))
+    return each.select(F.col("l.key").alias("resource_key"), F.col("l.slot").alias("slot"), F.col("id").alias("task_id"), F.col("node_id").alias("worker_id"), until.alias("expires_at"))
 
 
 def free_slots(capacities: DataFrame, leases: DataFrame, as_of: dt.datetime) -> DataFrame:

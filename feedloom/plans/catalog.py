@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions import expr
-from feedloom.operators import scheduling, upsert
+from feedloom.operators import scheduling, transitions, upsert
 from feedloom.plans.views import view, with_views
 from feedloom.sources import extract
 
@@ -48,11 +48,20 @@ head("queue_head", "tasks_v", "id, source_id, workload, priority, status, queue"
 head("running_head", "tasks_v", "id, source_id, locked_by, locked_at", "status = 'running'", "locked_at, id", 100)
 head("recent_errors", "runs_v", "task_id, source_id, error_class, finished_at", "final_status IN ('dead', 'partial')", "finished_at DESC, task_id", 200)
 head("recent_runs", "runs_v", "task_id, source_id, final_status, rows_added, finished_at", "true", "finished_at DESC, task_id", 200)
-head("schedule_overview", "schedules_v", "schedule_id, source_id, enabled, next_run_at", "true", "enabled DESC, next_run_at, schedule_id", 500)
 
 
-# the SQL's limit is beyond the given tables; the query has none
-@query("source_list", "SELECT source_id, fetcher, sink, enabled, managed_by FROM sources_v WHERE true ORDER BY source_id LIMIT 1000000")
+@query(
+    "schedule_overview",
+    "SELECT schedule_id, source_id, fetcher, s.enabled AS enabled, next_run_at FROM schedules_v s JOIN (SELECT source_id, fetcher FROM sources_v) x USING (source_id)"
+    " ORDER BY s.enabled DESC, next_run_at NULLS LAST, schedule_id LIMIT 500",
+)
+def _(v: View) -> DataFrame:
+    rows = v("schedules_v").join(v("sources_v").select("source_id", "fetcher"), "source_id")
+    order = (F.desc("enabled"), F.asc_nulls_last("next_run_at"), "schedule_id")
+    return rows.orderBy(*order).limit(500).select("schedule_id", "source_id", "fetcher", "enabled", "next_run_at")
+
+
+@query("source_list", "SELECT source_id, fetcher, sink, enabled, managed_by FROM sources_v ORDER BY source_id")
 def _(v: View) -> DataFrame:
     return v("sources_v").orderBy(F.col("source_id").asc_nulls_last()).select("source_id", "fetcher", "sink", "enabled", "managed_by")
 
@@ -137,10 +146,14 @@ def _(v: View) -> DataFrame:
     return scheduling.backfill_windows(ranges, 604_800).select("source_id", "window_start", "window_end")
 
 
-@query("batch_progress", "SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE status = 'running') AS running, CASE WHEN count(*) FILTER (WHERE status <> 'running') = 0 THEN 'completed' ELSE 'running' END AS status FROM tasks_v WHERE batch_id IS NOT NULL GROUP BY batch_id")
+@query(
+    "batch_progress",
+    """SELECT b.id AS id, any_value(total_tasks) AS total, count(r.batch_id) AS completed, count(r.batch_id) FILTER (WHERE final_status IN ('partial', 'dead')) AS failed,
+       CASE WHEN count(r.batch_id) = 0 OR count(r.batch_id) < any_value(total_tasks) THEN any_value(b.status) WHEN bool_or(final_status IN ('partial', 'dead')) THEN 'partial' ELSE 'completed' END AS status
+FROM totals_v b LEFT JOIN runs_v r ON r.batch_id = b.id GROUP BY b.id""",
+)
 def _(v: View) -> DataFrame:
-    running = F.count_if(F.col("status") == "running")
-    return v("tasks_v").where("batch_id IS NOT NULL").groupBy("batch_id").agg(F.count(F.lit(1)).alias("total"), running.alias("running"), F.when(running == F.count(F.lit(1)), "completed").otherwise("running").alias("status"))
+    return transitions.finish_batches(v("totals_v"), v("runs_v"))
 
 
 @query("batch_cancel", "SELECT id FROM tasks_v WHERE status IN ('pending', 'retry') AND batch_id IN (SELECT id FROM batches_v WHERE status = 'cancelled')")
@@ -159,10 +172,47 @@ def candidates(v: View) -> DataFrame:
 
 
 query("claim_candidates", f"WITH {CLAIM} SELECT node_id, id, slot_cost, CAST(n AS INT) AS n FROM cand WHERE n <= 200")(lambda v: candidates(v).select("node_id", "id", "slot_cost", "n"))
-query(
+OFFERED = f"""fits AS (SELECT t.*, node_id, row_number() OVER (PARTITION BY t.id ORDER BY node_id) AS k, count(*) OVER (PARTITION BY t.id) AS c FROM tasks_v t JOIN workers_v w
+ON w.effective_state = 'online' AND list_contains(string_split(w.queues_csv, ','), t.queue) AND (t.caps_csv = '' OR list_has_all(string_split(w.caps_csv, ','), string_split(t.caps_csv, ',')))
+WHERE t.status IN ('pending', 'retry') AND t.not_before <= {NOW_SQL} AND (t.batch_id IS NULL OR EXISTS (SELECT 1 FROM batches_v b WHERE b.id = t.batch_id AND b.status = 'running'))),
+cand AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY priority, not_before, id) AS n FROM fits WHERE CASE WHEN preferred_worker IS NULL THEN k = 1 + id % c ELSE node_id = preferred_worker END),
+budget AS (SELECT node_id, greatest(max_concurrency - COALESCE(sum(slot_cost), 0), 0) AS slots, CASE WHEN mode = 'resident' THEN 1 - COALESCE(sum(slot_cost) FILTER (WHERE workload = 'backfill'), 0) ELSE 1000000 END AS quota
+  FROM workers_v LEFT JOIN (SELECT * FROM tasks_v WHERE status = 'running' AND id % 40 = 0) t ON locked_by = node_id GROUP BY node_id, max_concurrency, mode)"""
+
+
+# the workers run a part of the running tasks, so that slots are left to claim
+@query(
     "claim_greedy",
-    f"WITH RECURSIVE {CLAIM}, walk AS (SELECT node_id, id, slot_cost, n, CASE WHEN slot_cost <= 12 THEN 12 - slot_cost ELSE 12 END AS rem, slot_cost <= 12 AS took FROM cand WHERE n = 1 UNION ALL SELECT c.node_id, c.id, c.slot_cost, c.n, CASE WHEN c.slot_cost <= w.rem THEN w.rem - c.slot_cost ELSE w.rem END, c.slot_cost <= w.rem FROM walk w JOIN cand c ON c.node_id = w.node_id AND c.n = w.n + 1 WHERE c.n <= 200) SELECT node_id, id, slot_cost, CAST(n AS INT) AS n FROM walk WHERE took",
-)(lambda v: scheduling.claim_greedy(candidates(v), 12))
+    f"""WITH RECURSIVE {OFFERED}, walk AS (SELECT node_id, CAST(0 AS BIGINT) AS id, CAST(0 AS INT) AS slot_cost, CAST(0 AS BIGINT) AS n, slots AS rem, quota AS q, false AS took FROM budget UNION ALL
+SELECT c.node_id, c.id, c.slot_cost, c.n, CASE WHEN x.ok THEN w.rem - c.slot_cost ELSE w.rem END, CASE WHEN x.ok AND c.workload = 'backfill' THEN w.q - c.slot_cost ELSE w.q END, x.ok
+FROM walk w JOIN cand c ON c.node_id = w.node_id AND c.n = w.n + 1, LATERAL (SELECT c.slot_cost <= w.rem AND (c.workload <> 'backfill' OR c.slot_cost <= w.q) AS ok) x WHERE c.n <= 200)
+SELECT node_id, id, slot_cost, CAST(n AS INT) AS n FROM walk WHERE took""",
+)
+def _(v: View) -> DataFrame:
+    offered = scheduling.offers(v("tasks_v"), v("workers_v"), v("batches_v"), AS_OF)
+    slots = scheduling.slots_left(v("workers_v"), v("tasks_v").where("id % 40 = 0"))
+    return scheduling.claim_greedy(offered, slots).select("node_id", "id", "slot_cost", "n")
+
+
+# one worker with resources: a task needs none, one of three a, the one b (a lease holds the second slot of a), or both
+@query(
+    "claim_worker",
+    f"""WITH RECURSIVE {CLAIM}, own AS (SELECT c.n, c.id, c.slot_cost, t.need IN (1, 3) AS a, t.need IN (2, 3) AS b FROM cand c JOIN leased_v t USING (id) WHERE c.node_id = 'n-5' AND c.n <= 200),
+walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS id, CAST(0 AS INT) AS slot_cost, 9 AS rem, [2] AS ha, CAST([] AS INT[]) AS hb, false AS took, CAST(NULL AS INT) AS sa, CAST(NULL AS INT) AS sb UNION ALL
+SELECT o.n, o.id, o.slot_cost, CASE WHEN x.ok THEN w.rem - o.slot_cost ELSE w.rem END, CASE WHEN x.ok AND o.a THEN list_append(w.ha, x.fa) ELSE w.ha END, CASE WHEN x.ok AND o.b THEN list_append(w.hb, x.fb) ELSE w.hb END, x.ok,
+  CASE WHEN x.ok AND o.a THEN x.fa END, CASE WHEN x.ok AND o.b THEN x.fb END
+FROM walk w JOIN own o ON o.n = w.n + 1, LATERAL (SELECT *, o.slot_cost <= w.rem AND (NOT o.a OR fa IS NOT NULL) AND (NOT o.b OR fb IS NOT NULL) AS ok
+  FROM (SELECT CASE WHEN NOT list_contains(w.ha, 1) THEN 1 WHEN NOT list_contains(w.ha, 2) THEN 2 WHEN NOT list_contains(w.ha, 3) THEN 3 END AS fa, CASE WHEN NOT list_contains(w.hb, 1) THEN 1 END AS fb)) x)
+SELECT id, slot_cost, CAST(n AS INT) AS n, concat_ws(',', 'a=' || sa, 'b=' || sb) AS leases FROM walk WHERE took""",
+)
+def _(v: View) -> DataFrame:
+    need = F.expr("CASE need WHEN 0 THEN map() WHEN 1 THEN map('a', 3) WHEN 2 THEN map('b', 1) ELSE map('a', 3, 'b', 1) END").cast("map<string,int>")
+    node = v("workers_v").where("node_id = 'n-5'")
+    rows = scheduling.claim_candidates(v("leased_v").withColumn("resources", need), node, v("batches_v"), AS_OF)
+    leases = v("leases_v").where("resource_key = 'domain:ASIA' AND slot = 2").select(F.lit("a").alias("resource_key"), "slot", F.expr("TIMESTAMP_NTZ '2030-01-01 00:00:00'").alias("expires_at"))
+    slots = node.select("node_id", F.col("max_concurrency").alias("slots"), F.lit(None).cast("long").alias("backfill_left"))
+    taken = scheduling.claim_greedy(rows, slots, scheduling.held_slots(leases, AS_OF))
+    return taken.select("id", "slot_cost", "n", F.array_join(F.transform("leases", lambda x: F.concat_ws("=", x["key"], x["slot"].cast("string"))), ",").alias("leases"))
 
 
 @query("free_slot", f"SELECT k AS resource_key, CAST(min(s) AS INT) AS slot FROM (SELECT k, unnest(range(1, 6)) AS s FROM (SELECT DISTINCT resource_key AS k FROM leases_v)) x WHERE NOT EXISTS (SELECT 1 FROM leases_v l WHERE l.resource_key = k AND l.slot = s AND l.expires_at > {NOW_SQL}) GROUP BY k")
@@ -195,9 +245,11 @@ query("latest_heartbeat", "SELECT worker_id, max(finished_at) AS beat FROM runs_
 query("offline_workers", "SELECT worker_id FROM runs_v GROUP BY worker_id HAVING max(finished_at) < TIMESTAMP '2024-02-01 00:00:00' - INTERVAL '60 seconds'")(
     lambda v: v("runs_v").groupBy("worker_id").agg(F.max("finished_at").alias("beat")).where(F.col("beat") < F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00' - INTERVAL '60' SECOND")).select("worker_id")
 )
-query("complete_guard", "SELECT id, CASE WHEN status = 'running' AND locked_by = concat('n-', id % 8) THEN 'accepted' ELSE 'lease_lost' END AS outcome FROM tasks_v")(
-    lambda v: v("tasks_v").select("id", F.when((F.col("status") == "running") & (F.col("locked_by") == F.concat(F.lit("n-"), F.col("id") % 8)), "accepted").otherwise("lease_lost").alias("outcome"))
-)
+
+
+@query("complete_guard", "SELECT r.task_id AS task_id, CASE WHEN t.id IS NULL THEN 'lease_lost' ELSE 'accepted' END AS outcome FROM reports_v r LEFT JOIN leased_v t ON t.id = r.task_id AND t.lease_token = r.lease_token AND t.status = 'running'")
+def _(v: View) -> DataFrame:
+    return transitions.guarded(v("leased_v"), v("reports_v")).select("task_id", F.when(F.col("accepted"), "accepted").otherwise("lease_lost").alias("outcome"))
 
 
 @query("archive_runs", f"SELECT id AS task_id, dedupe_key, epoch_us({NOW_SQL}) / 1e6 - epoch_us(locked_at) / 1e6 AS duration_seconds FROM tasks_v t WHERE status = 'running' AND NOT EXISTS (SELECT 1 FROM runs_v r WHERE r.dedupe_key = t.dedupe_key)")
@@ -218,15 +270,28 @@ query("next_run_cron")(lambda v: v("sources_v").where("schedule_type = 'cron'").
 
 # versioned upsert
 def hashed(v: View) -> DataFrame:
-    return v("arrivals_v").withColumn("content_hash", F.sha2("content", 256))
+    arrivals = v("arrivals_v")
+    return arrivals.withColumn("content_hash", expr.record_hash(arrivals.columns))
+
+
+def record_hash_sql(given: dict[str, str]) -> str:
+    """The record hash in DuckDB, from a text for each of the nine fields that there is."""
+    part = lambda c: f"COALESCE(length({given[c]}) || ':' || {given[c]}, '-')" if c in given else "'-'"
+    return f"sha256(concat({', '.join(part(c) for c in expr.HASHED)}))"
 
 
 OUTCOMES = "SELECT source_id, external_id, seq, CASE WHEN b IS NULL THEN 'added' WHEN b <> content THEN 'updated' ELSE 'duplicate' END AS outcome FROM (SELECT *, lag(content) OVER (PARTITION BY source_id, external_id ORDER BY seq) AS b FROM arrivals_v)"
-query("upsert_outcomes", f"SELECT source_id, outcome, count(*) AS n FROM ({OUTCOMES}) GROUP BY source_id, outcome")(lambda v: upsert.outcomes(hashed(v)).groupBy("source_id", "outcome").agg(F.count(F.lit(1)).alias("n")))
-query("current_state", "SELECT source_id, external_id, arg_max(content, seq) AS content, max(seq) AS seq FROM arrivals_v GROUP BY source_id, external_id")(lambda v: upsert.current_state(v("arrivals_v")).select("source_id", "external_id", "content", "seq"))
-query("version_history", "SELECT source_id, external_id, sha256(content) AS content_hash, min(seq) AS seq FROM arrivals_v GROUP BY source_id, external_id, content")(lambda v: upsert.version_history(hashed(v)).select("source_id", "external_id", "content_hash", "seq"))
-NINE = ("kind", "url", "title", "content", "content_type", "language")
-query("content_hash", "SELECT source_id, external_id, sha256(concat(" + ", ".join(f"COALESCE(length({c}) || ':' || {c}, '-')" for c in NINE) + ")) AS content_hash FROM records_v")(lambda v: v("records_v").select("source_id", "external_id", expr.content_hash(*[F.col(c) for c in NINE]).alias("content_hash")))
+query("upsert_outcomes", f"SELECT source_id, outcome, count(*) AS n FROM ({OUTCOMES}) GROUP BY source_id, outcome")(
+    lambda v: upsert.outcomes(hashed(v)).groupBy("source_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+)
+query("current_state", "SELECT source_id, external_id, arg_max(content, seq) AS content, max(seq) AS seq FROM arrivals_v GROUP BY source_id, external_id")(
+    lambda v: upsert.current_state(v("arrivals_v")).select("source_id", "external_id", "content", "seq")
+)
+query("version_history", f"SELECT source_id, external_id, {record_hash_sql({'content': 'content'})} AS content_hash, min(seq) AS seq FROM arrivals_v GROUP BY source_id, external_id, content")(
+    lambda v: upsert.version_history(hashed(v)).select("source_id", "external_id", "content_hash", "seq")
+)
+RECORD = {c: c for c in ("kind", "url", "title", "content", "content_type", "language")}
+query("content_hash", f"SELECT source_id, external_id, {record_hash_sql(RECORD)} AS content_hash FROM records_v")(lambda v: v("records_v").select("source_id", "external_id", expr.record_hash(v("records_v").columns).alias("content_hash")))
 query("stable_id", "SELECT external_id, sha256(concat(source_id, '|', COALESCE(url, ''), '|', title)) AS stable_id FROM records_v")(lambda v: v("records_v").select("external_id", expr.stable_id(F.col("source_id"), F.col("url"), F.col("title")).alias("stable_id")))
 
 
@@ -254,9 +319,6 @@ HREFS = "(SELECT page_id, h, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS
 query("page_extract", f"SELECT CAST(page_id AS VARCHAR) AS external_id, url, title, content FROM {PAGES}")(lambda v: extract.pages_to_records(v("pages")))
 query("link_explode", f"SELECT page_id, CAST(pos AS INT) AS pos, href FROM {HREFS} WHERE pos < 5")(lambda v: extract.links(v("pages"), 5))
 query("page_assets", f"SELECT page_id, CAST(pos AS INT) AS pos, sha256(href)[1:12] AS asset_key FROM {HREFS}")(lambda v: extract.links(v("pages")).select("page_id", "pos", F.left(F.sha2("href", 256), F.lit(12)).alias("asset_key")))
-query("list_detail_join", "SELECT l.page_id - 1 AS page_id, d.page_id AS detail_id FROM pages l JOIN pages d ON d.url = l.url")(
-    lambda v: v("pages").select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("href")).join(v("pages").select(F.col("page_id").alias("detail_id"), F.col("url").alias("href")), "href").select("page_id", "detail_id")
-)
 query("fulltext_enrich", f"SELECT p.page_id AS page_id, CASE WHEN length(content) > length(substr(title, 1, 20)) THEN content ELSE substr(title, 1, 20) END AS content FROM {PAGES} p")(
     lambda v: extract.enriched(extract.pages_to_records(v("pages")).select(F.col("external_id").cast("long").alias("page_id"), "url", F.left("title", F.lit(20)).alias("content")), extract.pages_to_records(v("pages"))).select("page_id", "content")
 )
@@ -274,9 +336,6 @@ query("attribute_map", "SELECT event_id, 'event_type=' || event_type || ',user_i
 query("url_parts", "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^([a-z]+://[^?#]*)', 1) AS redacted FROM pages")(
     lambda v: v("pages").select("page_id", F.try_parse_url("url", F.lit("PROTOCOL")).alias("scheme"), F.try_parse_url("url", F.lit("HOST")).alias("host"), expr.redacted_url(F.col("url")).alias("redacted"))
 )
-query("url_policy_filter", "SELECT page_id FROM pages WHERE url SIMILAR TO 'https?://.*'")(
-    lambda v: v("pages").where(F.col("url").rlike("^https?://") & F.try_parse_url("url", F.lit("HOST")).isNotNull() & ~expr.private_address(F.try_parse_url("url", F.lit("HOST")))).select("page_id")
-)
 query("content_type_filter", "SELECT event_id FROM events WHERE event_type IN ('click', 'view', 'error')")(
     lambda v: v("events").where(expr.content_type_allowed(F.expr("CASE event_type WHEN 'click' THEN 'Application/JSON; charset=utf-8' WHEN 'view' THEN 'application/feed+json' WHEN 'error' THEN '' ELSE 'text/html' END"), ["application/json"])).select("event_id")
 )

@@ -34,10 +34,19 @@ FROM orders""",
        CASE WHEN n_nationkey < 4 THEN 'default' ELSE 'default,web' END AS queues_csv
 FROM nation WHERE n_nationkey < 8""",
     "batches_v": """SELECT CAST(n_nationkey AS BIGINT) AS id, CASE n_nationkey % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'paused' ELSE 'cancelled' END AS status FROM nation WHERE n_nationkey < 7""",
+    "leased_v": """SELECT t.*, concat('lease-', id) AS lease_token, CASE WHEN id % 3 = 0 THEN concat('source:', source_id) END AS schedule_id,
+       locked_at + INTERVAL '5' MINUTE AS heartbeat_at, 30 AS base_seconds, CAST(100 + id % 4000 AS INT) AS max_seconds, CASE WHEN id % 5 = 0 THEN 'fixed' ELSE 'exponential' END AS backoff,
+       CAST(id % 4 AS INT) AS need
+FROM tasks_v t""",
+    "reports_v": """SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 7 = 0 THEN 'lease-old' ELSE concat('lease-', o_orderkey) END AS lease_token,
+       CASE o_custkey % 4 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'partial' WHEN 2 THEN 'skipped' ELSE 'failed' END AS status, CAST(o_custkey % 50 AS INT) AS added,
+       CASE o_custkey % 5 WHEN 0 THEN 'transient' WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'permanent' WHEN 3 THEN 'network' ELSE 'configuration' END AS error_class,
+       repeat('x', CAST(15990 + o_custkey % 20 AS INT)) AS message, CASE WHEN o_custkey % 5 = 1 THEN CAST(o_custkey * 7 - 100 AS DOUBLE) END AS retry_after
+FROM orders WHERE o_orderkey % 2 = 0""",
     "runs_v": """SELECT event_id AS task_id, concat('task:', event_id * 3) AS dedupe_key, concat('src', user_id % 20) AS source_id, concat('n-', user_id % 8) AS worker_id,
        CASE event_type WHEN 'error' THEN 'dead' WHEN 'signup' THEN 'partial' WHEN 'view' THEN 'skipped' ELSE 'succeeded' END AS final_status,
        CASE event_type WHEN 'error' THEN CASE event_id % 4 WHEN 0 THEN 'transient' WHEN 1 THEN 'timeout' WHEN 2 THEN 'configuration' ELSE 'permanent' END END AS error_class,
-       CAST(1 + event_id % 5 AS INT) AS attempts, CAST(floor(value) AS INT) AS rows_added, ts AS finished_at, props AS result_json
+       CASE WHEN event_id % 5 = 0 THEN event_id % 7 END AS batch_id, CAST(1 + event_id % 5 AS INT) AS attempts, CAST(floor(value) AS INT) AS rows_added, ts AS finished_at, props AS result_json
 FROM events""",
     "records_v": """SELECT source AS source_id, CAST(doc_id AS STRING) AS external_id, CASE WHEN n_chars > 2000 THEN 'article' ELSE 'document' END AS kind, CAST(NULL AS STRING) AS url,
        substr(text, 1, 60) AS title, text AS content, 'text/plain' AS content_type, lang AS language, doc_id AS seq,
@@ -49,6 +58,11 @@ SELECT 'cv', CAST(conv_id AS STRING), role, turn, TIMESTAMP_LIT'2024-01-01 00:00
     "leases_v": """SELECT concat('domain:', r_name) AS resource_key, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS INT) AS slot, n_nationkey AS task_id,
        TIMESTAMP_LIT'2024-01-30 00:00:00' + (n_nationkey - 12) * INTERVAL '1' HOUR AS expires_at
 FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "totals_v": """SELECT b.id, b.status, r.n + CASE WHEN b.id % 2 = 1 THEN 1 ELSE 0 END AS total_tasks
+FROM batches_v b JOIN (SELECT batch_id, count(*) AS n FROM runs_v WHERE batch_id <> 6 GROUP BY batch_id UNION ALL SELECT 6, 3 FROM nation WHERE n_nationkey = 0) r ON r.batch_id = b.id""",
+    "requests_v": """SELECT c_custkey AS request, concat('src', c_custkey % 25) AS source_id, CASE WHEN c_custkey % 3 = 0 THEN concat('k', c_custkey % 50) END AS dedupe_key FROM customer""",
+    "beats_v": """SELECT worker_id, max(finished_at) AS last_heartbeat_at FROM runs_v GROUP BY worker_id""",
+    "shapes_v": """SELECT n_nationkey AS k, concat('http://s', n_nationkey % 5, '.example/feed/', n_nationkey) AS url, n_nationkey % 5 AS crawl FROM nation""",
 }
 
 

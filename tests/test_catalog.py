@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from feedloom.plans import catalog
+from feedloom.plans import catalog, flows  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
