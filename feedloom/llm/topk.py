@@ -1,14 +1,15 @@
 """Exact top-k inner products by three-phase uniform thresholds.
 
 A vector's score is the sum of its scores in a few lists, one for each block of
-dimensions. Phase one gathers each list's k best entries and its least score;
-the k-th best sum that these prove is a lower bound of the k-th best score.
-Phase two broadcasts the bound: a vector that stays below its uniform share in
-every list can't reach it, so only vectors with an entry at or above the share
-are collected, and those whose upper bound stays below the bound, or below the
-k-th best that their task has found so far, are left out. Phase three takes the
-exact sums of the rest. Queries go through in blocks of a
-bounded number, each against all rows, and rows are never shuffled.
+dimensions. Phase one gathers each list's k best entries, its best and its least
+score; the k-th best sum that these prove is a safe cutoff. Phase two broadcasts
+it with its uniform share: a vector below the share in every list can't reach
+the cutoff. A list is only scored for vectors that, by their scores in the lists
+before and the best of those to come, still can; what is left after all lists
+are the entries at or above the share of at least one. Phase three takes the
+sums of these survivors, a task's k best of each query leave it. Queries go
+through in blocks of a bounded number, each against all rows, and rows are
+never shuffled.
 """
 
 from __future__ import annotations
@@ -30,11 +31,23 @@ BLOCK, TILE = 2048, 256
 ROWS = 4096
 
 
+#: Sums below this are exact in doubles; larger ones are taken in 64-bit integers.
+EXACT = 2**53
+
+
 class Queries(NamedTuple):
     ids: np.ndarray
     vectors: np.ndarray  # float64 with integer values
 
 
+class Cutoffs(NamedTuple):
+    """For each query and list the least and best score, for each query the score that its k best reach at least."""
+
+    least: np.ndarray
+    most: np.ndarray
+    bound: np.ndarray
+
+
 def scaled(column: pa.Array, scale: int) -> list[np.ndarray | None]:
     """floor(scale * x) of each vector; None for null vectors and those with a null or non-finite component."""
     out: list[np.ndarray | None] = []
@@ -61,13 +74,15 @@ def vectors_of(batch: pa.RecordBatch, scale: int, size: int) -> tuple[np.ndarray
     return numbers[order], found[order]
 
 
-def best(scores: np.ndarray, k: int) -> np.ndarray:
-    """A mask of each row's k largest scores, the first ones among equals."""
+def best(scores: np.ndarray, use: np.ndarray, k: int) -> np.ndarray:
+    """A mask of the k largest scores in use of each row, the first ones among equals."""
+    lowest = -np.inf if scores.dtype.kind == "f" else np.iinfo(scores.dtype).min
+    scores = np.where(use, scores, lowest)
     if scores.shape[1] <= k:
-        return np.isfinite(scores)
+        return use
     least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k : scores.shape[1] - k + 1]
-    above, equal = scores > least, scores == least
-    return (above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))) & np.isfinite(scores)
+    above, equal = (scores > least) & use, (scores == least) & use
+    return above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
 
 
 def spans(size: int, lists: int) -> list[slice]:
@@ -75,34 +90,39 @@ def spans(size: int, lists: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def tiles(batches: Iterator[pa.RecordBatch], queries: Queries, scale: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first query, ids, vectors, whether it is the query's own row) for parts of the product that fit in memory."""
+def largest(x: np.ndarray) -> float:
+    return float(np.abs(x).max()) if x.size else 0.0
+
+
+def tiles(batches: Iterator[pa.RecordBatch], queries: Queries, scale: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(first query, ids, vectors, whether it is the query's own row, whether doubles are exact) for parts of the product that fit in memory."""
     for batch in batches:
         for a in range(0, batch.num_rows, ROWS):
             ids, vectors = vectors_of(batch.slice(a, ROWS), scale, queries.vectors.shape[1])
-            if len(ids) and float(np.abs(vectors).max()) * float(np.abs(queries.vectors).max()) * vectors.shape[1] >= 2**53:
-                raise OverflowError("scores beyond 2**53 aren't exact")
+            top = largest(vectors) * largest(queries.vectors) * vectors.shape[1]
+            if top >= 2**63:
+                raise OverflowError("scores beyond 2**63 aren't longs")
             for q in range(0, len(queries.ids), TILE) if len(ids) else ():
-                yield q, ids, vectors, queries.ids[q : q + TILE, None] == ids[None, :]
+                yield q, ids, vectors, queries.ids[q : q + TILE, None] == ids[None, :], top < EXACT
 
 
 class Kept:
     """The k best (score, id) of each query so far."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.scores, self.ids = k, [np.zeros(0)] * n, [np.zeros(0, np.int64)] * n
+        self.k, self.scores, self.ids = k, [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
 
-    def add(self, first: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        chosen = best(scores, self.k)
+    def add(self, first: int, ids: np.ndarray, scores: np.ndarray, use: np.ndarray) -> None:
+        chosen = best(scores, use, self.k)
         for row in np.flatnonzero(chosen.any(1)):
             at = first + row
-            s, i = np.append(self.scores[at], scores[row, chosen[row]]), np.append(self.ids[at], ids[chosen[row]])
+            s, i = np.append(self.scores[at], scores[row, chosen[row]].astype(np.int64)), np.append(self.ids[at], ids[chosen[row]])
             order = np.lexsort((i, -s))[: self.k]
             self.scores[at], self.ids[at] = s[order], i[order]
 
     def rows(self, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = [len(s) for s in self.scores]
-        return np.repeat(query_ids, n), np.concatenate([*self.ids, np.zeros(0, np.int64)]), np.concatenate([*self.scores, np.zeros(0)]).astype(np.int64)
+        return np.repeat(query_ids, n), np.concatenate([*self.ids, np.zeros(0, np.int64)]), np.concatenate([*self.scores, np.zeros(0, np.int64)])
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -112,7 +132,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, lists: int = LI
     with null or non-finite components, empty vectors and null ids take no
     part; vectors of another length than the query's aren't compared with it.
     Repeated candidate rows count as often as they occur; of query rows with
-    one id the smallest vector stands. Scores beyond 2**53 raise an error.
+    one id the smallest vector stands. Scores that may exceed 2**63, and so a
+    long, raise an error.
     """
     rows = candidates.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     sound = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -141,61 +162,72 @@ def one_block(rows: DataFrame, queries: Queries, k: int, lists: int, scale: int)
     parts = spans(queries.vectors.shape[1], lists)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phase one: each list's k best entries, by row (repeated ids are rows of their own), and its least score."""
+        """Phase one: each list's k best entries, by row (repeated ids are rows of their own), its best and its least score.
+
+        Tiles with scores beyond EXACT tell nothing and are resolved in full."""
         q = sent.value
         row = (TaskContext.get().partitionId() << 40) - 1
         kept = [Kept(len(q.ids), k) for _ in parts]
-        least = np.full((len(parts), len(q.ids)), np.inf)
-        for first, ids, vectors, itself in tiles(batches, q, scale):
+        least, most = np.full((len(parts), len(q.ids)), np.inf), np.full((len(parts), len(q.ids)), -np.inf)
+        for first, ids, vectors, itself, exact in tiles(batches, q, scale):
             if first == 0:
                 keys = np.arange(row + 1, row + 1 + len(ids))
                 row += len(ids)
-            for n, part in enumerate(parts):
-                scores = q.vectors[first : first + TILE, part] @ vectors[:, part].T
-                scores[itself] = np.inf
-                low = least[n, first : first + TILE]
-                np.minimum(low, scores.min(1), out=low)
-                scores[itself] = -np.inf
-                kept[n].add(first, keys, scores)
+            here = slice(first, first + TILE)
+            for n, part in enumerate(parts) if exact else ():
+                scores = q.vectors[here, part] @ vectors[:, part].T
+                np.minimum(least[n, here], np.where(itself, np.inf, scores).min(1), out=least[n, here])
+                np.maximum(most[n, here], np.where(itself, -np.inf, scores).max(1), out=most[n, here])
+                kept[n].add(first, keys, scores, ~itself)
         for n, some in enumerate(kept):
             query, found, score = some.rows(q.ids)
             use = np.isfinite(least[n])
-            query, found, score = np.append(query, q.ids[use]), np.append(found, np.full(use.sum(), -1)), np.append(score, least[n][use].astype(np.int64))
-            bound = np.arange(len(query)) >= len(query) - use.sum()
-            yield pa.RecordBatch.from_pydict({"query_id": query, "list": np.full(len(query), n, np.int32), "row": found, "score": score, "bound": bound})
-
-    lists_of = save(rows.mapInArrow(gather, "query_id long, list int, row long, score long, bound boolean"), "lists")
-    least = lists_of.where("bound").groupBy("query_id", "list").agg(F.min("score").alias("least"))
+            kinds = np.repeat(["entry", "least", "most"], [len(query), use.sum(), use.sum()])
+            none = np.full(2 * use.sum(), -1)
+            yield pa.RecordBatch.from_pydict({
+                "query_id": np.concatenate([query, q.ids[use], q.ids[use]]), "list": np.full(len(kinds), n, np.int32), "row": np.append(found, none),
+                "score": np.concatenate([score, least[n][use].astype(np.int64), most[n][use].astype(np.int64)]), "kind": kinds,
+            })
+
+    lists_of = save(rows.mapInArrow(gather, "query_id long, list int, row long, score long, kind string"), "lists")
+    edges = lists_of.groupBy("query_id", "list").agg(F.min(F.when(F.col("kind") == "least", F.col("score"))).alias("least"), F.max(F.when(F.col("kind") == "most", F.col("score"))).alias("most"))
     in_list = Window.partitionBy("query_id", "list").orderBy(F.desc("score"), "row")
-    heads = lists_of.where("NOT bound").withColumn("n", F.row_number().over(in_list)).where(F.col("n") <= k)
-    above = heads.join(least, ["query_id", "list"]).groupBy("query_id", "row").agg(F.sum(F.col("score") - F.col("least")).alias("above"))
+    heads = lists_of.where("kind = 'entry'").withColumn("n", F.row_number().over(in_list)).where(F.col("n") <= k)
+    above = heads.join(edges, ["query_id", "list"]).groupBy("query_id", "row").agg(F.sum(F.col("score") - F.col("least")).alias("above"))
     in_query = Window.partitionBy("query_id").orderBy(F.desc("above"))
     proven = above.withColumn("n", F.row_number().over(in_query)).where(F.col("n") == k).select("query_id", "above")
-    floor = least.groupBy("query_id").agg(F.collect_list(F.struct("list", "least")).alias("least"))
-    cutoffs = {r["query_id"]: ({x["list"]: x["least"] for x in r["least"]}, r["above"]) for r in floor.join(proven, "query_id", "left").collect()}  # a row for each query of the block
-    low = np.array([[cutoffs[q][0].get(n, 0) if q in cutoffs else 0 for n in range(len(parts))] for q in queries.ids.tolist()], np.float64)
-    bound = np.array([-np.inf if q not in cutoffs or cutoffs[q][1] is None else cutoffs[q][1] for q in queries.ids.tolist()], np.float64)
-    safe = context.broadcast((low, bound))
+    cutoffs = Cutoffs(np.zeros((len(parts), len(queries.ids))), np.full((len(parts), len(queries.ids)), np.inf), np.full(len(queries.ids), -np.inf))
+    at = {q: i for i, q in enumerate(queries.ids.tolist())}
+    for r in edges.join(proven, "query_id", "left").collect():  # a row for each list and query of the block
+        i = at[r["query_id"]]
+        cutoffs.least[r["list"], i], cutoffs.most[r["list"], i] = r["least"], r["most"]
+        cutoffs.bound[i] = -np.inf if r["above"] is None else r["above"]
+    cutoffs = cutoffs._replace(bound=cutoffs.bound + cutoffs.least.sum(0))
+    safe = context.broadcast(cutoffs)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phases two and three on the vectors of this task; a task's k best of each query leave it."""
-        q, (low, bound) = sent.value, safe.value
+        """Phases two and three on the vectors of this task."""
+        q, cut = sent.value, safe.value
         kept = Kept(len(q.ids), k)
-        share = np.floor(bound / len(parts))
-        for first, ids, vectors, itself in tiles(batches, q, scale):
+        for first, ids, vectors, itself, exact in tiles(batches, q, scale):
             here = slice(first, first + TILE)
-            above = [q.vectors[here, part] @ vectors[:, part].T - low[here, n, None] for n, part in enumerate(parts)]
-            most, collected = np.zeros(itself.shape), np.zeros(itself.shape, bool)
-            for scores in above:
-                seen = scores >= share[here, None]
-                collected |= seen
-                most += np.where(seen, scores, np.maximum(share[here, None], 0))
-            base = low[here].sum(1)
-            own = np.array([s[k - 1] if len(s) == k else -np.inf for s in kept.scores[here]]) - base
-            left = collected & (most >= np.maximum(bound[here], own)[:, None]) & ~itself
-            total = np.full(itself.shape, -np.inf)
-            total[left] = sum(scores[left] for scores in above) + np.broadcast_to(base[:, None], left.shape)[left]
-            kept.add(first, ids, total)
+            if not exact:
+                kept.add(first, ids, q.vectors[here].astype(np.int64) @ vectors.astype(np.int64).T, ~itself)
+                continue
+            base, own = cut.least[:, here].sum(0), [s[k - 1] if len(s) == k else -np.inf for s in kept.scores[here]]
+            bound = np.maximum(cut.bound[here], own)
+            share = np.floor((bound - base) / len(parts))
+            left, total = np.arange(len(ids)), np.zeros(itself.shape)
+            seen = np.zeros(itself.shape, bool)
+            for n, part in enumerate(parts):
+                scores = q.vectors[here, part] @ vectors[left, part].T
+                total += scores
+                seen |= scores - cut.least[n, here, None] >= share[:, None]
+                can = total + cut.most[n + 1 :, here].sum(0)[:, None] >= bound[:, None]
+                keep = (can & ~itself[:, left]).any(0)
+                if not keep.all():
+                    left, total, seen, can = left[keep], total[:, keep], seen[:, keep], can[:, keep]
+            kept.add(first, ids[left], total, can & seen & ~itself[:, left])
         query, vec, score = kept.rows(q.ids)
         yield pa.RecordBatch.from_pydict({"query_id": query, "vec_id": vec, "score": score})
 
