@@ -14,14 +14,15 @@ from itertools import product
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table, text_batches
 
-#: The classifiers are fitted on about this many labelled rows of each language, chosen by a hash of the id, or on all if there are fewer.
-TRAIN_ROWS = 3000
+#: The classifiers are fitted on about this many labelled rows of each language, chosen by a hash, or on all if there are fewer; more labels than MOST_LANGS are an error.
+TRAIN_ROWS, MOST_LANGS = 3000, 500
 #: n-grams of bytes, hashed into this many buckets for each n.
 GRAMS, BUCKETS = (2, 3), 1 << 16
 SMOOTHING, SHARPNESS = 0.5, 12.0
@@ -109,14 +110,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    """Fits on rows with a language and a letter. Each language weighs the same; without any there are no languages."""
+    """Fits on rows with a language and a letter. Each language weighs the same; without any there are no languages.
+
+    Of each language about `rows` rows are used, chosen by a hash of id and text, the bound of what is learned from.
+    More than MOST_LANGS labels raise an error: the model goes to all tasks.
+    """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(found) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages among the labels")
+    counts = {r["lang"]: r["n"] for r in found}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((0, 1), np.int8), np.zeros((len(GRAMS), 1, BUCKETS + 1), np.float32), np.ones(1))
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, rows / counts[k]))]), F.col("lang"))
-    sample = labelled.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang").coalesce(16)
+    # the whole table is read by as many tasks as it has splits; only the sample moves to fewer
+    sample = labelled.where(F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang").repartition(16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -128,9 +137,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 sums[lang] = sums.get(lang, 0) + found
         yield pa.RecordBatch.from_pydict({"lang": list(sums), "counts": [v.astype("<i8").tobytes() for v in sums.values()]}, pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
 
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, "<i8") for x in frame["counts"]], axis=0)
+        return pd.DataFrame({"lang": frame["lang"].head(1), "counts": [total.astype("<i8").tobytes()]})
+
     totals = np.zeros((len(langs), len(GRAMS), BUCKETS))
-    for row in sample.mapInArrow(count, "lang string, counts binary").toLocalIterator():  # at most 16 rows for each language
-        totals[langs.index(row["lang"])] += np.frombuffer(row["counts"], "<i8").reshape(len(GRAMS), BUCKETS)
+    summed = sample.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInPandas(add, "lang string, counts binary")
+    for row in summed.toLocalIterator():  # a row for each language
+        totals[langs.index(row["lang"])] = np.frombuffer(row["counts"], "<i8").reshape(len(GRAMS), BUCKETS)
     return fit(langs, totals)
 
 
