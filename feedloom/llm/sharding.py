@@ -69,16 +69,18 @@ def shard(docs: DataFrame, tree: Sequence[Leaf], grown: Sequence[Leaf] | None =
     text has size 1 and the CRC of no bytes; an empty table gives no rows.
     Slots number a shard's rows from 0 in the order of id, text CRC and size.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    placed = docs.select(
+    base = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        descend(key, tree).alias("shard"),
-        (descend(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    ranked = with_rank(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+        there = descend(key, grown) if grown else F.lit(None).cast("int")
+        return rows.withColumn("law", F.lit("key")).withColumn("shard", descend(key, tree)).withColumn("grown_shard", there)
+
+    ranked = with_rank(base, ["shard"], ["doc_id", "text_crc32", "size"], "slot", then=placed)
     return ranked.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

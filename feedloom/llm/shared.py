@@ -71,20 +71,28 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000
         yield batch.slice(start, n - start)
 
 
-def with_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, ordered: bool = True) -> DataFrame:
+def hash_sample(rows: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
+    """About `most` rows, the same ones in each run: those whose columns' hash is small. Of rows that repeat so often that one hash
+    would exceed it, no more than twice `most` are taken."""
+    share = most / max(rows.count(), most)
+    return rows.where(F.pmod(F.xxhash64(*columns), F.lit(1_000_000)) < share * 1_000_000).limit(2 * most)
+
+
+def with_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, ordered: bool = True, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds the rank (long, from 0) of each row among those of its group, by `order`, without a task per group.
 
     Rows are dealt by ranges of `order`, or where any numbers do (not ordered)
     by its hash; each part counts its rows by group, running sums of these few
     counts give where a part starts, and rows are numbered inside their part.
-    A group of any size spreads over the parts.
+    A group of any size spreads over the parts. What `then` adds, which may be
+    the group, is computed once, after rows are dealt.
     """
     part = "__part"
     if ordered:
         dealt = df.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
     else:
         dealt = df.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))).cast("int"))
-    ranged = save(dealt, "ranges")
+    ranged = save(then(dealt) if then else dealt, "ranges")
     counts = ranged.groupBy(part, *group).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     names = {c: f"__{i}" for i, c in enumerate((part, *group))}
