@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import one_task_each, open_for_read, open_for_write, written
-from .shared import shared_dir, table, text_batches
+from .shared import hash_sample, save, shared_dir, table, text_batches
 
-#: The dictionary is trained on this many pages, and on this many characters of each.
+#: The dictionary is trained on about this many pages, chosen by a hash, and on this many characters of each.
 DICTIONARY_PAGES, DICTIONARY_CHARS, DICTIONARY_BYTES = 500, 20_000, 65_536
 FILE_BYTES = 128_000_000
+#: Up to so many bytes of repeated digests (about GROUP_BYTES each) go to all tasks.
+SENT_BYTES, GROUP_BYTES = 32_000_000, 150
 MAGIC = 0x184D2A5D
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -142,12 +144,17 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    sample = rows.select(F.substring("html", 1, DICTIONARY_CHARS).alias("html")).limit(DICTIONARY_PAGES).collect()
+    sample = hash_sample(rows, ["page_id", "html"], DICTIONARY_PAGES).select(F.substring("html", 1, DICTIONARY_CHARS).alias("html")).collect()
     raw, folder = train([r["html"].encode() for r in sample]), shared_dir(spark, "warc")
-    digest, long = F.sha1(F.col("html").cast("binary")), F.octet_length("html") >= least
-    groups = rows.where(long).select(digest.alias("same"), "page_id").groupBy("same").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    groups = groups.where("n > 1 AND first IS NOT NULL").select("same", "first")
-    marked = rows.withColumn("digest", digest).join(groups, (F.col("digest") == F.col("same")) & long, "left").select("page_id", "url", "html", "first")
+    keyed = rows.withColumn("digest", F.when(F.octet_length("html") >= least, F.sha1(F.col("html").cast("binary"))))
+    groups = keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = save(groups.where("n > 1 AND first IS NOT NULL").select("digest", "first"), "payloads")
+    if GROUP_BYTES * groups.count() <= SENT_BYTES:
+        marked = keyed.join(F.broadcast(groups), "digest", "left")
+    else:  # a payload on many pages meets its group without the html, which then moves by page
+        firsts = keyed.select("page_id", "digest").join(groups, "digest").distinct().select(F.col("page_id").alias("id"), F.col("digest").alias("same"), "first")
+        marked = keyed.join(firsts, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("same")), "left")
+    marked = marked.select("page_id", "url", "html", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple[str, int]] = []
