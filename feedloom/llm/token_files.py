@@ -3,8 +3,8 @@
 A file is: ``TOKZ1\\n``, the SHA-256 of the dictionary, the frames in ascending
 id order, the index (ids, null flags, offsets, frame lengths, token counts as
 little-endian arrays), and a trailer of the index's place, the number of
-documents and ``TOKZ1\\n``. The dictionary lies beside the files. A single
-document is read with two short reads.
+documents and ``TOKZ1\\n``. The dictionary lies beside the files. An open
+file's index (29 bytes a document) is in memory; a document is one short read.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .files import one_task_each, open_for_read, open_for_write, partition_id, written
-from .shared import shared_dir, table, text_batches
+from .shared import hash_sample, shared_dir, table, text_batches
 from .tokens import encoder
 from .warc import as_dictionary, compressor, train
 
 MAGIC = b"TOKZ1\n"
 TRAILER = struct.Struct("<QQ6s")
-#: The dictionary is trained on this many documents, and on this many characters of each.
+#: The dictionary is trained on about this many documents, chosen by a hash, and on this many characters of each.
 DICTIONARY_DOCUMENTS, DICTIONARY_CHARS, DICTIONARY_BYTES = 500, 20_000, 65_536
 FILE_BYTES = 256_000_000
 MANIFEST = "part int, seq int, path string, dictionary string, documents long, tokens long"
@@ -108,7 +108,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID, id_col:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     end = struct.pack("<I", end_id)
-    sample = [r["text"] for r in rows.select(F.substring("text", 1, DICTIONARY_CHARS).alias("text")).limit(DICTIONARY_DOCUMENTS).collect()]
+    sample = [r["text"] for r in hash_sample(rows, ["doc_id", "text"], DICTIONARY_DOCUMENTS).select(F.substring("text", 1, DICTIONARY_CHARS).alias("text")).collect()]
     dictionary = train([ids + end for ids in encoder(vocabulary).encode(sample)], DICTIONARY_BYTES)
     folder, digest = shared_dir(spark, "tokens"), hashlib.sha256(dictionary).hexdigest()
     system, path = pafs.FileSystem.from_uri(f"{folder}/dictionary.zdict")
