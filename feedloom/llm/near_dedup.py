@@ -44,8 +44,8 @@ REACH = (4, 16)
 BLOCK = 512
 #: Cells of a profile, four bits each, and those of its coarse form.
 WIDTH, COARSE = 512, 64
-#: Up to so many bytes of ids go to all tasks to pick texts; more are joined by a shuffle.
-SENT_BYTES = 16_000_000
+#: Up to so many bytes of ids (ID_BYTES each, once they are in a hash table) go to all tasks to pick texts; more are joined by a shuffle.
+SENT_BYTES, ID_BYTES = 32_000_000, 72
 
 _RNG = np.random.default_rng(8)
 FACTORS = _RNG.integers(0, 2**63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,7 +131,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 "hashes": pa.array([packed(s) for s in sets], pa.binary()), "profile": pa.array([profile(s) for s in sets], pa.binary()),
             })
 
-    some = F.broadcast(wanted) if 8 * wanted.count() <= SENT_BYTES else wanted
+    some = F.broadcast(wanted) if ID_BYTES * wanted.count() <= SENT_BYTES else wanted
     rows = docs.join(some, "doc_id", "left_semi").mapInArrow(pack, "doc_id long, n long, key1 long, key2 long, hashes binary, profile binary").where("n > 0")
     return rows.groupBy("doc_id").agg(F.min(F.struct("n", "key1", "key2", "hashes", "profile")).alias("s")).select("doc_id", "s.n", "s.hashes", "s.profile")
 

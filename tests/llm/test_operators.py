@@ -186,8 +186,8 @@ def test_near_duplicates_in_a_crowd(spark, monkeypatch):
     for _ in range(5):
         for i, j in links:
             want[i] = want[j] = min(want[i], want[j])
-    monkeypatch.setattr(near_dedup, "NEAR", 1)
-    monkeypatch.setattr(near_dedup, "FAR", 1)
+    monkeypatch.setattr(near_dedup, "REACH", (1, 1))
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)  # regions of several blocks
     got = by_id(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
     assert [got[i].component_id for i in range(300)] == want
 
@@ -216,6 +216,23 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_with_random_multiplicities(spark):
+    rng = np.random.default_rng(11)
+    for scale in (1, 2**23):  # with the second, scores need 64-bit integers
+        ints = rng.integers(-9, 10, (60, 6))
+        ints[20:30] = ints[20]
+        times = rng.integers(1, 5, 60)
+        rows = [(i, [float(x) for x in ints[i]]) for i in range(60) for _ in range(times[i])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        got = topk.top_k(df, df.where("vec_id % 20 = 0"), k=7, lists=3, scale=scale).collect()
+        for q in (0, 20, 40):
+            every = sorted((-int(ints[q] @ ints[i]) * scale * scale, i) for i in range(60) if i != q for _ in range(times[i]))
+            assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == every[:7]
+    huge = spark.createDataFrame([(0, [3e18, 1.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="longs"):
+        topk.top_k(huge, huge, scale=1).collect()
+
+
 def test_top_k_of_repeated_rows(spark):
     """12 vectors that are large in one list, three times each, don't hide ten that are middling in all."""
     large = [(i, [float(989 + i) if n == i % 4 else 0.0 for n in range(4)]) for i in range(12)]
