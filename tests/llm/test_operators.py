@@ -1,6 +1,7 @@
 """Each operator against a plain version of it, on a fixture with nulls, empty and repeated rows, ties and clashing columns."""
 
 import hashlib
+import io
 import re
 import zlib
 
@@ -200,6 +201,60 @@ def test_contamination(spark, docs, nothing):
     assert got[9].n_words == 4 and got[0].n_words == 0
     assert by_id(decontaminate.find_contamination(docs, items.limit(0)))[9].n_words == 4
     assert decontaminate.find_contamination(nothing, items).count() == 0
+    assert {r.doc_id for r in decontaminate.clean(docs, items).collect()} == {i for i in range(len(TEXTS)) if not got[i].spans}
+
+
+def phrases(texts, items):
+    """By brute force: each text's hit words and the items with windows in it."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    out = []
+    for t in texts:
+        own, hit, found = words(t), set(), set()
+        for k, item in items:
+            w = words(item)
+            for win in ([w[i : i + 10] for i in range(len(w) - 9)] or [w]) if w else []:
+                for i in range(len(own) - len(win) + 1):
+                    if own[i : i + len(win)] == win:
+                        hit |= set(range(i, i + len(win)))
+                        found.add(str(k))
+        out.append((len(own), len(hit), sorted(found)))
+    return out
+
+
+def test_phrases_and_near_matches(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.zipf(1.3, n) % 300)
+    items = [(i, prose(int(n))) for i, n in enumerate(rng.integers(1, 30, 30))] + [(7, None), (8, "")]
+    items += [(40 + i, items[5][1]) for i in range(5)]  # equal windows of several items
+    texts = [prose(int(n)) for n in rng.integers(0, 400, 60)] + [None, ""]
+    for i in range(20):
+        texts[i] += " , " + items[i][1].upper() + " " + prose(5)
+    rare = "zeta eta theta iota kappa lambda mu nu xi omicron"
+    items.append((99, rare))
+    texts += [rare.replace(" ", " x "), " ".join(rare.split()[:4]) + " x" * 60 + " " + " ".join(rare.split()[4:])]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = phrases([t for _, t in rows], items)
+    for most in (20_000, 9):  # one block, several blocks
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", most)
+        got = decontaminate.search(decontaminate.build_index(docs), benchmark).collect()
+        key = lambda i: -1 if i is None else i
+        have = sorted((key(r.doc_id), r.n_words, sum(s.end - s.start for s in r.spans), r.items) for r in got)
+        assert have == sorted((key(i), *w) for (i, _), w in zip(rows, want, strict=True))
+        near = {r.doc_id: r.near for r in got}
+        assert "99" in near[62] and "99" not in near[0]
+
+
+def test_index_files_must_be_whole(spark, docs):
+    manifest = decontaminate.build_index(docs)
+    with pytest.raises(Exception, match="instead of"):
+        decontaminate.term_counts(manifest.withColumn("segments", F.col("segments") + 1), np.zeros(1, np.uint64))
+    raw = decontaminate.segment_bytes(np.zeros((1, 4)), np.array([0, 3]), np.array([5, 3, 5], np.uint64), __import__("zstandard").ZstdCompressor())
+    one = next(decontaminate.segments(io.BytesIO(raw)))
+    assert one.terms.tolist() == [3, 5] and [int(x) & 0xFFFFFFFF for x in one.postings] == [1, 0, 2]
+    with pytest.raises(decontaminate.PostingsError):
+        list(decontaminate.segments(io.BytesIO(b"x" + raw)))
 
 
 def test_top_k(spark):
