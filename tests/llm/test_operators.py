@@ -4,6 +4,7 @@ import hashlib
 import io
 import re
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -80,24 +81,87 @@ def test_plan_fills_and_matches():
     assert packing.plan({600: 3, 424: 2, 400: 1})[1] == 3
 
 
-def test_repeats(docs, nothing):
-    got, seen = by_id(repeats.remove_repeats(docs, with_text=True)), set()
-    for i, t in enumerate(TEXTS):
+def removal(rows):
+    """By brute force: n_bytes, n_removed, kept of (id, text) rows."""
+    first: dict = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - 49 if i is not None else 0):
+            first[b[k : k + 50]] = min(first.get(b[k : k + 50], i), i)
+    out = []
+    for i, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
-        own = [b[k : k + 50] for k in range(len(b) - 49)]
-        for k, w in enumerate(own):
-            if w in seen:
+        for k in range(len(b) - 49 if i is not None else 0):
+            if first[b[k : k + 50]] < i:
                 gone[k : k + 50] = b"\1" * 50
-        seen.update(own)
-        kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
-        assert (got[i].n_bytes, got[i].n_removed, bytes(got[i].kept)) == (len(b), sum(gone), kept)
-        assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
+        out.append((i, len(b), sum(gone), bytes(x for x, y in zip(b, gone, strict=True) if not y)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_repeats(spark, docs, nothing, hot, monkeypatch):
+    """Also with repeated and null ids, and with each key too hot for a bucket."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = np.random.default_rng(4)
+    line = "a line of forty-three bytes that is common; "
+    odd = [line + "".join(map(chr, rng.integers(97, 123, 40))) + line for _ in range(20)] + ["a" * 400, "b" + "a" * 300 + "b", "a" * 49]
+    rows = list(enumerate(TEXTS)) + [(100 + i, t) for i, t in enumerate(odd)] + [(5, LONG + " tail"), (None, LONG), (7, "x" * 61), (104, odd[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in repeats.remove_repeats(df, with_text=True).collect()), key=order)
+    assert got == sorted(removal(rows), key=order)
+    one = repeats.remove_repeats(docs).where("doc_id = 6").first()
+    assert one.kept_sha256 == hashlib.sha256(removal(list(enumerate(TEXTS)))[6][3]).hexdigest() and one.n_spans == 1
     assert repeats.remove_repeats(nothing).count() == 0
 
 
+def plain_repeats(data, least=50):
+    """Maximal repeats by comparing all neighbours of the sorted suffixes."""
+    at = sorted(range(len(data) - least + 1), key=lambda i: data[i:])
+    common = [next((k for k in range(len(data)) if max(a, b) + k >= len(data) or data[a + k] != data[b + k]), 0) for a, b in zip(at, at[1:], strict=False)]
+    out = []
+    for h in sorted({x for x in common if x >= least}):
+        for low, stretch in groupby(range(len(common)), key=lambda i: common[i] >= h):
+            run = list(stretch)
+            if low and min(common[run[0] : run[-1] + 1]) == h:
+                places = sorted(at[run[0] : run[-1] + 2])
+                if len({data[p - 1] if p else -1 for p in places}) > 1:
+                    out.append((h, places))
+    return sorted(out)
+
+
 def test_maximal_repeats():
-    assert repeats.maximal_repeats(b"xabcyabcz", 2) == [(3, [1, 5])]
+    rng = np.random.default_rng(0)
+    for t in range(20):
+        base = bytes(rng.integers(97, 99 if t % 2 else 123, int(rng.integers(60, 200))).astype(np.uint8))
+        parts = [base[rng.integers(0, 40) : rng.integers(50, len(base))] for _ in range(rng.integers(1, 5))] + [b"a" * int(rng.integers(0, 180))]
+        data = b"|".join(parts) + parts[0] * (t % 3)
+        assert repeats.maximal_repeats(data) == plain_repeats(data)
+
+
+def test_repeat_groups_have_all_places(spark):
+    rng = np.random.default_rng(6)
+    passage = "".join(map(chr, rng.integers(97, 123, 130)))
+    texts = [passage[a : a + 90] + "".join(map(chr, rng.integers(97, 123, 20))) for a in (0, 0, 10, 40)] + ["".join(map(chr, rng.integers(97, 123, 200)))]
+    nodes, places = repeats.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2))
+    parent, length = {r.node: r.parent for r in nodes.collect()}, {r.node: r.length for r in nodes.collect()}
+    at: dict = {}
+    for r in places.collect():
+        node = r.node
+        while node is not None:
+            at.setdefault(node, set()).add((r.doc_id, r.start))
+            node = parent[node]
+    strings = []
+    for node, found in at.items():
+        same = {texts[d][a : a + length[node]] for d, a in found}
+        assert len(same) == 1 and len(same.copy().pop()) == length[node] >= 50
+        strings.append((same.pop(), found))
+    starts = [(d, a, t[a : a + 50]) for d, t in enumerate(texts) for a in range(len(t) - 49)]
+    for d, a, w in starts:  # a window of several documents is in a group with all its places
+        every = {(x, b) for x, b, v in starts if v == w}
+        if len({x for x, _ in every}) > 1:
+            assert any((d, a - k) in found and {(x, b - k) for x, b in every} <= found for s, found in strings for k in range(len(s) - 49) if s[k : k + 50] == w)
 
 
 def test_warc(spark):
