@@ -173,63 +173,70 @@ class Tree:
 
 def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, place, height, byte before or -1) of all windows in the order of their suffixes, which end with their text; the height is
-    the common prefix with the row before, 0 if it is below SPAN. Prefix doubling: each round sorts ties by twice as many bytes."""
+    the common prefix with the row before, 0 if it is below SPAN.
+
+    Ties are refined eight bytes at a time up to SPAN, then by prefix doubling: each round sorts them by twice as many bytes."""
     data = np.frombuffer(b"".join(texts) + bytes(2 * SPAN), np.uint8)
     whole = np.fromiter(map(len, texts), np.int64, len(texts))
     sizes, stops = whole - SPAN + 1, np.cumsum(whole)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    place = (np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
     at = (stops - whole)[owner] + place
     eight = np.zeros(len(data) - 7, np.uint64)
     for i in range(8):
         eight = (eight << np.uint64(8)) | data[i : i + len(eight)]
     offsets = (0, 8, 16, 24, 32, 40, SPAN - 8)  # the last word overlaps the one before it: SPAN bytes in all
 
-    def words(position: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
-        """The next SPAN bytes, those beyond `left` as zeros."""
-        out = []
-        for o in offsets:
-            n = np.clip(left - o, 0, 8).astype(np.uint64)
-            kept = np.where(n > 0, ~np.uint64(0) << (np.uint64(8) * (np.uint64(8) - np.maximum(n, np.uint64(1)))), np.uint64(0))
-            out.append(eight[np.minimum(position + o, len(eight) - 1)] & kept)
+    def word(position: np.ndarray, left: np.ndarray, offset: int) -> np.ndarray:
+        """The eight bytes at an offset, those beyond `left` as zeros."""
+        n = np.clip(left - offset, 0, 8).astype(np.uint64)
+        kept = np.where(n > 0, ~np.uint64(0) << (np.uint64(8) * (np.uint64(8) - np.maximum(n, np.uint64(1)))), np.uint64(0))
+        return eight[np.minimum(position + offset, len(eight) - 1)] & kept
+
+    array = np.argsort(eight[at], kind="stable")
+    first = eight[at[array]]
+    new = np.append(True, first[1:] != first[:-1])
+
+    def tied() -> np.ndarray:
+        return np.flatnonzero(~new | np.append(~new[1:], False))
+
+    def refine(ties: np.ndarray, columns: list[np.ndarray]) -> None:
+        """Sorts the tied rows of each group by the columns; what they tell apart begins a group."""
+        columns = [np.cumsum(new)[ties], *columns]
+        order = np.lexsort(columns[::-1])
+        array[ties] = array[ties][order]
+        fresh = np.ones(len(ties), bool)
+        fresh[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+        new[ties] = fresh
+
+    def ranks() -> np.ndarray:
+        out = np.empty(len(array), np.int32)
+        out[array] = np.cumsum(new) - 1
         return out
 
-    def fresh(columns: list[np.ndarray]) -> np.ndarray:
-        new = np.ones(len(columns[0]), bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-        return new
-
-    own = words(at, stops[owner] - at)
-    array = np.lexsort(own[::-1])
-    new = fresh([w[array] for w in own])
-    same = ~new  # equal SPAN bytes as the row before
-    rank = np.full(len(data), -1)
-    rank[at[array]] = np.cumsum(new) - 1
-    levels, h = [(SPAN, rank)], SPAN
-    while h < whole.max():
-        ties = np.flatnonzero(~new | np.append(~new[1:], False))
-        if not len(ties):
-            break
+    for offset in offsets[1:]:
+        ties = tied()
+        if len(ties):
+            refine(ties, [eight[at[array[ties]] + offset]])
+    second = np.flatnonzero(~new)  # SPAN bytes as the row before
+    levels, h = [(SPAN, ranks())], SPAN
+    while h < whole.max(initial=0) and len(ties := tied()):
         rows = array[ties]
-        position = at[rows] + h
-        left = np.maximum(stops[owner[rows]] - position, 0)
-        group = np.cumsum(new)[ties]
-        columns = [group, *words(position, left), np.minimum(left, SPAN), np.where(left >= SPAN, rank[np.minimum(position, len(data) - 1)], -1)]
-        order = np.lexsort(columns[::-1])
-        array[ties] = rows[order]
-        new[ties] = fresh([c[order] for c in columns])
-        rank = rank.copy()
-        rank[at[array]] = np.cumsum(new) - 1
+        left = np.maximum(stops[owner[rows]] - at[rows] - h, 0)
+        later = np.where(left >= SPAN, levels[-1][1][np.minimum(rows + h, len(array) - 1)], -1)
+        refine(ties, [*(word(at[rows] + h, left, o) for o in offsets), np.minimum(left, SPAN), later])
         h *= 2
-        levels.append((h, rank))
-    second = np.flatnonzero(same)
-    a, b = at[array[second - 1]], at[array[second]]
-    end_a, end_b = stops[owner[array[second - 1]]], stops[owner[array[second]]]
+        levels.append((h, ranks()))
+    x, y = array[second - 1].astype(np.int64), array[second].astype(np.int64)
+    end_x, end_y = (np.cumsum(sizes)[owner[w]] for w in (x, y))  # of the text's windows
     height = np.zeros(len(second), np.int64)
-    for h, ranks in reversed(levels):
-        more = (a + h <= end_a) & (b + h <= end_b) & (ranks[np.minimum(a, len(data) - 1)] == ranks[np.minimum(b, len(data) - 1)])
+    for h, rank in reversed(levels):
+        both = (x < end_x) & (y < end_y) & (x + h - SPAN < end_x) & (y + h - SPAN < end_y)
+        more = both & (rank[np.minimum(x, len(array) - 1)] == rank[np.minimum(y, len(array) - 1)])
         height += h * more
-        a, b = a + h * more, b + h * more
+        x, y = x + h * more, y + h * more
+    a, b = at[array[second - 1]] + height, at[array[second]] + height
+    end_a, end_b = stops[owner[array[second - 1]]], stops[owner[array[second]]]
     alive = np.arange(len(second))
     for _ in range(SPAN):
         alive = alive[(a[alive] < end_a[alive]) & (b[alive] < end_b[alive])]
@@ -241,7 +248,7 @@ def suffix_array(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         b[alive] += 1
     heights = np.zeros(len(array), np.int64)
     heights[second] = height
-    before = np.where(place[array] > 0, data[at[array] - 1].astype(np.int64), -1)
+    before = np.where(place[array] > 0, data[at[array] - 1].astype(np.int16), -1)
     return owner[array], place[array], heights, before
 
 
@@ -326,7 +333,7 @@ class Passes:
         columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
         source = docs.select(*columns) if scanned else save(docs.select(*columns), "documents")  # a block is a split of a file
         self.rows = source.select("doc_id", "text", F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("block"))
-        self.buckets = max(64, 2 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), 2 * self.rows.rdd.getNumPartitions())  # grows with the input's splits
+        self.buckets = max(256, 2 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), 2 * self.rows.rdd.getNumPartitions())  # grows with the input's splits
         self.keys, self.answers = shared_dir(self.spark, "keys"), shared_dir(self.spark, "answers")
         self.tell_keys()
         self.tell_segments()
