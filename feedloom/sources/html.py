@@ -1,6 +1,6 @@
 """Elements of real-world HTML by simple selectors, as a vectorised function over columns.
 
-A selector is one or more compounds separated by spaces (descendants), several of them by commas; a compound is a tag,
+A selector is one or more compounds separated by spaces (descendants) or `>` (children), several of them by commas; a compound is a tag,
 `.class`, `#id` and `[attribute]` or `[attribute=value]` in any combination.
 """
 
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedloom.errors import ConfigurationError
+
 #: Elements without content, and those whose text isn't shown.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset("script style template".split())
@@ -39,13 +41,18 @@ class Node:
                 return False
         return True
 
-    def inside(self, compounds: list[str]) -> bool:
-        """Whether it fits the last compound and its ancestors the others, in order."""
-        if not self.fits(compounds[-1]):
+    def inside(self, parts: list[str]) -> bool:
+        """Whether it fits the last compound and its ancestors the others, in order; `>` asks for the parent itself."""
+        if not self.fits(parts[-1]):
             return False
-        rest, node = compounds[:-1], self.parent
+        rest, node = parts[:-1], self.parent
         while rest and node:
-            rest = rest[:-1] if node.fits(rest[-1]) else rest
+            if rest[-1] == ">":
+                if not node.fits(rest[-2]):
+                    return False
+                rest = rest[:-2]
+            elif node.fits(rest[-1]):
+                rest = rest[:-1]
             node = node.parent
         return not rest
 
@@ -79,15 +86,25 @@ class Tree(HTMLParser):
             node.texts.append((self.open[-1], data))
 
 
+def parsed(selector: str) -> list[list[str]]:
+    """The parts of each alternative; what isn't understood is an error of configuration, not a selector that fits anything."""
+    ways = [w.replace(">", " > ").split() for w in selector.split(",")]
+    for way in ways:
+        if not way or way[0] == ">" or way[-1] == ">" or any(PART.sub("", part) for part in way if part != ">"):
+            raise ConfigurationError(f"no selector: {selector!r}")
+    return ways
+
+
 def select(html: str, selector: str, attribute: str | None = None) -> list[str | None]:
     """Text, or an attribute's value (null if it has none), of every element that fits, in document order."""
-    ways = [w.split() for w in selector.split(",")]
+    ways = parsed(selector)
     found = [n for n in Tree(html).nodes if any(n.inside(w) for w in ways)]
     return [n.text() or None if attribute is None else n.attributes[attribute].strip() if attribute in n.attributes else None for n in found]
 
 
 def selected(html: Column, selector: str, attribute: str | None = None) -> Column:
     """An array of what `select` finds in each page; empty for null pages."""
+    parsed(selector)
 
     @F.pandas_udf("array<string>")
     def find(pages: pd.Series) -> pd.Series:

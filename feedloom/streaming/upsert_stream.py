@@ -4,31 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from feedloom.operators import upsert
 
+#: The state is kept in so many buckets of keys; a batch reads and rewrites those that its keys are in.
+BUCKETS = 64
 
-def done_before(spark, path: str, number: int) -> list[int]:
-    """The finished batches below this number, the last one first."""
+
+def bucket_of(key: tuple[str, ...] = upsert.KEY) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+
+
+def logged(spark: SparkSession, path: str, below: int | None = None, versions: bool = False) -> dict[int, list[int]]:
+    """Of each bucket the finished batches (below this number) that touched it, or added versions to it, the last one first."""
     try:
-        done = spark.read.parquet(f"{path}/log").where(F.col("batch") < number).select("batch").distinct().collect()
+        log = spark.read.parquet(f"{path}/log")  # a row for each batch and bucket
+        rows = (log.where("versions") if versions else log).select("batch", "bucket").distinct().collect()
     except Exception as e:  # no batch yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return []
-    return sorted((r["batch"] for r in done), reverse=True)
+        return {}
+    found: dict[int, list[int]] = {}
+    for r in sorted(rows, key=lambda r: -r["batch"]):
+        if below is None or r["batch"] < below:
+            found.setdefault(r["bucket"], []).append(r["batch"])
+    return found
+
+
+def current(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The state after the last finished batch: each bucket as the last batch that touched it left it."""
+    return of_buckets(spark, f"{path}/current", schema, {b: n[:1] for b, n in logged(spark, path).items()})
+
+
+def of_buckets(spark: SparkSession, path: str, schema: StructType, batches: dict[int, list[int]]) -> DataFrame:
+    paths = [f"{path}/batch={n}/bucket={b}" for b, numbers in batches.items() for n in numbers]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def upsert_stream(arrivals: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Runs over what is there. arrivals: source_id, external_id, content_hash, seq and more.
 
-    Each batch writes its outcomes, the new versions and the whole current
-    table under its own number and logs the number last. It builds on the batches
-    below its own number, so one that runs again, before or after its number was
+    Each batch writes its outcomes, the new versions and the current rows of the
+    buckets that it touches under its own number and logs these last. It builds on
+    the batches below its own number, so one that runs again, before or after it was
     logged, replaces what it had written and counts nothing twice.
     """
     return arrivals.writeStream.foreachBatch(writer(path, arrivals.schema)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -39,15 +61,22 @@ def writer(path: str, schema: StructType) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        done = done_before(spark, path, number)
-        stored = spark.read.schema(schema).parquet(f"{path}/current/batch={done[0]}") if done else None
-        versions = spark.read.schema(schema).parquet(*[f"{path}/versions/batch={n}" for n in done]) if done else None
-        outcomes = upsert.outcomes(batch, stored)
-        outcomes.write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
-        upsert.version_history(batch, versions).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/versions/batch={number}")
-        last = upsert.current_state(batch).select(*batch.columns)
-        kept = last if stored is None else last.unionByName(stored.join(last, list(upsert.KEY), "left_anti").select(*batch.columns))
-        kept.write.mode("overwrite").parquet(f"{path}/current/batch={number}")
-        spark.range(1).select(F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{path}/log/batch_number={number}")
+        batch = batch.persist()
+        try:
+            touched = sorted(r["bucket"] for r in batch.select(bucket_of().alias("bucket")).distinct().collect())
+            done = {b: n for b, n in logged(spark, path, number).items() if b in touched}
+            stored = of_buckets(spark, f"{path}/current", schema, {b: n[:1] for b, n in done.items()})
+            versions = of_buckets(spark, f"{path}/versions", schema, {b: n for b, n in logged(spark, path, number, versions=True).items() if b in touched})
+            save = lambda df, name: df.withColumn("bucket", bucket_of()).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/batch={number}")
+            upsert.outcomes(batch, stored).write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
+            new = upsert.version_history(batch, versions).select(*batch.columns)
+            save(new, "versions")
+            last = upsert.current_state(batch).select(*batch.columns)
+            save(last.unionByName(stored.join(last, list(upsert.KEY), "left_anti").select(*batch.columns)), "current")
+            with_versions = {r["bucket"] for r in new.select(bucket_of().alias("bucket")).distinct().collect()}
+            rows = [(number, b, b in with_versions) for b in touched]
+            spark.createDataFrame(rows, "batch long, bucket int, versions boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/log/batch_number={number}")
+        finally:
+            batch.unpersist()
 
     return write

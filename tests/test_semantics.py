@@ -9,8 +9,8 @@ from feedloom.streaming.upsert_stream import upsert_stream, writer
 
 
 def test_cron_in_a_zone():
-    assert expr.next_cron("0 9 * * *", "Asia/Shanghai", dt.datetime(2026, 7, 18, 0, 30)) == dt.datetime(2026, 7, 18, 1, 0)
-    assert expr.next_cron("*/15 * * * 1-5", "UTC", dt.datetime(2026, 7, 18, 0, 30)) == dt.datetime(2026, 7, 20, 0, 0)
+    assert expr.next_cron("45 17 * * *", "America/New_York", dt.datetime(2025, 2, 3, 23, 0)) == dt.datetime(2025, 2, 4, 22, 45)
+    assert expr.next_cron("*/20 * * * 2-4", "UTC", dt.datetime(2025, 2, 6, 23, 41)) == dt.datetime(2025, 2, 11, 0, 0)
 
 
 def test_versions_come_back(spark):
@@ -48,9 +48,9 @@ def test_backfill_windows(spark):
 
 
 def test_rss_item(spark):
-    feed = "<rss><channel><title>t</title><item><guid>item-1</guid><title>One</title><link>https://x.example/1</link><description>Text</description><pubDate>Sat, 18 Jul 2026 00:00:00 GMT</pubDate></item></channel></rss>"
+    feed = "<rss><channel><title>t</title><item><guid>n/77</guid><title>Harbour</title><link>https://port.example/77</link><description>Tides</description><pubDate>Mon, 3 Feb 2025 10:20:30 +0100</pubDate></item></channel></rss>"
     row = extract.rss_items(spark.createDataFrame([(feed,), ("<rss><chan",)], "payload string")).collect()
-    assert [(r.external_id, r.content) for r in row] == [("item-1", "Text")]
+    assert [(r.external_id, r.content) for r in row] == [("n/77", "Tides")]
 
 
 def test_private_addresses_and_links(spark):
@@ -62,12 +62,3 @@ def test_private_addresses_and_links(spark):
 def test_malformed_json_has_no_rows(spark):
     rows = spark.createDataFrame([(1, '{"data":[{"k":1},{}]}'), (2, '{"data":'), (3, None)], "id int, payload string")
     assert sorted((r.id, r.k or "") for r in extract.json_records(rows, "payload", "$.data", {"k": "$.k"}).collect()) == [(1, ""), (1, "1")]
-
-
-def test_claims_keep_the_backfill_quota(spark):
-    columns = "node_id string, n int, id long, slot_cost int, workload string"
-    rows = spark.createDataFrame([(w, n, n * 10, cost, kind) for w in ("a", "b") for n, cost, kind in ((1, 2, "backfill"), (2, 1, "backfill"), (3, 3, "scheduled"), (4, 1, "backfill"), (5, 1, "scheduled"))], columns)
-    workers = spark.createDataFrame([("a", "resident"), ("b", "burst")], "node_id string, mode string")
-    tasks = spark.createDataFrame([("a", "running", "backfill", 1), ("a", "running", "scheduled", 5)], "locked_by string, status string, workload string, slot_cost int")
-    got = scheduling.claim_greedy(rows, 5, scheduling.backfill_left(workers, tasks, quota=2)).collect()
-    assert sorted((r.node_id, r.n) for r in got) == [("a", 2), ("a", 3), ("a", 5), ("b", 1), ("b", 2), ("b", 4), ("b", 5)]
