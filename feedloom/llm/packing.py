@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, text_batches, with_rank
+from .files import partition_id
+from .shared import save, table, text_batches, with_rank
 from .tokens import encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -108,13 +109,14 @@ def plan(counts: Mapping[int, int], capacity: int = CAPACITY) -> tuple[list[Run]
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids (little-endian bytes).
+    """A row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids (little-endian bytes) and a number of its own (uid).
     A text's ids and the end id are one piece; only longer ones are cut, the remainder first. A null text is the end id alone."""
     end = struct.pack("<I", end_id)
-    kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids
+    kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary()), ("uid", pa.int64())] * with_ids
     schema = pa.schema(kinds)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = partition_id() << 40
         for batch in text_batches(batches, "text"):
             columns: list[list] = [[] for _ in kinds]
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoder(vocabulary).encode(batch.column("text").to_pylist()), strict=True):
@@ -124,12 +126,13 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                 for i, stop in enumerate(stops):
                     start = stops[i - 1] if i else 0
                     part = raw[4 * start : 4 * stop]
-                    for column, value in zip(columns, (doc_id, i, start, stop - start, zlib.crc32(part), part), strict=False):
+                    for column, value in zip(columns, (doc_id, i, start, stop - start, zlib.crc32(part), part, uid), strict=False):
                         column.append(value)
+                    uid += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary, uid long" * with_ids)
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -159,7 +162,12 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents in sequences of at most `capacity` tokens: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset."""
-    return place(pieces(docs, vocabulary, capacity, end_id, with_ids, id_col, text_col), capacity)
+    cut = pieces(docs, vocabulary, capacity, end_id, with_ids, id_col, text_col)
+    if not with_ids:
+        return place(cut, capacity)
+    cut = save(cut, "pieces")  # ids wait there while their places are found, and move once
+    placed = place(cut.drop("ids"), capacity)
+    return placed.join(cut.select("uid", "ids"), "uid").drop("uid")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

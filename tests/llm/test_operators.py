@@ -55,6 +55,21 @@ def test_added_tokens_are_the_librarys(docs):
         assert b"".join(r.ids for r in got) == want[-1] + np.uint32(2).tobytes()
 
 
+def test_random_texts_have_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(8)
+    pools = [list(range(32, 127)), list(range(0, 0x250)), [0x20, 0x0A, 0x09, 0xA0, 0x2003, 0x85, 0x3000], list(range(0x370, 0x600)), list(range(0x4E00, 0x4E80)), [0x1F600, 0x200D, 0xFE0F, 0x301, 0x130, 0x3C2, 0x1E9E, 0xDF]]
+    texts = ["".join(chr(int(rng.choice(pools[int(rng.integers(len(pools)))]))) for _ in range(int(rng.integers(1, 60)))) for _ in range(400)]
+    texts += [" ".join(t) for t in zip(texts[:50], texts[50:100], ["don't I'LL we've '"] * 50, strict=True)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        fresh = Tokenizer.from_file(path)
+        got = tokens.WordEncoder(path, 100).encode(texts)
+        bad = [t for t, ids in zip(texts, got, strict=True) if ids != np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+        assert not bad
+
+
 def test_packing(docs, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(docs, path, 128, with_ids=True).collect()
@@ -72,13 +87,50 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
-def test_plan_fills_and_matches():
+def plain_best_fit(lengths, capacity):
+    """Pieces above a third of the capacity, the longest first with the longest that fits beside it; then each shorter one, longest first, into the tightest gap."""
+    large = sorted((x for x in lengths if 3 * x > capacity), reverse=True)
+    bins = []
+    while large:
+        one = large.pop(0)
+        other = next((x for x in large if x <= capacity - one), 0)
+        if other:
+            large.remove(other)
+        bins.append(capacity - one - other)
+    for x in sorted((x for x in lengths if 3 * x <= capacity), reverse=True):
+        at = min((i for i, gap in enumerate(bins) if gap >= x), key=lambda i: bins[i], default=None)
+        if at is None:
+            bins.append(capacity - x)
+        else:
+            bins[at] -= x
+    return bins
+
+
+def test_plan_is_best_fit():
     rng = np.random.default_rng(1)
-    lengths, counts = np.unique(rng.integers(1, 1025, 5000), return_counts=True)
-    runs, n = packing.plan(dict(zip(lengths.tolist(), counts.tolist(), strict=True)))
-    assert sum(r.count for r in runs) == 5000
-    assert n <= 1.02 * -(-int((lengths * counts).sum()) // 1024)
+    for t in range(30):
+        capacity = int(rng.integers(8, 200))
+        lengths = rng.integers(1, capacity + 1, int(rng.integers(1, 400))) if t % 2 else np.minimum(rng.geometric(6 / capacity, 300), capacity)
+        values, counts = np.unique(lengths, return_counts=True)
+        runs, n = packing.plan(dict(zip(values.tolist(), counts.tolist(), strict=True)), capacity)
+        assert sum(r.count for r in runs) == len(lengths)
+        assert n == len(plain_best_fit(lengths.tolist(), capacity))
     assert packing.plan({600: 3, 424: 2, 400: 1})[1] == 3
+    with pytest.raises(ValueError):
+        packing.plan({0: 1}, 8)
+
+
+def test_packing_of_repeated_and_null_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (None, "four five"), (None, None)] + [(2, "six " * 300)] * 3, "doc_id long, text string").repartition(3)
+    got = packing.pack(rows, path, 64, with_ids=True).collect()
+    whole = tokens.encoder(path)
+    assert sum(r.length for r in got) == sum(len(x) // 4 + 1 for x in whole.encode(["one two three"] * 2 + ["four five", ""] + ["six " * 300] * 3))
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(a[1] + a[2] == b[1] if a[0] == b[0] else b[1] == 0 for a, b in zip(places, places[1:], strict=False))
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in got)
+    filled = {r.sequence_id: r for r in packing.sequences(packing.pack(rows, path, 64, with_ids=True)).collect()}
+    assert sum(len(r.ids) for r in filled.values()) == 4 * sum(r.length for r in got)
 
 
 def removal(rows):
@@ -164,7 +216,7 @@ def test_repeat_groups_have_all_places(spark):
             assert any((d, a - k) in found and {(x, b - k) for x, b in every} <= found for s, found in strings for k in range(len(s) - 49) if s[k : k + 50] == w)
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     rows = [(0, "http://a", "<p>1"), (1, None, "<p>1"), (2, "http://b\n", None), (3, "http://c", ""), (4, "u", "é" * 9000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = by_id(warc.read_archives(warc.write_archives(pages)), "page_id")
@@ -173,6 +225,11 @@ def test_warc(spark):
     assert bytes(got[4].payload).decode() == "é" * 9000
     assert all(got[i].payload_digest == warc.base32_sha1((rows[i][2] or "").encode()) for i in range(5))
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    odd = pages.unionByName(spark.createDataFrame([(None, "n", "<p>1"), (0, "again", "<p>1"), (None, None, "only null"), (None, "x", "only null")], pages.schema))
+    monkeypatch.setattr(warc, "SENT_BYTES", -1)  # groups too many to be sent to all
+    kinds = sorted((r.page_id is None, r.page_id or 0, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(odd)).collect())
+    assert kinds == [(False, 0, "response", None), (False, 0, "response", None), (False, 1, "revisit", 0), (False, 2, "response", None), (False, 3, "revisit", 2), (False, 4, "response", None),
+                     (True, 0, "response", None), (True, 0, "response", None), (True, 0, "revisit", 0)]
     good = warc.record_bytes(1, "u", b"abc", None, False)
     for bad in (good[:-1], good.replace(b"abc", b"abd"), good.replace(b"WARC-Date", b"Date"), b"x" + good):
         with pytest.raises(warc.WarcError):
@@ -189,6 +246,27 @@ def test_sharding(docs, nothing):
     assert sharding.shard(nothing, base, grown).count() == 0
 
 
+def test_sharding_is_the_sqls(spark):
+    import duckdb
+
+    got = sharding.op5_weighted_tree(spark, "/root/testdata/sf0.001").drop("text_crc32").toPandas()
+    documents = "'/root/testdata/sf0.001/documents.parquet'"
+    want = duckdb.sql(sharding.oracle().replace("FROM documents d", f"FROM {documents} d")).df()[list(got.columns)]
+    key = ["doc_id"]
+    assert (got.sort_values(key).reset_index(drop=True).astype(str) == want.sort_values(key).reset_index(drop=True).astype(str)).all().all()
+
+
+def test_sharding_moves_rows_only_where_weights_change(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).unionByName(spark.createDataFrame([(None, "x"), (None, None), (5, "y")], "doc_id long, text string"))
+    heavy = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 5 else 1.0) for x in sharding.topology(16)]
+    got = sharding.shard(rows, sharding.topology(16), heavy).collect()
+    moved = {(r.shard, r.grown_shard) for r in got if r.shard != r.grown_shard}
+    region = {x.shard: x.region for x in heavy}
+    assert moved and all(b == 5 or (region[a] == region[b] == region[5]) or region[b] == region[5] for a, b in moved)
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_token_files(docs, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     manifest, dictionary = token_files.write_tokens(docs, path)
@@ -375,6 +453,78 @@ def test_language(spark, nothing):
     assert min((code[a] != code[b]).sum() for a in range(12) for b in range(a)) >= 5
 
 
+def test_decoding_is_the_nearest_codeword():
+    rng = np.random.default_rng(3)
+    langs = [f"l{i}" for i in range(9)]
+    model = langid.fit(langs, rng.integers(0, 50, (9, len(langid.GRAMS), langid.BUCKETS)).astype(float))
+    margins = rng.normal(0, 0.05, (40, model.code.shape[1]))
+    best, share = model.decode(margins)
+    for m, k, s in zip(margins, best, share, strict=True):
+        loss = [sum(r * np.log1p(np.exp(-langid.SHARPNESS * x * c)) for x, c, r in zip(m, word, model.reliability, strict=True)) for word in model.code]
+        weights = [np.exp(-x) for x in loss]
+        assert k == int(np.argmin(loss)) and abs(s - weights[k] / sum(weights)) < 1e-9
+
+
+def test_language_of_odd_rows(spark, monkeypatch):
+    rows = [(i, ("the cat sat on the mat " if i % 2 else "der hund ging in den wald ") * 3, "en" if i % 2 else "de", "clash") for i in range(60)] + [(None, "the cat", None, "clash"), (3, "the cat sat", "en", "clash")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    model = langid.train(docs)
+    got = langid.identify(docs, model).collect()
+    assert len(got) == 62 and {(r.lang, r.lang_pred) for r in got} == {("en", "en"), ("de", "de"), (None, "en")}
+    mixed = langid.identify(spark.createDataFrame([(1, "x q"), (2, "the der")], "doc_id long, text string"), model).collect()
+    assert all(0 <= r.score <= 1 and r.ambiguous == (0 < r.score < langid.CLEAR) for r in mixed)
+    monkeypatch.setattr(langid, "MOST_LANGS", 1)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs)
+
+
+def test_personal_data_beyond_the_base(spark):
+    texts = ["iban DE89 3704 0044 0532 0130 00 and GB82 WEST 1234 5698 7654 32 but DE88370400440532013000", "ssn 219-09-9999, 219-09-9998 " + "x " * 60 + "version 123-45-6789", "x 4111 1111 1111 1111 x 4111111111111111", "a@b.cd a@b.cd"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    got: dict = {}
+    for r in pii.find_pii(rows).collect():
+        got.setdefault(r.doc_id, []).append([(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans])
+    assert all(a == b for a, b in got.values())
+    assert [x for x in got[0][0] if x[0] == "iban"] == [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert [x for x in got[1][0] if x[0] == "ssn"] == [("ssn", "219-09-9999"), ("ssn", "219-09-9998")]
+    assert [k for k, _ in got[3][0]] == ["email", "email"] and pii.find_pii(rows.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark):
+    """Each stage against a plain version, on rows with nulls, copies, a benchmark passage and personal data; also without any rows."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy(F.length("text").desc()).first().text
+    given = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' AND n_chars BETWEEN 300 AND 900").orderBy("doc_id").limit(12).collect()]
+    long = " ".join(f"{w} {i}" for i, w in enumerate(given[0].split()))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(given[1:])] + [(50, long, None, "s", None), (51, long + " end", "en", "s", 1), (52, long, "en", None, 1), (53, given[1] + " " + item, "en", "s", 1)]
+    rows += [(54, None, "en", "s", None), (55, "", None, None, 0), (56, "12 34 %", "en", "s", 7), (57, "write to a.b@c.de " + given[2][:200], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("spans", F.lit("clash")).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = by_id(stages["language"](spark, docs, sf))
+    assert set(kept) == {r[0] for r in rows} - {54, 55, 56} and kept[50].lang is not None and kept[50].text == long
+    five = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").translate(LOWER).split()] for i in range(max(1, len(w) - 4) if w else 0)}
+    sets = {r[0]: five(r[1]) for r in rows}
+    label = {i: i for i in sets}
+    for _ in rows:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = min(label[a], label[b])
+    assert set(by_id(stages["near_duplicates"](spark, docs, sf))) == {i for i in sets if label[i] == i}
+    assert {51, 52}.isdisjoint({i for i in sets if label[i] == i})
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    hit = {r[0] for r, (_, n, _) in zip(rows, phrases([r[1] for r in rows], items), strict=True) if n}
+    assert 53 in hit and set(by_id(stages["benchmark"](spark, docs, sf))) == {r[0] for r in rows} - hit
+    masked = by_id(stages["personal_data"](spark, docs, sf))
+    assert len(masked) == len(rows) and masked[57].text.startswith("write to [EMAIL] ") and masked[54].text is None and masked[0].text == rows[0][1]
+    packed = stages["packing"](spark, docs, sf).collect()
+    assert {r.doc_id for r in packed} == {r[0] for r in rows} and all(len(r.ids) == 4 * r.length for r in packed)
+    none = docs.where("doc_id < 0")
+    assert all(f(spark, none, sf).count() == 0 for f in stages.values())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
