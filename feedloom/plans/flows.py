@@ -279,6 +279,21 @@ LISTS = """SELECT concat('http://h', c, '.example/list/p', p) AS url, c AS crawl
 CASE WHEN p = 3 THEN 'p0' ELSE concat('p', p + 1) END, '">next</a></html>') AS html FROM (SELECT n_nationkey % 5 AS c, CAST(floor(n_nationkey / 5) AS INT) AS p FROM nation WHERE n_nationkey < 20) x"""
 
 
+@query(
+    "list_detail_join",
+    """SELECT c AS crawl, concat('http://h', c, '.example/list/p', greatest(d - 1, 0)) AS list_url, CAST(CASE WHEN d = 0 THEN 0 ELSE 1 END AS INT) AS pos, concat('http://h', c, '.example/d/', d) AS url, concat('D', d) AS title
+FROM (SELECT n_nationkey % 5 AS c, CAST(floor(n_nationkey / 5) AS INT) AS d FROM nation) x""",
+)
+def _(v: View) -> DataFrame:
+    """The items of all list pages, each once per crawl where it stands first, with their details' titles."""
+    lists = v("nation").sparkSession.sql(LISTS.replace("FROM nation", "FROM {nation}"), nation=v("nation"))
+    placed = lists.withColumn("round", F.substr("url", F.length("url"), F.lit(1)).cast("int"))
+    details = v("nation").selectExpr("concat('http://h', n_nationkey % 5, '.example/d/', CAST(floor(n_nationkey / 5) AS INT)) AS url", "concat('<h1>D', CAST(floor(n_nationkey / 5) AS INT), '</h1>') AS html")
+    found = crawl.list_items(placed, "li.item")
+    records = crawl.list_records(found, details, extract.PageConfig(title="h1", content="p"))
+    return found.join(records.select("url", "title"), "url").select("crawl", "list_url", "pos", "url", "title")
+
+
 @query(
     "list_crawl",
     """SELECT c AS crawl, CAST(CASE WHEN d = 0 THEN 0 ELSE d - 1 END AS INT) AS round, concat('http://h', c, '.example/d/', d) AS url, concat('D', d) AS title
