@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import expr
 from feedloom.operators import scheduling, upsert
 from feedloom.sources import extract
-from feedloom.streaming.upsert_stream import upsert_stream, writer
+from feedloom.streaming.upsert_stream import current, upsert_stream, writer
 
 
 def test_cron_in_a_zone():
@@ -26,6 +26,10 @@ def test_stream_equals_batch(spark, tmp_path):
         rows.where(f"seq >= {20 * k} AND seq < {20 * k + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     upsert_stream(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    state = {(r.external_id, r.content_hash, r.seq) for r in current(spark, str(tmp_path / "out"), rows.schema).collect()}
+    assert state == {(r.external_id, r.content_hash, r.seq) for r in upsert.current_state(rows).collect()}
+    touched = spark.read.parquet(str(tmp_path / "out" / "log")).groupBy("batch").count().collect()
+    assert all(r["count"] <= 5 for r in touched)  # five keys: at most five buckets are rewritten
     got = spark.read.parquet(str(tmp_path / "out" / "outcomes")).groupBy("outcome").count().collect()
     assert {r["outcome"]: r["count"] for r in got} == {r["outcome"]: r["count"] for r in upsert.outcomes(rows).groupBy("outcome").count().collect()}
 
