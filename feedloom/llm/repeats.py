@@ -46,6 +46,8 @@ from .words import BYTE, mix
 SPAN, K = 50, 24
 #: Distinct segments of a key, summed over blocks, beyond which its windows are dealt one by one.
 HOT = 20_000
+#: Texts whose windows are hashed at once; some ten arrays of eight bytes for each of theirs stand beside them.
+BATCH_BYTES = 1_500_000
 FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 INVERSE = np.uint64(pow(int(FACTOR), -1, 2**64))
 NONE = np.iinfo(np.int64).max
@@ -139,10 +141,10 @@ def answers(path: str, block: int) -> list[dict[str, Any]]:
 
 
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[pa.RecordBatch, Segments]]]]:
-    """Each block and its texts' segments, a few MB at a time."""
+    """Each block and its texts' segments, BATCH_BYTES at a time."""
 
     def parts() -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches, "text"):
+        for batch in text_batches(batches, "text", BATCH_BYTES):
             blocks = batch.column("block").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -422,6 +424,7 @@ class Passes:
             _, at, n = np.unique(keys[first], return_inverse=True, return_counts=True)
             mixed = np.flatnonzero(n[at] > 1) if len(distinct) else np.zeros(0, np.int64)  # keys with several segments: their windows may be equal in part
             tree = interval_tree([data[stops[i] - sizes[i] : stops[i]] for i in first[mixed].tolist()])
+            del data
             windows: dict[int, np.ndarray] = {}
             text, place, low = repeated_windows(tree, least[mixed])
             order = np.argsort(text, kind="stable")
