@@ -386,7 +386,9 @@ class Passes:
         def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, parts in by_block(batches):
                 mine, hot = known_keys(keys_path, block)
-                frames, texts = [], {}
+                frames: list[pd.DataFrame] = []
+                raws: list[bytes] = []
+                before = 0  # bytes of the block's earlier batches
                 hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for batch, s in parts:
                     ids = ids_of(batch)[s.text]
@@ -398,17 +400,14 @@ class Passes:
                     hashes.append(window)
                     owners.append(owner)
                     use = np.flatnonzero(use & ~busy)
-                    frame = pd.DataFrame({"key": s.keys[use], "name": s.name()[use], "doc": ids[use], "at": s.start[use], "size": s.size[use]})
-                    frames.append(frame.groupby(["key", "name"], as_index=False)["doc"].min())
-                    raw = s.data.tobytes()
-                    once = frame.drop_duplicates("name")
-                    for name, a, n in zip(once["name"].tolist(), once["at"].tolist(), once["size"].tolist(), strict=True):
-                        if name not in texts:
-                            texts[name] = raw[a : a + n + SPAN - 1]
-                every = pd.concat(frames).groupby(["key", "name"], as_index=False)["doc"].min()
+                    frames.append(first_segments(pd.DataFrame({"key": s.keys[use], "name": s.name()[use], "doc": ids[use], "at": before + s.start[use], "size": s.size[use]})))
+                    raws.append(s.data.tobytes())
+                    before += len(s.data)
+                every, whole = first_segments(pd.concat(frames)), b"".join(raws)
                 names, docs, keys = every["name"].to_numpy(np.uint64), every["doc"].to_numpy(np.int64), every["key"].to_numpy(np.uint64)
+                starts, stops = every["at"].to_numpy(), (every["at"] + every["size"]).to_numpy() + SPAN - 1
                 for b, x in split(keys, buckets):
-                    held = [texts[n] for n in names[x].tolist()]
+                    held = [whole[a:z] for a, z in zip(starts[x].tolist(), stops[x].tolist(), strict=True)]
                     yield message(ddl, {"bucket": b, "block": block, "keys": keys[x], "names": names[x], "docs": docs[x], "sizes": np.array([len(t) for t in held], np.int32), "texts": b"".join(held)})
                 window, owner = least_by(np.concatenate(hashes), np.concatenate(owners))
                 for b, x in split(window, buckets):
@@ -455,6 +454,13 @@ class Passes:
         self.kept(self.rows.mapInArrow(tell, ddl).groupBy("bucket").applyInPandas(least_documents, "block long, " + ", ".join(f"{f} binary" for f in fields)), self.answers)
 
 
+def first_segments(frame: pd.DataFrame) -> pd.DataFrame:
+    """Each distinct segment once, by key and name, with its least document and a place where its bytes are."""
+    order = np.lexsort((frame["doc"], frame["name"], frame["key"]))
+    frame = frame.take(order)
+    return frame[~frame.duplicated(["key", "name"])]
+
+
 def known_keys(path: str, block: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's keys that several documents have, sorted, and which of them are hot."""
     told = answers(path, block)
