@@ -52,7 +52,8 @@ head("recent_runs", "runs_v", "task_id, source_id, final_status, rows_added, fin
 
 @query(
     "schedule_overview",
-    "SELECT schedule_id, source_id, fetcher, s.enabled AS enabled, next_run_at FROM schedules_v s JOIN (SELECT source_id, fetcher FROM sources_v) x USING (source_id)"
+    """SELECT schedule_id, source_id, fetcher, s.enabled AS enabled, next_run_at FROM schedules_v s JOIN (SELECT source_id, fetcher
+    FROM sources_v) x USING (source_id)"""
     " ORDER BY s.enabled DESC, next_run_at NULLS LAST, schedule_id LIMIT 500",
 )
 def _(v: View) -> DataFrame:
@@ -66,13 +67,15 @@ def _(v: View) -> DataFrame:
     return v("sources_v").orderBy(F.col("source_id").asc_nulls_last()).select("source_id", "fetcher", "sink", "enabled", "managed_by")
 
 
-@query("last_24h", f"SELECT count(*) AS total, count(*) FILTER (WHERE final_status = 'succeeded') AS succeeded, count(*) FILTER (WHERE final_status = 'dead') AS dead, COALESCE(sum(rows_added), 0)::BIGINT AS rows_added FROM runs_v WHERE finished_at >= {NOW_SQL} - INTERVAL '24 hours'")
+@query("last_24h", f"""SELECT count(*) AS total, count(*) FILTER (WHERE final_status = 'succeeded') AS succeeded, count(*) FILTER (WHERE final_status = 'dead') AS dead, COALESCE(sum(rows_added), 0)::BIGINT AS rows_added
+    FROM runs_v WHERE finished_at >= {NOW_SQL} - INTERVAL '24 hours'""")
 def _(v: View) -> DataFrame:
     day = v("runs_v").where(F.col("finished_at") >= now() - F.expr("INTERVAL '24' HOUR"))
     return day.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("final_status") == "succeeded").alias("succeeded"), F.count_if(F.col("final_status") == "dead").alias("dead"), F.coalesce(F.sum("rows_added"), F.lit(0)).alias("rows_added"))
 
 
-@query("resource_summary", f"SELECT count(*) AS total, count(*) FILTER (WHERE observed_at >= {NOW_SQL} - INTERVAL '24 hours') AS fresh, max(observed_at) AS latest FROM records_v")
+@query("resource_summary", f"""SELECT count(*) AS total, count(*) FILTER (WHERE observed_at >= {NOW_SQL} - INTERVAL '24 hours') AS fresh, max(observed_at) AS latest
+    FROM records_v""")
 def _(v: View) -> DataFrame:
     return v("records_v").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("observed_at") >= now() - F.expr("INTERVAL '24' HOUR")).alias("fresh"), F.max("observed_at").alias("latest"))
 
@@ -82,18 +85,21 @@ def _(v: View) -> DataFrame:
     return v("records_v").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("observed_at").alias("latest")).orderBy(F.desc("n"), "kind").limit(20)
 
 
-@query("worker_load", "SELECT node_id, max_concurrency, COALESCE(sum(t.slot_cost), 0)::BIGINT AS used FROM workers_v LEFT JOIN (SELECT * FROM tasks_v WHERE status = 'running') t ON locked_by = node_id GROUP BY node_id, max_concurrency")
+@query("worker_load", """SELECT node_id, max_concurrency, COALESCE(sum(t.slot_cost), 0)::BIGINT AS used FROM workers_v LEFT JOIN (SELECT * FROM tasks_v
+    WHERE status = 'running') t ON locked_by = node_id GROUP BY node_id, max_concurrency""")
 def _(v: View) -> DataFrame:
     used = v("tasks_v").where("status = 'running'").groupBy(F.col("locked_by").alias("node_id")).agg(F.sum("slot_cost").alias("used"))
     return v("workers_v").select("node_id", "max_concurrency").join(used, "node_id", "left").fillna(0, ["used"])
 
 
-@query("running_backfill_slots", "SELECT locked_by AS node_id, COALESCE(sum(slot_cost), 0)::BIGINT AS slots FROM tasks_v WHERE status = 'running' AND workload = 'backfill' GROUP BY locked_by")
+@query("running_backfill_slots", """SELECT locked_by AS node_id, COALESCE(sum(slot_cost), 0)::BIGINT AS slots FROM tasks_v WHERE status = 'running'
+    AND workload = 'backfill' GROUP BY locked_by""")
 def _(v: View) -> DataFrame:
     return v("tasks_v").where("status = 'running' AND workload = 'backfill'").groupBy(F.col("locked_by").alias("node_id")).agg(F.coalesce(F.sum("slot_cost"), F.lit(0)).alias("slots"))
 
 
-@query("metrics_lines", "SELECT 'feedloom_tasks{status=\"' || status || '\"} ' || count(*) AS line FROM tasks_v GROUP BY status UNION ALL SELECT 'feedloom_workers{state=\"' || effective_state || '\"} ' || count(*) FROM workers_v GROUP BY effective_state")
+@query("metrics_lines", """SELECT 'feedloom_tasks{status=\"' || status || '\"} ' || count(*) AS line FROM tasks_v GROUP BY status UNION ALL
+    SELECT 'feedloom_workers{state=\"' || effective_state || '\"} ' || count(*) FROM workers_v GROUP BY effective_state""")
 def _(v: View) -> DataFrame:
     line = lambda df, metric, label, by: df.groupBy(by).count().select(F.format_string(f'{metric}{{{label}="%s"}} %d', by, "count").alias("line"))
     return line(v("tasks_v"), "feedloom_tasks", "status", "status").unionByName(line(v("workers_v"), "feedloom_workers", "state", "effective_state"))
@@ -102,23 +108,30 @@ def _(v: View) -> DataFrame:
 ABLE = "EXISTS (SELECT 1 FROM workers_v w WHERE w.effective_state = 'online' AND list_contains(string_split(w.queues_csv, ','), t.queue) AND list_has_all(string_split(w.caps_csv, ','), string_split(t.caps_csv, ',')))"
 
 
-@query("stuck_tasks", f"SELECT id, source_id, queue, CASE WHEN caps_csv = '' THEN 'unroutable' ELSE 'no_capable_worker' END AS reason FROM tasks_v t WHERE status IN ('pending', 'retry') AND (caps_csv = '' OR NOT {ABLE}) ORDER BY created_at, id LIMIT 200")
+@query("stuck_tasks", f"""SELECT id, source_id, queue, CASE WHEN caps_csv = '' THEN 'unroutable' ELSE 'no_capable_worker' END AS reason FROM tasks_v t
+    WHERE status IN ('pending', 'retry') AND (caps_csv = '' OR NOT {ABLE}) ORDER BY created_at, id LIMIT 200""")
 def _(v: View) -> DataFrame:
     return scheduling.stuck_tasks(v("tasks_v"), v("workers_v")).select("id", "source_id", "queue", "reason")
 
 
 # scheduling
-@query("due_schedules", f"SELECT schedule_id, source_id, next_run_at FROM schedules_v JOIN (SELECT source_id FROM sources_v WHERE enabled) s USING (source_id) WHERE enabled AND active_task_id IS NULL AND next_run_at <= {NOW_SQL} ORDER BY next_run_at, schedule_id LIMIT 500")
+@query("due_schedules", f"""SELECT schedule_id, source_id, next_run_at FROM schedules_v JOIN (SELECT source_id FROM sources_v
+    WHERE enabled) s USING (source_id) WHERE enabled AND active_task_id IS NULL AND next_run_at <= {NOW_SQL}
+    ORDER BY next_run_at, schedule_id LIMIT 500""")
 def _(v: View) -> DataFrame:
     return scheduling.due_schedules(v("schedules_v"), v("sources_v"), AS_OF).select("schedule_id", "source_id", "next_run_at")
 
 
-@query("dedupe_registration", "SELECT DISTINCT n.key AS dedupe_key FROM (SELECT concat('task:', o_orderkey * 2) AS key FROM orders) n WHERE n.key NOT IN (SELECT dedupe_key FROM tasks_v UNION ALL SELECT dedupe_key FROM runs_v)")
+@query("dedupe_registration", """SELECT DISTINCT n.key AS dedupe_key FROM (SELECT concat('task:', o_orderkey * 2) AS key FROM orders) n
+    WHERE n.key NOT IN (SELECT dedupe_key FROM tasks_v UNION ALL SELECT dedupe_key FROM runs_v)""")
 def _(v: View) -> DataFrame:
     return scheduling.not_registered(v("orders").select(F.concat(F.lit("task:"), F.col("o_orderkey") * 2).alias("dedupe_key")), v("tasks_v"), v("runs_v"))
 
 
-@query("reconcile_sources", "SELECT COALESCE(c.source_id, s.source_id) AS source_id, CASE WHEN s.source_id IS NULL THEN 'insert' WHEN c.source_id IS NULL AND s.managed_by = 'config' THEN 'retire' WHEN c.source_id IS NULL THEN 'keep' ELSE 'update' END AS action FROM (SELECT * FROM sources_v WHERE n % 4 <> 0) c FULL JOIN (SELECT * FROM sources_v WHERE n % 5 <> 0) s ON c.source_id = s.source_id WHERE COALESCE(c.source_id, s.source_id) IS NOT NULL")
+@query("reconcile_sources", """SELECT COALESCE(c.source_id, s.source_id) AS source_id, CASE WHEN s.source_id IS NULL THEN 'insert' WHEN c.source_id IS NULL
+    AND s.managed_by = 'config' THEN 'retire' WHEN c.source_id IS NULL THEN 'keep' ELSE 'update' END AS action FROM (SELECT *
+    FROM sources_v WHERE n % 4 <> 0) c FULL JOIN (SELECT * FROM sources_v WHERE n % 5 <> 0) s ON c.source_id = s.source_id
+    WHERE COALESCE(c.source_id, s.source_id) IS NOT NULL""")
 def _(v: View) -> DataFrame:
     config, stored = v("sources_v").where("n % 4 <> 0").select("source_id", F.lit(True).alias("c")), v("sources_v").where("n % 5 <> 0").select("source_id", "managed_by")
     action = F.when(F.col("managed_by").isNull(), "insert").when(F.col("c").isNull() & (F.col("managed_by") == "config"), "retire").when(F.col("c").isNull(), "keep").otherwise("update")
@@ -135,12 +148,15 @@ def _(v: View) -> DataFrame:
     return v("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("hash_spread", "SELECT source_id, sha256(source_id)[1:16] AS hash16, list_reduce(list_transform(range(1, 65), lambda i: CAST(instr('0123456789abcdef', substr(sha256(source_id), i, 1)) - 1 AS BIGINT)), lambda a, d: (a * 16 + d) % 60) AS spread FROM sources_v")
+@query("hash_spread", """SELECT source_id, sha256(source_id)[1:16] AS hash16, list_reduce(list_transform(range(1, 65), lambda i: CAST(instr('0123456789abcdef', substr(sha256(source_id), i, 1)) - 1 AS BIGINT)), lambda a, d: (a * 16 + d) % 60) AS spread
+    FROM sources_v""")
 def _(v: View) -> DataFrame:
     return v("sources_v").select("source_id", F.left(F.sha2("source_id", 256), F.lit(16)).alias("hash16"), expr.hash_modulo(F.col("source_id"), 60).alias("spread"))
 
 
-@query("backfill_windows", "SELECT source_id, w AS window_start, least(hi, w + INTERVAL '604800 seconds') AS window_end FROM (SELECT source_id, hi, unnest(generate_series(lo, hi, INTERVAL '604800 seconds')) AS w FROM (SELECT source_id, min(created_at) AS lo, max(created_at) AS hi FROM tasks_v GROUP BY source_id)) WHERE w < hi")
+@query("backfill_windows", """SELECT source_id, w AS window_start, least(hi, w + INTERVAL '604800 seconds') AS window_end
+    FROM (SELECT source_id, hi, unnest(generate_series(lo, hi, INTERVAL '604800 seconds')) AS w
+    FROM (SELECT source_id, min(created_at) AS lo, max(created_at) AS hi FROM tasks_v GROUP BY source_id)) WHERE w < hi""")
 def _(v: View) -> DataFrame:
     ranges = v("tasks_v").groupBy("source_id").agg(F.min("created_at").alias("range_start"), F.max("created_at").alias("range_end"))
     return scheduling.backfill_windows(ranges, 604_800).select("source_id", "window_start", "window_end")
@@ -148,8 +164,10 @@ def _(v: View) -> DataFrame:
 
 @query(
     "batch_progress",
-    """SELECT b.id AS id, any_value(total_tasks) AS total, count(r.batch_id) AS completed, count(r.batch_id) FILTER (WHERE final_status IN ('partial', 'dead')) AS failed,
-       CASE WHEN count(r.batch_id) = 0 OR count(r.batch_id) < any_value(total_tasks) THEN any_value(b.status) WHEN bool_or(final_status IN ('partial', 'dead')) THEN 'partial' ELSE 'completed' END AS status
+    """SELECT b.id AS id, any_value(total_tasks) AS total, count(r.batch_id) AS completed, count(r.batch_id) FILTER (WHERE final_status
+    IN ('partial', 'dead')) AS failed,
+       CASE WHEN count(r.batch_id) = 0 OR count(r.batch_id) < any_value(total_tasks) THEN any_value(b.status)
+    WHEN bool_or(final_status IN ('partial', 'dead')) THEN 'partial' ELSE 'completed' END AS status
 FROM totals_v b LEFT JOIN runs_v r ON r.batch_id = b.id GROUP BY b.id""",
 )
 def _(v: View) -> DataFrame:
@@ -183,9 +201,12 @@ budget AS (SELECT node_id, greatest(max_concurrency - COALESCE(sum(slot_cost), 0
 # the workers run a part of the running tasks, so that slots are left to claim
 @query(
     "claim_greedy",
-    f"""WITH RECURSIVE {OFFERED}, walk AS (SELECT node_id, CAST(0 AS BIGINT) AS id, CAST(0 AS INT) AS slot_cost, CAST(0 AS BIGINT) AS n, slots AS rem, quota AS q, false AS took FROM budget UNION ALL
-SELECT c.node_id, c.id, c.slot_cost, c.n, CASE WHEN x.ok THEN w.rem - c.slot_cost ELSE w.rem END, CASE WHEN x.ok AND c.workload = 'backfill' THEN w.q - c.slot_cost ELSE w.q END, x.ok
-FROM walk w JOIN cand c ON c.node_id = w.node_id AND c.n = w.n + 1, LATERAL (SELECT c.slot_cost <= w.rem AND (c.workload <> 'backfill' OR c.slot_cost <= w.q) AS ok) x WHERE c.n <= 200)
+    f"""WITH RECURSIVE {OFFERED}, walk AS (SELECT node_id, CAST(0 AS BIGINT) AS id, CAST(0 AS INT) AS slot_cost, CAST(0 AS BIGINT) AS n, slots AS rem, quota AS q, false AS took
+    FROM budget UNION ALL
+SELECT c.node_id, c.id, c.slot_cost, c.n, CASE WHEN x.ok THEN w.rem - c.slot_cost ELSE w.rem END, CASE WHEN x.ok
+    AND c.workload = 'backfill' THEN w.q - c.slot_cost ELSE w.q END, x.ok
+FROM walk w JOIN cand c ON c.node_id = w.node_id AND c.n = w.n + 1, LATERAL (SELECT c.slot_cost <= w.rem
+    AND (c.workload <> 'backfill' OR c.slot_cost <= w.q) AS ok) x WHERE c.n <= 200)
 SELECT node_id, id, slot_cost, CAST(n AS INT) AS n FROM walk WHERE took""",
 )
 def _(v: View) -> DataFrame:
@@ -197,12 +218,17 @@ def _(v: View) -> DataFrame:
 # one worker with resources: a task needs none, one of three a, the one b (a lease holds the second slot of a), or both
 @query(
     "claim_worker",
-    f"""WITH RECURSIVE {CLAIM}, own AS (SELECT c.n, c.id, c.slot_cost, t.need IN (1, 3) AS a, t.need IN (2, 3) AS b FROM cand c JOIN leased_v t USING (id) WHERE c.node_id = 'n-5' AND c.n <= 200),
-walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS id, CAST(0 AS INT) AS slot_cost, 9 AS rem, [2] AS ha, CAST([] AS INT[]) AS hb, false AS took, CAST(NULL AS INT) AS sa, CAST(NULL AS INT) AS sb UNION ALL
-SELECT o.n, o.id, o.slot_cost, CASE WHEN x.ok THEN w.rem - o.slot_cost ELSE w.rem END, CASE WHEN x.ok AND o.a THEN list_append(w.ha, x.fa) ELSE w.ha END, CASE WHEN x.ok AND o.b THEN list_append(w.hb, x.fb) ELSE w.hb END, x.ok,
+    f"""WITH RECURSIVE {CLAIM}, own AS (SELECT c.n, c.id, c.slot_cost, t.need IN (1, 3) AS a, t.need IN (2, 3) AS b FROM cand c
+    JOIN leased_v t USING (id) WHERE c.node_id = 'n-5' AND c.n <= 200),
+walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS id, CAST(0 AS INT) AS slot_cost, 9 AS rem, [2] AS ha, CAST([] AS INT[]) AS hb, false AS took, CAST(NULL AS INT) AS sa, CAST(NULL AS INT) AS sb
+    UNION ALL
+SELECT o.n, o.id, o.slot_cost, CASE WHEN x.ok THEN w.rem - o.slot_cost ELSE w.rem END, CASE WHEN x.ok
+    AND o.a THEN list_append(w.ha, x.fa) ELSE w.ha END, CASE WHEN x.ok AND o.b THEN list_append(w.hb, x.fb) ELSE w.hb END, x.ok,
   CASE WHEN x.ok AND o.a THEN x.fa END, CASE WHEN x.ok AND o.b THEN x.fb END
-FROM walk w JOIN own o ON o.n = w.n + 1, LATERAL (SELECT *, o.slot_cost <= w.rem AND (NOT o.a OR fa IS NOT NULL) AND (NOT o.b OR fb IS NOT NULL) AS ok
-  FROM (SELECT CASE WHEN NOT list_contains(w.ha, 1) THEN 1 WHEN NOT list_contains(w.ha, 2) THEN 2 WHEN NOT list_contains(w.ha, 3) THEN 3 END AS fa, CASE WHEN NOT list_contains(w.hb, 1) THEN 1 END AS fb)) x)
+FROM walk w JOIN own o ON o.n = w.n + 1, LATERAL (SELECT *, o.slot_cost <= w.rem AND (NOT o.a OR fa IS NOT NULL)
+    AND (NOT o.b OR fb IS NOT NULL) AS ok
+  FROM (SELECT CASE WHEN NOT list_contains(w.ha, 1) THEN 1 WHEN NOT list_contains(w.ha, 2) THEN 2
+    WHEN NOT list_contains(w.ha, 3) THEN 3 END AS fa, CASE WHEN NOT list_contains(w.hb, 1) THEN 1 END AS fb)) x)
 SELECT id, slot_cost, CAST(n AS INT) AS n, concat_ws(',', 'a=' || sa, 'b=' || sb) AS leases FROM walk WHERE took""",
 )
 def _(v: View) -> DataFrame:
@@ -215,7 +241,9 @@ def _(v: View) -> DataFrame:
     return taken.select("id", "slot_cost", "n", F.array_join(F.transform("leases", lambda x: F.concat_ws("=", x["key"], x["slot"].cast("string"))), ",").alias("leases"))
 
 
-@query("free_slot", f"SELECT k AS resource_key, CAST(min(s) AS INT) AS slot FROM (SELECT k, unnest(range(1, 6)) AS s FROM (SELECT DISTINCT resource_key AS k FROM leases_v)) x WHERE NOT EXISTS (SELECT 1 FROM leases_v l WHERE l.resource_key = k AND l.slot = s AND l.expires_at > {NOW_SQL}) GROUP BY k")
+@query("free_slot", f"""SELECT k AS resource_key, CAST(min(s) AS INT) AS slot FROM (SELECT k, unnest(range(1, 6)) AS s
+    FROM (SELECT DISTINCT resource_key AS k FROM leases_v)) x WHERE NOT EXISTS (SELECT 1 FROM leases_v l WHERE l.resource_key = k
+    AND l.slot = s AND l.expires_at > {NOW_SQL}) GROUP BY k""")
 def _(v: View) -> DataFrame:
     return scheduling.free_slots(v("leases_v").select("resource_key").distinct().withColumn("capacity", F.lit(5)), v("leases_v"), AS_OF)
 
@@ -226,19 +254,23 @@ query("resource_entries", "SELECT task_id, string_agg(resource_key || '=' || slo
 )
 
 
-@query("retry_decision", "SELECT task_id, COALESCE(error_class IN ('transient', 'rate_limited', 'timeout', 'network', 'unknown') AND attempts < 3, false) AS retry, least(3600.0::DOUBLE, 30 * pow(2.0, greatest(attempts - 1, 0))) AS delay FROM runs_v WHERE final_status = 'dead'")
+@query("retry_decision", """SELECT task_id, COALESCE(error_class IN ('transient', 'rate_limited', 'timeout', 'network', 'unknown')
+    AND attempts < 3, false) AS retry, least(3600.0::DOUBLE, 30 * pow(2.0, greatest(attempts - 1, 0))) AS delay FROM runs_v
+    WHERE final_status = 'dead'""")
 def _(v: View) -> DataFrame:
     dead = v("runs_v").where("final_status = 'dead'")
     return dead.select("task_id", expr.retryable(F.col("error_class"), F.col("attempts"), F.lit(3)).alias("retry"), expr.retry_delay(F.col("attempts")).alias("delay"))
 
 
-@query("retry_after_parse", "SELECT task_id, CASE WHEN task_id % 3 = 0 THEN least(3600.0, attempts * 1000.0)::DOUBLE ELSE 30.0::DOUBLE END AS seconds FROM runs_v")
+@query("retry_after_parse", """SELECT task_id, CASE WHEN task_id % 3 = 0 THEN least(3600.0, attempts * 1000.0)::DOUBLE ELSE 30.0::DOUBLE END AS seconds
+    FROM runs_v""")
 def _(v: View) -> DataFrame:
     header = F.when(F.col("task_id") % 3 == 0, (F.col("attempts") * 1000).cast("string")).otherwise(F.lit("soon"))
     return v("runs_v").select("task_id", expr.retry_after_seconds(header, now(), 30.0).alias("seconds"))
 
 
-query("stale_tasks", f"SELECT id, attempts, {NOW_SQL} + INTERVAL '15 seconds' AS not_before FROM tasks_v WHERE status = 'running' AND locked_at < {NOW_SQL} - INTERVAL '180 seconds'")(
+query("stale_tasks", f"""SELECT id, attempts, {NOW_SQL} + INTERVAL '15 seconds' AS not_before FROM tasks_v WHERE status = 'running'
+    AND locked_at < {NOW_SQL} - INTERVAL '180 seconds'""")(
     lambda v: v("tasks_v").where((F.col("status") == "running") & (F.col("locked_at") < now() - F.expr("INTERVAL '180' SECOND"))).select("id", "attempts", (now() + F.expr("INTERVAL '15' SECOND")).alias("not_before"))
 )
 query("latest_heartbeat", "SELECT worker_id, max(finished_at) AS beat FROM runs_v GROUP BY worker_id")(lambda v: v("runs_v").groupBy("worker_id").agg(F.max("finished_at").alias("beat")))
@@ -247,18 +279,22 @@ query("offline_workers", "SELECT worker_id FROM runs_v GROUP BY worker_id HAVING
 )
 
 
-@query("complete_guard", "SELECT r.task_id AS task_id, CASE WHEN t.id IS NULL THEN 'lease_lost' ELSE 'accepted' END AS outcome FROM reports_v r LEFT JOIN leased_v t ON t.id = r.task_id AND t.lease_token = r.lease_token AND t.status = 'running'")
+@query("complete_guard", """SELECT r.task_id AS task_id, CASE WHEN t.id IS NULL THEN 'lease_lost' ELSE 'accepted' END AS outcome FROM reports_v r LEFT
+    JOIN leased_v t ON t.id = r.task_id AND t.lease_token = r.lease_token AND t.status = 'running'""")
 def _(v: View) -> DataFrame:
     return transitions.guarded(v("leased_v"), v("reports_v")).select("task_id", F.when(F.col("accepted"), "accepted").otherwise("lease_lost").alias("outcome"))
 
 
-@query("archive_runs", f"SELECT id AS task_id, dedupe_key, epoch_us({NOW_SQL}) / 1e6 - epoch_us(locked_at) / 1e6 AS duration_seconds FROM tasks_v t WHERE status = 'running' AND NOT EXISTS (SELECT 1 FROM runs_v r WHERE r.dedupe_key = t.dedupe_key)")
+@query("archive_runs", f"""SELECT id AS task_id, dedupe_key, epoch_us({NOW_SQL}) / 1e6 - epoch_us(locked_at) / 1e6 AS duration_seconds FROM tasks_v t
+    WHERE status = 'running' AND NOT EXISTS (SELECT 1 FROM runs_v r WHERE r.dedupe_key = t.dedupe_key)""")
 def _(v: View) -> DataFrame:
     micros = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
     return v("tasks_v").where("status = 'running'").join(v("runs_v").select("dedupe_key"), "dedupe_key", "left_anti").select(F.col("id").alias("task_id"), "dedupe_key", (micros(now()) - micros(F.col("locked_at"))).alias("duration_seconds"))
 
 
-@query("next_run", f"SELECT source_id, CASE WHEN schedule_type = 'interval' THEN {NOW_SQL} + schedule_seconds * INTERVAL '1 second' WHEN n > 10 THEN {NOW_SQL} + n * INTERVAL '1 hour' - INTERVAL '10 hours' END AS next_run_at FROM sources_v WHERE schedule_type <> 'cron'")
+@query("next_run", f"""SELECT source_id, CASE WHEN schedule_type = 'interval' THEN {NOW_SQL} + schedule_seconds * INTERVAL '1 second'
+    WHEN n > 10 THEN {NOW_SQL} + n * INTERVAL '1 hour' - INTERVAL '10 hours' END AS next_run_at FROM sources_v
+    WHERE schedule_type <> 'cron'""")
 def _(v: View) -> DataFrame:
     once = F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00' + n * INTERVAL '1' HOUR - INTERVAL '10' HOUR")
     rows = v("sources_v").where("schedule_type <> 'cron'")
@@ -280,14 +316,17 @@ def record_hash_sql(given: dict[str, str]) -> str:
     return f"sha256(concat({', '.join(part(c) for c in expr.HASHED)}))"
 
 
-OUTCOMES = "SELECT source_id, external_id, seq, CASE WHEN b IS NULL THEN 'added' WHEN b <> content THEN 'updated' ELSE 'duplicate' END AS outcome FROM (SELECT *, lag(content) OVER (PARTITION BY source_id, external_id ORDER BY seq) AS b FROM arrivals_v)"
+OUTCOMES = """SELECT source_id, external_id, seq, CASE WHEN b IS NULL THEN 'added' WHEN b <> content THEN 'updated'
+    ELSE 'duplicate' END AS outcome FROM (SELECT *, lag(content) OVER (PARTITION BY source_id, external_id ORDER BY seq) AS b
+    FROM arrivals_v)"""
 query("upsert_outcomes", f"SELECT source_id, outcome, count(*) AS n FROM ({OUTCOMES}) GROUP BY source_id, outcome")(
     lambda v: upsert.outcomes(hashed(v)).groupBy("source_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
 )
 query("current_state", "SELECT source_id, external_id, arg_max(content, seq) AS content, max(seq) AS seq FROM arrivals_v GROUP BY source_id, external_id")(
     lambda v: upsert.current_state(v("arrivals_v")).select("source_id", "external_id", "content", "seq")
 )
-query("version_history", f"SELECT source_id, external_id, {record_hash_sql({'content': 'content'})} AS content_hash, min(seq) AS seq FROM arrivals_v GROUP BY source_id, external_id, content")(
+query("version_history", f"""SELECT source_id, external_id, {record_hash_sql({'content': 'content'})} AS content_hash, min(seq) AS seq FROM arrivals_v
+    GROUP BY source_id, external_id, content""")(
     lambda v: upsert.version_history(hashed(v)).select("source_id", "external_id", "content_hash", "seq")
 )
 RECORD = {c: c for c in ("kind", "url", "title", "content", "content_type", "language")}
@@ -295,7 +334,10 @@ query("content_hash", f"SELECT source_id, external_id, {record_hash_sql(RECORD)}
 query("stable_id", "SELECT external_id, sha256(concat(source_id, '|', COALESCE(url, ''), '|', title)) AS stable_id FROM records_v")(lambda v: v("records_v").select("external_id", expr.stable_id(F.col("source_id"), F.col("url"), F.col("title")).alias("stable_id")))
 
 
-@query("checkpoint_merge", "SELECT COALESCE(f.source_id, s.source_id) AS source_id, COALESCE(f.checkpoint, s.checkpoint) AS checkpoint, COALESCE(f.etag, s.etag) AS etag, s.last_modified AS last_modified FROM (SELECT source_id, 'a' AS checkpoint, 'e' || n AS etag, 'm' AS last_modified FROM sources_v WHERE n % 2 = 0) s FULL JOIN (SELECT source_id, 'b' AS checkpoint, CASE WHEN n % 4 = 0 THEN 'new' END AS etag FROM sources_v WHERE n % 3 = 0) f ON s.source_id = f.source_id")
+@query("checkpoint_merge", """SELECT COALESCE(f.source_id, s.source_id) AS source_id, COALESCE(f.checkpoint, s.checkpoint) AS checkpoint, COALESCE(f.etag, s.etag) AS etag, s.last_modified AS last_modified
+    FROM (SELECT source_id, 'a' AS checkpoint, 'e' || n AS etag, 'm' AS last_modified FROM sources_v WHERE n % 2 = 0) s FULL
+    JOIN (SELECT source_id, 'b' AS checkpoint, CASE WHEN n % 4 = 0 THEN 'new' END AS etag FROM sources_v WHERE n % 3 = 0) f
+    ON s.source_id = f.source_id""")
 def _(v: View) -> DataFrame:
     s = v("sources_v")
     stored = s.where("n % 2 = 0").selectExpr("source_id", "'a' AS checkpoint", "concat('e', n) AS etag", "'m' AS last_modified")
@@ -306,9 +348,12 @@ query("changed_sources_only", "SELECT source_id FROM sources_v WHERE NOT (n % 3
     lambda v: v("sources_v").select("source_id", F.concat(F.lit("v"), F.col("n") % 2).alias("etag")).join(v("sources_v").where("n % 3 = 0").select("source_id", F.lit("v0").alias("etag")), ["source_id", "etag"], "left_anti").select("source_id")
 )
 query("asset_upsert", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")(lambda v: v("events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value")))
-query("asset_path", "SELECT page_id, COALESCE(NULLIF(substr(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 1, 100), ''), sha256(url)[1:20]) AS segment FROM pages")(lambda v: v("pages").select("page_id", expr.path_segment(F.col("url")).alias("segment")))
-query("micro_batches", "SELECT source_id, CAST((rn - 1) // 100 AS INT) AS flush, count(*) AS n FROM (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY seq) AS rn FROM records_v) GROUP BY ALL")(lambda v: extract.micro_batches(v("records_v")).groupBy("source_id", "flush").agg(F.count(F.lit(1)).alias("n")))
-query("fetch_counters", "SELECT source_id, count(*) AS seen, CAST(sum(length(content)) AS BIGINT) AS characters, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes FROM records_v GROUP BY source_id")(
+query("asset_path", """SELECT page_id, COALESCE(NULLIF(substr(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 1, 100), ''), sha256(url)[1:20]) AS segment
+    FROM pages""")(lambda v: v("pages").select("page_id", expr.path_segment(F.col("url")).alias("segment")))
+query("micro_batches", """SELECT source_id, CAST((rn - 1) // 100 AS INT) AS flush, count(*) AS n
+    FROM (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY seq) AS rn FROM records_v) GROUP BY ALL""")(lambda v: extract.micro_batches(v("records_v")).groupBy("source_id", "flush").agg(F.count(F.lit(1)).alias("n")))
+query("fetch_counters", """SELECT source_id, count(*) AS seen, CAST(sum(length(content)) AS BIGINT) AS characters, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes
+    FROM records_v GROUP BY source_id""")(
     lambda v: v("records_v").groupBy("source_id").agg(F.count(F.lit(1)).alias("seen"), F.sum(F.length("content")).alias("characters"), F.sum(F.octet_length("content")).alias("bytes"))
 )
 
@@ -319,21 +364,25 @@ HREFS = "(SELECT page_id, h, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS
 query("page_extract", f"SELECT CAST(page_id AS VARCHAR) AS external_id, url, title, content FROM {PAGES}")(lambda v: extract.pages_to_records(v("pages")))
 query("link_explode", f"SELECT page_id, CAST(pos AS INT) AS pos, href FROM {HREFS} WHERE pos < 5")(lambda v: extract.links(v("pages"), 5))
 query("page_assets", f"SELECT page_id, CAST(pos AS INT) AS pos, sha256(href)[1:12] AS asset_key FROM {HREFS}")(lambda v: extract.links(v("pages")).select("page_id", "pos", F.left(F.sha2("href", 256), F.lit(12)).alias("asset_key")))
-query("fulltext_enrich", f"SELECT p.page_id AS page_id, CASE WHEN length(content) > length(substr(title, 1, 20)) THEN content ELSE substr(title, 1, 20) END AS content FROM {PAGES} p")(
+query("fulltext_enrich", f"""SELECT p.page_id AS page_id, CASE WHEN length(content) > length(substr(title, 1, 20)) THEN content
+    ELSE substr(title, 1, 20) END AS content FROM {PAGES} p""")(
     lambda v: extract.enriched(extract.pages_to_records(v("pages")).select(F.col("external_id").cast("long").alias("page_id"), "url", F.left("title", F.lit(20)).alias("content")), extract.pages_to_records(v("pages"))).select("page_id", "content")
 )
 query("json_field_map", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")(lambda v: extract.json_records(v("events").select("event_id", F.concat(F.lit('{"data":['), "props", F.lit("]}")).alias("payload")), "payload", "$.data", {"k": "$.k"}))
-query("rss_items", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'id-' || page_id ELSE 'http://x/' || page_id END AS external_id, CASE WHEN page_id % 3 = 0 THEN 't' || page_id ELSE 'd' END AS content, TIMESTAMP '2024-01-02 03:04:05' AS published_at FROM pages")(
+query("rss_items", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'id-' || page_id ELSE 'http://x/' || page_id END AS external_id, CASE
+    WHEN page_id % 3 = 0 THEN 't' || page_id ELSE 'd' END AS content, TIMESTAMP '2024-01-02 03:04:05' AS published_at FROM pages""")(
     lambda v: extract.rss_items(v("pages").selectExpr("page_id", "concat('<rss><channel><title>c</title><item><guid>', CASE WHEN page_id % 2 = 0 THEN concat('id-', page_id) ELSE '' END, '</guid><link>http://x/', page_id, '</link><title>t', page_id, '</title><description>', CASE WHEN page_id % 3 = 0 THEN '' ELSE 'd' END, '</description><pubDate>Tue, 2 Jan 2024 03:04:05 GMT</pubDate></item></channel></rss>') AS payload")).select("page_id", "external_id", "content", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
 )
 query("sitemap_locs", "SELECT page_id, 'http://x/' || page_id AS loc, page_id % 2 = 0 AS is_index FROM pages")(
     lambda v: extract.sitemap_locs(v("pages").selectExpr("page_id", "concat(CASE WHEN page_id % 2 = 0 THEN '<sitemapindex><sitemap>' ELSE '<urlset><url>' END, '<loc> http://x/', page_id, ' </loc>', CASE WHEN page_id % 2 = 0 THEN '</sitemap></sitemapindex>' ELSE '</url></urlset>' END) AS payload")).select("page_id", "loc", "is_index")
 )
-query("external_id_coalesce", "SELECT seq, CASE WHEN seq % 2 = 0 THEN external_id WHEN title <> '' THEN title ELSE sha256(content) END AS external_id FROM records_v")(lambda v: v("records_v").select("seq", expr.first_filled(F.when(F.col("seq") % 2 == 0, F.col("external_id")).otherwise(""), F.col("title"), F.sha2("content", 256)).alias("external_id")))
+query("external_id_coalesce", """SELECT seq, CASE WHEN seq % 2 = 0 THEN external_id WHEN title <> '' THEN title ELSE sha256(content) END AS external_id
+    FROM records_v""")(lambda v: v("records_v").select("seq", expr.first_filled(F.when(F.col("seq") % 2 == 0, F.col("external_id")).otherwise(""), F.col("title"), F.sha2("content", 256)).alias("external_id")))
 query("attribute_map", "SELECT event_id, 'event_type=' || event_type || ',user_id=' || user_id AS attributes FROM events")(
     lambda v: v("events").select("event_id", F.map_filter(F.create_map(F.lit("event_type"), "event_type", F.lit("none"), F.lit(None).cast("string"), F.lit("user_id"), F.col("user_id").cast("string")), lambda k, x: x.isNotNull() & ~k.isin("external_id", "title")).alias("m")).select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("attributes"))
 )
-query("url_parts", "SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^([a-z]+://[^?#]*)', 1) AS redacted FROM pages")(
+query("url_parts", """SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^([a-z]+://[^?#]*)', 1) AS redacted
+    FROM pages""")(
     lambda v: v("pages").select("page_id", F.try_parse_url("url", F.lit("PROTOCOL")).alias("scheme"), F.try_parse_url("url", F.lit("HOST")).alias("host"), expr.redacted_url(F.col("url")).alias("redacted"))
 )
 query("content_type_filter", "SELECT event_id FROM events WHERE event_type IN ('click', 'view', 'error')")(
@@ -343,6 +392,7 @@ query("parse_time", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL E
     lambda v: v("orders").select("o_orderkey", expr.parse_time(F.expr("CASE o_orderkey % 3 WHEN 0 THEN date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") WHEN 1 THEN concat(date_format(o_orderdate, 'E, d MMM yyyy HH:mm:ss'), ' GMT') ELSE 'soon' END")).cast("timestamp_ntz").alias("t"))
 )
 query("capability_set", "SELECT source_id, CASE WHEN fetcher < 'sink:postgres' THEN fetcher || ',sink:postgres' END AS capabilities FROM sources_v")(lambda v: v("sources_v").select("source_id", F.array_join(F.array_sort(F.array_distinct(F.array("fetcher", F.concat(F.lit("sink:"), "sink"), "fetcher"))), ",").alias("capabilities")))
-query("contract_validation", "SELECT source_id, regexp_full_match(source_id, '[A-Za-z0-9][A-Za-z0-9_.:-]{0,191}') AND (schedule_type <> 'interval' OR schedule_seconds >= 600) AS valid FROM sources_v")(
+query("contract_validation", """SELECT source_id, regexp_full_match(source_id, '[A-Za-z0-9][A-Za-z0-9_.:-]{0,191}')
+    AND (schedule_type <> 'interval' OR schedule_seconds >= 600) AS valid FROM sources_v""")(
     lambda v: v("sources_v").select("source_id", (F.col("source_id").rlike("^[A-Za-z0-9][A-Za-z0-9_.:-]{0,191}$") & ((F.col("schedule_type") != "interval") | (F.col("schedule_seconds") >= 600))).alias("valid"))
 )

@@ -21,14 +21,22 @@ SPREAD = "list_reduce(list_transform(range(1, 65), lambda i: CAST(instr('0123456
 # schedules and tasks
 @query(
     "reconcile_transition",
-    f"""WITH c AS (SELECT source_id, n, concat('v', n % 2, ':', source_id) AS spec, enabled, schedule_type, schedule_seconds AS seconds, {NOW_SQL} + n * INTERVAL '1 hour' AS first_run_at FROM sources_v WHERE n % 4 <> 0),
-s AS (SELECT source_id, managed_by, n % 2 = 0 AS enabled, CASE WHEN n % 3 = 0 THEN sha256(concat('v', n % 2, ':', source_id))[1:16] ELSE 'old' END AS config_hash FROM sources_v WHERE n % 5 <> 0),
+    f"""WITH c AS (SELECT source_id, n, concat('v', n % 2, ':', source_id) AS spec, enabled, schedule_type, schedule_seconds AS seconds, {NOW_SQL} + n * INTERVAL '1 hour' AS first_run_at
+    FROM sources_v WHERE n % 4 <> 0),
+s AS (SELECT source_id, managed_by, n % 2 = 0 AS enabled, CASE
+    WHEN n % 3 = 0 THEN sha256(concat('v', n % 2, ':', source_id))[1:16] ELSE 'old' END AS config_hash FROM sources_v
+    WHERE n % 5 <> 0),
 k AS (SELECT source_id, next_run_at FROM schedules_v WHERE enabled AND source_id IN (SELECT source_id FROM s)),
-r AS (SELECT COALESCE(c.source_id, s.source_id) AS source_id, c.source_id IS NOT NULL AS listed, s.source_id IS NOT NULL AS stored, managed_by, sha256(spec)[1:16] AS new_hash, config_hash AS old_hash,
-  CASE WHEN c.source_id IS NOT NULL THEN c.enabled ELSE s.enabled AND managed_by <> 'config' END AS on_, schedule_type, seconds, first_run_at FROM c FULL JOIN s ON c.source_id = s.source_id)
-SELECT r.source_id AS source_id, CASE WHEN NOT stored THEN 'insert' WHEN listed AND old_hash = new_hash THEN 'same' WHEN listed THEN 'update' WHEN managed_by = 'config' THEN 'retire' ELSE 'keep' END AS action,
+r AS (SELECT COALESCE(c.source_id, s.source_id) AS source_id, c.source_id IS NOT NULL AS listed, s.source_id IS NOT NULL AS
+    stored, managed_by, sha256(spec)[1:16] AS new_hash, config_hash AS old_hash,
+  CASE WHEN c.source_id IS NOT NULL THEN c.enabled ELSE s.enabled
+    AND managed_by <> 'config' END AS on_, schedule_type, seconds, first_run_at FROM c FULL JOIN s ON c.source_id = s.source_id)
+SELECT r.source_id AS source_id, CASE WHEN NOT stored THEN 'insert' WHEN listed AND old_hash = new_hash THEN 'same'
+    WHEN listed THEN 'update' WHEN managed_by = 'config' THEN 'retire' ELSE 'keep' END AS action,
   COALESCE(new_hash, old_hash) AS config_hash, on_ AS enabled,
-  CASE WHEN on_ THEN COALESCE(k.next_run_at, CASE WHEN NOT listed THEN NULL WHEN schedule_type = 'interval' THEN {NOW_SQL} + {SPREAD.format('r.source_id', 'least(seconds, 60)')} * INTERVAL '1 second' ELSE first_run_at END) END AS next_run_at
+  CASE WHEN on_ THEN COALESCE(k.next_run_at, CASE WHEN NOT listed THEN NULL
+    WHEN schedule_type = 'interval' THEN {NOW_SQL} + {SPREAD.format('r.source_id', 'least(seconds, 60)')} * INTERVAL '1 second'
+    ELSE first_run_at END) END AS next_run_at
 FROM r LEFT JOIN k ON k.source_id = r.source_id""",
 )
 def _(v: View) -> DataFrame:
@@ -42,9 +50,11 @@ def _(v: View) -> DataFrame:
 
 @query(
     "register_due",
-    f"""WITH d AS (SELECT schedule_id, source_id, next_run_at, concat('schedule:', schedule_id, ':', {ISO.format('next_run_at')}) AS dedupe_key FROM schedules_v JOIN (SELECT source_id FROM sources_v WHERE enabled) s USING (source_id)
+    f"""WITH d AS (SELECT schedule_id, source_id, next_run_at, concat('schedule:', schedule_id, ':', {ISO.format('next_run_at')}) AS dedupe_key
+    FROM schedules_v JOIN (SELECT source_id FROM sources_v WHERE enabled) s USING (source_id)
 WHERE enabled AND active_task_id IS NULL AND next_run_at <= {NOW_SQL})
-SELECT dedupe_key, schedule_id, source_id, 'fetch' AS operation, 'scheduled' AS workload, next_run_at AS scheduled_for, next_run_at AS not_before, CAST(substr(source_id, 4) AS INT) % 2 = 0 AS registered,
+SELECT dedupe_key, schedule_id, source_id, 'fetch' AS operation, 'scheduled' AS workload, next_run_at AS scheduled_for,
+    next_run_at AS not_before, CAST(substr(source_id, 4) AS INT) % 2 = 0 AS registered,
   CASE WHEN CAST(substr(source_id, 4) AS INT) % 2 <> 0 THEN next_run_at END AS next_run_at FROM d""",
 )
 def _(v: View) -> DataFrame:
@@ -55,8 +65,11 @@ def _(v: View) -> DataFrame:
 
 @query(
     "manual_submit",
-    """WITH q AS (SELECT request, source_id, COALESCE(dedupe_key, concat('manual:', source_id, ':', request)) AS dedupe_key, source_id IN (SELECT source_id FROM sources_v) AS known FROM requests_v)
-SELECT request, dedupe_key, CASE WHEN NOT known THEN 'unknown_source' WHEN dedupe_key IN (SELECT concat('k', n_nationkey * 2) FROM nation) OR row_number() OVER (PARTITION BY known, dedupe_key ORDER BY request) > 1 THEN 'duplicate' ELSE 'registered' END AS outcome FROM q""",
+    """WITH q AS (SELECT request, source_id, COALESCE(dedupe_key, concat('manual:', source_id, ':', request)) AS dedupe_key, source_id IN (SELECT source_id
+    FROM sources_v) AS known FROM requests_v)
+SELECT request, dedupe_key, CASE WHEN NOT known THEN 'unknown_source' WHEN dedupe_key IN (SELECT concat('k', n_nationkey * 2)
+    FROM nation) OR row_number() OVER (PARTITION BY known, dedupe_key ORDER BY request) > 1 THEN 'duplicate'
+    ELSE 'registered' END AS outcome FROM q""",
 )
 def _(v: View) -> DataFrame:
     live = v("nation").select(F.concat(F.lit("k"), F.col("n_nationkey") * 2).alias("dedupe_key"))
@@ -69,10 +82,13 @@ BACKFILLS = "n AS batch_id, source_id, TIMESTAMP_LIT'2024-01-01 00:00:00' AS ran
 @query(
     "backfill_create",
     f"""WITH q AS (SELECT {BACKFILLS.replace('TIMESTAMP_LIT', 'TIMESTAMP ')}, n % 4 <> 1 AS allowed FROM sources_v),
-j AS (SELECT *, CASE WHEN NOT allowed THEN 'not_enabled' WHEN range_end <= range_start THEN 'empty_range' END AS reason, greatest(60, COALESCE(window_seconds, 7200)) AS w FROM q),
-p AS (SELECT *, unnest(generate_series(range_start, range_end - INTERVAL '1 microsecond', to_seconds(w))) AS a FROM j WHERE reason IS NULL),
+j AS (SELECT *, CASE WHEN NOT allowed THEN 'not_enabled'
+    WHEN range_end <= range_start THEN 'empty_range' END AS reason, greatest(60, COALESCE(window_seconds, 7200)) AS w FROM q),
+p AS (SELECT *, unnest(generate_series(range_start, range_end - INTERVAL '1 microsecond', to_seconds(w))) AS a FROM j
+    WHERE reason IS NULL),
 z AS (SELECT *, least(range_end, a + to_seconds(w)) AS b FROM p)
-SELECT batch_id, source_id, a AS window_start, b AS window_end, concat('backfill:', batch_id, ':', {ISO.format('a')}, ':', {ISO.format('b')}) AS dedupe_key, NULL AS reason FROM z
+SELECT batch_id, source_id, a AS window_start, b AS window_end, concat('backfill:', batch_id, ':', {ISO.format('a')}, ':', {ISO.format('b')}) AS dedupe_key, NULL AS reason
+    FROM z
 UNION ALL SELECT batch_id, source_id, NULL, NULL, NULL, reason FROM j WHERE reason IS NOT NULL""",
 )
 def _(v: View) -> DataFrame:
@@ -84,8 +100,10 @@ def _(v: View) -> DataFrame:
 @query(
     "batch_actions",
     """WITH a AS (SELECT id, CASE id % 4 WHEN 0 THEN 'pause' WHEN 1 THEN 'resume' ELSE 'cancel' END AS action, status FROM batches_v),
-z AS (SELECT id, action, CASE WHEN status IN ('running', 'paused') THEN CASE action WHEN 'pause' THEN 'paused' WHEN 'resume' THEN 'running' ELSE 'cancelled' END END AS status FROM a)
-SELECT id, action, status, CASE WHEN status = 'cancelled' THEN (SELECT count(*) FROM tasks_v t WHERE t.batch_id = z.id AND t.status IN ('pending', 'retry')) ELSE 0 END AS removed FROM z""",
+z AS (SELECT id, action, CASE WHEN status IN ('running', 'paused') THEN CASE action WHEN 'pause' THEN 'paused'
+    WHEN 'resume' THEN 'running' ELSE 'cancelled' END END AS status FROM a)
+SELECT id, action, status, CASE WHEN status = 'cancelled' THEN (SELECT count(*) FROM tasks_v t WHERE t.batch_id = z.id
+    AND t.status IN ('pending', 'retry')) ELSE 0 END AS removed FROM z""",
 )
 def _(v: View) -> DataFrame:
     actions = v("batches_v").selectExpr("id", "CASE id % 4 WHEN 0 THEN 'pause' WHEN 1 THEN 'resume' ELSE 'cancel' END AS action")
@@ -94,9 +112,11 @@ def _(v: View) -> DataFrame:
 
 @query(
     "complete_runs",
-    f"""SELECT t.id AS task_id, t.dedupe_key AS dedupe_key, r.status AS final_status, attempts, locked_by AS worker_id, added AS rows_added, CAST(NULL AS VARCHAR) AS error_class, substr(message, 1, 16000) AS error_message,
+    f"""SELECT t.id AS task_id, t.dedupe_key AS dedupe_key, r.status AS final_status, attempts, locked_by AS worker_id, added AS
+    rows_added, CAST(NULL AS VARCHAR) AS error_class, substr(message, 1, 16000) AS error_message,
   locked_at AS started_at, (epoch_us({NOW_SQL}) - epoch_us(locked_at)) / 1e6 AS duration_seconds
-FROM reports_v r JOIN leased_v t ON t.id = r.task_id AND t.lease_token = r.lease_token WHERE t.status = 'running' AND r.status <> 'failed' AND t.dedupe_key NOT IN (SELECT dedupe_key FROM runs_v)""",
+FROM reports_v r JOIN leased_v t ON t.id = r.task_id AND t.lease_token = r.lease_token WHERE t.status = 'running'
+    AND r.status <> 'failed' AND t.dedupe_key NOT IN (SELECT dedupe_key FROM runs_v)""",
 )
 def _(v: View) -> DataFrame:
     return transitions.complete(v("leased_v"), v("reports_v"), v("runs_v"), AS_OF).drop("batch_id")
@@ -104,10 +124,18 @@ def _(v: View) -> DataFrame:
 
 @query(
     "fail_transition",
-    f"""WITH r AS (SELECT r.*, t.status AS task_status, t.attempts, t.max_attempts, base_seconds, max_seconds, backoff, t.status = 'running' AND t.lease_token = r.lease_token AS ok FROM reports_v r LEFT JOIN leased_v t ON t.id = r.task_id WHERE r.status = 'failed'),
-x AS (SELECT *, CASE WHEN NOT ok THEN 'lease_lost' WHEN error_class IN ('transient', 'rate_limited', 'timeout', 'network', 'unknown') AND attempts < max_attempts THEN 'retry' ELSE 'dead' END AS action FROM r),
-y AS (SELECT *, CASE WHEN action = 'retry' THEN CASE WHEN retry_after IS NOT NULL THEN least(max_seconds, greatest(0, retry_after)) WHEN backoff = 'exponential' THEN least(max_seconds, base_seconds * pow(2.0, greatest(0, attempts - 1))) ELSE base_seconds END END AS delay FROM x)
-SELECT task_id, action, CAST(delay AS DOUBLE) AS delay, {NOW_SQL} + delay * INTERVAL '1 second' AS not_before, CASE action WHEN 'lease_lost' THEN task_status ELSE action END AS status, CASE WHEN ok THEN substr(message, 1, 16000) END AS last_error FROM y""",
+    f"""WITH r AS (SELECT r.*, t.status AS task_status, t.attempts, t.max_attempts, base_seconds, max_seconds, backoff, t.status = 'running'
+    AND t.lease_token = r.lease_token AS ok FROM reports_v r LEFT JOIN leased_v t ON t.id = r.task_id WHERE r.status = 'failed'),
+x AS (SELECT *, CASE WHEN NOT ok THEN 'lease_lost'
+    WHEN error_class IN ('transient', 'rate_limited', 'timeout', 'network', 'unknown') AND attempts < max_attempts THEN 'retry'
+    ELSE 'dead' END AS action FROM r),
+y AS (SELECT *, CASE WHEN action = 'retry' THEN CASE
+    WHEN retry_after IS NOT NULL THEN least(max_seconds, greatest(0, retry_after))
+    WHEN backoff = 'exponential' THEN least(max_seconds, base_seconds * pow(2.0, greatest(0, attempts - 1)))
+    ELSE base_seconds END END AS delay FROM x)
+SELECT task_id, action, CAST(delay AS DOUBLE) AS delay, {NOW_SQL} + delay * INTERVAL '1 second' AS not_before, CASE action
+    WHEN 'lease_lost' THEN task_status ELSE action END AS status, CASE WHEN ok THEN substr(message, 1, 16000) END AS last_error
+    FROM y""",
 )
 def _(v: View) -> DataFrame:
     return transitions.fail(v("leased_v"), v("reports_v").where("status = 'failed'"), AS_OF)
@@ -116,8 +144,10 @@ def _(v: View) -> DataFrame:
 @query(
     "finish_schedules",
     f"""SELECT schedule_id, s.enabled AND CASE schedule_type WHEN 'interval' THEN true ELSE n > 10 END AS enabled,
-  CASE WHEN schedule_type = 'interval' THEN {NOW_SQL} + to_seconds(schedule_seconds) WHEN n > 10 THEN {NOW_SQL} + (n - 10) * INTERVAL '1 hour' END AS next_run_at, CAST(NULL AS BIGINT) AS active_task_id
-FROM schedules_v s JOIN sources_v x USING (source_id) WHERE schedule_type <> 'cron' AND schedule_id IN (SELECT schedule_id FROM leased_v WHERE status = 'running')""",
+  CASE WHEN schedule_type = 'interval' THEN {NOW_SQL} + to_seconds(schedule_seconds)
+    WHEN n > 10 THEN {NOW_SQL} + (n - 10) * INTERVAL '1 hour' END AS next_run_at, CAST(NULL AS BIGINT) AS active_task_id
+FROM schedules_v s JOIN sources_v x USING (source_id) WHERE schedule_type <> 'cron' AND schedule_id IN (SELECT schedule_id
+    FROM leased_v WHERE status = 'running')""",
 )
 def _(v: View) -> DataFrame:
     once = F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00' + (n - 10) * INTERVAL '1' HOUR")
@@ -126,7 +156,9 @@ def _(v: View) -> DataFrame:
     return transitions.finish_schedules(schedules, v("leased_v").where("status = 'running' AND schedule_id IS NOT NULL"), AS_OF)
 
 
-BEATS = "SELECT id AS task_id, locked_by AS worker_id, CASE WHEN id % 3 = 0 THEN 'lease-old' ELSE concat('lease-', id) END AS lease_token, locked_at + b * INTERVAL '10' MINUTE AS ts FROM leased_v, (SELECT CAST(n_nationkey AS INT) AS b FROM nation WHERE n_nationkey < 3) x WHERE status = 'running'"
+BEATS = """SELECT id AS task_id, locked_by AS worker_id, CASE WHEN id % 3 = 0 THEN 'lease-old'
+    ELSE concat('lease-', id) END AS lease_token, locked_at + b * INTERVAL '10' MINUTE AS ts
+    FROM leased_v, (SELECT CAST(n_nationkey AS INT) AS b FROM nation WHERE n_nationkey < 3) x WHERE status = 'running'"""
 
 
 @query(
@@ -143,7 +175,8 @@ def _(v: View) -> DataFrame:
 
 @query(
     "maintenance_counts",
-    f"""SELECT (SELECT count(*) FROM workers_v JOIN beats_v ON worker_id = node_id WHERE effective_state <> 'offline' AND last_heartbeat_at < {NOW_SQL} - INTERVAL '60 seconds') AS offline_workers,
+    f"""SELECT (SELECT count(*) FROM workers_v JOIN beats_v ON worker_id = node_id WHERE effective_state <> 'offline'
+    AND last_heartbeat_at < {NOW_SQL} - INTERVAL '60 seconds') AS offline_workers,
   (SELECT count(*) FROM leased_v WHERE status = 'running' AND heartbeat_at < {NOW_SQL} - INTERVAL '180 seconds') AS stale_tasks""",
 )
 def _(v: View) -> DataFrame:
@@ -151,13 +184,15 @@ def _(v: View) -> DataFrame:
     return transitions.maintenance(v("leased_v"), workers, AS_OF)
 
 
-@query("workers_by_heartbeat", "SELECT node_id, mode, effective_state, last_heartbeat_at FROM workers_v LEFT JOIN beats_v ON worker_id = node_id ORDER BY last_heartbeat_at DESC NULLS LAST, node_id")
+@query("workers_by_heartbeat", """SELECT node_id, mode, effective_state, last_heartbeat_at FROM workers_v LEFT JOIN beats_v ON worker_id = node_id
+    ORDER BY last_heartbeat_at DESC NULLS LAST, node_id""")
 def _(v: View) -> DataFrame:
     rows = v("workers_v").join(v("beats_v").withColumnRenamed("worker_id", "node_id"), "node_id", "left")
     return rows.orderBy(F.desc_nulls_last("last_heartbeat_at"), "node_id").select("node_id", "mode", "effective_state", "last_heartbeat_at")
 
 
-@query("claimed_tasks", "SELECT id, 'running' AS status, attempts + 1 AS attempts, concat('n-', id % 3) AS locked_by, sha256(concat(id, ':', attempts + 1, ':n-', id % 3)) AS lease_token FROM leased_v WHERE status IN ('pending', 'retry')")
+@query("claimed_tasks", """SELECT id, 'running' AS status, attempts + 1 AS attempts, concat('n-', id % 3) AS locked_by, sha256(concat(id, ':', attempts + 1, ':n-', id % 3)) AS lease_token
+    FROM leased_v WHERE status IN ('pending', 'retry')""")
 def _(v: View) -> DataFrame:
     claims = v("leased_v").where("status IN ('pending', 'retry')").selectExpr("id", "concat('n-', id % 3) AS node_id")
     return scheduling.claimed(v("leased_v"), claims, AS_OF).select("id", "status", "attempts", "locked_by", "lease_token")
@@ -170,15 +205,18 @@ def _(v: View) -> DataFrame:
     return transitions.merged_report(told, counted)
 
 
-@query("task_envelopes", "SELECT id, source_id, COALESCE(CAST(batch_id AS VARCHAR), '') AS batch_id, COALESCE(preferred_worker, '') AS preferred_worker, COALESCE(lease_token, '') AS lease_token FROM leased_v WHERE status = 'running'")
+@query("task_envelopes", """SELECT id, source_id, COALESCE(CAST(batch_id AS VARCHAR), '') AS batch_id, COALESCE(preferred_worker, '') AS preferred_worker, COALESCE(lease_token, '') AS lease_token
+    FROM leased_v WHERE status = 'running'""")
 def _(v: View) -> DataFrame:
     empty = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("batch_id", "preferred_worker", "lease_token")]
     return v("leased_v").where("status = 'running'").select("id", "source_id", *empty)
 
 
 @query("metrics_all", f"""SELECT 'feedloom_runs{{status="' || final_status || '"}} ' || count(*) AS line FROM runs_v GROUP BY final_status
-UNION ALL SELECT 'feedloom_runs_24h{{status="' || final_status || '"}} ' || count(*) FROM runs_v WHERE finished_at >= {NOW_SQL} - INTERVAL '24 hours' GROUP BY final_status
-UNION ALL SELECT 'feedloom_rows_added_24h ' || CAST(COALESCE(sum(rows_added), 0) AS BIGINT) FROM runs_v WHERE finished_at >= {NOW_SQL} - INTERVAL '24 hours'""")
+UNION ALL SELECT 'feedloom_runs_24h{{status="' || final_status || '"}} ' || count(*) FROM runs_v
+    WHERE finished_at >= {NOW_SQL} - INTERVAL '24 hours' GROUP BY final_status
+UNION ALL SELECT 'feedloom_rows_added_24h ' || CAST(COALESCE(sum(rows_added), 0) AS BIGINT) FROM runs_v
+    WHERE finished_at >= {NOW_SQL} - INTERVAL '24 hours'""")
 def _(v: View) -> DataFrame:
     day = v("runs_v").where(F.col("finished_at") >= now() - F.expr("INTERVAL '24' HOUR"))
     line = lambda df, metric: df.groupBy("final_status").count().select(F.format_string(f'{metric}{{status="%s"}} %d', "final_status", "count").alias("line"))
@@ -186,7 +224,9 @@ def _(v: View) -> DataFrame:
     return line(v("runs_v"), "feedloom_runs").unionByName(line(day, "feedloom_runs_24h")).unionByName(rows)
 
 
-@query("worker_capabilities", "SELECT mode, string_agg(DISTINCT c, ',' ORDER BY c) AS capabilities FROM (SELECT mode, unnest(list_concat(string_split(caps_csv, ','), list_transform(string_split(queues_csv, ','), lambda q: 'queue:' || q))) AS c FROM workers_v) GROUP BY mode")
+@query("worker_capabilities", """SELECT mode, string_agg(DISTINCT c, ',' ORDER BY c) AS capabilities
+    FROM (SELECT mode, unnest(list_concat(string_split(caps_csv, ','), list_transform(string_split(queues_csv, ','), lambda q: 'queue:' || q))) AS c
+    FROM workers_v) GROUP BY mode""")
 def _(v: View) -> DataFrame:
     queues = F.transform(expr.csv_array(F.col("queues_csv")), lambda q: F.concat(F.lit("queue:"), q))
     both = F.array_union(expr.csv_array(F.col("caps_csv")), queues)
@@ -197,10 +237,15 @@ def _(v: View) -> DataFrame:
 # versioned records
 @query(
     "record_versions",
-    f"""WITH r AS (SELECT source_id, external_id, seq, title, 'a' AS v FROM records_v UNION ALL SELECT source_id, external_id, seq + 1000000, CASE WHEN seq % 3 = 0 THEN concat(title, '!') ELSE title END, CASE WHEN seq % 5 = 0 THEN 'b' ELSE 'a' END FROM records_v),
-h AS (SELECT source_id, external_id, seq, {record_hash_sql({'title': 'title', 'tags': "concat('[\"', v, '\"]')", 'attributes': "concat('{\"x\":', seq % 1000000 % 4, '}')"})} AS content_hash FROM r),
+    f"""WITH r AS (SELECT source_id, external_id, seq, title, 'a' AS v FROM records_v UNION ALL
+    SELECT source_id, external_id, seq + 1000000, CASE WHEN seq % 3 = 0 THEN concat(title, '!') ELSE title END, CASE
+    WHEN seq % 5 = 0 THEN 'b' ELSE 'a' END FROM records_v),
+h AS (SELECT source_id, external_id, seq, {record_hash_sql({'title': 'title', 'tags': "concat('[\"', v, '\"]')", 'attributes': "concat('{\"x\":', seq % 1000000 % 4, '}')"})} AS content_hash
+    FROM r),
 o AS (SELECT *, lag(content_hash) OVER (PARTITION BY source_id, external_id ORDER BY seq) AS b FROM h)
-SELECT source_id, external_id, seq, content_hash, CASE WHEN COALESCE(b, CASE WHEN seq % 7 = 0 THEN content_hash WHEN seq % 7 = 1 THEN 'other' END) IS NULL THEN 'added' WHEN COALESCE(b, CASE WHEN seq % 7 = 0 THEN content_hash ELSE 'other' END) <> content_hash THEN 'updated' ELSE 'duplicate' END AS outcome FROM o""",
+SELECT source_id, external_id, seq, content_hash, CASE WHEN COALESCE(b, CASE WHEN seq % 7 = 0 THEN content_hash
+    WHEN seq % 7 = 1 THEN 'other' END) IS NULL THEN 'added' WHEN COALESCE(b, CASE WHEN seq % 7 = 0 THEN content_hash
+    ELSE 'other' END) <> content_hash THEN 'updated' ELSE 'duplicate' END AS outcome FROM o""",
 )
 def _(v: View) -> DataFrame:
     """Each record comes twice, some with another title or tag; some are stored as they are, some with another hash."""
@@ -216,13 +261,20 @@ def _(v: View) -> DataFrame:
 # feeds: RSS with five kinds of items, Atom, an empty and a malformed one
 FEEDS = """SELECT k, CASE crawl
 WHEN 0 THEN concat('<rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>c', k, '</title>',
-  '<item><guid isPermaLink="false">id-', k, '</guid><link>http://x/', k, '</link><title> t', k, ' </title><description>d</description><content:encoded>full ', k, '</content:encoded><pubDate>Wed, 14 Feb 2024 06:05:04 GMT</pubDate><enclosure url="http://x/a', k, '.mp3" type="audio/mpeg" length="1"/><enclosure url="" type="x/y" length="0"/></item>',
+  '<item><guid isPermaLink="false">id-', k, '</guid><link>http://x/', k, '</link><title> t', k,
+    ' </title><description>d</description><content:encoded>full ', k,
+    '</content:encoded><pubDate>Wed, 14 Feb 2024 06:05:04 GMT</pubDate><enclosure url="http://x/a', k,
+    '.mp3" type="audio/mpeg" length="1"/><enclosure url="" type="x/y" length="0"/></item>',
   '<item><guid></guid><link>http://x/l', k, '</link><title>u</title><description></description><author>me</author></item>',
   '<item><title>only ', k, '</title></item><item><title>fourth</title></item></channel></rss>')
-WHEN 1 THEN concat('<feed xmlns="http://www.w3.org/2005/Atom"><title>a', k, '</title><entry><id>urn:', k, '</id><title>one</title><link rel="self" href="http://x/self"/><link href="http://x/e', k, '"/><link rel="enclosure" type="image/png" href="http://x/i', k, '.png"/><summary>s', k, '</summary><updated>2024-03-0', 1 + k % 9, 'T01:02:03Z</updated><author><name>you</name></author></entry></feed>')
+WHEN 1 THEN concat('<feed xmlns="http://www.w3.org/2005/Atom"><title>a', k, '</title><entry><id>urn:', k,
+    '</id><title>one</title><link rel="self" href="http://x/self"/><link href="http://x/e', k,
+    '"/><link rel="enclosure" type="image/png" href="http://x/i', k, '.png"/><summary>s', k, '</summary><updated>2024-03-0', 1 + k
+    % 9, 'T01:02:03Z</updated><author><name>you</name></author></entry></feed>')
 WHEN 2 THEN '<rss><channel><title>none</title></channel></rss>'
 WHEN 3 THEN '<rss><chan'
-ELSE concat('<rss><channel><title>z</title><item><link>http://z/', k, '</link><pubDate>soon</pubDate></item></channel></rss>') END AS payload FROM shapes_v"""
+ELSE concat('<rss><channel><title>z</title><item><link>http://z/', k, '</link><pubDate>soon</pubDate></item></channel></rss>') END AS payload
+    FROM shapes_v"""
 
 
 def feeds(v: View) -> DataFrame:
@@ -231,10 +283,15 @@ def feeds(v: View) -> DataFrame:
 
 @query(
     "feed_items",
-    """WITH i AS (SELECT k, 0 AS pos, concat('id-', k) AS external_id, concat('t', k) AS title, concat('http://x/', k) AS url, concat('full ', k) AS content, TIMESTAMP '2024-02-14 06:05:04' AS published_at, NULL AS author FROM shapes_v WHERE crawl = 0
-UNION ALL SELECT k, 1, concat('http://x/l', k), 'u', concat('http://x/l', k), 'u', NULL, 'me' FROM shapes_v WHERE crawl = 0 UNION ALL SELECT k, 2, concat('only ', k), concat('only ', k), NULL, concat('only ', k), NULL, NULL FROM shapes_v WHERE crawl = 0
-UNION ALL SELECT k, 0, concat('urn:', k), 'one', concat('http://x/e', k), concat('s', k), CAST(concat('2024-03-0', 1 + k % 9, ' 01:02:03') AS TIMESTAMP), 'you' FROM shapes_v WHERE crawl = 1
-UNION ALL SELECT k, 0, concat('http://z/', k), NULL, concat('http://z/', k), NULL, NULL, NULL FROM shapes_v WHERE crawl = 4) SELECT k, CAST(pos AS INT) AS pos, external_id, title, url, content, published_at, author FROM i""",
+    """WITH i AS (SELECT k, 0 AS pos, concat('id-', k) AS external_id, concat('t', k) AS title, concat('http://x/', k) AS url, concat('full ', k) AS content, TIMESTAMP '2024-02-14 06:05:04' AS published_at, NULL AS author
+    FROM shapes_v WHERE crawl = 0
+UNION ALL SELECT k, 1, concat('http://x/l', k), 'u', concat('http://x/l', k), 'u', NULL, 'me' FROM shapes_v WHERE crawl = 0
+    UNION ALL SELECT k, 2, concat('only ', k), concat('only ', k), NULL, concat('only ', k), NULL, NULL FROM shapes_v
+    WHERE crawl = 0
+UNION ALL SELECT k, 0, concat('urn:', k), 'one', concat('http://x/e', k), concat('s', k), CAST(concat('2024-03-0', 1 + k % 9, ' 01:02:03') AS TIMESTAMP), 'you'
+    FROM shapes_v WHERE crawl = 1
+UNION ALL SELECT k, 0, concat('http://z/', k), NULL, concat('http://z/', k), NULL, NULL, NULL FROM shapes_v WHERE crawl = 4)
+    SELECT k, CAST(pos AS INT) AS pos, external_id, title, url, content, published_at, author FROM i""",
 )
 def _(v: View) -> DataFrame:
     rows = extract.rss_items(feeds(v), most=3)
@@ -243,8 +300,10 @@ def _(v: View) -> DataFrame:
 
 @query(
     "feed_enclosures",
-    """SELECT k, concat('id-', k) AS external_id, sha256(concat('http://x/a', k, '.mp3'))[1:24] AS asset_key, concat('http://x/a', k, '.mp3') AS url, 'audio/mpeg' AS media_type FROM shapes_v WHERE crawl = 0
-UNION ALL SELECT k, concat('urn:', k), sha256(concat('http://x/i', k, '.png'))[1:24], concat('http://x/i', k, '.png'), 'image/png' FROM shapes_v WHERE crawl = 1""",
+    """SELECT k, concat('id-', k) AS external_id, sha256(concat('http://x/a', k, '.mp3'))[1:24] AS asset_key, concat('http://x/a', k, '.mp3') AS url, 'audio/mpeg' AS media_type
+    FROM shapes_v WHERE crawl = 0
+UNION ALL SELECT k, concat('urn:', k), sha256(concat('http://x/i', k, '.png'))[1:24], concat('http://x/i', k, '.png'), 'image/png'
+    FROM shapes_v WHERE crawl = 1""",
 )
 def _(v: View) -> DataFrame:
     return extract.feed_enclosures(feeds(v))
@@ -256,7 +315,8 @@ def _(v: View) -> DataFrame:
 
 
 # pages by selectors
-@query("page_select", "SELECT url AS external_id, 'web_page' AS kind, url, NULLIF(trim(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')), '').replace('&amp;', '&') AS title, regexp_extract(html, '<a href=\"[^\"]*\">(.*?)</a>', 1).replace('&amp;', '&') AS link, regexp_extract(html, '<html lang=\"([a-z]*)\"', 1) AS lang FROM pages")
+@query("page_select", """SELECT url AS external_id, 'web_page' AS kind, url, NULLIF(trim(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')), '').replace('&amp;', '&') AS title, regexp_extract(html, '<a href=\"[^\"]*\">(.*?)</a>', 1).replace('&amp;', '&') AS link, regexp_extract(html, '<html lang=\"([a-z]*)\"', 1) AS lang
+    FROM pages""")
 def _(v: View) -> DataFrame:
     config = extract.PageConfig(title="article h1", content="nav", attributes={"link": "nav ul li a", "none": "main.none"})
     rows = extract.page_records(v("pages"), config).join(v("pages").select("url", pages_html.first(F.col("html"), "html", "lang").alias("lang")), "url")
@@ -266,7 +326,8 @@ def _(v: View) -> DataFrame:
 @query(
     "page_asset_urls",
     """WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS x FROM pages),
-e AS (SELECT page_id, unnest(x) AS raw, generate_subscripts(x, 1) - 1 AS pos, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root FROM a)
+e AS (SELECT page_id, unnest(x) AS raw, generate_subscripts(x, 1) - 1 AS pos, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root
+    FROM a)
 SELECT page_id, concat('asset-', pos, '-', sha256(concat(root, raw))[1:12]) AS asset_key, concat(root, raw) AS asset_url FROM e""",
 )
 def _(v: View) -> DataFrame:
@@ -275,13 +336,16 @@ def _(v: View) -> DataFrame:
 
 
 # crawls: ten list pages of five crawls, each with items that repeat, a blank one and a next link; the last one leads back
-LISTS = """SELECT concat('http://h', c, '.example/list/p', p) AS url, c AS crawl, concat('<html><ul><li class="item"><a href="../d/', p, '">x</a></li><li class="item"><a href="/d/', p + 1, '">y</a></li><li class="item"><a href="">z</a></li><li><a href="/no">n</a></li></ul><a rel="next" href="',
-CASE WHEN p = 3 THEN 'p0' ELSE concat('p', p + 1) END, '">next</a></html>') AS html FROM (SELECT n_nationkey % 5 AS c, CAST(floor(n_nationkey / 5) AS INT) AS p FROM nation WHERE n_nationkey < 20) x"""
+LISTS = """SELECT concat('http://h', c, '.example/list/p', p) AS url, c AS crawl, concat('<html><ul><li class="item"><a href="../d/', p,
+    '">x</a></li><li class="item"><a href="/d/', p + 1, '">y</a></li><li class="item"><a href="">z</a></li><li><a href="/no">n</a></li></ul><a rel="next" href="',
+CASE WHEN p = 3 THEN 'p0' ELSE concat('p', p + 1) END, '">next</a></html>') AS html
+    FROM (SELECT n_nationkey % 5 AS c, CAST(floor(n_nationkey / 5) AS INT) AS p FROM nation WHERE n_nationkey < 20) x"""
 
 
 @query(
     "list_detail_join",
-    """SELECT c AS crawl, concat('http://h', c, '.example/list/p', greatest(d - 1, 0)) AS list_url, CAST(CASE WHEN d = 0 THEN 0 ELSE 1 END AS INT) AS pos, concat('http://h', c, '.example/d/', d) AS url, concat('D', d) AS title
+    """SELECT c AS crawl, concat('http://h', c, '.example/list/p', greatest(d - 1, 0)) AS list_url, CAST(CASE WHEN d = 0 THEN 0
+    ELSE 1 END AS INT) AS pos, concat('http://h', c, '.example/d/', d) AS url, concat('D', d) AS title
 FROM (SELECT n_nationkey % 5 AS c, CAST(floor(n_nationkey / 5) AS INT) AS d FROM nation) x""",
 )
 def _(v: View) -> DataFrame:
@@ -296,7 +360,8 @@ def _(v: View) -> DataFrame:
 
 @query(
     "list_crawl",
-    """SELECT c AS crawl, CAST(CASE WHEN d = 0 THEN 0 ELSE d - 1 END AS INT) AS round, concat('http://h', c, '.example/d/', d) AS url, concat('D', d) AS title
+    """SELECT c AS crawl, CAST(CASE WHEN d = 0 THEN 0
+    ELSE d - 1 END AS INT) AS round, concat('http://h', c, '.example/d/', d) AS url, concat('D', d) AS title
 FROM (SELECT n_nationkey % 5 AS c, CAST(floor(n_nationkey / 5) AS INT) AS d FROM nation) x WHERE d < 4""",
 )
 def _(v: View) -> DataFrame:
@@ -310,7 +375,8 @@ def _(v: View) -> DataFrame:
 
 @query(
     "sitemap_crawl",
-    "SELECT n_nationkey % 5 AS crawl, concat('http://m', n_nationkey % 5, '.example/page/', n_nationkey) AS url FROM nation WHERE n_nationkey % 2 = 0",
+    """SELECT n_nationkey % 5 AS crawl, concat('http://m', n_nationkey % 5, '.example/page/', n_nationkey) AS url FROM nation
+    WHERE n_nationkey % 2 = 0""",
 )
 def _(v: View) -> DataFrame:
     """An index of two maps and of itself; each map names half of its crawl's pages, of which the even ones are listed."""
@@ -333,7 +399,8 @@ def api(v: View) -> DataFrame:
     return v("nation").selectExpr("n_nationkey % 5 AS c", "CAST(floor(n_nationkey / 5) AS INT) + 1 AS p").selectExpr(*API)
 
 
-JSON_RECORDS = """SELECT c AS crawl, CAST(p AS INT) AS page, CAST(10 * c + p AS VARCHAR) AS external_id, ' n' AS title, 'application/json' AS content_type, TIMESTAMP '2024-05-06 07:08:09' AS published_at, concat('t', p) AS tag FROM {0}
+JSON_RECORDS = """SELECT c AS crawl, CAST(p AS INT) AS page, CAST(10 * c + p AS VARCHAR) AS external_id, ' n' AS title, 'application/json' AS content_type, TIMESTAMP '2024-05-06 07:08:09' AS published_at, concat('t', p) AS tag
+    FROM {0}
 UNION ALL SELECT c, CAST(p AS INT), sha256('{{"name":"no id"}}'), 'no id', 'application/json', NULL, NULL FROM {0}"""
 PLACES = "(SELECT n_nationkey % 5 AS c, CAST(floor(n_nationkey / 5) AS INT) + 1 AS p FROM nation)"
 FIELDS = {"external_id": "$.id", "title": "$.name", "published_at": "$.when", "tag": "$.meta.tag"}
@@ -387,7 +454,8 @@ def _(v: View) -> DataFrame:
     return v("pages").select("page_id", expr.with_parameter(F.col("url"), "page", F.col("page_id")).alias("url"))
 
 
-@query("iso_times", f"SELECT event_id, {ISO.format('t')} AS iso FROM (SELECT event_id, ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL '1500 microseconds' ELSE INTERVAL '0 seconds' END AS t FROM events)")
+@query("iso_times", f"""SELECT event_id, {ISO.format('t')} AS iso FROM (SELECT event_id, ts + CASE
+    WHEN event_id % 2 = 0 THEN INTERVAL '1500 microseconds' ELSE INTERVAL '0 seconds' END AS t FROM events)""")
 def _(v: View) -> DataFrame:
     later = F.when(F.col("event_id") % 2 == 0, F.expr("ts + INTERVAL '0.0015' SECOND")).otherwise(F.col("ts"))
     return v("events").select("event_id", expr.iso_utc(later).alias("iso"))
@@ -398,7 +466,8 @@ def _(v: View) -> DataFrame:
     return v("nation").select(F.col("n_nationkey").alias("k"), expr.half_even(F.col("n_nationkey") + F.lit(0.5)).alias("rounded"))
 
 
-@query("canonical_json", "SELECT event_id, concat('{\"a\":[1,\"é\"],\"k\":', json_extract_string(props, '$.k'), '}') AS json FROM events UNION ALL SELECT -1, NULL")
+@query("canonical_json", """SELECT event_id, concat('{\"a\":[1,\"é\"],\"k\":', json_extract_string(props, '$.k'), '}') AS json FROM events UNION ALL
+    SELECT -1, NULL""")
 def _(v: View) -> DataFrame:
     text = F.concat(F.lit('{ "k": '), F.get_json_object("props", "$.k"), F.lit(', "a" : [1, "é"] }'))
     broken = v("events").limit(1).select(F.lit(-1).cast("long").alias("event_id"), expr.canonical_json(F.lit("{broken")).alias("json"))

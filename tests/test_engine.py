@@ -219,8 +219,9 @@ def test_task_states(spark, tmp_path):
 def test_ticks_and_drain(spark, tmp_path):
     ticks: list = []
     query = keyed.ticking(spark, ticks.append, seconds=1)
-    while len(ticks) < 2:
-        query.awaitTermination(1)
+    for _ in range(60):
+        if len(ticks) < 2:
+            query.awaitTermination(1)
     keyed.drain(query)
     assert not query.isActive and len(ticks) >= 2
     schema = "dedupe_key string, part int"
