@@ -117,7 +117,12 @@ def path_segment(c: Column) -> Column:
 
 def redacted_url(c: Column) -> Column:
     """Scheme, host and path only."""
-    return F.concat(F.try_parse_url(c, F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url(c, F.lit("HOST")), F.coalesce(F.try_parse_url(c, F.lit("PATH")), F.lit("")))
+    return (
+        F.concat(
+            F.try_parse_url(c, F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url(c, F.lit("HOST")),
+            F.coalesce(F.try_parse_url(c, F.lit("PATH")), F.lit(""))
+        )
+    )
 
 
 def with_parameter(url: Column, name: str, value: Column) -> Column:

@@ -83,7 +83,13 @@ def slots_left(workers: DataFrame, tasks: DataFrame, quota: int = 1) -> DataFram
     used = running.agg(F.sum("slot_cost").alias("used"), F.sum(F.when(F.col("workload") == "backfill", F.col("slot_cost"))).alias("backfill"))
     left = F.when(F.col("mode") == "resident", F.lit(quota) - F.coalesce("backfill", F.lit(0)))
     rows = workers.join(used, "node_id", "left")
-    return rows.select("node_id", F.greatest(F.col("max_concurrency") - F.coalesce("used", F.lit(0)), F.lit(0)).cast("int").alias("slots"), left.cast("long").alias("backfill_left"))
+    return (
+        rows
+            .select(
+                "node_id", F.greatest(F.col("max_concurrency") - F.coalesce("used", F.lit(0)), F.lit(0)).cast("int").alias("slots"),
+                left.cast("long").alias("backfill_left")
+            )
+    )
 
 
 def held_slots(leases: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -102,13 +108,22 @@ def claim_greedy(candidates: DataFrame, slots: DataFrame, held: DataFrame | None
     """
     taken = "map<string,array<int>>"
     has = "resources" in candidates.columns
-    need = F.array_sort(F.map_entries(F.coalesce("resources", F.create_map().cast("map<string,int>")))) if has else F.array().cast("array<struct<key:string,value:int>>")
+    need = (
+        F.array_sort(
+            F.map_entries(F.coalesce("resources", F.create_map().cast("map<string,int>")))
+        ) if has else F.array().cast("array<struct<key:string,value:int>>")
+    )
     part = F.when(F.col("workload") == "backfill", F.col("slot_cost")).otherwise(0)
     rows = candidates.select("node_id", F.struct("n", "id", "slot_cost", part.alias("part"), need.alias("need")).alias("t"))
     rows = rows.groupBy("node_id").agg(F.array_sort(F.collect_list("t")).alias("rows")).join(slots, "node_id")
     rows = rows.join(F.broadcast(held)) if held is not None else rows.withColumn("held", F.create_map().cast(taken))
     got = "array<struct<n:int,id:bigint,slot_cost:int,leases:array<struct<key:string,slot:int>>>>"
-    start = F.struct(F.col("slots").alias("left"), F.col("backfill_left").alias("quota"), F.coalesce("held", F.create_map().cast(taken)).cast(taken).alias("held"), F.array().cast(got).alias("got"))
+    start = (
+        F.struct(
+            F.col("slots").alias("left"), F.col("backfill_left").alias("quota"),
+            F.coalesce("held", F.create_map().cast(taken)).cast(taken).alias("held"), F.array().cast(got).alias("got")
+        )
+    )
 
     def free(state: Column, r: Column) -> Column:
         every = F.sequence(F.lit(1), F.greatest(r["value"], F.lit(1)))
@@ -124,7 +139,12 @@ def claim_greedy(candidates: DataFrame, slots: DataFrame, held: DataFrame | None
         longer = lambda x: F.concat(F.coalesce(F.element_at(state["held"], x["key"]), F.array().cast("array<int>")), F.array(x["slot"]))
         more = F.map_from_entries(F.transform(leases, lambda x: F.struct(x["key"].alias("key"), longer(x).alias("value"))))
         one = F.struct(t["n"].alias("n"), t["id"].alias("id"), t["slot_cost"].alias("slot_cost"), leases.alias("leases"))
-        return F.struct((state["left"] - t["slot_cost"]).alias("left"), (state["quota"] - t["part"]).alias("quota"), F.map_concat(others, more).alias("held"), F.array_append(state["got"], one).alias("got"))
+        return (
+            F.struct(
+                (state["left"] - t["slot_cost"]).alias("left"), (state["quota"] - t["part"]).alias("quota"), F.map_concat(others, more).alias("held"),
+                F.array_append(state["got"], one).alias("got")
+            )
+        )
 
     walked = F.aggregate("rows", start, lambda s, t: F.when(fits(s, t), take(s, t)).otherwise(s), lambda s: s["got"])
     return rows.select("node_id", F.explode(walked).alias("t")).select("node_id", "t.id", "t.slot_cost", "t.n", "t.leases")
@@ -143,7 +163,13 @@ def lease_rows(claims: DataFrame, as_of: dt.datetime, stale_seconds: int = 180)
     """resource_key, slot, task_id, worker_id and expires_at of the claims' leases."""
     until = F.lit(as_of).cast("timestamp_ntz") + F.make_dt_interval(secs=F.lit(max(300, stale_seconds + 60)))
     each = claims.select("id", "node_id", F.explode("leases").alias("l"))
-    return each.select(F.col("l.key").alias("resource_key"), F.col("l.slot").alias("slot"), F.col("id").alias("task_id"), F.col("node_id").alias("worker_id"), until.alias("expires_at"))
+    return (
+        each
+            .select(
+                F.col("l.key").alias("resource_key"), F.col("l.slot").alias("slot"), F.col("id").alias("task_id"),
+                F.col("node_id").alias("worker_id"), until.alias("expires_at")
+            )
+    )
 
 
 def free_slots(capacities: DataFrame, leases: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -159,9 +185,15 @@ def stuck_tasks(tasks: DataFrame, workers: DataFrame, limit: int = 200) -> DataF
     Tasks are matched by their distinct (queue, capabilities), a few rows, not one by one.
     """
     waiting = tasks.where(F.col("status").isin("pending", "retry"))
-    online = workers.where("effective_state = 'online'").select(expr.csv_array(F.col("caps_csv")).alias("offered"), F.explode(expr.csv_array(F.col("queues_csv"))).alias("queue"))
+    online = (
+        workers.where("effective_state = 'online'")
+            .select(expr.csv_array(F.col("caps_csv")).alias("offered"), F.explode(expr.csv_array(F.col("queues_csv"))).alias("queue"))
+    )
     kinds = waiting.select("queue", "caps_csv").distinct()
     can = kinds.join(online, "queue").where(expr.contains_all(expr.csv_array(F.col("caps_csv")), F.col("offered"))).select("queue", "caps_csv").distinct()
     able = can.withColumn("able", F.lit(True))
-    judged = waiting.join(able, ["queue", "caps_csv"], "left").withColumn("reason", F.when(F.col("caps_csv") == "", "unroutable").when(F.col("able").isNull(), "no_capable_worker"))
+    judged = (
+        waiting.join(able, ["queue", "caps_csv"], "left")
+            .withColumn("reason", F.when(F.col("caps_csv") == "", "unroutable").when(F.col("able").isNull(), "no_capable_worker"))
+    )
     return judged.where("reason IS NOT NULL").orderBy("created_at", "id").limit(limit)

@@ -45,14 +45,23 @@ def reconcile(config: DataFrame, sources: DataFrame, schedules: DataFrame, as_of
     second = expr.hash_modulo(F.col("source_id"), F.greatest(F.least("seconds", F.lit(60)), F.lit(1)).cast("long"))
     first = F.when(F.col("schedule_type") == "interval", at(as_of) + F.make_dt_interval(secs=second)).otherwise(F.col("first_run_at"))
     run = F.coalesce("old_run", F.when(F.col("listed"), first))
-    return both.select("source_id", action.alias("action"), F.coalesce(new_hash, "old_hash").alias("config_hash"), enabled.alias("enabled"), F.when(enabled, run).alias("next_run_at"))
+    return (
+        both
+            .select(
+                "source_id", action.alias("action"), F.coalesce(new_hash, "old_hash").alias("config_hash"), enabled.alias("enabled"),
+                F.when(enabled, run).alias("next_run_at")
+            )
+    )
 
 
 def inserted(new: DataFrame, live: DataFrame, history: DataFrame) -> DataFrame:
     """The new task rows with `registered`: the first of a dedupe_key (by its `request` order) that neither live tasks nor history hold."""
     seen = live.select("dedupe_key").unionByName(history.select("dedupe_key")).distinct().withColumn("seen", F.lit(True))
     first = F.row_number().over(Window.partitionBy("dedupe_key").orderBy("request")) == 1
-    return new.withColumn("first", first).join(seen, "dedupe_key", "left").withColumn("registered", F.col("first") & F.col("seen").isNull()).drop("first", "seen")
+    return (
+        new.withColumn("first", first).join(seen, "dedupe_key", "left")
+            .withColumn("registered", F.col("first") & F.col("seen").isNull()).drop("first", "seen")
+    )
 
 
 def register_due(schedules: DataFrame, sources: DataFrame, live: DataFrame, history: DataFrame, as_of: dt.datetime, limit: int = 500) -> DataFrame:
@@ -71,7 +80,10 @@ def submit(requests: DataFrame, sources: DataFrame, live: DataFrame, history: Da
     known = sources.select("source_id", F.lit(True).alias("known"))
     key = F.coalesce("dedupe_key", F.concat(F.lit("manual:"), "source_id", F.lit(":"), F.col("request").cast("string")))
     rows = requests.join(known, "source_id", "left").select("request", "source_id", key.alias("dedupe_key"), "known")
-    made = inserted(rows.where("known"), live, history).select("request", "dedupe_key", F.when(F.col("registered"), "registered").otherwise("duplicate").alias("outcome"))
+    made = (
+        inserted(rows.where("known"), live, history)
+            .select("request", "dedupe_key", F.when(F.col("registered"), "registered").otherwise("duplicate").alias("outcome"))
+    )
     return made.unionByName(rows.where("known IS NULL").select("request", "dedupe_key", F.lit("unknown_source").alias("outcome")))
 
 
@@ -82,17 +94,41 @@ def create_backfills(requests: DataFrame, sources: DataFrame) -> DataFrame:
     least, the last one is cut at the end.
     """
     rows = requests.join(sources.select("source_id", "backfill_enabled", "backfill_window_seconds"), "source_id", "left")
-    reason = F.when(F.col("backfill_enabled").isNull(), "unknown_source").when(~F.col("backfill_enabled"), "not_enabled").when(F.col("range_end") <= F.col("range_start"), "empty_range")
+    reason = (
+        F.when(F.col("backfill_enabled").isNull(), "unknown_source").when(~F.col("backfill_enabled"), "not_enabled").when(
+            F.col("range_end") <= F.col("range_start"), "empty_range"
+        )
+    )
     width = F.greatest(F.lit(60), F.coalesce("window_seconds", "backfill_window_seconds")).cast("long")
     judged = rows.withColumn("reason", reason).withColumn("width", width)
-    steps = F.floor((F.unix_micros(F.col("range_end").cast("timestamp")) - F.unix_micros(F.col("range_start").cast("timestamp")) - 1) / (F.col("width") * 1_000_000))
+    steps = (
+        F.floor(
+            (
+                F.unix_micros(F.col("range_end").cast("timestamp")) - F.unix_micros(F.col("range_start").cast("timestamp")) - 1
+            ) / (F.col("width") * 1_000_000)
+        )
+    )
     each = judged.where("reason IS NULL").withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), steps)))
     start = F.col("range_start") + F.make_dt_interval(secs=F.col("n") * F.col("width"))
-    windows = each.withColumn("window_start", start).withColumn("window_end", F.least("range_end", F.col("window_start") + F.make_dt_interval(secs=F.col("width"))))
-    key = F.concat(F.lit("backfill:"), F.col("batch_id").cast("string"), F.lit(":"), expr.iso_utc(F.col("window_start")), F.lit(":"), expr.iso_utc(F.col("window_end")))
+    windows = (
+        each.withColumn("window_start", start)
+            .withColumn("window_end", F.least("range_end", F.col("window_start") + F.make_dt_interval(secs=F.col("width"))))
+    )
+    key = (
+        F.concat(
+            F.lit("backfill:"), F.col("batch_id").cast("string"), F.lit(":"), expr.iso_utc(F.col("window_start")), F.lit(":"),
+            expr.iso_utc(F.col("window_end"))
+        )
+    )
     made = windows.select("batch_id", "source_id", "window_start", "window_end", key.alias("dedupe_key"), F.lit(None).cast("string").alias("reason"))
     none = F.lit(None).cast("timestamp_ntz")
-    refused = judged.where("reason IS NOT NULL").select("batch_id", "source_id", none.alias("window_start"), none.alias("window_end"), F.lit(None).cast("string").alias("dedupe_key"), "reason")
+    refused = (
+        judged.where("reason IS NOT NULL")
+            .select(
+                "batch_id", "source_id", none.alias("window_start"), none.alias("window_end"), F.lit(None).cast("string").alias("dedupe_key"),
+                "reason"
+            )
+    )
     return made.unionByName(refused)
 
 
@@ -100,7 +136,10 @@ def batch_actions(batches: DataFrame, actions: DataFrame, tasks: DataFrame) -> D
     """id, new status and removed tasks for each action (id, action: pause, resume, cancel); null status where the batch is neither running nor paused.
 
     Cancelling removes the batch's waiting tasks."""
-    waiting = tasks.where(F.col("status").isin("pending", "retry") & F.col("batch_id").isNotNull()).groupBy(F.col("batch_id").alias("id")).agg(F.count(F.lit(1)).alias("waiting"))
+    waiting = (
+        tasks.where(F.col("status").isin("pending", "retry") & F.col("batch_id").isNotNull()).groupBy(F.col("batch_id").alias("id"))
+            .agg(F.count(F.lit(1)).alias("waiting"))
+    )
     becomes = F.when(F.col("action") == "pause", "paused").when(F.col("action") == "resume", "running").when(F.col("action") == "cancel", "cancelled")
     new = F.when(F.col("status").isin("running", "paused"), becomes)
     rows = actions.join(batches.select("id", "status"), "id").join(waiting, "id", "left")
@@ -128,7 +167,12 @@ def archived(ended: DataFrame, history: DataFrame, as_of: dt.datetime) -> DataFr
 def complete(tasks: DataFrame, reports: DataFrame, history: DataFrame, as_of: dt.datetime) -> DataFrame:
     """The runs of tasks whose completion (status, added, message) is accepted; a completion doesn't carry an error class."""
     done = guarded(tasks, reports.where(F.col("status") != "failed")).where("accepted")
-    return archived(done.select("task", F.col("status").alias("final_status"), "added", F.lit(None).cast("string").alias("error_class"), "message"), history, as_of)
+    return (
+        archived(
+            done.select("task", F.col("status").alias("final_status"), "added", F.lit(None).cast("string").alias("error_class"), "message"), history,
+            as_of
+        )
+    )
 
 
 def fail(tasks: DataFrame, reports: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -139,7 +183,14 @@ def fail(tasks: DataFrame, reports: DataFrame, as_of: dt.datetime) -> DataFrame:
     rows = guarded(tasks, reports)
     again = expr.retryable(F.col("error_class"), F.col("task.attempts"), F.col("task.max_attempts"))
     action = F.when(~F.col("accepted"), "lease_lost").when(again, "retry").otherwise("dead")
-    delay = F.when(action == "retry", expr.retry_delay(F.col("task.attempts"), F.col("task.base_seconds"), F.col("task.max_seconds"), F.col("task.backoff"), F.col("retry_after")))
+    delay = (
+        F.when(
+            action == "retry",
+            expr.retry_delay(
+                F.col("task.attempts"), F.col("task.base_seconds"), F.col("task.max_seconds"), F.col("task.backoff"), F.col("retry_after")
+            )
+        )
+    )
     status = F.when(action == "retry", "retry").when(action == "dead", "dead").otherwise(F.col("task.status"))
     return rows.select(
         "task_id", action.alias("action"), delay.alias("delay"), (at(as_of) + F.make_dt_interval(secs=delay)).alias("not_before"), status.alias("status"),
@@ -151,17 +202,29 @@ def finish_schedules(schedules: DataFrame, ended: DataFrame, as_of: dt.datetime)
     """Schedules (schedule_id, enabled, kind, seconds, once_at, cron, zone) whose task has ended: the next run counts from now; one without any is disabled."""
     next_run = scheduling.next_run(F.col("kind"), F.col("seconds"), F.col("once_at"), F.col("cron"), F.col("zone"), at(as_of))
     rows = schedules.join(ended.select("schedule_id").distinct(), "schedule_id", "left_semi").withColumn("next_run_at", next_run)
-    return rows.select("schedule_id", (F.col("enabled") & F.col("next_run_at").isNotNull()).alias("enabled"), "next_run_at", F.lit(None).cast("long").alias("active_task_id"))
+    return (
+        rows
+            .select(
+                "schedule_id", (F.col("enabled") & F.col("next_run_at").isNotNull()).alias("enabled"), "next_run_at",
+                F.lit(None).cast("long").alias("active_task_id")
+            )
+    )
 
 
 def finish_batches(batches: DataFrame, runs: DataFrame) -> DataFrame:
     """id, total, completed, failed and status of batches (id, status, total_tasks) after these runs: partial and dead ones count as failed.
 
     Once all have ended a batch is completed, or partial if any failed; until then its status stays."""
-    ended = runs.where("batch_id IS NOT NULL").groupBy(F.col("batch_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("final_status").isin("partial", "dead")).alias("bad"))
+    ended = (
+        runs.where("batch_id IS NOT NULL").groupBy(F.col("batch_id").alias("id"))
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("final_status").isin("partial", "dead")).alias("bad"))
+    )
     done, bad = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
     status = F.when((done > 0) & (done >= F.col("total_tasks")), F.when(bad > 0, "partial").otherwise("completed")).otherwise(F.col("status"))
-    return batches.join(ended, "id", "left").select("id", F.col("total_tasks").alias("total"), done.alias("completed"), bad.alias("failed"), status.alias("status"))
+    return (
+        batches.join(ended, "id", "left")
+            .select("id", F.col("total_tasks").alias("total"), done.alias("completed"), bad.alias("failed"), status.alias("status"))
+    )
 
 
 def heartbeat(tasks: DataFrame, leases: DataFrame, beats: DataFrame, stale_seconds: int = 180) -> DataFrame:
@@ -184,4 +247,10 @@ def merged_report(told: DataFrame, counted: DataFrame) -> DataFrame:
     """Counters per task_id: what the plugin told or what was counted, whichever is larger; a missing one counts as 0."""
     names = [c for c in counted.columns if c != "task_id"]
     own = told.select("task_id", *[F.col(c).alias(f"told_{c}") for c in names if c in told.columns])
-    return counted.join(own, "task_id", "full").select("task_id", *[F.greatest(F.coalesce(F.col(c), F.lit(0)), F.coalesce(f"told_{c}", F.lit(0)) if f"told_{c}" in own.columns else F.lit(0)).alias(c) for c in names])
+    return (
+        counted.join(own, "task_id", "full")
+            .select(
+                "task_id",
+                *[F.greatest(F.coalesce(F.col(c), F.lit(0)), F.coalesce(f"told_{c}", F.lit(0)) if f"told_{c}" in own.columns else F.lit(0)).alias(c) for c in names]
+            )
+    )

@@ -40,4 +40,10 @@ def merge_checkpoints(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """The fresh checkpoint of each source; its validators, or those stored where it has none."""
     f = fresh.select("source_id", F.lit(True).alias("__fresh"), *[F.col(c).alias(f"new_{c}") for c in ("checkpoint", "etag", "last_modified")])
     both = stored.join(f, "source_id", "full")
-    return both.select("source_id", F.when(F.col("__fresh"), F.col("new_checkpoint")).otherwise(F.col("checkpoint")).alias("checkpoint"), F.coalesce("new_etag", "etag").alias("etag"), F.coalesce("new_last_modified", "last_modified").alias("last_modified"))
+    return (
+        both
+            .select(
+                "source_id", F.when(F.col("__fresh"), F.col("new_checkpoint")).otherwise(F.col("checkpoint")).alias("checkpoint"),
+                F.coalesce("new_etag", "etag").alias("etag"), F.coalesce("new_last_modified", "last_modified").alias("last_modified")
+            )
+    )

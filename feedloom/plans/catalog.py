@@ -38,7 +38,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[View], DataF
 
 def head(name: str, table: str, columns: str, where: str, order: str, limit: int) -> None:
     query(name, f"SELECT {columns} FROM {table} WHERE {where} ORDER BY {order} LIMIT {limit}")(
-        lambda v: v(table).where(where).orderBy(*[F.expr(o.removesuffix(" DESC")).desc_nulls_last() if o.endswith(" DESC") else F.expr(o).asc_nulls_last() for o in order.split(", ")]).limit(limit).selectExpr(*columns.split(", "))
+        lambda v: (
+            v(table).where(where)
+                .orderBy(
+                    *[F.expr(o.removesuffix(" DESC")).desc_nulls_last() if o.endswith(" DESC") else F.expr(o).asc_nulls_last() for o in order.split(", ")]
+                )
+                .limit(limit).selectExpr(*columns.split(", "))
+        )
     )
 
 
@@ -71,13 +77,25 @@ def _(v: View) -> DataFrame:
     FROM runs_v WHERE finished_at >= {NOW_SQL} - INTERVAL '24 hours'""")
 def _(v: View) -> DataFrame:
     day = v("runs_v").where(F.col("finished_at") >= now() - F.expr("INTERVAL '24' HOUR"))
-    return day.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("final_status") == "succeeded").alias("succeeded"), F.count_if(F.col("final_status") == "dead").alias("dead"), F.coalesce(F.sum("rows_added"), F.lit(0)).alias("rows_added"))
+    return (
+        day
+            .agg(
+                F.count(F.lit(1)).alias("total"), F.count_if(F.col("final_status") == "succeeded").alias("succeeded"),
+                F.count_if(F.col("final_status") == "dead").alias("dead"), F.coalesce(F.sum("rows_added"), F.lit(0)).alias("rows_added")
+            )
+    )
 
 
 @query("resource_summary", f"""SELECT count(*) AS total, count(*) FILTER (WHERE observed_at >= {NOW_SQL} - INTERVAL '24 hours') AS fresh, max(observed_at) AS latest
     FROM records_v""")
 def _(v: View) -> DataFrame:
-    return v("records_v").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("observed_at") >= now() - F.expr("INTERVAL '24' HOUR")).alias("fresh"), F.max("observed_at").alias("latest"))
+    return (
+        v("records_v")
+            .agg(
+                F.count(F.lit(1)).alias("total"), F.count_if(F.col("observed_at") >= now() - F.expr("INTERVAL '24' HOUR")).alias("fresh"),
+                F.max("observed_at").alias("latest")
+            )
+    )
 
 
 @query("kind_top20", "SELECT kind, count(*) AS n, max(observed_at) AS latest FROM records_v GROUP BY kind ORDER BY n DESC, kind LIMIT 20")
@@ -95,7 +113,10 @@ def _(v: View) -> DataFrame:
 @query("running_backfill_slots", """SELECT locked_by AS node_id, COALESCE(sum(slot_cost), 0)::BIGINT AS slots FROM tasks_v WHERE status = 'running'
     AND workload = 'backfill' GROUP BY locked_by""")
 def _(v: View) -> DataFrame:
-    return v("tasks_v").where("status = 'running' AND workload = 'backfill'").groupBy(F.col("locked_by").alias("node_id")).agg(F.coalesce(F.sum("slot_cost"), F.lit(0)).alias("slots"))
+    return (
+        v("tasks_v").where("status = 'running' AND workload = 'backfill'").groupBy(F.col("locked_by").alias("node_id"))
+            .agg(F.coalesce(F.sum("slot_cost"), F.lit(0)).alias("slots"))
+    )
 
 
 @query("metrics_lines", """SELECT 'feedloom_tasks{status=\"' || status || '\"} ' || count(*) AS line FROM tasks_v GROUP BY status UNION ALL
@@ -134,7 +155,11 @@ def _(v: View) -> DataFrame:
     WHERE COALESCE(c.source_id, s.source_id) IS NOT NULL""")
 def _(v: View) -> DataFrame:
     config, stored = v("sources_v").where("n % 4 <> 0").select("source_id", F.lit(True).alias("c")), v("sources_v").where("n % 5 <> 0").select("source_id", "managed_by")
-    action = F.when(F.col("managed_by").isNull(), "insert").when(F.col("c").isNull() & (F.col("managed_by") == "config"), "retire").when(F.col("c").isNull(), "keep").otherwise("update")
+    action = (
+        F.when(F.col("managed_by").isNull(), "insert").when(
+            F.col("c").isNull() & (F.col("managed_by") == "config"), "retire"
+        ).when(F.col("c").isNull(), "keep").otherwise("update")
+    )
     return config.join(stored, "source_id", "full").select("source_id", action.alias("action"))
 
 
@@ -151,7 +176,12 @@ def _(v: View) -> DataFrame:
 @query("hash_spread", """SELECT source_id, sha256(source_id)[1:16] AS hash16, list_reduce(list_transform(range(1, 65), lambda i: CAST(instr('0123456789abcdef', substr(sha256(source_id), i, 1)) - 1 AS BIGINT)), lambda a, d: (a * 16 + d) % 60) AS spread
     FROM sources_v""")
 def _(v: View) -> DataFrame:
-    return v("sources_v").select("source_id", F.left(F.sha2("source_id", 256), F.lit(16)).alias("hash16"), expr.hash_modulo(F.col("source_id"), 60).alias("spread"))
+    return (
+        v("sources_v")
+            .select(
+                "source_id", F.left(F.sha2("source_id", 256), F.lit(16)).alias("hash16"), expr.hash_modulo(F.col("source_id"), 60).alias("spread")
+            )
+    )
 
 
 @query("backfill_windows", """SELECT source_id, w AS window_start, least(hi, w + INTERVAL '604800 seconds') AS window_end
@@ -189,7 +219,11 @@ def candidates(v: View) -> DataFrame:
     return scheduling.claim_candidates(v("tasks_v"), v("workers_v"), v("batches_v"), AS_OF)
 
 
-query("claim_candidates", f"WITH {CLAIM} SELECT node_id, id, slot_cost, CAST(n AS INT) AS n FROM cand WHERE n <= 200")(lambda v: candidates(v).select("node_id", "id", "slot_cost", "n"))
+query("claim_candidates", f"WITH {CLAIM} SELECT node_id, id, slot_cost, CAST(n AS INT) AS n FROM cand WHERE n <= 200")(
+    lambda v: (
+        candidates(v).select("node_id", "id", "slot_cost", "n")
+    )
+)
 OFFERED = f"""fits AS (SELECT t.*, node_id, row_number() OVER (PARTITION BY t.id ORDER BY node_id) AS k, count(*) OVER (PARTITION BY t.id) AS c FROM tasks_v t JOIN workers_v w
 ON w.effective_state = 'online' AND list_contains(string_split(w.queues_csv, ','), t.queue) AND (t.caps_csv = '' OR list_has_all(string_split(w.caps_csv, ','), string_split(t.caps_csv, ',')))
 WHERE t.status IN ('pending', 'retry') AND t.not_before <= {NOW_SQL} AND (t.batch_id IS NULL OR EXISTS (SELECT 1 FROM batches_v b WHERE b.id = t.batch_id AND b.status = 'running'))),
@@ -235,10 +269,19 @@ def _(v: View) -> DataFrame:
     need = F.expr("CASE need WHEN 0 THEN map() WHEN 1 THEN map('a', 3) WHEN 2 THEN map('b', 1) ELSE map('a', 3, 'b', 1) END").cast("map<string,int>")
     node = v("workers_v").where("node_id = 'n-5'")
     rows = scheduling.claim_candidates(v("leased_v").withColumn("resources", need), node, v("batches_v"), AS_OF)
-    leases = v("leases_v").where("resource_key = 'domain:ASIA' AND slot = 2").select(F.lit("a").alias("resource_key"), "slot", F.expr("TIMESTAMP_NTZ '2030-01-01 00:00:00'").alias("expires_at"))
+    leases = (
+        v("leases_v").where("resource_key = 'domain:ASIA' AND slot = 2")
+            .select(F.lit("a").alias("resource_key"), "slot", F.expr("TIMESTAMP_NTZ '2030-01-01 00:00:00'").alias("expires_at"))
+    )
     slots = node.select("node_id", F.col("max_concurrency").alias("slots"), F.lit(None).cast("long").alias("backfill_left"))
     taken = scheduling.claim_greedy(rows, slots, scheduling.held_slots(leases, AS_OF))
-    return taken.select("id", "slot_cost", "n", F.array_join(F.transform("leases", lambda x: F.concat_ws("=", x["key"], x["slot"].cast("string"))), ",").alias("leases"))
+    return (
+        taken
+            .select(
+                "id", "slot_cost", "n",
+                F.array_join(F.transform("leases", lambda x: F.concat_ws("=", x["key"], x["slot"].cast("string"))), ",").alias("leases")
+            )
+    )
 
 
 @query("free_slot", f"""SELECT k AS resource_key, CAST(min(s) AS INT) AS slot FROM (SELECT k, unnest(range(1, 6)) AS s
@@ -248,9 +291,19 @@ def _(v: View) -> DataFrame:
     return scheduling.free_slots(v("leases_v").select("resource_key").distinct().withColumn("capacity", F.lit(5)), v("leases_v"), AS_OF)
 
 
-query("expired_leases", f"SELECT resource_key, slot, task_id FROM leases_v WHERE expires_at <= {NOW_SQL}")(lambda v: v("leases_v").where(F.col("expires_at") <= now()).select("resource_key", "slot", "task_id"))
+query("expired_leases", f"SELECT resource_key, slot, task_id FROM leases_v WHERE expires_at <= {NOW_SQL}")(
+    lambda v: (
+        v("leases_v").where(F.col("expires_at") <= now()).select("resource_key", "slot", "task_id")
+    )
+)
 query("resource_entries", "SELECT task_id, string_agg(resource_key || '=' || slot, ',' ORDER BY resource_key, slot) AS entries FROM leases_v GROUP BY task_id")(
-    lambda v: v("leases_v").groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("resource_key", "slot"))).alias("e")).select("task_id", F.array_join(F.transform("e", lambda x: F.concat_ws("=", x["resource_key"], x["slot"].cast("string"))), ",").alias("entries"))
+    lambda v: (
+        v("leases_v").groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("resource_key", "slot"))).alias("e"))
+            .select(
+                "task_id",
+                F.array_join(F.transform("e", lambda x: F.concat_ws("=", x["resource_key"], x["slot"].cast("string"))), ",").alias("entries")
+            )
+    )
 )
 
 
@@ -259,7 +312,13 @@ query("resource_entries", "SELECT task_id, string_agg(resource_key || '=' || slo
     WHERE final_status = 'dead'""")
 def _(v: View) -> DataFrame:
     dead = v("runs_v").where("final_status = 'dead'")
-    return dead.select("task_id", expr.retryable(F.col("error_class"), F.col("attempts"), F.lit(3)).alias("retry"), expr.retry_delay(F.col("attempts")).alias("delay"))
+    return (
+        dead
+            .select(
+                "task_id", expr.retryable(F.col("error_class"), F.col("attempts"), F.lit(3)).alias("retry"),
+                expr.retry_delay(F.col("attempts")).alias("delay")
+            )
+    )
 
 
 @query("retry_after_parse", """SELECT task_id, CASE WHEN task_id % 3 = 0 THEN least(3600.0, attempts * 1000.0)::DOUBLE ELSE 30.0::DOUBLE END AS seconds
@@ -271,11 +330,21 @@ def _(v: View) -> DataFrame:
 
 query("stale_tasks", f"""SELECT id, attempts, {NOW_SQL} + INTERVAL '15 seconds' AS not_before FROM tasks_v WHERE status = 'running'
     AND locked_at < {NOW_SQL} - INTERVAL '180 seconds'""")(
-    lambda v: v("tasks_v").where((F.col("status") == "running") & (F.col("locked_at") < now() - F.expr("INTERVAL '180' SECOND"))).select("id", "attempts", (now() + F.expr("INTERVAL '15' SECOND")).alias("not_before"))
+    lambda v: (
+        v("tasks_v").where((F.col("status") == "running") & (F.col("locked_at") < now() - F.expr("INTERVAL '180' SECOND")))
+            .select("id", "attempts", (now() + F.expr("INTERVAL '15' SECOND")).alias("not_before"))
+    )
+)
+query("latest_heartbeat", "SELECT worker_id, max(finished_at) AS beat FROM runs_v GROUP BY worker_id")(
+    lambda v: (
+        v("runs_v").groupBy("worker_id").agg(F.max("finished_at").alias("beat"))
+    )
 )
-query("latest_heartbeat", "SELECT worker_id, max(finished_at) AS beat FROM runs_v GROUP BY worker_id")(lambda v: v("runs_v").groupBy("worker_id").agg(F.max("finished_at").alias("beat")))
 query("offline_workers", "SELECT worker_id FROM runs_v GROUP BY worker_id HAVING max(finished_at) < TIMESTAMP '2024-02-01 00:00:00' - INTERVAL '60 seconds'")(
-    lambda v: v("runs_v").groupBy("worker_id").agg(F.max("finished_at").alias("beat")).where(F.col("beat") < F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00' - INTERVAL '60' SECOND")).select("worker_id")
+    lambda v: (
+        v("runs_v").groupBy("worker_id").agg(F.max("finished_at").alias("beat"))
+            .where(F.col("beat") < F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00' - INTERVAL '60' SECOND")).select("worker_id")
+    )
 )
 
 
@@ -289,7 +358,10 @@ def _(v: View) -> DataFrame:
     WHERE status = 'running' AND NOT EXISTS (SELECT 1 FROM runs_v r WHERE r.dedupe_key = t.dedupe_key)""")
 def _(v: View) -> DataFrame:
     micros = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
-    return v("tasks_v").where("status = 'running'").join(v("runs_v").select("dedupe_key"), "dedupe_key", "left_anti").select(F.col("id").alias("task_id"), "dedupe_key", (micros(now()) - micros(F.col("locked_at"))).alias("duration_seconds"))
+    return (
+        v("tasks_v").where("status = 'running'").join(v("runs_v").select("dedupe_key"), "dedupe_key", "left_anti")
+            .select(F.col("id").alias("task_id"), "dedupe_key", (micros(now()) - micros(F.col("locked_at"))).alias("duration_seconds"))
+    )
 
 
 @query("next_run", f"""SELECT source_id, CASE WHEN schedule_type = 'interval' THEN {NOW_SQL} + schedule_seconds * INTERVAL '1 second'
@@ -298,10 +370,26 @@ def _(v: View) -> DataFrame:
 def _(v: View) -> DataFrame:
     once = F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00' + n * INTERVAL '1' HOUR - INTERVAL '10' HOUR")
     rows = v("sources_v").where("schedule_type <> 'cron'")
-    return rows.select("source_id", scheduling.next_run(F.col("schedule_type"), F.col("schedule_seconds"), once, F.lit("0 9 * * *"), F.lit("UTC"), now()).alias("next_run_at"))
+    return (
+        rows
+            .select(
+                "source_id",
+                scheduling.next_run(F.col("schedule_type"), F.col("schedule_seconds"), once, F.lit("0 9 * * *"), F.lit("UTC"), now())
+                    .alias("next_run_at")
+            )
+    )
 
 
-query("next_run_cron")(lambda v: v("sources_v").where("schedule_type = 'cron'").select("source_id", scheduling.next_run(F.col("schedule_type"), F.col("schedule_seconds"), now(), F.lit("0 9 * * *"), F.lit("Asia/Shanghai"), now()).alias("next_run_at")))
+query("next_run_cron")(
+    lambda v: (
+        v("sources_v").where("schedule_type = 'cron'")
+            .select(
+                "source_id",
+                scheduling.next_run(F.col("schedule_type"), F.col("schedule_seconds"), now(), F.lit("0 9 * * *"), F.lit("Asia/Shanghai"), now())
+                    .alias("next_run_at")
+            )
+    )
+)
 
 
 # versioned upsert
@@ -330,8 +418,16 @@ query("version_history", f"""SELECT source_id, external_id, {record_hash_sql({'c
     lambda v: upsert.version_history(hashed(v)).select("source_id", "external_id", "content_hash", "seq")
 )
 RECORD = {c: c for c in ("kind", "url", "title", "content", "content_type", "language")}
-query("content_hash", f"SELECT source_id, external_id, {record_hash_sql(RECORD)} AS content_hash FROM records_v")(lambda v: v("records_v").select("source_id", "external_id", expr.record_hash(v("records_v").columns).alias("content_hash")))
-query("stable_id", "SELECT external_id, sha256(concat(source_id, '|', COALESCE(url, ''), '|', title)) AS stable_id FROM records_v")(lambda v: v("records_v").select("external_id", expr.stable_id(F.col("source_id"), F.col("url"), F.col("title")).alias("stable_id")))
+query("content_hash", f"SELECT source_id, external_id, {record_hash_sql(RECORD)} AS content_hash FROM records_v")(
+    lambda v: (
+        v("records_v").select("source_id", "external_id", expr.record_hash(v("records_v").columns).alias("content_hash"))
+    )
+)
+query("stable_id", "SELECT external_id, sha256(concat(source_id, '|', COALESCE(url, ''), '|', title)) AS stable_id FROM records_v")(
+    lambda v: (
+        v("records_v").select("external_id", expr.stable_id(F.col("source_id"), F.col("url"), F.col("title")).alias("stable_id"))
+    )
+)
 
 
 @query("checkpoint_merge", """SELECT COALESCE(f.source_id, s.source_id) AS source_id, COALESCE(f.checkpoint, s.checkpoint) AS checkpoint, COALESCE(f.etag, s.etag) AS etag, s.last_modified AS last_modified
@@ -341,20 +437,41 @@ query("stable_id", "SELECT external_id, sha256(concat(source_id, '|', COALESCE(u
 def _(v: View) -> DataFrame:
     s = v("sources_v")
     stored = s.where("n % 2 = 0").selectExpr("source_id", "'a' AS checkpoint", "concat('e', n) AS etag", "'m' AS last_modified")
-    return upsert.merge_checkpoints(stored, s.where("n % 3 = 0").selectExpr("source_id", "'b' AS checkpoint", "CASE WHEN n % 4 = 0 THEN 'new' END AS etag", "CAST(NULL AS STRING) AS last_modified"))
+    return (
+        upsert.merge_checkpoints(
+            stored,
+            s.where("n % 3 = 0")
+                .selectExpr("source_id", "'b' AS checkpoint", "CASE WHEN n % 4 = 0 THEN 'new' END AS etag", "CAST(NULL AS STRING) AS last_modified")
+        )
+    )
 
 
 query("changed_sources_only", "SELECT source_id FROM sources_v WHERE NOT (n % 3 = 0 AND 'v' || (n % 2) = 'v0')")(
-    lambda v: v("sources_v").select("source_id", F.concat(F.lit("v"), F.col("n") % 2).alias("etag")).join(v("sources_v").where("n % 3 = 0").select("source_id", F.lit("v0").alias("etag")), ["source_id", "etag"], "left_anti").select("source_id")
+    lambda v: (
+        v("sources_v").select("source_id", F.concat(F.lit("v"), F.col("n") % 2).alias("etag"))
+            .join(v("sources_v").where("n % 3 = 0").select("source_id", F.lit("v0").alias("etag")), ["source_id", "etag"], "left_anti")
+            .select("source_id")
+    )
+)
+query("asset_upsert", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")(
+    lambda v: (
+        v("events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"))
+    )
 )
-query("asset_upsert", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")(lambda v: v("events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value")))
 query("asset_path", """SELECT page_id, COALESCE(NULLIF(substr(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 1, 100), ''), sha256(url)[1:20]) AS segment
     FROM pages""")(lambda v: v("pages").select("page_id", expr.path_segment(F.col("url")).alias("segment")))
 query("micro_batches", """SELECT source_id, CAST((rn - 1) // 100 AS INT) AS flush, count(*) AS n
-    FROM (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY seq) AS rn FROM records_v) GROUP BY ALL""")(lambda v: extract.micro_batches(v("records_v")).groupBy("source_id", "flush").agg(F.count(F.lit(1)).alias("n")))
+    FROM (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY seq) AS rn FROM records_v) GROUP BY ALL""")(
+    lambda v: (
+        extract.micro_batches(v("records_v")).groupBy("source_id", "flush").agg(F.count(F.lit(1)).alias("n"))
+    )
+)
 query("fetch_counters", """SELECT source_id, count(*) AS seen, CAST(sum(length(content)) AS BIGINT) AS characters, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes
     FROM records_v GROUP BY source_id""")(
-    lambda v: v("records_v").groupBy("source_id").agg(F.count(F.lit(1)).alias("seen"), F.sum(F.length("content")).alias("characters"), F.sum(F.octet_length("content")).alias("bytes"))
+    lambda v: (
+        v("records_v").groupBy("source_id")
+            .agg(F.count(F.lit(1)).alias("seen"), F.sum(F.length("content")).alias("characters"), F.sum(F.octet_length("content")).alias("bytes"))
+    )
 )
 
 # extraction
@@ -363,36 +480,145 @@ PAGES = f"(SELECT page_id, url, COALESCE({TEXT.format('h1')}, {TEXT.format('titl
 HREFS = "(SELECT page_id, h, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href FROM (SELECT page_id, list_filter(x, lambda y, i: list_position(x, y) = i) AS h FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS x FROM pages)))"
 query("page_extract", f"SELECT CAST(page_id AS VARCHAR) AS external_id, url, title, content FROM {PAGES}")(lambda v: extract.pages_to_records(v("pages")))
 query("link_explode", f"SELECT page_id, CAST(pos AS INT) AS pos, href FROM {HREFS} WHERE pos < 5")(lambda v: extract.links(v("pages"), 5))
-query("page_assets", f"SELECT page_id, CAST(pos AS INT) AS pos, sha256(href)[1:12] AS asset_key FROM {HREFS}")(lambda v: extract.links(v("pages")).select("page_id", "pos", F.left(F.sha2("href", 256), F.lit(12)).alias("asset_key")))
+query("page_assets", f"SELECT page_id, CAST(pos AS INT) AS pos, sha256(href)[1:12] AS asset_key FROM {HREFS}")(
+    lambda v: (
+        extract.links(v("pages")).select("page_id", "pos", F.left(F.sha2("href", 256), F.lit(12)).alias("asset_key"))
+    )
+)
 query("fulltext_enrich", f"""SELECT p.page_id AS page_id, CASE WHEN length(content) > length(substr(title, 1, 20)) THEN content
     ELSE substr(title, 1, 20) END AS content FROM {PAGES} p""")(
-    lambda v: extract.enriched(extract.pages_to_records(v("pages")).select(F.col("external_id").cast("long").alias("page_id"), "url", F.left("title", F.lit(20)).alias("content")), extract.pages_to_records(v("pages"))).select("page_id", "content")
+    lambda v: (
+        extract.enriched(
+            extract.pages_to_records(v("pages"))
+                .select(F.col("external_id").cast("long").alias("page_id"), "url", F.left("title", F.lit(20)).alias("content")),
+            extract.pages_to_records(v("pages"))
+        )
+            .select("page_id", "content")
+    )
+)
+query("json_field_map", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")(
+    lambda v: (
+        extract.json_records(
+            v("events").select("event_id", F.concat(F.lit('{"data":['), "props", F.lit("]}")).alias("payload")), "payload", "$.data", {"k": "$.k"}
+        )
+    )
 )
-query("json_field_map", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")(lambda v: extract.json_records(v("events").select("event_id", F.concat(F.lit('{"data":['), "props", F.lit("]}")).alias("payload")), "payload", "$.data", {"k": "$.k"}))
 query("rss_items", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'id-' || page_id ELSE 'http://x/' || page_id END AS external_id, CASE
     WHEN page_id % 3 = 0 THEN 't' || page_id ELSE 'd' END AS content, TIMESTAMP '2024-01-02 03:04:05' AS published_at FROM pages""")(
-    lambda v: extract.rss_items(v("pages").selectExpr("page_id", "concat('<rss><channel><title>c</title><item><guid>', CASE WHEN page_id % 2 = 0 THEN concat('id-', page_id) ELSE '' END, '</guid><link>http://x/', page_id, '</link><title>t', page_id, '</title><description>', CASE WHEN page_id % 3 = 0 THEN '' ELSE 'd' END, '</description><pubDate>Tue, 2 Jan 2024 03:04:05 GMT</pubDate></item></channel></rss>') AS payload")).select("page_id", "external_id", "content", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+    lambda v: (
+        extract.rss_items(
+            v("pages")
+                .selectExpr(
+                    "page_id",
+                    "concat('<rss><channel><title>c</title><item><guid>', CASE WHEN page_id % 2 = 0 THEN concat('id-', page_id) ELSE '' END, '</guid><link>http://x/', page_id, '</link><title>t', page_id, '</title><description>', CASE WHEN page_id % 3 = 0 THEN '' ELSE 'd' END, '</description><pubDate>Tue, 2 Jan 2024 03:04:05 GMT</pubDate></item></channel></rss>') AS payload"
+                )
+        )
+            .select("page_id", "external_id", "content", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+    )
 )
 query("sitemap_locs", "SELECT page_id, 'http://x/' || page_id AS loc, page_id % 2 = 0 AS is_index FROM pages")(
-    lambda v: extract.sitemap_locs(v("pages").selectExpr("page_id", "concat(CASE WHEN page_id % 2 = 0 THEN '<sitemapindex><sitemap>' ELSE '<urlset><url>' END, '<loc> http://x/', page_id, ' </loc>', CASE WHEN page_id % 2 = 0 THEN '</sitemap></sitemapindex>' ELSE '</url></urlset>' END) AS payload")).select("page_id", "loc", "is_index")
+    lambda v: (
+        extract.sitemap_locs(
+            v("pages")
+                .selectExpr(
+                    "page_id",
+                    "concat(CASE WHEN page_id % 2 = 0 THEN '<sitemapindex><sitemap>' ELSE '<urlset><url>' END, '<loc> http://x/', page_id, ' </loc>', CASE WHEN page_id % 2 = 0 THEN '</sitemap></sitemapindex>' ELSE '</url></urlset>' END) AS payload"
+                )
+        )
+            .select("page_id", "loc", "is_index")
+    )
 )
 query("external_id_coalesce", """SELECT seq, CASE WHEN seq % 2 = 0 THEN external_id WHEN title <> '' THEN title ELSE sha256(content) END AS external_id
-    FROM records_v""")(lambda v: v("records_v").select("seq", expr.first_filled(F.when(F.col("seq") % 2 == 0, F.col("external_id")).otherwise(""), F.col("title"), F.sha2("content", 256)).alias("external_id")))
+    FROM records_v""")(
+    lambda v: (
+        v("records_v")
+            .select(
+                "seq",
+                expr.first_filled(F.when(F.col("seq") % 2 == 0, F.col("external_id")).otherwise(""), F.col("title"), F.sha2("content", 256))
+                    .alias("external_id")
+            )
+    )
+)
 query("attribute_map", "SELECT event_id, 'event_type=' || event_type || ',user_id=' || user_id AS attributes FROM events")(
-    lambda v: v("events").select("event_id", F.map_filter(F.create_map(F.lit("event_type"), "event_type", F.lit("none"), F.lit(None).cast("string"), F.lit("user_id"), F.col("user_id").cast("string")), lambda k, x: x.isNotNull() & ~k.isin("external_id", "title")).alias("m")).select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("attributes"))
+    lambda v: (
+        v("events")
+            .select(
+                "event_id",
+                F.map_filter(
+                    F.create_map(
+                        F.lit("event_type"), "event_type", F.lit("none"), F.lit(None).cast("string"), F.lit("user_id"),
+                        F.col("user_id").cast("string")
+                    ),
+                    lambda k, x: x.isNotNull() & ~k.isin("external_id", "title")
+                )
+                    .alias("m")
+            )
+            .select(
+                "event_id",
+                F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("attributes")
+            )
+    )
 )
 query("url_parts", """SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^([a-z]+://[^?#]*)', 1) AS redacted
     FROM pages""")(
-    lambda v: v("pages").select("page_id", F.try_parse_url("url", F.lit("PROTOCOL")).alias("scheme"), F.try_parse_url("url", F.lit("HOST")).alias("host"), expr.redacted_url(F.col("url")).alias("redacted"))
+    lambda v: (
+        v("pages")
+            .select(
+                "page_id", F.try_parse_url("url", F.lit("PROTOCOL")).alias("scheme"), F.try_parse_url("url", F.lit("HOST")).alias("host"),
+                expr.redacted_url(F.col("url")).alias("redacted")
+            )
+    )
 )
 query("content_type_filter", "SELECT event_id FROM events WHERE event_type IN ('click', 'view', 'error')")(
-    lambda v: v("events").where(expr.content_type_allowed(F.expr("CASE event_type WHEN 'click' THEN 'Application/JSON; charset=utf-8' WHEN 'view' THEN 'application/feed+json' WHEN 'error' THEN '' ELSE 'text/html' END"), ["application/json"])).select("event_id")
+    lambda v: (
+        v("events")
+            .where(
+                expr.content_type_allowed(
+                    F.expr(
+                        "CASE event_type WHEN 'click' THEN 'Application/JSON; charset=utf-8' WHEN 'view' THEN 'application/feed+json' WHEN 'error' THEN '' ELSE 'text/html' END"
+                    ),
+                    ["application/json"]
+                )
+            )
+            .select("event_id")
+    )
 )
 query("parse_time", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE o_orderdate END AS t FROM orders")(
-    lambda v: v("orders").select("o_orderkey", expr.parse_time(F.expr("CASE o_orderkey % 3 WHEN 0 THEN date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") WHEN 1 THEN concat(date_format(o_orderdate, 'E, d MMM yyyy HH:mm:ss'), ' GMT') ELSE 'soon' END")).cast("timestamp_ntz").alias("t"))
+    lambda v: (
+        v("orders")
+            .select(
+                "o_orderkey",
+                expr.parse_time(
+                    F.expr(
+                        "CASE o_orderkey % 3 WHEN 0 THEN date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") WHEN 1 THEN concat(date_format(o_orderdate, 'E, d MMM yyyy HH:mm:ss'), ' GMT') ELSE 'soon' END"
+                    )
+                ).cast("timestamp_ntz")
+                    .alias("t")
+            )
+    )
+)
+query("capability_set", "SELECT source_id, CASE WHEN fetcher < 'sink:postgres' THEN fetcher || ',sink:postgres' END AS capabilities FROM sources_v")(
+    lambda v: (
+        v("sources_v")
+            .select(
+                "source_id",
+                F.array_join(F.array_sort(F.array_distinct(F.array("fetcher", F.concat(F.lit("sink:"), "sink"), "fetcher"))), ",")
+                    .alias("capabilities")
+            )
+    )
 )
-query("capability_set", "SELECT source_id, CASE WHEN fetcher < 'sink:postgres' THEN fetcher || ',sink:postgres' END AS capabilities FROM sources_v")(lambda v: v("sources_v").select("source_id", F.array_join(F.array_sort(F.array_distinct(F.array("fetcher", F.concat(F.lit("sink:"), "sink"), "fetcher"))), ",").alias("capabilities")))
 query("contract_validation", """SELECT source_id, regexp_full_match(source_id, '[A-Za-z0-9][A-Za-z0-9_.:-]{0,191}')
     AND (schedule_type <> 'interval' OR schedule_seconds >= 600) AS valid FROM sources_v""")(
-    lambda v: v("sources_v").select("source_id", (F.col("source_id").rlike("^[A-Za-z0-9][A-Za-z0-9_.:-]{0,191}$") & ((F.col("schedule_type") != "interval") | (F.col("schedule_seconds") >= 600))).alias("valid"))
+    lambda v: (
+        v("sources_v")
+            .select(
+                "source_id",
+                (
+                    F.col("source_id").rlike("^[A-Za-z0-9][A-Za-z0-9_.:-]{0,191}$") & (
+                        (F.col("schedule_type") != "interval") | (F.col("schedule_seconds") >= 600)
+                    )
+                )
+                    .alias("valid")
+            )
+    )
 )

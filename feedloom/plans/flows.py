@@ -42,7 +42,10 @@ FROM r LEFT JOIN k ON k.source_id = r.source_id""",
 def _(v: View) -> DataFrame:
     every = v("sources_v").withColumn("spec", F.concat(F.lit("v"), F.col("n") % 2, F.lit(":"), "source_id"))
     first = F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00' + n * INTERVAL '1' HOUR")
-    config = every.where("n % 4 <> 0").select("source_id", "spec", "enabled", "schedule_type", F.col("schedule_seconds").alias("seconds"), first.alias("first_run_at"))
+    config = (
+        every.where("n % 4 <> 0")
+            .select("source_id", "spec", "enabled", "schedule_type", F.col("schedule_seconds").alias("seconds"), first.alias("first_run_at"))
+    )
     old = F.when(F.col("n") % 3 == 0, F.left(F.sha2("spec", 256), F.lit(16))).otherwise("old")
     stored = every.where("n % 5 <> 0").select("source_id", "managed_by", (F.col("n") % 2 == 0).alias("enabled"), old.alias("config_hash"))
     return transitions.reconcile(config, stored, v("schedules_v").join(stored.select("source_id"), "source_id"), AS_OF)
@@ -151,7 +154,13 @@ FROM schedules_v s JOIN sources_v x USING (source_id) WHERE schedule_type <> 'cr
 )
 def _(v: View) -> DataFrame:
     once = F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00' + (n - 10) * INTERVAL '1' HOUR")
-    spec = v("sources_v").where("schedule_type <> 'cron'").select("source_id", F.col("schedule_type").alias("kind"), F.col("schedule_seconds").alias("seconds"), once.alias("once_at"), F.lit(None).cast("string").alias("cron"), F.lit("UTC").alias("zone"))
+    spec = (
+        v("sources_v").where("schedule_type <> 'cron'")
+            .select(
+                "source_id", F.col("schedule_type").alias("kind"), F.col("schedule_seconds").alias("seconds"), once.alias("once_at"),
+                F.lit(None).cast("string").alias("cron"), F.lit("UTC").alias("zone")
+            )
+    )
     schedules = v("schedules_v").select("schedule_id", "source_id", "enabled").join(spec, "source_id")
     return transitions.finish_schedules(schedules, v("leased_v").where("status = 'running' AND schedule_id IS NOT NULL"), AS_OF)
 
@@ -169,7 +178,13 @@ JOIN (SELECT task_id, max(ts) AS ts FROM ({BEATS}) WHERE lease_token <> 'lease-o
 def _(v: View) -> DataFrame:
     thrice = v("nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("b"))
     running = v("leased_v").where("status = 'running'").join(F.broadcast(thrice))  # three beats each
-    beats = running.selectExpr("id AS task_id", "locked_by AS worker_id", "CASE WHEN id % 3 = 0 THEN 'lease-old' ELSE concat('lease-', id) END AS lease_token", "locked_at + b * INTERVAL '10' MINUTE AS ts")
+    beats = (
+        running
+            .selectExpr(
+                "id AS task_id", "locked_by AS worker_id", "CASE WHEN id % 3 = 0 THEN 'lease-old' ELSE concat('lease-', id) END AS lease_token",
+                "locked_at + b * INTERVAL '10' MINUTE AS ts"
+            )
+    )
     return transitions.heartbeat(v("leased_v"), v("leases_v"), beats)
 
 
@@ -219,7 +234,10 @@ UNION ALL SELECT 'feedloom_rows_added_24h ' || CAST(COALESCE(sum(rows_added), 0)
     WHERE finished_at >= {NOW_SQL} - INTERVAL '24 hours'""")
 def _(v: View) -> DataFrame:
     day = v("runs_v").where(F.col("finished_at") >= now() - F.expr("INTERVAL '24' HOUR"))
-    line = lambda df, metric: df.groupBy("final_status").count().select(F.format_string(f'{metric}{{status="%s"}} %d', "final_status", "count").alias("line"))
+    line = (
+        lambda df, metric: df.groupBy("final_status").count()
+            .select(F.format_string(f'{metric}{{status="%s"}} %d', "final_status", "count").alias("line"))
+    )
     rows = day.agg(F.coalesce(F.sum("rows_added"), F.lit(0)).alias("n")).select(F.format_string("feedloom_rows_added_24h %d", "n").alias("line"))
     return line(v("runs_v"), "feedloom_runs").unionByName(line(day, "feedloom_runs_24h")).unionByName(rows)
 
@@ -250,8 +268,18 @@ SELECT source_id, external_id, seq, content_hash, CASE WHEN COALESCE(b, CASE WHE
 def _(v: View) -> DataFrame:
     """Each record comes twice, some with another title or tag; some are stored as they are, some with another hash."""
     base = v("records_v").select("source_id", "external_id", "seq", "title", F.lit("a").alias("v"))
-    again = v("records_v").select("source_id", "external_id", (F.col("seq") + 1000000).alias("seq"), F.when(F.col("seq") % 3 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")).alias("title"), F.when(F.col("seq") % 5 == 0, "b").otherwise("a").alias("v"))
-    rows = base.unionByName(again).withColumn("tags", F.array("v")).withColumn("attributes", F.concat(F.lit('{ "x" : '), F.col("seq") % 1000000 % 4, F.lit(" }")))
+    again = (
+        v("records_v")
+            .select(
+                "source_id", "external_id", (F.col("seq") + 1000000).alias("seq"),
+                F.when(F.col("seq") % 3 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")).alias("title"),
+                F.when(F.col("seq") % 5 == 0, "b").otherwise("a").alias("v")
+            )
+    )
+    rows = (
+        base.unionByName(again).withColumn("tags", F.array("v"))
+            .withColumn("attributes", F.concat(F.lit('{ "x" : '), F.col("seq") % 1000000 % 4, F.lit(" }")))
+    )
     rows = rows.select("source_id", "external_id", "seq", expr.record_hash(["title", "tags", "attributes"]).alias("content_hash"))
     first = rows.where("seq < 1000000 AND seq % 7 < 2")
     stored = first.select("source_id", "external_id", F.when(F.col("seq") % 7 == 0, F.col("content_hash")).otherwise("other").alias("content_hash"))
@@ -320,7 +348,10 @@ def _(v: View) -> DataFrame:
 def _(v: View) -> DataFrame:
     config = extract.PageConfig(title="article h1", content="nav", attributes={"link": "nav ul li a", "none": "main.none"})
     rows = extract.page_records(v("pages"), config).join(v("pages").select("url", pages_html.first(F.col("html"), "html", "lang").alias("lang")), "url")
-    return rows.where(~F.map_contains_key("attributes", "none")).select("external_id", "kind", "url", "title", F.col("attributes")["link"].alias("link"), "lang")
+    return (
+        rows.where(~F.map_contains_key("attributes", "none"))
+            .select("external_id", "kind", "url", "title", F.col("attributes")["link"].alias("link"), "lang")
+    )
 
 
 @query(
@@ -352,7 +383,13 @@ def _(v: View) -> DataFrame:
     """The items of all list pages, each once per crawl where it stands first, with their details' titles."""
     lists = v("nation").sparkSession.sql(LISTS.replace("FROM nation", "FROM {nation}"), nation=v("nation"))
     placed = lists.withColumn("round", F.substr("url", F.length("url"), F.lit(1)).cast("int"))
-    details = v("nation").selectExpr("concat('http://h', n_nationkey % 5, '.example/d/', CAST(floor(n_nationkey / 5) AS INT)) AS url", "concat('<h1>D', CAST(floor(n_nationkey / 5) AS INT), '</h1>') AS html")
+    details = (
+        v("nation")
+            .selectExpr(
+                "concat('http://h', n_nationkey % 5, '.example/d/', CAST(floor(n_nationkey / 5) AS INT)) AS url",
+                "concat('<h1>D', CAST(floor(n_nationkey / 5) AS INT), '</h1>') AS html"
+            )
+    )
     found = crawl.list_items(placed, "li.item")
     records = crawl.list_records(found, details, extract.PageConfig(title="h1", content="p"))
     return found.join(records.select("url", "title"), "url").select("crawl", "list_url", "pos", "url", "title")
@@ -368,7 +405,13 @@ def _(v: View) -> DataFrame:
     lists = v("nation").sparkSession.sql(LISTS.replace("FROM nation", "FROM {nation}"), nation=v("nation"))
     starts = lists.where("url LIKE '%/p0'").select("crawl", "url")
     found = crawl.list_items(crawl.list_pages(lists, starts, "a[rel=next]", max_pages=3), "li.item", max_items=6)
-    details = v("nation").selectExpr("concat('http://h', n_nationkey % 5, '.example/d/', CAST(floor(n_nationkey / 5) AS INT)) AS url", "concat('<h1>D', CAST(floor(n_nationkey / 5) AS INT), '</h1><p>t</p>') AS html")
+    details = (
+        v("nation")
+            .selectExpr(
+                "concat('http://h', n_nationkey % 5, '.example/d/', CAST(floor(n_nationkey / 5) AS INT)) AS url",
+                "concat('<h1>D', CAST(floor(n_nationkey / 5) AS INT), '</h1><p>t</p>') AS html"
+            )
+    )
     records = crawl.list_records(found, details, extract.PageConfig(title="h1", content="p"))
     return found.join(records.select("url", "title"), "url").select("crawl", "round", "url", "title")
 
@@ -381,10 +424,22 @@ def _(v: View) -> DataFrame:
 def _(v: View) -> DataFrame:
     """An index of two maps and of itself; each map names half of its crawl's pages, of which the even ones are listed."""
     one = v("nation").selectExpr("n_nationkey AS k", "n_nationkey % 5 AS crawl", "CAST(floor(n_nationkey / 5) AS INT) % 2 AS half")
-    root = one.where("k < 5").selectExpr("concat('http://m', crawl, '.example/index.xml') AS url", "concat('<sitemapindex><sitemap><loc> http://m', crawl, '.example/0.xml </loc></sitemap><sitemap><loc>http://m', crawl, '.example/1.xml</loc></sitemap><sitemap><loc>http://m', crawl, '.example/index.xml</loc></sitemap></sitemapindex>') AS payload")
+    root = (
+        one.where("k < 5")
+            .selectExpr(
+                "concat('http://m', crawl, '.example/index.xml') AS url",
+                "concat('<sitemapindex><sitemap><loc> http://m', crawl, '.example/0.xml </loc></sitemap><sitemap><loc>http://m', crawl, '.example/1.xml</loc></sitemap><sitemap><loc>http://m', crawl, '.example/index.xml</loc></sitemap></sitemapindex>') AS payload"
+            )
+    )
     loc = F.concat(F.lit("<url><loc>http://m"), "crawl", F.lit(".example/page/"), "k", F.lit("</loc></url>"))
     listed = F.array_join(F.collect_list(F.when(F.col("k") % 2 == 0, loc)), "")
-    maps = one.groupBy("crawl", "half").agg(listed.alias("locs")).selectExpr("concat('http://m', crawl, '.example/', half, '.xml') AS url", "concat('<urlset>', locs, '<url><loc> </loc></url></urlset>') AS payload")
+    maps = (
+        one.groupBy("crawl", "half").agg(listed.alias("locs"))
+            .selectExpr(
+                "concat('http://m', crawl, '.example/', half, '.xml') AS url",
+                "concat('<urlset>', locs, '<url><loc> </loc></url></urlset>') AS payload"
+            )
+    )
     starts = one.where("k < 5").selectExpr("crawl", "concat('http://m', crawl, '.example/index.xml') AS url")
     return crawl.sitemap_pages(root.unionByName(maps), starts)
 
@@ -408,7 +463,13 @@ FIELDS = {"external_id": "$.id", "title": "$.name", "published_at": "$.when", "t
 
 def api_rows(pages: DataFrame) -> DataFrame:
     rows = extract.json_api_records(pages.select("crawl", "page", "payload"), "payload", "$.data", FIELDS)
-    return rows.select("crawl", "page", "external_id", "title", "content_type", F.col("published_at").cast("timestamp_ntz").alias("published_at"), F.col("attributes")["tag"].alias("tag"))
+    return (
+        rows
+            .select(
+                "crawl", "page", "external_id", "title", "content_type", F.col("published_at").cast("timestamp_ntz").alias("published_at"),
+                F.col("attributes")["tag"].alias("tag")
+            )
+    )
 
 
 @query("json_numbered_pages", JSON_RECORDS.format(f"(SELECT * FROM {PLACES} WHERE p <= 4 AND (c <> 1 OR p < 3)) x"))
@@ -425,7 +486,13 @@ def _(v: View) -> DataFrame:
 
 # URLs and texts
 REFERENCES = ("../a/b", "./c", "/d/../e?q=1", "//o.example/p", "?q", "#f", "", "https://k.example/z", "g/", "..", "h?x#y")
-RESOLVED = ("http://b.example/a/b", "http://b.example/x/c", "http://b.example/e?q=1", "http://o.example/p", "http://b.example/x/y{k}?q", "http://b.example/x/y{k}?w#f", "http://b.example/x/y{k}?w", "https://k.example/z", "http://b.example/x/g/", "http://b.example/", "http://b.example/x/h?x#y")
+RESOLVED = (
+    (
+        "http://b.example/a/b", "http://b.example/x/c", "http://b.example/e?q=1", "http://o.example/p", "http://b.example/x/y{k}?q",
+        "http://b.example/x/y{k}?w#f", "http://b.example/x/y{k}?w", "https://k.example/z", "http://b.example/x/g/", "http://b.example/",
+        "http://b.example/x/h?x#y"
+    )
+)
 
 
 @query("url_join", " UNION ALL ".join("SELECT n_nationkey AS k, '{0}' AS reference, concat('{1}') AS url FROM nation".format(r, u.replace("{k}", "', n_nationkey, '")) for r, u in zip(REFERENCES, RESOLVED, strict=True)))

@@ -49,7 +49,14 @@ def capped(rows: DataFrame, most: int) -> DataFrame:
 def list_items(lists: DataFrame, item_selector: str, link_selector: str = "a", attribute: str = "href", max_items: int = 500) -> DataFrame:
     """(crawl, round, list_url, pos, url): the details' URLs in order of place, each once per crawl, at most `max_items` of a crawl."""
     both = ",".join(f"{i} {k}" for i in item_selector.split(",") for k in link_selector.split(","))
-    found = lists.select("crawl", "round", F.col("url").alias("list_url"), F.posexplode(pages_html.selected(F.col("html"), both, attribute)).alias("pos", "raw")).where("raw <> ''")
+    found = (
+        lists
+            .select(
+                "crawl", "round", F.col("url").alias("list_url"),
+                F.posexplode(pages_html.selected(F.col("html"), both, attribute)).alias("pos", "raw")
+            )
+            .where("raw <> ''")
+    )
     whole = found.withColumn("url", expr.join_url(F.col("list_url"), F.col("raw")))
     order = ["round", "list_url", "pos"]
     once = whole.withColumn("__n", F.row_number().over(Window.partitionBy("crawl", "url").orderBy(*order))).where("__n = 1")

@@ -109,7 +109,13 @@ def feed_enclosures(feeds: DataFrame, payload: str = "payload", most: int = 200)
     """An asset per enclosure with a URL."""
     rest = [c for c in feeds.columns if c != payload]
     each = feed_entries(feeds, payload, most).select(*rest, "external_id", F.explode("e.enclosures").alias("x")).where("x.url <> ''")
-    return each.select(*rest, "external_id", F.left(expr.stable_id(F.col("x.url")), F.lit(24)).alias("asset_key"), F.col("x.url").alias("url"), F.col("x.type").alias("media_type"))
+    return (
+        each
+            .select(
+                *rest, "external_id", F.left(expr.stable_id(F.col("x.url")), F.lit(24)).alias("asset_key"), F.col("x.url").alias("url"),
+                F.col("x.type").alias("media_type")
+            )
+    )
 
 
 def feed_status(feeds: DataFrame, payload: str = "payload") -> DataFrame:
@@ -136,7 +142,12 @@ def json_records(rows: DataFrame, payload: str, items: str, fields: Mapping[str,
 def json_items(rows: DataFrame, payload: str, items: str) -> DataFrame:
     """The elements of the array at path `items`, as a variant `value`."""
     name = "{rows}"
-    return rows.sparkSession.sql(f"SELECT * EXCEPT ({payload}, pos, key) FROM {name}, LATERAL variant_explode(try_variant_get(try_parse_json({payload}), '{items}', 'variant'))", rows=rows)
+    return (
+        rows.sparkSession.sql(
+            f"SELECT * EXCEPT ({payload}, pos, key) FROM {name}, LATERAL variant_explode(try_variant_get(try_parse_json({payload}), '{items}', 'variant'))",
+            rows=rows
+        )
+    )
 
 
 def json_api_records(rows: DataFrame, payload: str, items: str, fields: Mapping[str, str], id_field: str = "external_id") -> DataFrame:
@@ -161,7 +172,12 @@ def enriched(items: DataFrame, pages: DataFrame, selectors: Sequence[str] = ())
         pages = pages.select("url", F.coalesce(*[pages_html.first(F.col("html"), s) for s in selectors]).alias("content"))
     full = pages.groupBy("url").agg(F.max_by("content", F.struct(F.length("content"), "content")).alias("__full"))
     both = items.join(full, "url", "left")
-    return both.withColumn("content", F.when(F.length("__full") > F.length(F.coalesce("content", F.lit(""))), F.col("__full")).otherwise(F.col("content"))).drop("__full")
+    return (
+        both
+            .withColumn(
+                "content", F.when(F.length("__full") > F.length(F.coalesce("content", F.lit(""))), F.col("__full")).otherwise(F.col("content"))
+            ).drop("__full")
+    )
 
 
 def micro_batches(records: DataFrame, size: int = 100, key: str = "source_id", order: str = "seq", width: int = 1_000_000) -> DataFrame:
