@@ -48,20 +48,47 @@ class Words:
     bounds: np.ndarray  # of text i: hashes[bounds[i]:bounds[i + 1]]
 
 
+#: Bytes worked on at a time: a long text's arrays are no larger than those of this many bytes.
+SLICE = 8_000_000
+
+
+def sizes_of(texts: Sequence[str | None], kept: Alphabet) -> np.ndarray:
+    """The number of words of each text; none for None."""
+    raws = [b"" if t is None else t.encode() for t in texts]
+    inside = kept.inside[np.frombuffer(b"\n" + b"\n".join(raws) + b"\n", np.uint8)]
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1])
+    return np.diff(np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))) if raws else np.zeros(0, np.int64)
+
+
 def words_of(texts: Sequence[str | None], kept: Alphabet) -> Words:
-    """The lower-cased words of each text; none for None."""
+    """The lower-cased words of each text; none for None. Texts of any length are hashed in slices; a word across two is their sum."""
     raws = [b"" if t is None else t.encode() for t in texts]
     lengths = np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws))
     raw = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8) if raws else np.zeros(0, np.uint8)
-    inside, data = kept.inside[raw], kept.lower[raw]
-    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
-    starts, stops = edges[::2], edges[1::2]
-    if not len(starts):
-        return Words(np.zeros(0, np.uint64), np.zeros(len(raws) + 1, np.int64))
-    sizes = stops - starts
-    at = np.flatnonzero(inside)
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(len(at), dtype=np.int32) - np.repeat(first, sizes).astype(np.int32)
-    powers = np.multiply.accumulate(np.full(int(sizes.max()), POWER, np.uint64))
-    hashes = mix(np.add.reduceat(BYTE[data[at]] * powers[place], first))
-    return Words(hashes, np.concatenate(([0], np.searchsorted(starts, np.cumsum(lengths)))).astype(np.int64))
+    sums, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    before = (np.uint64(0), 0, 0)  # the sum, size and start of a word that the last slice began
+    for left in range(0, len(raw), SLICE):
+        inside, data = kept.inside[raw[left : left + SLICE]], kept.lower[raw[left : left + SLICE]]
+        edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+        begin, sizes = edges[::2], edges[1::2] - edges[::2]
+        if not len(begin):
+            found, begin = np.zeros(0, np.uint64), begin.astype(np.int64)
+        else:
+            at = np.flatnonzero(inside)
+            first = np.cumsum(sizes) - sizes
+            place = np.arange(len(at), dtype=np.int32) - np.repeat(first, sizes).astype(np.int32)
+            powers = np.multiply.accumulate(np.full(int(sizes.max()), POWER, np.uint64))
+            found, begin = np.add.reduceat(BYTE[data[at]] * powers[place], first), begin + left
+        total, size, start = before
+        if size and len(begin) and begin[0] == left:
+            found[:1] = found[:1] * np.uint64(pow(int(POWER), size, 2**64)) + total
+            sizes[0], begin[0] = sizes[0] + size, start
+        elif size:
+            found, begin, sizes = np.append(total, found), np.append(start, begin), np.append(size, sizes)
+        before = (np.uint64(0), 0, 0)
+        if len(inside) and inside[-1]:
+            before, found, begin = (found[-1], int(sizes[-1]), int(begin[-1])), found[:-1], begin[:-1]
+        sums.append(found)
+        starts.append(begin)
+    every = np.concatenate(starts)
+    return Words(mix(np.concatenate(sums)), np.concatenate(([0], np.searchsorted(every, np.cumsum(lengths)))).astype(np.int64))
