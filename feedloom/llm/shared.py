@@ -55,6 +55,9 @@ def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str
             system.delete_dir(path)
 
 
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Splits Arrow batches so that each holds about `most` bytes of text (or one row): bounds a task's arrays."""
     for batch in batches:
@@ -78,7 +81,7 @@ def hash_sample(rows: DataFrame, columns: Sequence[str], most: int) -> DataFrame
     return rows.where(F.pmod(F.xxhash64(*columns), F.lit(1_000_000)) < share * 1_000_000).limit(2 * most)
 
 
-def with_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, ordered: bool = True, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def with_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, ordered: bool = True, then: Callable[[DataFrame], DataFrame] | None = None, keep: Callable[[DataFrame, str], DataFrame] = save) -> DataFrame:
     """Adds the rank (long, from 0) of each row among those of its group, by `order`, without a task per group.
 
     Rows are dealt by ranges of `order`, or where any numbers do (not ordered)
@@ -92,7 +95,7 @@ def with_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], out: st
         dealt = df.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
     else:
         dealt = df.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))).cast("int"))
-    ranged = save(then(dealt) if then else dealt, "ranges")
+    ranged = keep(then(dealt) if then else dealt, "ranges")
     counts = ranged.groupBy(part, *group).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     names = {c: f"__{i}" for i, c in enumerate((part, *group))}
