@@ -15,4 +15,8 @@ def cut(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return df.checkpoint()
+    held = df.persist()  # else it would be computed once for its result and again for its files
+    try:
+        return held.checkpoint()
+    finally:
+        held.unpersist()

@@ -53,11 +53,14 @@ def online_places(workers: DataFrame) -> DataFrame:
 
 
 def claim_candidates(tasks: DataFrame, workers: DataFrame, batches: DataFrame, as_of: dt.datetime, most: int = 200) -> DataFrame:
-    """Each online worker's first tasks in order: right queue and capabilities, no other preferred worker, batch absent or running."""
+    """Each online worker's first tasks in order: right queue and capabilities, no other preferred worker, batch absent or running.
+
+    Of each kind (queue, capabilities, preferred worker) no more than the first `most` tasks meet the workers."""
     preferred = F.col("preferred_worker").isNull() | (F.col("preferred_worker") == F.col("node_id"))
     able = expr.contains_all(expr.csv_array(F.col("caps_csv")), F.col("offered"))
-    fits = ready_tasks(tasks, batches, as_of).join(online_places(workers), "queue").where(able & preferred)
-    return first_of_each(fits, most)
+    first = Window.partitionBy("queue", "caps_csv", "preferred_worker").orderBy("priority", "not_before", "id")
+    front = ready_tasks(tasks, batches, as_of).withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).drop("n")
+    return first_of_each(front.join(online_places(workers), "queue").where(able & preferred), most)
 
 
 def first_of_each(fits: DataFrame, most: int) -> DataFrame:
@@ -77,11 +80,13 @@ def offers(tasks: DataFrame, workers: DataFrame, batches: DataFrame, as_of: dt.d
     return first_of_each(ready.join(takers, ["queue", "caps_csv"]).withColumn("node_id", own).where("node_id IS NOT NULL"), most)
 
 
-def slots_left(workers: DataFrame, tasks: DataFrame, quota: int = 1) -> DataFrame:
-    """(node_id, slots, backfill_left): free slots of each worker, and of these what a resident one may still give to backfills (null: no limit)."""
+def slots_left(workers: DataFrame, tasks: DataFrame, quota: int | Column = 1) -> DataFrame:
+    """(node_id, slots, backfill_left): free slots of each worker, and of these what a resident one may still give to backfills (null: no limit).
+
+    quota: the slots that a resident worker may give to backfills in all; a column of `workers` if they differ."""
     running = tasks.where("status = 'running'").groupBy(F.col("locked_by").alias("node_id"))
     used = running.agg(F.sum("slot_cost").alias("used"), F.sum(F.when(F.col("workload") == "backfill", F.col("slot_cost"))).alias("backfill"))
-    left = F.when(F.col("mode") == "resident", F.lit(quota) - F.coalesce("backfill", F.lit(0)))
+    left = F.when(F.col("mode") == "resident", (quota if isinstance(quota, Column) else F.lit(quota)) - F.coalesce("backfill", F.lit(0)))
     rows = workers.join(used, "node_id", "left")
     return (
         rows
@@ -93,9 +98,22 @@ def slots_left(workers: DataFrame, tasks: DataFrame, quota: int = 1) -> DataFram
 
 
 def held_slots(leases: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """The live leases' slots by resource, as one row with a map `held`; resources are few."""
-    live = leases.where(F.col("expires_at") > F.lit(as_of).cast("timestamp_ntz")).groupBy("resource_key").agg(F.collect_set("slot").alias("slots"))
-    return live.agg(F.map_from_entries(F.collect_list(F.struct("resource_key", "slots"))).alias("held"))
+    """resource_key and slot of the leases that haven't expired."""
+    return leases.where(F.col("expires_at") > F.lit(as_of).cast("timestamp_ntz")).select("resource_key", "slot")
+
+
+def held_before(candidates: DataFrame, slots: DataFrame, held: DataFrame) -> DataFrame:
+    """Of each worker (node_id) a map `held` of the resources that its candidates name to the slots taken before its turn.
+
+    held: resource_key, slot and maybe `by`, the turn of the worker that takes it (null: taken anyway)."""
+    named = candidates.select("node_id", F.explode(F.map_keys("resources")).alias("resource_key")).distinct()
+    if "by" in held.columns:
+        named = named.join(slots.select("node_id", "turn"), "node_id")
+        before = F.col("by").isNull() | (F.col("by") < F.col("turn"))
+    else:
+        before = F.lit(True)
+    taken = named.join(held, "resource_key").where(before).groupBy("node_id", "resource_key").agg(F.collect_set("slot").alias("slots"))
+    return taken.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("resource_key", "slots"))).alias("held"))
 
 
 def claim_greedy(candidates: DataFrame, slots: DataFrame, held: DataFrame | None = None) -> DataFrame:
@@ -103,8 +121,8 @@ def claim_greedy(candidates: DataFrame, slots: DataFrame, held: DataFrame | None
 
     slots: node_id, slots and backfill_left, which a backfill must fit in too unless it is null. Candidates may carry
     `resources`, a map of keys to capacities: such a task needs the lowest free slot of each of them, all or none; `held`
-    (one row, a map of keys to taken slots) says which are taken. Only the claims of one worker see each other's slots,
-    so either workers claim one after the other or no two of them share a resource.
+    (see `held_before`) says which are taken. Only the claims of one worker see each other's slots; `rounds.claim_rounds`
+    lets workers that share resources claim together.
     """
     taken = "map<string,array<int>>"
     has = "resources" in candidates.columns
@@ -116,7 +134,10 @@ def claim_greedy(candidates: DataFrame, slots: DataFrame, held: DataFrame | None
     part = F.when(F.col("workload") == "backfill", F.col("slot_cost")).otherwise(0)
     rows = candidates.select("node_id", F.struct("n", "id", "slot_cost", part.alias("part"), need.alias("need")).alias("t"))
     rows = rows.groupBy("node_id").agg(F.array_sort(F.collect_list("t")).alias("rows")).join(slots, "node_id")
-    rows = rows.join(F.broadcast(held)) if held is not None else rows.withColumn("held", F.create_map().cast(taken))
+    if held is not None and has:
+        rows = rows.join(held_before(candidates, slots, held), "node_id", "left")
+    else:
+        rows = rows.withColumn("held", F.create_map().cast(taken))
     got = "array<struct<n:int,id:bigint,slot_cost:int,leases:array<struct<key:string,slot:int>>>>"
     start = (
         F.struct(

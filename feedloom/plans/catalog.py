@@ -224,15 +224,16 @@ query("claim_candidates", f"WITH {CLAIM} SELECT node_id, id, slot_cost, CAST(n A
         candidates(v).select("node_id", "id", "slot_cost", "n")
     )
 )
+# workers have room for what they run and some slots more
+BUDGET = """budget AS (SELECT node_id, greatest(max_concurrency - COALESCE(sum(slot_cost), 0), 0) AS slots, CASE WHEN mode = 'resident' THEN backfill_quota - COALESCE(sum(slot_cost) FILTER (WHERE workload = 'backfill'), 0) ELSE 1000000 END AS quota
+  FROM staffed_v LEFT JOIN (SELECT * FROM tasks_v WHERE status = 'running') t ON locked_by = node_id GROUP BY node_id, max_concurrency, mode, backfill_quota)"""
 OFFERED = f"""fits AS (SELECT t.*, node_id, row_number() OVER (PARTITION BY t.id ORDER BY node_id) AS k, count(*) OVER (PARTITION BY t.id) AS c FROM tasks_v t JOIN workers_v w
 ON w.effective_state = 'online' AND list_contains(string_split(w.queues_csv, ','), t.queue) AND (t.caps_csv = '' OR list_has_all(string_split(w.caps_csv, ','), string_split(t.caps_csv, ',')))
 WHERE t.status IN ('pending', 'retry') AND t.not_before <= {NOW_SQL} AND (t.batch_id IS NULL OR EXISTS (SELECT 1 FROM batches_v b WHERE b.id = t.batch_id AND b.status = 'running'))),
 cand AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY priority, not_before, id) AS n FROM fits WHERE CASE WHEN preferred_worker IS NULL THEN k = 1 + id % c ELSE node_id = preferred_worker END),
-budget AS (SELECT node_id, greatest(max_concurrency - COALESCE(sum(slot_cost), 0), 0) AS slots, CASE WHEN mode = 'resident' THEN 1 - COALESCE(sum(slot_cost) FILTER (WHERE workload = 'backfill'), 0) ELSE 1000000 END AS quota
-  FROM workers_v LEFT JOIN (SELECT * FROM tasks_v WHERE status = 'running' AND id % 40 = 0) t ON locked_by = node_id GROUP BY node_id, max_concurrency, mode)"""
+{BUDGET}"""
 
 
-# the workers run a part of the running tasks, so that slots are left to claim
 @query(
     "claim_greedy",
     f"""WITH RECURSIVE {OFFERED}, walk AS (SELECT node_id, CAST(0 AS BIGINT) AS id, CAST(0 AS INT) AS slot_cost, CAST(0 AS BIGINT) AS n, slots AS rem, quota AS q, false AS took
@@ -245,7 +246,7 @@ SELECT node_id, id, slot_cost, CAST(n AS INT) AS n FROM walk WHERE took""",
 )
 def _(v: View) -> DataFrame:
     offered = scheduling.offers(v("tasks_v"), v("workers_v"), v("batches_v"), AS_OF)
-    slots = scheduling.slots_left(v("workers_v"), v("tasks_v").where("id % 40 = 0"))
+    slots = scheduling.slots_left(v("staffed_v"), v("tasks_v"), F.col("backfill_quota"))
     return scheduling.claim_greedy(offered, slots).select("node_id", "id", "slot_cost", "n")
 
 

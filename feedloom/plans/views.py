@@ -33,6 +33,8 @@ FROM orders""",
        CASE WHEN n_nationkey % 2 = 0 THEN 'fetcher:rss,sink:postgres' ELSE 'fetcher:json_api,fetcher:rss,sink:postgres' END AS caps_csv,
        CASE WHEN n_nationkey < 4 THEN 'default' ELSE 'default,web' END AS queues_csv
 FROM nation WHERE n_nationkey < 8""",
+    "staffed_v": """SELECT w.node_id, effective_state, mode, CAST(max_concurrency + COALESCE(used, 0) AS INT) AS max_concurrency, COALESCE(backfill, 0) + 3 AS backfill_quota, caps_csv, queues_csv
+FROM workers_v w LEFT JOIN (SELECT locked_by, sum(slot_cost) AS used, sum(CASE WHEN workload = 'backfill' THEN slot_cost ELSE 0 END) AS backfill FROM tasks_v WHERE status = 'running' GROUP BY locked_by) u ON u.locked_by = w.node_id""",
     "batches_v": """SELECT CAST(n_nationkey AS BIGINT) AS id, CASE n_nationkey % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'paused' ELSE 'cancelled' END AS status FROM nation WHERE n_nationkey < 7""",
     "leased_v": """SELECT t.*, concat('lease-', id) AS lease_token, CASE WHEN id % 3 = 0 THEN concat('source:', source_id) END AS schedule_id,
        locked_at + INTERVAL '5' MINUTE AS heartbeat_at, 30 AS base_seconds, CAST(100 + id % 4000 AS INT) AS max_seconds, CASE WHEN id % 5 = 0 THEN 'fixed' ELSE 'exponential' END AS backoff,
