@@ -3,7 +3,8 @@
 Everything is a column expression: no Python runs in tasks. Offsets are code
 points, ends exclusive. Patterns use possessive quantifiers and start only
 where a run of their characters starts, so that long runs cost no more than
-their length and no stack.
+their length and no stack; places are summed up in chunks and read from pieces
+of the text, so that time grows with a text's length and matches.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from .shared import table
 
 #: Code points on each side of a span in which context words count.
 NEAR = 40
+#: Elements of an array that are summed up at a time, and code points of a text's pieces.
+CHUNK, BLOCK = 64, 512
 #: Spans of the kinds beyond the base need this score; base spans stay whatever theirs is.
 LEAST_SCORE = 0.6
 
@@ -45,67 +48,92 @@ NOT_PERSONAL = r"example only|dummy|placeholder|version|order no|invoice no|seri
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def digits(found: Column) -> Column:
-    return F.regexp_replace(found, "[^0-9]", "")
+# Expressions are put together as SQL text: a few thousand calls for each query would take seconds.
 
 
-def luhn(found: Column) -> Column:
+def digits(found: str) -> str:
+    return f"regexp_replace({found}, '[^0-9]', '')"
+
+
+def luhn(found: str) -> str:
     """Whether the digits pass the mod-10 check."""
-    number = F.reverse(digits(found))
-    digit = lambda i: F.substr(number, i, F.lit(1)).cast("int")
-    worth = lambda i: F.when(i % 2 == 1, digit(i)).otherwise(2 * digit(i) - F.when(digit(i) > 4, 9).otherwise(0))
-    return F.aggregate(F.sequence(F.lit(1), F.length(number)), F.lit(0), lambda a, i: (a + worth(i)).cast("int")) % 10 == 0
+    digit = "CAST(substr(number, i, 1) AS INT)"
+    worth = f"IF(i % 2 = 1, {digit}, 2 * {digit} - IF({digit} > 4, 9, 0))"
+    return let(f"reverse({digits(found)})", "number", f"aggregate(sequence(1, length(number)), 0, (a, i) -> a + {worth}) % 10 = 0")
 
 
-def mod97(found: Column) -> Column:
+def mod97(found: str) -> str:
     """Whether an IBAN's remainder is 1, letter by letter: the number itself would have up to 60 digits."""
-    flat = F.replace(found, F.lit(" "), F.lit(""))
-    turned = F.concat(F.substr(flat, F.lit(5)), F.substr(flat, F.lit(1), F.lit(4)))
-    code = lambda i: F.ascii(F.substr(turned, i, F.lit(1)))
-    step = lambda a, i: F.when(code(i) < 65, (a * 10 + code(i) - 48) % 97).otherwise((a * 100 + code(i) - 55) % 97)
-    return F.length(flat).between(15, 34) & (F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), lambda a, i: step(a, i).cast("int")) == 1)
-
-
-def valid(kind: str, found: Column) -> Column:
-    n = F.length(digits(found))
-    if kind == "ip":
-        return F.forall(F.split(found, "[.]"), lambda part: part.cast("double") <= 255)
-    if kind == "card":
-        return F.when(n.between(16, 19), luhn(found)).otherwise(False)
-    if kind == "phone":
-        return n.between(8, 15)
-    if kind == "iban":
-        return mod97(found)
-    if kind == "ssn":
-        return ~found.rlike("^(?:000|666|9..)|-00-|-0000$")
-    return F.lit(True)
-
-
-def proposals(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, found>> of a pattern's leftmost matches: the texts between them, and they, give the places."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, found: F.struct(F.length(gap).alias("gap"), found.alias("found")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+    code = "ascii(substr(turned, i, 1))"
+    step = f"IF({code} < 65, (a * 10 + {code} - 48) % 97, (a * 100 + {code} - 55) % 97)"
+    whole = let("concat(substr(flat, 5), substr(flat, 1, 4))", "turned", f"aggregate(sequence(1, length(turned)), 0, (a, i) -> {step}) = 1")
+    return let(f"replace({found}, ' ', '')", "flat", f"length(flat) BETWEEN 15 AND 34 AND {whole}")
+
+
+def valid(kind: str, found: str) -> str:
+    n = f"length({digits(found)})"
+    tests = {
+        "ip": f"forall(split({found}, '[.]'), part -> CAST(part AS DOUBLE) <= 255)",
+        "card": f"IF({n} BETWEEN 16 AND 19, {luhn(found)}, false)",
+        "phone": f"{n} BETWEEN 8 AND 15",
+        "iban": mod97(found),
+        "ssn": f"NOT ({found} RLIKE '^(?:000|666|9..)|-00-|-0000$')",
+    }
+    return tests.get(kind, "true")
+
+
+def let(value: str, name: str, then: str) -> str:
+    """A value that is worked out once, however often it is used: inside a lambda an expression would be for each element."""
+    return f"element_at(transform(array({value}), {name} -> {then}), 1)"
+
+
+def running(values: str, add: str) -> str:
+    """Of an array (a lambda's variable) that isn't empty: what `add`, of a and x, makes, from 0 on, of the elements before each one.
+    Sums of chunks, and of chunks of these, bound what one element costs, so time grows with the array's length."""
+    fold = lambda xs, start, n: f"aggregate(slice({xs}, {start} + 1, {n}), 0, (a, x) -> {add})"
+    sums = lambda xs: f"transform(sequence(0, (size({xs}) - 1) DIV {CHUNK}), c -> {fold(xs, f'CAST(c AS INT) * {CHUNK}', CHUNK)})"
+    inside = lambda xs, starts: f"transform({xs}, (o, i) -> aggregate(slice({xs}, CAST(i DIV {CHUNK} AS INT) * {CHUNK} + 1, i % {CHUNK}), get({starts}, CAST(i DIV {CHUNK} AS INT)), (a, x) -> {add}))"
+    ahead = f"transform(two, (o, i) -> {fold('two', '0', 'i')})"
+    return let(sums(values), "one", let(sums("one"), "two", let(ahead, "far", let(inside("one", "far"), "near", inside(values, "near")))))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + pair["gap"]
-        end = begin + F.length(pair["found"])
-        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(begin.alias("start"), end.alias("end"), pair["found"].alias("found"))).alias("out"))
 
-    return F.aggregate(F.filter(pairs, lambda p: p["found"].isNotNull()), start, step, lambda state: state["out"])
+def blocks(text: str) -> str:
+    """The text in pieces of BLOCK code points: reaching a place in it by `cut` then costs no more than a piece."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{BLOCK}}}', 0)"
 
 
-def score(text: Column, kind: Kind, span: Column) -> Column:
-    begin = F.greatest(span["start"] - NEAR, F.lit(0))
-    near = F.lower(F.concat(F.substr(text, begin + 1, span["start"] - begin), F.lit(" "), F.substr(text, span["end"] + 1, F.lit(NEAR))))
-    return F.round(F.least(F.lit(1.0), kind.score + F.when(near.rlike(kind.words), 0.3).otherwise(0.0)) - F.when(near.rlike(NOT_PERSONAL), 0.3).otherwise(0.0), 2)
+def cut(held: str, start: str, n: str) -> str:
+    """n code points of a text in blocks, from start (0 is the first) on."""
+    first = f"CAST(({start}) DIV {BLOCK} AS INT)"
+    return f"substr(array_join(slice({held}, {first} + 1, CAST(({start} + {n}) DIV {BLOCK} AS INT) - {first} + 1), ''), ({start}) % {BLOCK} + 1, {n})"
 
 
-def spans_of(text: Column, kind: Kind) -> Column:
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def proposals(text: str, pattern: str) -> str:
+    """array<struct<start, end, found>> of a pattern's leftmost matches: the texts between them, and they, give the places."""
+    spot = "transform(found, (f, i) -> named_struct('start', get(ends, i) + length(get(gaps, i)), 'end', get(ends, i) + get(steps, i), 'found', f))"
+    steps = let("transform(found, (f, i) -> length(get(gaps, i)) + length(f))", "steps", let(running("steps", "a + x"), "ends", spot))
+    some = let(f"split({text}, {quoted(pattern)}, -1)", "gaps", steps)
+    return let(f"regexp_extract_all({text}, {quoted(pattern)}, 0)", "found", f"IF(size(found) > 0, {some}, CAST(array() AS array<struct<start:int,end:int,found:string>>))")
+
+
+def score(held: str, kind: Kind, span: str) -> str:
+    begin = f"greatest({span}.start - {NEAR}, 0)"
+    near = f"lower(concat({cut(held, begin, f'({span}.start - {begin})')}, ' ', {cut(held, f'{span}.end', str(NEAR))}))"
+    return let(near, "near", f"round(least(1.0D, {kind.score}D + IF(near RLIKE {quoted(kind.words)}, 0.3D, 0.0D)) - IF(near RLIKE {quoted(NOT_PERSONAL)}, 0.3D, 0.0D), 2)")
+
+
+def spans_of(text: str, kind: Kind) -> str:
     """The confirmed spans of one kind; matches that fail are dropped without another try."""
-    confirmed = F.filter(proposals(text, kind.pattern), lambda p: valid(kind.name, p["found"]))
-    scored = F.transform(confirmed, lambda p: F.struct(F.lit(kind.name).alias("kind"), p["start"].alias("start"), p["end"].alias("end"), score(text, kind, p).alias("score")))
-    kept = scored if kind.base else F.filter(scored, lambda s: s["score"] >= LEAST_SCORE)
-    return F.when(text.rlike(kind.hint) if len(kind.hint) > 1 else F.contains(text, F.lit(kind.hint)), kept).otherwise(F.array().cast(SPAN))
+    none = f"CAST(array() AS {SPAN})"
+    one = f"named_struct('kind', '{kind.name}', 'start', p.start, 'end', p.end, 'score', {score('held', kind, 'p')})"
+    scored = f"IF(size(ps) > 0, {let(blocks(text), 'held', f'transform(ps, p -> {one})')}, {none})"
+    found = let(f"filter({proposals(text, kind.pattern)}, q -> {valid(kind.name, 'q.found')})", "ps", scored)
+    kept = found if kind.base else f"filter({found}, s -> s.score >= {LEAST_SCORE}D)"
+    return f"IF({text} RLIKE {quoted(kind.hint)}, {kept}, {none})"
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
@@ -114,27 +142,24 @@ def find_pii(docs: DataFrame, text_col: str = "text", out: str = "spans") -> Dat
     A null or empty text has none. Rows are judged one by one: repeated rows
     get the same spans, other columns don't matter, an empty table stays empty.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.withColumn(out, F.concat(*[spans_of(text, k) for k in KINDS]))
+    text = f"coalesce(`{text_col}`, '')"
+    return docs.withColumn(out, F.expr(f"concat({', '.join(spans_of(text, k) for k in KINDS)})"))
 
 
-def redacted(text: Column, spans: Column) -> Column:
+def redacted(text: str, spans: str) -> str:
     """The text with each span, or run of overlapping spans, replaced by its first kind in brackets."""
-    first = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        added = F.concat(state["out"], F.array(F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["start"] >= state["at"], added).otherwise(state["out"]).alias("out"))
-
-    whole = F.aggregate(first, begin, step, lambda state: F.concat(F.array_join(state["out"], ""), F.substr(text, state["at"] + 1)))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    gap = cut("held", "get(done, i)", "(s.start - get(done, i))")
+    parts = f"transform(every, (s, i) -> IF(s.start >= get(done, i), concat({gap}, '[', upper(s.kind), ']'), ''))"
+    whole = let("greatest(element_at(done, -1), element_at(every, -1).end)", "last", f"concat(array_join({parts}, ''), {cut('held', 'last', f'(length({text}) - last)')})")
+    reach = let("transform(every, s -> s.end)", "stops", running("stops", "greatest(a, x)"))  # up to where the spans before each one go
+    first = f"array_sort(transform({spans}, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))"
+    return f"IF(size({spans}) > 0, {let(first, 'every', let(reach, 'done', let(blocks(text), 'held', whole)))}, {text})"
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the personal data in their texts replaced; null texts stay null."""
     found = find_pii(docs, text_col, "__spans")
-    return found.withColumn(text_col, redacted(F.col(f"`{text_col}`"), F.col("__spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.withColumn(text_col, F.expr(redacted(f"`{text_col}`", "__spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:
