@@ -13,16 +13,14 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import expr
 from feedloom.operators.lineage import cut
-from feedloom.plugins import AssetStore, Manifest
 
 
-class FolderStore(AssetStore):
+class FolderStore:
     """root/source/record/key, each a safe path segment. A file is written beside its place and then moved there, so that a
     task that runs twice leaves the same file and a lost one leaves none that is cut off. Null content is kept without a file."""
 
-    def __init__(self, root: str, name: str = "folder"):
+    def __init__(self, root: str):
         self.root = root.rstrip("/")
-        self.manifest = Manifest(name, "asset_store")
 
     def store(self, assets: DataFrame) -> DataFrame:
         root = self.root

@@ -8,7 +8,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.errors import ConfigurationError
+from feedloom.failures import bad
 
 SOURCE_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.:-]{0,191}")
 #: Bounds of a specification's numbers: priority, timeout, slots, attempts, base and longest delay, backfill window.
@@ -25,21 +25,21 @@ def canonical(value: object) -> str:
 
 
 def checked(spec: dict) -> dict:
-    """A specification with its defaults; what isn't allowed raises ConfigurationError."""
+    """A specification with its defaults; what isn't allowed is a failure of the configuration."""
     name = str(spec.get("id", ""))
     if not SOURCE_ID.fullmatch(name):
-        raise ConfigurationError(f"no source id: {name!r}")
+        raise bad(f"no source id: {name!r}")
     schedule = spec.get("schedule") or {}
     kind = schedule.get("type")
     if kind not in NEEDS or not schedule.get(NEEDS[kind]):
-        raise ConfigurationError(f"{name}: a schedule of type {kind!r} without {NEEDS.get(kind, 'a known type')}")
+        raise bad(f"{name}: a schedule of type {kind!r} without {NEEDS.get(kind, 'a known type')}")
     if kind == "interval" and int(schedule["seconds"]) < 10:
-        raise ConfigurationError(f"{name}: an interval of less than 10 seconds")
+        raise bad(f"{name}: an interval of less than 10 seconds")
     given = {**spec, **(spec.get("routing") or {}), **(spec.get("retry") or {})}
     numbers = {k: int(given.get(k, default)) for k, (_, _, default) in BOUNDS.items()}
     for k, (low, high, _) in BOUNDS.items():
         if not low <= numbers[k] <= high:
-            raise ConfigurationError(f"{name}: {k} must be from {low} to {high}")
+            raise bad(f"{name}: {k} must be from {low} to {high}")
     text = canonical(spec)
     return {
         "source_id": name, "fetcher": spec.get("fetcher"), "sink": spec.get("sink", "postgres"), "enabled": bool(spec.get("enabled", True)), "queue": given.get("queue", "default"), "schedule_type": kind,
@@ -56,6 +56,6 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     rows = [checked(s) for s in value.get("sources") or ()]
     twice = {r["source_id"] for r in rows if sum(x["source_id"] == r["source_id"] for x in rows) > 1}
     if twice:
-        raise ConfigurationError(f"ids that stand twice: {', '.join(sorted(twice))}")
+        raise bad(f"ids that stand twice: {', '.join(sorted(twice))}")
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], COLUMNS), hashlib.sha256(canonical(value).encode()).hexdigest()[:16]

@@ -1,6 +1,6 @@
 """Crawls over tables of fetched documents (url and payload), a round of joins for each step: lists with next links, sitemap indexes, paged JSON.
 
-The live fetch is `sources.http`; these follow what it has stored. Rounds are bounded by the caps below, URLs are visited once.
+They follow what a fetch has stored. Rounds are bounded by the caps below, URLs are visited once.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.errors import ConfigurationError
+from feedloom.failures import bad
 
 #: Elements without content, and those whose text isn't shown.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -91,7 +91,7 @@ def parsed(selector: str) -> list[list[str]]:
     ways = [w.replace(">", " > ").split() for w in selector.split(",")]
     for way in ways:
         if not way or way[0] == ">" or way[-1] == ">" or any(PART.sub("", part) for part in way if part != ">"):
-            raise ConfigurationError(f"no selector: {selector!r}")
+            raise bad(f"no selector: {selector!r}")
     return ways
 
 

@@ -1,56 +1,18 @@
-"""Plugins, the catalogue file, the live fetch, stores, and streams with state."""
+"""The catalogue file, stores, selectors, claims, and streams with state."""
 
 import datetime as dt
-import http.server
-import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from feedloom.errors import ConfigurationError, UpstreamError, class_of
+from feedloom.failures import Failed
 from feedloom.functions import expr
 from feedloom.operators import scheduling, transitions
-from feedloom.plugins import DailyRecord, Manifest, Registry, Request, Sink
 from feedloom.sinks.assets import FolderStore
 from feedloom.sources import catalogue, crawl, extract, html
-from feedloom.sources.http import fetched, retry_after
 from feedloom.streaming import keyed
 
 
-class Counting(Sink):
-    manifest = Manifest("counting", "sink")
-
-    def write(self, records, source_id):
-        return records.agg(F.lit(source_id).alias("source_id"), F.count(F.lit(1)).alias("n"), F.min("external_id").alias("first"))
-
-
-def test_registry(spark):
-    registry = Registry([DailyRecord(), Counting()])
-    with pytest.raises(ConfigurationError, match="two plugins"):
-        registry.add(Counting())
-    for bad in ({"name": "Bad Name", "kind": "sink"}, {"name": "a", "kind": "other"}, {"name": "a", "kind": "fetcher", "operations": ("steal",)}):
-        with pytest.raises(ConfigurationError):
-            Manifest(**bad)
-    assert [r.capability for r in registry.inventory(spark).collect()] == ["fetcher:example.daily:api-v1", "sink:counting:api-v1"]
-    config = {"text": "t", "first": "2025-03-01", "last": "2025-03-10"}
-    assert registry.run(spark, "example.daily", "counting", Request("s", config)).first().n == 10
-    window = (dt.datetime(2025, 3, 4), dt.datetime(2025, 3, 6))
-    part = registry.run(spark, "example.daily", "counting", Request("s", config, window=window), "backfill").first()
-    assert (part.n, part.first) == (2, "2025-03-04")
-    with pytest.raises(ConfigurationError, match="last"):
-        registry.run(spark, "example.daily", "counting", Request("s", {"text": "t", "first": "2025-03-01"}))
-    with pytest.raises(ConfigurationError, match="no fetcher"):
-        registry.get("fetcher", "rss")
-    sources = spark.createDataFrame([("a", "example.daily", "counting"), ("b", "rss", "counting"), ("c", "example.daily", "s3")], "source_id string, fetcher string, sink string")
-    assert {r.source_id: r.error for r in registry.resolved(sources).collect()} == {"a": None, "b": "no fetcher rss", "c": "no sink s3"}
-    assert Registry.discover().plugins == {}
-
-
-def test_error_classes():
-    assert [class_of(e) for e in (UpstreamError(404, "https://u:p@h.example/x?token=1"), TimeoutError(), ConnectionError(), KeyError())] == ["permanent", "timeout", "network", "unknown"]
-    assert str(UpstreamError(404, "https://h.example/x?token=1")) == "HTTP 404 from https://h.example/x"
-
-
 def test_catalogue(spark, tmp_path):
     path = tmp_path / "sources.yaml"
     path.write_text("sources:\n- {id: news, fetcher: rss, schedule: {type: interval, seconds: 900}, routing: {queue: web}}\n- {id: lists, fetcher: web_list, enabled: false, schedule: {type: cron, cron: '5 4 * * 1'}, priority: 7}\n")
@@ -59,48 +21,13 @@ def test_catalogue(spark, tmp_path):
     assert len(version) == 16
     good = {"id": "a", "schedule": {"type": "interval", "seconds": 60}}
     for bad in ({"id": "-a"}, {"schedule": {"type": "cron"}}, {"schedule": {"type": "interval", "seconds": 9}}, {"priority": 1000}, {"routing": {"slot_cost": 0}}, {"retry": {"max_attempts": 101}}):
-        with pytest.raises(ConfigurationError):
+        with pytest.raises(Failed):
             catalogue.checked({**good, **bad})
     path.write_text("sources:\n- {id: a, schedule: {type: once, at: 2025-01-01}}\n- {id: a, schedule: {type: once, at: 2025-01-01}}\n")
-    with pytest.raises(ConfigurationError, match="twice"):
+    with pytest.raises(Failed, match="twice"):
         catalogue.load(spark, str(path))
 
 
-class Site(http.server.BaseHTTPRequestHandler):
-    asked: list = []
-
-    def do_GET(self):
-        Site.asked.append(self.path)
-        busy = self.path == "/busy" and Site.asked.count("/busy") == 1
-        code = {"/gone": 410, "/broken": 503}.get(self.path, 429 if busy else 304 if self.headers.get("If-None-Match") == "e1" else 200)
-        body = {"/robots.txt": b"User-agent: *\nDisallow: /secret\n", "/large": b"x" * 5000}.get(self.path, b"<h1>T</h1>")
-        self.send_response(code)
-        for k, v in (("Content-Type", "application/feed+json" if self.path == "/json" else "text/html; charset=utf-8"), ("ETag", "e1"), ("Retry-After", "0")):
-            self.send_header(k, v)
-        self.end_headers()
-        if code == 200:
-            self.wfile.write(body)
-
-    def log_message(self, *args):
-        pass
-
-
-def test_live_fetch(spark):
-    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    root = f"http://127.0.0.1:{server.server_port}"
-    paths = ["/a", "/secret/x", "/gone", "/broken", "/large", "/json", "/busy"]
-    urls = spark.createDataFrame([(root + p, None) for p in paths] + [(root + "/same", "e1"), ("http://localhost/x", None), ("ftp://127.0.0.1/x", None), (root + "/a", None)], "url string, etag string")
-    rows = fetched(urls, allowed_hosts=["127.0.0.1"], rate_seconds=0.0, retries=1, most_bytes=1000, content_types=["text/html"], timeout=5.0).collect()
-    server.shutdown()
-    got = {r.url.removeprefix(root): r for r in rows}
-    assert len(rows) == 10 and (got["/a"].status, bytes(got["/a"].body), got["/a"].etag) == (200, b"<h1>T</h1>", "e1")
-    assert got["/same"].status == 304 and got["/same"].body is None and got["/busy"].status == 200
-    failed = {"/secret/x": "permanent", "/gone": "permanent", "/broken": "transient", "/large": "permanent", "/json": "permanent", "http://localhost/x": "permanent", "ftp://127.0.0.1/x": "permanent"}
-    assert {k: got[k].error_class for k in failed} == failed
-    assert (retry_after("7", 1.0), retry_after("99999", 1.0), retry_after("soon", 1.5), retry_after(None, 2.0)) == (7.0, 3600.0, 1.5, 2.0)
-
-
 def test_asset_store(spark, tmp_path):
     rows = spark.createDataFrame([("s/1", "r..", "k", bytearray(b"abc")), ("s/1", "r..", "", bytearray(b"")), ("s", "r", "none", None)], "source_id string, external_id string, asset_key string, content binary")
     got = {r.asset_key: r for r in FolderStore(f"file://{tmp_path}").store(rows).collect()}
@@ -113,7 +40,7 @@ def test_selectors():
     assert html.select(page, "div.a p") == ["one\ntwo", "two"]
     assert html.select(page, "#x") == ["two"] and html.select(page, "p[data-k=v]") == ["three\nfour"] and html.select(page, "p[data-k]", "data-k") == ["v"]
     for bad in ("p:first-child", "a + b", "> p", "p,,q"):
-        with pytest.raises(ConfigurationError):
+        with pytest.raises(Failed):
             html.parsed(bad)
     assert html.select(page, "script") == [None] and html.select(page, "ul > li > ul > li") == ["in"] and html.select(page, "ul li ul li, #x") == ["two", "in"]
 
