@@ -1,4 +1,4 @@
-"""Keyed state with timers on streams: leases, staleness and liveness, the states of tasks, ticks and an orderly end.
+"""Keyed state with timers on streams: leases, staleness and liveness, ticks and an orderly end. The lives of tasks are in `lifecycle`.
 
 The batch forms of these are plain filters (`transitions.maintenance`, `scheduling.free_slots`); these keep their state in
 Spark's state store and use event time, so that a run over stored events gives the same as one that follows them live.
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from feedloom.functions import expr
 
 
 def expiring(beats: DataFrame, ttl_seconds: int, delay: str = "0 seconds", key: str = "key", when: str = "ts") -> DataFrame:
@@ -53,31 +52,6 @@ def expiring(beats: DataFrame, ttl_seconds: int, delay: str = "0 seconds", key:
     return rows.groupBy("key").applyInPandasWithState(step, "key string, state string, at timestamp", "last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def task_states(events: DataFrame, most_attempts: int = 3) -> DataFrame:
-    """task_id, status and attempts after each micro-batch of events (task_id, seq, kind: claim, complete, fail or lost; error_class).
-
-    pending or retry -> running (claim, one attempt more) -> done (complete), retry or dead (fail), retry (lost). What
-    doesn't fit the state, as a completion of a task that isn't running, is ignored."""
-    again = set(expr.RETRYABLE)
-
-    def step(keys: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts = state.get if state.exists else ("pending", 0)
-        for e in pd.concat(frames).sort_values("seq").itertuples():
-            if e.kind == "claim" and status in ("pending", "retry"):
-                status, attempts = "running", attempts + 1
-            elif status == "running" and e.kind == "complete":
-                status = "done"
-            elif status == "running" and e.kind == "fail":
-                status = "retry" if e.error_class in again and attempts < most_attempts else "dead"
-            elif status == "running" and e.kind == "lost":
-                status = "retry"
-        state.update((status, attempts))
-        yield pd.DataFrame({"task_id": [keys[0]], "status": [status], "attempts": [attempts]})
-
-    rows = events.select("task_id", "seq", "kind", "error_class")
-    return rows.groupBy("task_id").applyInPandasWithState(step, "task_id long, status string, attempts int", "status string, attempts int", "update", GroupStateTimeout.NoTimeout)
-
-
 def registering(requests: DataFrame, known: Callable[[], DataFrame], register: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
     """Hands on each micro-batch's requests whose dedupe_key no task has or ever had: `known` reads all keys so far, `register` adds to them."""
 

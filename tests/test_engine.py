@@ -134,15 +134,6 @@ def test_keys_expire(spark, tmp_path):
     assert not [x for x in got if x[:2] == ("d", "expired")]
 
 
-def test_task_states(spark, tmp_path):
-    rows = [(1, 0, "claim", None, 0), (1, 1, "fail", "timeout", 0), (2, 0, "complete", None, 0), (1, 2, "claim", None, 1), (1, 3, "lost", None, 1), (1, 4, "claim", None, 2), (1, 5, "fail", "network", 2), (2, 1, "claim", None, 2), (2, 2, "complete", None, 2)]
-    events = stream_of(spark, rows, "task_id long, seq int, kind string, error_class string, part int", tmp_path / "in", 3)
-    keyed.task_states(events).writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    got = [(r.task_id, r.status, r.attempts) for r in spark.table("states").collect()]
-    assert [x for x in got if x[0] == 1] == [(1, "retry", 1), (1, "retry", 2), (1, "dead", 3)]
-    assert [x for x in got if x[0] == 2] == [(2, "pending", 0), (2, "done", 1)]
-
-
 def test_ticks_and_drain(spark, tmp_path):
     ticks: list = []
     query = keyed.ticking(spark, ticks.append, seconds=1)
