@@ -13,12 +13,13 @@ are left out at once. The others go two ways:
    are compared, in blocks of a bounded number of rows.
 
 No pair is left out for its place. A profile (how many shingles fall into each
-of `WIDTH` cells) gives an upper bound of what two sets share, so a pair that
-it rules out can't be similar enough; full sets confirm all others. Two similar
-documents are missed only if no tree puts them in one region: at a similarity
-of 0.8 one pair in 2 * 10**7, in regions with more than `DENSE` documents, cut
-to five or six values, one in 3 * 10**5 or 2 * 10**4. Documents with equal sets
-count once.
+of some cells, one for every two shingles, so that it tells as much of long
+documents as of short ones) gives an upper bound of what two sets share, so a
+pair that it rules out can't be similar enough; full sets confirm all others.
+Two similar documents are missed only if no tree puts them in one region: at a
+similarity of 0.8 one pair in 2 * 10**7. Regions with more than `DENSE`
+documents are cut to five or six values; their documents stand in `MORE_TREES`
+further trees, which makes up for it. Documents with equal sets count once.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components, merged
@@ -38,17 +39,20 @@ from .words import SPACED, mix, words_of
 SHINGLE, PERCENT = 2, 80
 #: A tree's order has DEPTH values; regions share the first LEAST_DEPTH, or one more and again one more where they hold over DENSE documents.
 TREES, DEPTH, LEAST_DEPTH, DENSE = 32, 6, 4, 4096
+#: Trees for documents of dense regions: 32 chances of 0.8 ** 4 are worth as much as 56 of 0.8 ** 6.
+MORE_TREES = 24
 #: Neighbours of a row that are tried first, in two rounds.
 REACH = (4, 16)
 #: Rows of one block; two blocks are compared in one group.
 BLOCK = 512
-#: Cells of a profile, four bits each, and those of its coarse form.
-WIDTH, COARSE = 512, 64
+#: Cells of a profile, four bits each: at least and at most, and those of its coarse form.
+WIDTH, MOST_WIDTH, COARSE = 512, 65_536, 64
 #: Up to so many bytes of ids (ID_BYTES each, once they are in a hash table) go to all tasks to pick texts; more are joined by a shuffle.
 SENT_BYTES, ID_BYTES = 32_000_000, 72
 
 _RNG = np.random.default_rng(8)
 FACTORS = _RNG.integers(0, 2**63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
+MORE_FACTORS = _RNG.integers(0, 2**63, MORE_TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9DDFEA08EB382D69)
 Keep = Callable[[DataFrame, str], DataFrame]
 
@@ -67,12 +71,12 @@ def shingle_sets(texts: Sequence[str | None], shingle: int = SHINGLE) -> list[np
     return out
 
 
-def signatures(sets: Sequence[np.ndarray]) -> np.ndarray:
-    """sets x (TREES * DEPTH) MinHash values of 32 bits; the sets aren't empty."""
+def signatures(sets: Sequence[np.ndarray], factors: np.ndarray = FACTORS) -> np.ndarray:
+    """sets x factors MinHash values of 32 bits; the sets aren't empty."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), len(FACTORS)), np.uint32)
-    for i, factor in enumerate(FACTORS):
+    out = np.empty((len(sets), len(factors)), np.uint32)
+    for i, factor in enumerate(factors):
         out[:, i] = np.minimum.reduceat((flat * factor) >> np.uint64(32), starts)
     return out
 
@@ -94,12 +98,26 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def profile(hashes: np.ndarray) -> bytes:
-    """How many of a set's hashes fall into each cell, 15 at most, two cells a byte."""
-    cells = np.minimum(np.bincount((hashes & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH), 15).astype(np.uint8)
+    """How many of a set's hashes fall into each cell, 15 at most, two cells a byte. There are WIDTH cells, or twice as many again and again
+    up to half the set's size."""
+    width = WIDTH
+    while 2 * width < len(hashes) and width < MOST_WIDTH:
+        width *= 2
+    cells = np.minimum(np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width), 15).astype(np.uint8)
     return (cells[0::2] << 4 | cells[1::2]).tobytes()
 
 
-def features(docs: DataFrame, shingle: int) -> DataFrame:
+def cells_of(raw: bytes) -> np.ndarray:
+    both = np.frombuffer(raw, np.uint8)
+    return np.stack([both >> 4, both & 15], axis=1).ravel()
+
+
+def folded(cells: np.ndarray, width: int) -> np.ndarray:
+    """The cells of a narrower profile."""
+    return cells if len(cells) == width else cells.reshape(-1, width).sum(0, dtype=np.uint16)
+
+
+def features(docs: DataFrame, shingle: int, factors: np.ndarray = FACTORS) -> DataFrame:
     """doc_id, n_shingles, a 128-bit key of the set and the signature as 16-bit values (null for empty sets)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64()), ("signature", pa.binary())])
 
@@ -109,7 +127,7 @@ def features(docs: DataFrame, shingle: int) -> DataFrame:
             full = [i for i, s in enumerate(sets) if len(s)]
             found: list[bytes | None] = [None] * len(sets)
             if full:
-                low = (signatures([sets[i] for i in full]) & np.uint32(0xFFFF)).astype(">u2")
+                low = (signatures([sets[i] for i in full], factors) & np.uint32(0xFFFF)).astype(">u2")
                 for i, row in zip(full, low, strict=True):
                     found[i] = row.tobytes()
             keys = [set_keys(s) for s in sets]
@@ -136,23 +154,37 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min(F.struct("n", "key1", "key2", "hashes", "profile")).alias("s")).select("doc_id", "s.n", "s.hashes", "s.profile")
 
 
-def region_rows(reps: DataFrame, keep: Keep) -> DataFrame:
-    """(region, tree, doc_id, n): the places of documents (doc_id, signature) in regions with several, n of them."""
+def counted(rows: DataFrame) -> DataFrame:
+    """Rows of regions with several documents, n of them."""
+    several = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(several, "region")
 
-    def counted(rows: DataFrame) -> DataFrame:
-        several = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return rows.join(several, "region")
 
-    key = lambda depth: F.xxhash64("tree", F.substring("signature", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * depth)))
+def region_key(depth: int) -> Column:
+    return F.xxhash64("tree", F.substring("signature", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * depth)))
+
+
+def region_rows(reps: DataFrame, rows: DataFrame, shingle: int, keep: Keep) -> tuple[DataFrame, DataFrame]:
+    """(region, tree, doc_id, n): the places of documents (doc_id, signature) in regions with several, n of them; and the documents with
+    the signature of all their trees. rows: their texts."""
     trees = reps.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    members = keep(counted(trees.select(key(LEAST_DEPTH).alias("region"), "tree", "doc_id")), "members")
+    members = keep(counted(trees.select(region_key(LEAST_DEPTH).alias("region"), "tree", "doc_id")), "members")
+    crowded = members.where(F.col("n") > DENSE).select("doc_id").distinct()
+    if crowded.isEmpty():
+        return members, reps
+    crowded = keep(crowded, "crowded")
     for depth in range(LEAST_DEPTH + 1, DEPTH + 1):
         dense = members.where(F.col("n") > DENSE)
         if dense.isEmpty():
             break
-        deeper = counted(dense.select("tree", "doc_id").join(reps, "doc_id").select(key(depth).alias("region"), "tree", "doc_id"))
+        deeper = counted(dense.select("tree", "doc_id").join(reps, "doc_id").select(region_key(depth).alias("region"), "tree", "doc_id"))
         members = keep(members.where(F.col("n") <= DENSE).unionByName(deeper), "members")
-    return members
+    own = features(rows.join(crowded, "doc_id", "left_semi"), shingle, MORE_FACTORS).where("signature IS NOT NULL")
+    least = F.min(F.struct("n_shingles", "key1", "key2", "signature")).alias("s")  # of several texts of one id the one that is compared
+    more = own.groupBy("doc_id").agg(least).select("doc_id", F.col("s.signature").alias("further"))
+    every = keep(reps.join(more, "doc_id", "left").select("doc_id", F.concat("signature", F.coalesce("further", F.lit(b""))).alias("signature")), "signatures")
+    trees = every.join(crowded, "doc_id", "left_semi").withColumn("tree", F.explode(F.sequence(F.lit(TREES), F.lit(TREES + MORE_TREES - 1))))
+    return keep(members.unionByName(counted(trees.select(region_key(DEPTH).alias("region"), "tree", "doc_id"))), "members"), every
 
 
 class Rows:
@@ -162,11 +194,22 @@ class Rows:
         self.ids, self.sizes, self.components = (frame[c].to_numpy(np.int64) for c in ("doc_id", "n", "component"))
         columns = frame[list(keys)]
         self.group = np.cumsum((columns != columns.shift()).any(axis=1).to_numpy()) - 1
-        raw = np.frombuffer(b"".join(frame["profile"]), np.uint8).reshape(len(frame), -1)
+        profiles = frame["profile"].tolist()
+        self.wide = {i: cells_of(p) for i, p in enumerate(profiles) if 2 * len(p) > WIDTH}
+        raw = np.frombuffer(b"".join(bytes(WIDTH // 2) if i in self.wide else p for i, p in enumerate(profiles)), np.uint8).reshape(len(frame), -1)
         self.fine = np.stack([raw >> 4, raw & 15], axis=2).reshape(len(frame), WIDTH)
-        self.coarse = self.fine.reshape(len(frame), COARSE, -1).sum(2, dtype=np.uint8)
+        for i, cells in self.wide.items():
+            self.fine[i] = np.minimum(folded(cells, WIDTH), 255)
+        self.coarse = self.fine.reshape(len(frame), COARSE, -1).sum(2, dtype=np.uint16 if self.wide else np.uint8)
         self.rest = self.sizes - self.fine.sum(1, dtype=np.int64)
 
+    def most(self, i: int, j: int) -> int:
+        """What two rows with wide profiles share at most."""
+        a, b = self.wide[i], self.wide[j]
+        width = min(len(a), len(b))
+        rest = min(self.sizes[i] - int(a.sum(dtype=np.int64)), self.sizes[j] - int(b.sum(dtype=np.int64)))
+        return int(np.minimum(folded(a, width), folded(b, width)).sum(dtype=np.int64)) + rest
+
     def pairs(self, percent: int, reach: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(i, j, similarity at most) of rows of one group and different components up to `reach` places apart that the profiles don't rule out.
         apart: only rows of different blocks, where it isn't -1, count."""
@@ -183,8 +226,13 @@ class Rows:
                 most = np.minimum(cells[i], cells[j]).sum(1, dtype=np.int64) + np.minimum(self.rest[i], self.rest[j])
                 both = self.sizes[i] + self.sizes[j]
                 use = (100 + percent) * most >= percent * both
-                i, j, alike = i[use], j[use], most[use] / np.maximum(both[use] - most[use], 1)
-            out.append((i, j, alike))
+                i, j, most, both = i[use], j[use], most[use], both[use]
+            if self.wide and len(i):
+                closer = [self.most(a, b) if a in self.wide and b in self.wide else m for a, b, m in zip(i.tolist(), j.tolist(), most.tolist(), strict=True)]
+                most = np.minimum(most, closer)
+                use = (100 + percent) * most >= percent * both
+                i, j, most, both = i[use], j[use], most[use], both[use]
+            out.append((i, j, most / np.maximum(both - most, 1)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -284,10 +332,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         classes = keep(named.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
         one = sound.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"]).dropDuplicates(["doc_id"])
         reps = keep(one.select("doc_id", "signature"), "reps")
-        members = region_rows(reps, keep)
+        members, signed = region_rows(reps, rows, shingle, keep)
         wanted = keep(members.select("doc_id").distinct(), "wanted")
         sets = keep(full_sets(rows, wanted, shingle), "sets")
-        cards = keep(reps.join(sets.select("doc_id", "n", "profile"), "doc_id"), "cards")
+        cards = keep(signed.join(sets.select("doc_id", "n", "profile"), "doc_id"), "cards")
 
         def placed(groups: DataFrame | None) -> DataFrame:
             own = cards.withColumn("component", F.col("doc_id")) if groups is None else cards.join(groups, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("label", "doc_id"))
