@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedloom.functions import expr
+from feedloom.operators import lineage, seen
 from feedloom.plans.catalog import ORACLE_SQL, QUERIES, View, query
 from feedloom.sources import paged
 from feedloom.streaming import lifecycle
@@ -49,3 +52,12 @@ def _(v: View):
 
 QUERIES["stored_pages"] = lambda spark, sf_dir: paged.pages(spark, f"{sf_dir.rstrip('/')}/pages.parquet", "page_id", pages_per_task=500).select("page_id", "url", F.sha2("html", 256).alias("digest"))
 ORACLE_SQL["stored_pages"] = "SELECT page_id, url, sha256(html) AS digest FROM pages"
+
+
+@query("seen_forever", "SELECT DISTINCT dedupe_key FROM tasks_v WHERE dedupe_key NOT IN (SELECT dedupe_key FROM runs_v)")
+def _(v: View):
+    """History is the first batch of an index, the live tasks' keys are asked of it."""
+    history = v("runs_v").select(F.col("dedupe_key").alias("key"))
+    index = seen.SeenKeys(history.sparkSession, f"{lineage.shared_folder(history.sparkSession)}/seen-{uuid.uuid4().hex}", buckets=16)
+    index.add(index.unseen(history, 0), 0)
+    return index.unseen(v("tasks_v").select(F.col("dedupe_key").alias("key")), 1).select(F.col("key").alias("dedupe_key"))

@@ -1,4 +1,5 @@
-"""Keyed state with timers on streams: leases, staleness and liveness, ticks and an orderly end. The lives of tasks are in `lifecycle`.
+"""Keyed state with timers on streams: leases, staleness and liveness, ticks and an orderly end. The lives of tasks are in `lifecycle`, keys that
+were ever seen in `operators.seen`.
 
 The batch forms of these are plain filters (`transitions.maintenance`, `scheduling.free_slots`); these keep their state in
 Spark's state store and use event time, so that a run over stored events gives the same as one that follows them live.
@@ -16,7 +17,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-
 def expiring(beats: DataFrame, ttl_seconds: int, delay: str = "0 seconds", key: str = "key", when: str = "ts") -> DataFrame:
     """key, state and at: `live` with a key's first beat, `expired` ttl after its last once the watermark has passed that; a later beat is live again.
 
@@ -52,15 +52,6 @@ def expiring(beats: DataFrame, ttl_seconds: int, delay: str = "0 seconds", key:
     return rows.groupBy("key").applyInPandasWithState(step, "key string, state string, at timestamp", "last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def registering(requests: DataFrame, known: Callable[[], DataFrame], register: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Hands on each micro-batch's requests whose dedupe_key no task has or ever had: `known` reads all keys so far, `register` adds to them."""
-
-    def batch(rows: DataFrame, number: int) -> None:
-        register(rows.dropDuplicates(["dedupe_key"]).join(known().select("dedupe_key"), "dedupe_key", "left_anti"))
-
-    return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def ticking(spark: SparkSession, action: Callable[[int], None], seconds: int = 10) -> StreamingQuery:
     """Calls the action (reload the catalogue if its hash has changed, register what is due, maintain) every so many seconds, one at least."""
     beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load()

@@ -134,7 +134,7 @@ def test_keys_expire(spark, tmp_path):
     assert not [x for x in got if x[:2] == ("d", "expired")]
 
 
-def test_ticks_and_drain(spark, tmp_path):
+def test_ticks_and_drain(spark):
     ticks: list = []
     query = keyed.ticking(spark, ticks.append, seconds=1)
     for _ in range(60):
@@ -142,12 +142,6 @@ def test_ticks_and_drain(spark, tmp_path):
             query.awaitTermination(1)
     keyed.drain(query)
     assert not query.isActive and len(ticks) >= 2
-    schema = "dedupe_key string, part int"
-    requests = stream_of(spark, [("a", 0), ("a", 0), ("b", 1), ("a", 1)], schema, tmp_path / "in", 2)
-    seen = str(tmp_path / "seen")
-    spark.createDataFrame([("old",)], "dedupe_key string").write.parquet(seen)
-    keyed.registering(requests, lambda: spark.read.parquet(seen), lambda rows: rows.select("dedupe_key").write.mode("append").parquet(seen), str(tmp_path / "c")).awaitTermination()
-    assert sorted(r.dedupe_key for r in spark.read.parquet(seen).collect()) == ["a", "b", "old"]
 
 
 def test_cron_lines(spark):
