@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import ipaddress
-from collections.abc import Iterator, Sequence
-from zoneinfo import ZoneInfo
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Error classes after which a task is tried again.
 RETRYABLE = ("transient", "rate_limited", "timeout", "network", "unknown")
@@ -26,8 +22,9 @@ def first_filled(*columns: Column) -> Column:
 
 
 def stable_id(*parts: Column) -> Column:
-    """SHA-256 of the parts joined by '|', null parts empty."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+    """SHA-256 of the parts joined by '|'; a null part is empty, and so is a number that is 0, or false."""
+    nothing = lambda p: p.isNull() | ((F.typeof(p) != "string") & p.cast("string").rlike("^(?:-?0(?:[.]0+)?|false)$"))
+    return F.sha2(F.concat_ws("|", *[F.when(nothing(p), "").otherwise(p.cast("string")) for p in parts]), 256)
 
 
 def content_hash(*fields: Column) -> Column:
@@ -99,8 +96,8 @@ def half_even(c: Column, digits: int = 0) -> Column:
 
 
 def canonical_json(c: Column) -> Column:
-    """A JSON text without spaces and with sorted keys; null for malformed ones."""
-    return F.to_json(F.try_parse_json(c))
+    """A JSON text without spaces and with sorted keys. One that can't be read as such (malformed, or with a key that stands twice) stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(c)), c)
 
 
 def parse_time(c: Column) -> Column:
@@ -207,39 +204,3 @@ def join_url(base: Column, reference: Column) -> Column:
         .when(F.startswith(reference, F.lit("/")), F.concat(root, _without_dots(own), tail))
         .otherwise(F.concat(root, _without_dots(F.concat(folder, own)), tail))
     )
-
-
-def _field(text: str, low: int, high: int) -> set[int]:
-    out: set[int] = set()
-    for part in text.split(","):
-        span, _, step = part.partition("/")
-        a, dash, b = span.partition("-")
-        first, last = (low, high) if a == "*" else (int(a), int(b) if dash else high if step else int(a))
-        out |= set(range(first, last + 1, int(step or 1)))
-    return out
-
-
-def next_cron(cron: str, zone: str, after: dt.datetime) -> dt.datetime | None:
-    """The first minute after `after` (UTC, naive) that a five-field cron line names in its time zone; null beyond five years."""
-    minute, hour, day, month, weekday = cron.split()
-    minutes, hours, months = _field(minute, 0, 59), _field(hour, 0, 23), _field(month, 1, 12)
-    days, weekdays = _field(day, 1, 31), {d % 7 for d in _field(weekday, 0, 7)}
-    local = after.replace(tzinfo=dt.UTC).astimezone(ZoneInfo(zone))
-    date = local.date()
-    for _ in range(366 * 5):
-        by_day, by_weekday = date.day in days, (date.isoweekday() % 7) in weekdays
-        fits = (by_day or by_weekday) if day != "*" and weekday != "*" else by_day and by_weekday
-        if date.month in months and fits:
-            for h in sorted(hours):
-                for m in sorted(minutes):
-                    at = dt.datetime(date.year, date.month, date.day, h, m, tzinfo=ZoneInfo(zone)).astimezone(dt.UTC).replace(tzinfo=None)
-                    if at > after:
-                        return at
-        date += dt.timedelta(days=1)
-    return None
-
-
-@F.pandas_udf(T.TimestampNTZType())
-def cron_after(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for crons, zones, afters in parts:
-        yield pd.Series([None if c is None or pd.isna(a) else next_cron(c, z or "UTC", a.to_pydatetime()) for c, z, a in zip(crons, zones, afters, strict=True)], dtype="datetime64[us]")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.functions import expr
+from feedloom.functions import cron, expr
 
 
 def due_schedules(schedules: DataFrame, sources: DataFrame, as_of: dt.datetime, limit: int = 500) -> DataFrame:
@@ -30,13 +30,11 @@ def backfill_windows(ranges: DataFrame, seconds: int) -> DataFrame:
     return at.withColumn("window_end", F.least("range_end", F.expr(f"window_start + INTERVAL '{width}' SECOND")))
 
 
-def next_run(kind: Column, seconds: Column, once_at: Column, cron: Column, zone: Column, after: Column) -> Column:
-    """interval: after + seconds; once: its time if still to come, else null; cron: the next minute in its zone.
-
-    Only cron rows have a line to work on: the others pass a null through that function."""
+def next_run(kind: Column, seconds: Column, once_at: Column, line: Column, zone: Column, after: Column) -> Column:
+    """interval: after + seconds; once: its time if still to come, else null; cron: the next minute in its zone, null for a line that can't be read
+    (`cron.next_time` says why)."""
     later = after + F.make_dt_interval(secs=seconds)
-    line = F.when(kind == "cron", cron)
-    return F.when(kind == "interval", later).when(kind == "once", F.when(once_at > after, once_at)).otherwise(expr.cron_after(line, zone, after))
+    return F.when(kind == "interval", later).when(kind == "once", F.when(once_at > after, once_at)).otherwise(cron.next_time(F.when(kind == "cron", line), zone, after)["at"])
 
 
 def ready_tasks(tasks: DataFrame, batches: DataFrame, as_of: dt.datetime) -> DataFrame:

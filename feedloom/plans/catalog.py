@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.functions import expr
+from feedloom.functions import cron, expr
 from feedloom.operators import scheduling, transitions, upsert
 from feedloom.plans.views import view, with_views
 from feedloom.sources import extract
@@ -381,16 +381,27 @@ def _(v: View) -> DataFrame:
     )
 
 
-query("next_run_cron")(
-    lambda v: (
-        v("sources_v").where("schedule_type = 'cron'")
-            .select(
-                "source_id",
-                scheduling.next_run(F.col("schedule_type"), F.col("schedule_seconds"), now(), F.lit("0 9 * * *"), F.lit("Asia/Shanghai"), now())
-                    .alias("next_run_at")
-            )
-    )
+# lines, what they say of a local time t in SQL, and a zone with its hours
+CRON = (
+    ("0 9 * * *", "hour(t) = 9 AND minute(t) = 0", "Asia/Shanghai", 8),
+    ("*/15 8-17 * * MON-fri", "minute(t) % 15 = 0 AND hour(t) BETWEEN 8 AND 17 AND dayofweek(t) BETWEEN 1 AND 5", "Asia/Kolkata", 5.5),
+    ("@monthly", "day(t) = 1 AND hour(t) = 0 AND minute(t) = 0", "UTC", 0),
+    ("30 6 L * ?", "t::DATE = last_day(t::DATE) AND hour(t) = 6 AND minute(t) = 30", "America/Phoenix", -7),
+    ("0 12 * * fri#2", "dayofweek(t) = 5 AND (day(t) + 6) // 7 = 2 AND hour(t) = 12 AND minute(t) = 0", "UTC", 0),
+    ("15 3 1,15 feb,mar 2", "month(t) IN (2, 3) AND (day(t) IN (1, 15) OR dayofweek(t) = 2) AND hour(t) = 3 AND minute(t) = 15", "UTC", 0),
+    ("0 9 31 2 *", "false", "UTC", 0),
+    ("0 25 * * *", "false", "UTC", 0),
 )
+CRON_SQL = f"""WITH minutes AS (SELECT unnest(generate_series({NOW_SQL} + INTERVAL 1 MINUTE, {NOW_SQL} + INTERVAL 120 DAY, INTERVAL 1 MINUTE)) AS u),
+found AS ({" UNION ALL ".join(f"SELECT {k} AS k, min(u) AS due FROM (SELECT u, u + INTERVAL '{int(h * 60)} minutes' AS t FROM minutes) WHERE {fits}" for k, (_, fits, _, h) in enumerate(CRON))})
+SELECT source_id, due AS next_run_at, CASE WHEN k = 7 THEN 'hour' END AS error FROM sources_v JOIN found ON k = n % 8"""
+
+
+@query("next_run_cron", CRON_SQL)
+def _(v: View) -> DataFrame:
+    pick = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in CRON]), (F.col("n") % len(CRON) + 1).cast("int"))
+    rows = v("sources_v").select("source_id", cron.next_time(pick(0), pick(2), now()).alias("r"))
+    return rows.select("source_id", F.col("r.at").alias("next_run_at"), F.col("r.error").alias("error"))
 
 
 # versioned upsert
