@@ -1,9 +1,12 @@
-"""Queries of what may be fetched."""
+"""Queries of what may be fetched, and of what a write has seen."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from feedloom.operators import counters, lineage
 from feedloom.plans.catalog import View, query
 from feedloom.sources import robots
 
@@ -27,3 +30,17 @@ def _(v: View):
     hosts = v("pages").select(F.lower(F.try_parse_url("url", F.lit("HOST"))).alias("host")).distinct()
     payloads = hosts.withColumn("payload", F.when(F.length("host") % 2 == 0, PAYLOAD).otherwise(OTHER))
     return robots.judged(v("pages").select("page_id", "url"), robots.rules(payloads, "feedloom/1.0")).select("page_id", "rule", "may_fetch")
+
+
+# each document of a record's source with an even number has its two first words as assets
+@query(
+    "write_counters",
+    """SELECT count(*) AS seen, CAST(sum(CASE WHEN seq % 2 = 0 THEN len(string_split(title, ' ')[1:2]) ELSE 0 END) AS BIGINT) AS assets, CAST(sum(length(content)) AS BIGINT) AS characters, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM records_v""",
+)
+def _(v: View):
+    """Counted while the records are written to the shared folder."""
+    rows = v("records_v").withColumn("assets", F.when(F.col("seq") % 2 == 0, F.slice(F.split("title", " "), 1, 2)))
+    spark = rows.sparkSession
+    path = f"{lineage.shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    counted = counters.written(rows, lambda df: df.write.parquet(path))
+    return spark.createDataFrame([tuple(counted[n] for n in counters.NAMES)], ", ".join(f"{n} long" for n in counters.NAMES))
