@@ -51,13 +51,15 @@ class PageConfig:
 
 def page_records(pages: DataFrame, config: PageConfig) -> DataFrame:
     """A record per page (url, html): the id falls back to the URL, attributes that aren't found are left out."""
-    page = F.col("html")
-    found = [x for name, selector in config.attributes.items() for x in (F.lit(name), pages_html.first(page, selector))]
-    attributes = F.map_filter(F.create_map(*found), lambda k, v: v.isNotNull()) if found else F.create_map().cast("map<string,string>")
-    return pages.select(
-        F.coalesce(pages_html.first(page, config.external_id, config.external_id_attribute), F.col("url")).alias("external_id"), F.lit(config.kind).alias("kind"), "url",
-        pages_html.first(page, config.title).alias("title"), pages_html.first(page, config.content).alias("content"), F.lit("text/plain").alias("content_type"),
-        expr.parse_time(pages_html.first(page, config.published)).alias("published_at"), attributes.alias("attributes"),
+    names = {f"a{i}": name for i, name in enumerate(config.attributes)}
+    wants = {"id": (config.external_id, config.external_id_attribute), "title": (config.title, None), "content": (config.content, None), "time": (config.published, None)}
+    once = pages.withColumn("__found", pages_html.firsts(F.col("html"), **wants, **{k: (config.attributes[name], None) for k, name in names.items()}))
+    f = lambda name: F.col("__found")[name]
+    held = [x for k, name in names.items() for x in (F.lit(name), f(k))]
+    attributes = F.map_filter(F.create_map(*held), lambda k, v: v.isNotNull()) if held else F.create_map().cast("map<string,string>")
+    return once.select(
+        F.coalesce(f("id"), F.col("url")).alias("external_id"), F.lit(config.kind).alias("kind"), "url", f("title").alias("title"), f("content").alias("content"), F.lit("text/plain").alias("content_type"),
+        expr.parse_time(f("time")).alias("published_at"), attributes.alias("attributes"),
     )
 
 
@@ -169,7 +171,8 @@ def enriched(items: DataFrame, pages: DataFrame, selectors: Sequence[str] = ())
 
     A URL on several pages counts once, with its longest text."""
     if selectors:
-        pages = pages.select("url", F.coalesce(*[pages_html.first(F.col("html"), s) for s in selectors]).alias("content"))
+        wanted = {f"s{i}": (s, None) for i, s in enumerate(selectors)}
+        pages = pages.select("url", pages_html.firsts(F.col("html"), **wanted).alias("f")).select("url", F.coalesce(*[F.col("f")[k] for k in wanted]).alias("content"))
     full = pages.groupBy("url").agg(F.max_by("content", F.struct(F.length("content"), "content")).alias("__full"))
     both = items.join(full, "url", "left")
     return (

@@ -37,7 +37,7 @@ def test_asset_store(spark, tmp_path):
 
 def test_selectors():
     page = "<div class='a b'><p>one<p id=x>two</div><script>no</script><div><p data-k='v'>three<br>four</p></div><ul><li><ul><li>in</li></ul>out</li></ul>"
-    assert html.select(page, "div.a p") == ["one\ntwo", "two"]
+    assert html.select(page, "div.a p") == ["one", "two"]
     assert html.select(page, "#x") == ["two"] and html.select(page, "p[data-k=v]") == ["three\nfour"] and html.select(page, "p[data-k]", "data-k") == ["v"]
     for bad in ("p:first-child", "a + b", "> p", "p,,q"):
         with pytest.raises(Failed):
@@ -45,6 +45,25 @@ def test_selectors():
     assert html.select(page, "script") == [None] and html.select(page, "ul > li > ul > li") == ["in"] and html.select(page, "ul li ul li, #x") == ["two", "in"]
 
 
+def test_end_tags_may_be_left_out():
+    assert html.select("<ul><li>a<li>b<ul><li>c</ul>d</li><li>e</ul>", "li") == ["a", "b\nc\nd", "c", "e"]
+    assert html.select("<p>one<p>two<div>three</div>four</p>", "p") == ["one", "two"] and html.select("<div><p>x<span>y</div>z", "p") == ["x\ny"]
+    assert html.select("<table><tr><td>1<td>2<tr><td>3<table><tr><td>in</table>out</table>", "td") == ["1", "2", "3\nin\nout", "in"]
+    assert html.select("<table><thead><tr><th>h<tbody><tr><td>1</table>", "tbody td") == ["1"] and html.select("<table><tr><td>1<tr><td>2</table>", "table > tr") == ["1", "2"]
+    assert html.select("<dl><dt>t<dd>d<dt>u</dl>", "dd") == ["d"] and html.select("<select><option>1<option selected>2</select>", "option") == ["1", "2"]
+    assert html.select("<div></li></div><b>x", "b") == ["x"] and html.select("<head><title>t</title><body><p>x", "body p") == ["x"]
+    assert html.select("<ul><li><div><ul><li>x</li></ul></li><li>y</ul>", "li") == ["x", "x", "y"]
+    deep = "<span>" * 20_000 + "x" + "<b>y</b>" * 20_000
+    assert html.select(deep, "b")[:1] == ["y"]  # time doesn't grow with depth times length
+
+
+def test_a_page_is_parsed_once_for_all_selectors(spark):
+    rows = spark.createDataFrame([("<h1 lang=x>T</h1><p class='a b'>one<p>two",), (None,), ("",)], "html string")
+    got = [r.f for r in rows.select(html.firsts(F.col("html"), title=("h1", None), lang=("h1", "lang"), second=("p.a", None), none=("i", None), no=(None, None)).alias("f")).collect()]
+    assert [tuple(f) for f in got] == [("T", "x", "one", None, None), (None,) * 5, (None,) * 5]
+    assert [len(r[0]) for r in rows.select(html.selected(F.col("html"), "p")).collect()] == [2, 0, 0]
+
+
 def test_crawl_ends_on_cycles(spark):
     pages = spark.createDataFrame([(f"http://h/{i}", f"<a rel=next href='/{(i + 1) % 3}'>n</a><p><a href='/d'>d</a></p>") for i in range(3)], "url string, html string")
     starts = spark.createDataFrame([(1, "http://h/0")], "crawl int, url string")
