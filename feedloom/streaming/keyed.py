@@ -1,4 +1,4 @@
-"""Keyed state with timers on streams: leases, staleness and liveness, ticks and an orderly end. The lives of tasks are in `lifecycle`, keys that
+"""Keyed state with timers on streams: leases, staleness and liveness, and an orderly end. The lives of tasks are in `lifecycle`, keys that
 were ever seen in `operators.seen`.
 
 The batch forms of these are plain filters (`transitions.maintenance`, `scheduling.free_slots`); these keep their state in
@@ -8,10 +8,10 @@ Spark's state store and use event time, so that a run over stored events gives t
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -52,12 +52,6 @@ def expiring(beats: DataFrame, ttl_seconds: int, delay: str = "0 seconds", key:
     return rows.groupBy("key").applyInPandasWithState(step, "key string, state string, at timestamp", "last timestamp", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def ticking(spark: SparkSession, action: Callable[[int], None], seconds: int = 10) -> StreamingQuery:
-    """Calls the action (reload the catalogue if its hash has changed, register what is due, maintain) every so many seconds, one at least."""
-    beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    return beat.writeStream.foreachBatch(lambda rows, number: action(number)).trigger(processingTime=f"{max(1, seconds)} seconds").start()
-
-
 def drain(query: StreamingQuery, seconds: float = 60) -> None:
     """Stops between two micro-batches, or after so many seconds at the latest: what was begun is finished, nothing new is taken."""
     end = time.monotonic() + seconds

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from feedloom.failures import Failed
 from feedloom.functions import expr
-from feedloom.operators import scheduling, transitions
+from feedloom.operators import scheduling, seen, transitions
 from feedloom.sinks.assets import FolderStore
 from feedloom.sources import catalogue, crawl, extract, html
-from feedloom.streaming import keyed
+from feedloom.streaming import keyed, ticks
 
 
 def test_catalogue(spark, tmp_path):
@@ -153,14 +153,22 @@ def test_keys_expire(spark, tmp_path):
     assert not [x for x in got if x[:2] == ("d", "expired")]
 
 
-def test_ticks_and_drain(spark):
-    ticks: list = []
-    query = keyed.ticking(spark, ticks.append, seconds=1)
-    for _ in range(60):
-        if len(ticks) < 2:
-            query.awaitTermination(1)
+def test_ticks_register_what_is_due_once(spark, tmp_path):
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    ago = lambda s: now - dt.timedelta(seconds=s)
+    rows = [("source:a", "a", True, ago(3600), None), ("source:b", "b", True, ago(60), 7), ("source:c", "c", True, now + dt.timedelta(days=1), None), ("source:d", "d", True, ago(60), None), ("source:e", "e", False, ago(60), None)]
+    schedules = spark.createDataFrame(rows, "schedule_id string, source_id string, enabled boolean, next_run_at timestamp_ntz, active_task_id long")
+    sources = spark.createDataFrame([(s, s != "d") for s in "abcde"], "source_id string, enabled boolean")
+    out = f"{tmp_path}/tasks"
+    query = ticks.ticking(spark, lambda: (schedules, sources), seen.SeenKeys(spark, f"file://{tmp_path}/index", buckets=2), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/tick={n}"), f"{tmp_path}/c", seconds=1)
+    for _ in range(120):
+        if len(list((tmp_path / "tasks").glob("tick=*"))) >= 3:
+            break
+        query.awaitTermination(1)
     keyed.drain(query)
-    assert not query.isActive and len(ticks) >= 2
+    assert not query.isActive
+    got = spark.read.schema("dedupe_key string, schedule_id string, source_id string, scheduled_for timestamp_ntz").parquet(out).collect()
+    assert [(r.source_id, r.scheduled_for) for r in got] == [("a", ago(3600))] and got[0].dedupe_key == f"schedule:source:a:{ago(3600).isoformat()}+00:00"
 
 
 def test_cron_lines(spark):
