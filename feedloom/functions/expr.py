@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -173,34 +173,68 @@ def url_allowed(url: Column, allowed_hosts: Sequence[str] = ()) -> Column:
     return F.coalesce(url.rlike("^(?i)https?://") & host.isNotNull() & (listed | ~private_address(host)), F.lit(False))
 
 
-def _without_dots(path: Column) -> Column:
-    """A path with its . and .. segments resolved."""
-    parts = F.split(path, "/")
-    last = F.element_at(parts, -1)
-    kept = F.aggregate(
-        F.filter(parts, lambda p: p != "."), F.array().cast("array<string>"),
-        lambda a, p: F.when(p != "..", F.array_append(a, p)).when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a),
-    )
-    whole = F.array_join(kept, "/")
-    return F.when(last.isin(".", "..") & ~F.endswith(whole, F.lit("/")), F.concat(whole, F.lit("/"))).otherwise(whole)
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """A value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+#: Schemes whose references are resolved; of others a reference stays as it is.
+RELATIVE = ("http", "https", "ftp", "ws", "wss")
+
+
+def url_parts(url: Column) -> Column:
+    """scheme (lower case, empty for none), netloc, path, params (of the last segment), query and fragment, without blanks ahead and without line ends."""
+    clean = F.regexp_replace(F.regexp_replace(url, "^[\\x00-\\x20]+", ""), "[\t\r\n]", "")
+
+    def after_scheme(c: Column) -> Column:
+        scheme = F.regexp_extract(c, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+        return F.struct(F.lower(scheme).alias("scheme"), F.when(scheme != "", F.substr(c, F.length(scheme) + 2)).otherwise(c).alias("rest"))
+
+    def after_host(x: Column) -> Column:
+        netloc = F.regexp_extract(x["rest"], "^//([^/?#]*)", 1)
+        rest = F.when(F.startswith(x["rest"], F.lit("//")), F.substr(x["rest"], F.length(netloc) + 3)).otherwise(x["rest"])
+        return F.struct(x["scheme"].alias("scheme"), netloc.alias("netloc"), rest.alias("rest"), F.regexp_extract(rest, "^([^?#]*)", 1).alias("hier"), F.regexp_extract(rest, "^([^#]*)", 1).alias("head"))
+
+    def whole(x: Column) -> Column:
+        path = F.regexp_extract(x["hier"], "^((?:.*/)?[^/;]*)", 1)
+        later = lambda text, ahead: F.substr(text, F.length(ahead) + 2)
+        return F.struct(x["scheme"].alias("scheme"), x["netloc"].alias("netloc"), path.alias("path"), later(x["hier"], path).alias("params"), later(x["head"], x["hier"]).alias("query"), later(x["rest"], x["head"]).alias("fragment"))
+
+    return let(let(let(clean, after_scheme), after_host), whole)
+
+
+def _resolved(base_path: Column, path: Column) -> Column:
+    """The path of a reference against that of its base, dots and empty segments in between taken out."""
+    parts = F.split(base_path, "/", -1)
+    kept = F.when(F.element_at(parts, -1) != "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    joined = lambda s: F.concat(F.slice(s, 1, 1), F.filter(F.slice(s, F.lit(2), F.greatest(F.size(s) - 2, F.lit(0))), lambda x: x != ""), F.slice(s, F.size(s), F.lit(1)))
+    segments = F.when(F.startswith(path, F.lit("/")), F.split(path, "/", -1)).otherwise(let(F.concat(kept, F.split(path, "/", -1)), lambda s: F.when(F.size(s) > 1, joined(s)).otherwise(s)))
+    step = lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.array_append(a, x))
+    ended = lambda s: F.concat(F.aggregate(s, F.array().cast("array<string>"), step), F.when(F.element_at(s, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    return F.coalesce(F.nullif(let(segments, lambda s: F.array_join(ended(s), "/")), F.lit("")), F.lit("/"))
+
+
+def _unparsed(scheme: Column, netloc: Column, path: Column, params: Column, query: Column, fragment: Column) -> Column:
+    led = lambda mark, text: F.when(text != "", F.concat(F.lit(mark), text)).otherwise("")
+    url = F.concat(path, led(";", params))
+    rooted = F.startswith(url, F.lit("/"))
+    at = F.when(netloc != "", F.concat(F.lit("//"), netloc, F.when((url != "") & ~rooted, "/").otherwise(""), url)).when((url == "") | rooted, F.concat(F.lit("//"), url)).otherwise(url)
+    return F.concat(scheme, F.lit(":"), at, led("?", query), led("#", fragment))
 
 
 def join_url(base: Column, reference: Column) -> Column:
-    """RFC 3986 resolution of a reference against an absolute base; null if either is null."""
-    scheme = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    root = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    path = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    bare = F.regexp_replace(base, "#.*$", "")
-    own = F.regexp_extract(reference, "^([^?#]*)", 1)
-    tail = F.substr(reference, F.length(own) + 1)
-    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "^(.*/)", 1))
-    return (
-        F.when(base.isNull() | reference.isNull(), None)
-        .when(reference == "", base)
-        .when(reference.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), reference)
-        .when(F.startswith(reference, F.lit("//")), F.concat(scheme, F.lit(":"), reference))
-        .when(F.startswith(reference, F.lit("#")), F.concat(bare, reference))
-        .when(F.startswith(reference, F.lit("?")), F.concat(root, path, reference))
-        .when(F.startswith(reference, F.lit("/")), F.concat(root, _without_dots(own), tail))
-        .otherwise(F.concat(root, _without_dots(F.concat(folder, own)), tail))
-    )
+    """A reference resolved against a base as the standard library's urljoin does it; null if either is null."""
+
+    def resolved(x: Column) -> Column:
+        b, r = x["b"], x["r"]
+        other = ((r["scheme"] != "") & (r["scheme"] != b["scheme"])) | ~b["scheme"].isin(*RELATIVE)
+        same = (r["path"] == "") & (r["params"] == "")
+        return (
+            F.when(other, x["reference"])
+            .when(r["netloc"] != "", _unparsed(b["scheme"], r["netloc"], r["path"], r["params"], r["query"], r["fragment"]))
+            .when(same, _unparsed(b["scheme"], b["netloc"], b["path"], b["params"], F.when(r["query"] == "", b["query"]).otherwise(r["query"]), r["fragment"]))
+            .otherwise(_unparsed(b["scheme"], b["netloc"], _resolved(b["path"], r["path"]), r["params"], r["query"], r["fragment"]))
+        )
+
+    both = let(F.struct(url_parts(base).alias("b"), url_parts(reference).alias("r"), reference.alias("reference")), resolved)
+    return F.when(base.isNull() | reference.isNull(), None).when(reference == "", base).when(base == "", reference).otherwise(both)
