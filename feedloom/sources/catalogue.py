@@ -7,6 +7,7 @@ import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from feedloom.failures import bad
 
@@ -16,6 +17,7 @@ BOUNDS = {
     "priority": (0, 999, 20), "timeout_seconds": (1, 86_400, 300), "slot_cost": (1, 128, 1), "max_attempts": (1, 100, 3), "base_seconds": (0, 86_400, 30),
     "max_seconds": (1, 604_800, 3600), "backfill_window_seconds": (60, 2**31, 86_400),
 }
+LEAST_SECONDS = 10
 NEEDS = {"interval": "seconds", "cron": "cron", "once": "at"}
 COLUMNS = "source_id string, fetcher string, sink string, enabled boolean, queue string, schedule_type string, seconds int, cron string, timezone string, spec string, config_hash string, " + ", ".join(f"{k} int" for k in BOUNDS)
 
@@ -33,8 +35,8 @@ def checked(spec: dict) -> dict:
     kind = schedule.get("type")
     if kind not in NEEDS or not schedule.get(NEEDS[kind]):
         raise bad(f"{name}: a schedule of type {kind!r} without {NEEDS.get(kind, 'a known type')}")
-    if kind == "interval" and int(schedule["seconds"]) < 10:
-        raise bad(f"{name}: an interval of less than 10 seconds")
+    if kind == "interval" and int(schedule["seconds"]) < LEAST_SECONDS:
+        raise bad(f"{name}: an interval of less than {LEAST_SECONDS} seconds")
     given = {**spec, **(spec.get("routing") or {}), **(spec.get("retry") or {})}
     numbers = {k: int(given.get(k, default)) for k, (_, _, default) in BOUNDS.items()}
     for k, (low, high, _) in BOUNDS.items():
@@ -59,3 +61,16 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
         raise bad(f"ids that stand twice: {', '.join(sorted(twice))}")
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], COLUMNS), hashlib.sha256(canonical(value).encode()).hexdigest()[:16]
+
+
+def judged(specs: DataFrame) -> DataFrame:
+    """Specifications in columns with `error`, what is wrong first: id, schedule, seconds, or the name of a number that is out of its bounds.
+
+    specs: source_id, schedule_type, seconds, cron, once_at and any of the numbers in BOUNDS; a null number has its default."""
+    known = F.coalesce(F.col("source_id").rlike(f"^(?:{SOURCE_ID.pattern})$"), F.lit(False))
+    given = F.when(F.col("schedule_type") == "interval", F.col("seconds").isNotNull()).when(F.col("schedule_type") == "cron", F.coalesce("cron", F.lit("")) != "").when(F.col("schedule_type") == "once", F.col("once_at").isNotNull())
+    error = F.when(~known, "id").when(~F.coalesce(given, F.lit(False)), "schedule").when((F.col("schedule_type") == "interval") & (F.col("seconds") < LEAST_SECONDS), "seconds")
+    for name, (low, high, _) in BOUNDS.items():
+        if name in specs.columns:
+            error = error.when(~F.coalesce(F.col(name).between(low, high), F.lit(True)), name)
+    return specs.withColumn("error", error)

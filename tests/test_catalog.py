@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from feedloom.plans import catalog, claims, flows, policy, streams  # noqa: F401
+from feedloom.plans import catalog, changes, claims, flows, policy, streams  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
