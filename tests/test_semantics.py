@@ -8,11 +8,6 @@ from feedloom.sources import extract
 from feedloom.streaming.upsert_stream import current, upsert_stream, writer
 
 
-def test_cron_in_a_zone():
-    assert expr.next_cron("45 17 * * *", "America/New_York", dt.datetime(2025, 2, 3, 23, 0)) == dt.datetime(2025, 2, 4, 22, 45)
-    assert expr.next_cron("*/20 * * * 2-4", "UTC", dt.datetime(2025, 2, 6, 23, 41)) == dt.datetime(2025, 2, 11, 0, 0)
-
-
 def test_versions_come_back(spark):
     rows = spark.createDataFrame([("s", "1", h, i) for i, h in enumerate("AABA")], "source_id string, external_id string, content_hash string, seq long")
     assert [r.outcome for r in upsert.outcomes(rows).orderBy("seq").collect()] == ["added", "duplicate", "updated", "updated"]
