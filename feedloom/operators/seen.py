@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedloom.failures import bad
+from feedloom.operators.manifests import Manifests, placed
 
-#: Buckets, segments of a level that are merged, bits of a filter for each key and how many of them a key sets, manifests that are kept.
-BUCKETS, FAN, BITS, HASHES, KEPT = 64, 4, 12, 6, 3
+#: Buckets, segments of a level that are merged, bits of a filter for each key and how many of them a key sets.
+BUCKETS, FAN, BITS, HASHES = 64, 4, 12, 6
 MANIFEST = "bucket int, segment string, level int, keys long"
 
 
@@ -56,6 +57,7 @@ class SeenKeys:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, fan: int = FAN, bits: int = BITS):
         self.spark, self.path, self.buckets, self.fan, self.bits = spark, path.rstrip("/"), buckets, fan, bits
+        self.manifests = Manifests(spark, f"{self.path}/manifest", MANIFEST)
         if buckets < 1 or fan < 2 or bits < 1:
             raise bad("an index of keys has one bucket, merges two segments and takes one bit a key at least")
 
@@ -63,19 +65,9 @@ class SeenKeys:
         """hash and bucket of each key."""
         return keys.withColumn("hash", F.xxhash64("key")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(self.buckets)).cast("int"))
 
-    def numbers(self) -> list[int]:
-        """The manifests there are: the last few."""
-        system, path = pafs.FileSystem.from_uri(f"{self.path}/manifest")
-        found = system.get_file_info(pafs.FileSelector(path, allow_not_found=True))
-        done = [f.base_name for f in found if f.type == pafs.FileType.Directory and system.get_file_info(f"{f.path}/_SUCCESS").type == pafs.FileType.File]
-        return sorted(int(n) for n in done)
-
     def manifest(self, below: int | None = None) -> DataFrame:
         """The segments: bucket, segment, level and keys; a few rows for each bucket."""
-        numbers = [n for n in self.numbers() if below is None or n < below]
-        if not numbers:
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/{numbers[-1]}")
+        return self.manifests.read(below)
 
     def of(self, kind: str, places: list[tuple[int, str]], schema: str) -> DataFrame:
         """The keys or filters of some buckets' segments."""
@@ -139,6 +131,7 @@ class SeenKeys:
         rows = [(r["bucket"], r["segment"], r["level"], r["keys"]) for r in self.manifest(number).collect()]
         if not keys.isEmpty():
             rows += [(b, f"{number}", 0, n) for b, n in self.write_segment(keys, f"{number}").items()]
+        made = set(rows)
         level = 0
         while True:
             due = {b: own for b in {r[0] for r in rows} if len(own := [r for r in rows if r[0] == b and r[2] == level]) >= self.fan}
@@ -147,13 +140,16 @@ class SeenKeys:
                 merged = self.placed(self.of("keys", sorted((r[0], r[1]) for own in due.values() for r in own), "key string").select("key"))
                 gone = {r for own in due.values() for r in own}
                 rows = [r for r in rows if r not in gone] + [(b, name, level + 1, n) for b, n in self.write_segment(merged, name).items()]
+                made |= set(rows)
             level += 1
             if level > max((r[2] for r in rows), default=0):
                 break
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{number}")
-        system, path = pafs.FileSystem.from_uri(f"{self.path}/manifest")
-        for old in self.numbers()[:-KEPT]:
-            system.delete_dir(f"{path}/{old}")
+        passed = {r for r in made - set(rows) if r[1].split("-")[0] == f"{number}"}  # made and merged by this batch
+        for bucket, segment, _, _ in [*self.manifests.write(number, rows), *passed]:
+            for kind in ("keys", "filters"):
+                system, path = placed(f"{self.path}/{kind}/segment={segment}/bucket={bucket}")
+                if system.get_file_info(path).type == pafs.FileType.Directory:
+                    system.delete_dir(path)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

@@ -37,7 +37,10 @@ def test_batches_equal_a_set(spark, tmp_path, bits, monkeypatch):
     segments = index.manifest().collect()
     assert sum(r["keys"] for r in segments) == len(known) and max(r.level for r in segments) >= 2
     assert index.unseen(spark.createDataFrame([("k1",), ("new",)], "key string")).count() == (1 if "k1" in known else 2)
-    assert index.numbers() == [3, 4, 5]
+    assert index.manifests.numbers() == [3, 4, 5]
+    kept = {(r.segment, r.bucket) for n in (3, 4, 5) for r in index.manifest(n + 1).collect()}
+    there = {tuple(x.partition("=")[2] for x in p.relative_to(tmp_path / "keys").parts) for p in (tmp_path / "keys").glob("segment=*/bucket=*")}
+    assert {(s, int(b)) for s, b in there} == kept  # others are deleted
     assert index.unseen(spark.createDataFrame([], "key string")).count() == 0
 
 
