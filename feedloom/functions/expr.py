@@ -41,7 +41,7 @@ def record_hash(columns: Sequence[str]) -> Column:
 
     Times are ISO 8601, attributes JSON texts with sorted keys, tags a JSON list; a field that `columns` lacks is null.
     """
-    form = {"published_at": iso_utc, "attributes": canonical_json, "tags": F.to_json}
+    form = {"published_at": iso_utc, "attributes": hashed_json, "tags": F.to_json}
     return content_hash(*[form.get(c, lambda x: x)(F.col(c)) if c in columns else F.lit(None) for c in HASHED])
 
 
@@ -96,8 +96,13 @@ def half_even(c: Column, digits: int = 0) -> Column:
 
 
 def canonical_json(c: Column) -> Column:
-    """A JSON text without spaces and with sorted keys. One that can't be read as such (malformed, or with a key that stands twice) stays as it is."""
-    return F.coalesce(F.to_json(F.try_parse_json(c)), c)
+    """A JSON text without spaces and with sorted keys; null for malformed ones, and those with a key that stands twice."""
+    return F.to_json(F.try_parse_json(c))
+
+
+def hashed_json(c: Column) -> Column:
+    """A JSON text as it goes into a hash: canonical, or as it stands if it has no canonical form, so that two different ones differ."""
+    return F.coalesce(canonical_json(c), c)
 
 
 def parse_time(c: Column) -> Column:
