@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from feedloom.operators import changes
 from feedloom.plans.catalog import AS_OF, View, query
 from feedloom.plans.flows import BEATS
-from feedloom.sources import catalogue, paged
+from feedloom.sinks import versioned
+from feedloom.sources import catalogue, paged, registry
 
 RETRIED = "error_class IN ('transient', 'rate_limited', 'timeout', 'network', 'unknown') AND attempts < max_attempts"
 
@@ -75,3 +76,17 @@ query("source_checkpoints", "SELECT source_id, CASE WHEN n % 3 = 0 THEN '{\"page
         v("sources_v"), v("sources_v").where("n % 3 = 0").select("source_id", F.format_string('{"page": %d}', "n").alias("checkpoint"), F.concat(F.lit("e"), F.col("n").cast("string")).alias("etag"), F.lit(None).cast("string").alias("last_modified"))
     ).select("source_id", "checkpoint", "etag")
 )
+
+
+# the sources' fetchers by name, two of them without a plugin, and some sinks that aren't there
+@query(
+    "plugin_lookup",
+    """WITH s AS (SELECT source_id, substr(fetcher, 9) AS fetcher, CASE WHEN n % 6 = 5 THEN 's3' ELSE 'versioned' END AS sink FROM sources_v)
+SELECT source_id, CASE WHEN fetcher IN ('rss', 'web_page', 'json_api') AND sink = 'versioned' THEN 'fetcher:' || fetcher || ':api-v1,sink:versioned:api-v1' END AS capabilities,
+  CASE WHEN fetcher NOT IN ('rss', 'web_page', 'json_api') THEN 'no fetcher ' || fetcher WHEN sink = 's3' THEN 'no sink s3' END AS error FROM s""",
+)
+def _(v: View):
+    sources = v("sources_v").select("source_id", F.substring_index("fetcher", ":", -1).alias("fetcher"), F.expr("CASE WHEN n % 6 = 5 THEN 's3' ELSE 'versioned' END").alias("sink"))
+    rows = [("fetcher", name, "1.0.0", "1", ["fetch"], "web") for name in ("rss", "web_page", "json_api", "Web List")] + [("fetcher", "sitemap", "1.0.0", "1", ["crawl"], "web"), versioned.PLUGIN]
+    found = registry.resolved(sources, sources.sparkSession.createDataFrame(rows, registry.PLUGIN))
+    return found.select("source_id", F.array_join("capabilities", ",").alias("capabilities"), "error")

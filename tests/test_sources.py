@@ -8,6 +8,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from feedloom import failures
+from feedloom.sinks import versioned
 from feedloom.sources import paged, registry
 
 
@@ -93,3 +94,16 @@ def test_sources_without_a_checkpoint(spark):
     sources = spark.createDataFrame([("a",), ("b",)], "source_id string")
     known = spark.createDataFrame([("a", '{"page": 3}', "e", None), ("z", "{}", None, None)], "source_id string, checkpoint string, etag string, last_modified string")
     assert sorted(tuple(r)[:3] for r in paged.checkpoints(sources, known).collect()) == [("a", '{"page": 3}', "e"), ("b", "{}", None)]
+
+
+def test_a_source_is_written_by_the_versioned_sink(spark, tmp_path):
+    spark.dataSource.register(registry.Daily)
+    sink = versioned.VersionedSink(spark, f"{tmp_path}/sink")
+    config = {"text": "t", "first": "2025-03-01", "last": "2025-03-03"}
+    count = lambda df: {r.outcome: r.n for r in df.collect()}
+    assert count(registry.run_source(spark, "example.daily", config, sink, "s")) == {"added": 3}
+    assert count(registry.run_source(spark, "example.daily", {**config, "last": "2025-03-04"}, sink, "s")) == {"duplicate": 3, "added": 1}
+    assert count(sink(registry.read_source(spark, "example.daily", {**config, "text": "new"}), "s")) == {"updated": 3}
+    assert count(sink(registry.read_source(spark, "example.daily", {**config, "text": "new"}), "s", number=2)) == {"updated": 3}  # the same batch again
+    assert sorted((r.external_id, r.content) for r in sink.current().collect()) == [("2025-03-01", "new"), ("2025-03-02", "new"), ("2025-03-03", "new"), ("2025-03-04", "t")]
+    assert sink.versions().count() == 7
