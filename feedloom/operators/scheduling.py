@@ -66,9 +66,12 @@ def first_of_each(fits: DataFrame, most: int) -> DataFrame:
     return fits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
 
 
-def offers(tasks: DataFrame, workers: DataFrame, batches: DataFrame, as_of: dt.datetime, most: int = 200) -> DataFrame:
+def offers(tasks: DataFrame, workers: DataFrame, batches: DataFrame, as_of: dt.datetime, most: int = 200, slots: DataFrame | None = None) -> DataFrame:
     """As `claim_candidates`, but each task is offered to one worker only, so that all may claim at once: to the preferred one,
-    else to the (id mod number)-th of those that can take it. Workers are matched with the few distinct (queue, capabilities)."""
+    else to the (id mod number)-th of those that can take it. Workers are matched with the few distinct (queue, capabilities).
+    With slots (node_id, slots) those that have none left are offered nothing. `rounds.claim_rounds` also passes on what a worker leaves."""
+    if slots is not None:
+        workers = workers.join(slots.where("slots > 0").select("node_id"), "node_id", "left_semi")
     ready = ready_tasks(tasks, batches, as_of)
     able = expr.contains_all(expr.csv_array(F.col("caps_csv")), F.col("offered"))
     kinds = ready.select("queue", "caps_csv").distinct().join(online_places(workers), "queue").where(able)

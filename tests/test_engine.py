@@ -122,6 +122,8 @@ def test_offers_are_disjoint(spark):
     batches = spark.createDataFrame([], "id long, status string")
     got = scheduling.offers(tasks, workers, batches, dt.datetime(2025, 1, 1)).collect()
     assert len(got) == len({r.id for r in got}) == 101 and {r.node_id for r in got if r.id == 200} == {"b"} and {r.node_id for r in got} == {"a", "b", "c"}
+    slots = spark.createDataFrame([("a", 3), ("b", 0)], "node_id string, slots int")
+    assert {r.node_id for r in scheduling.offers(tasks, workers, batches, dt.datetime(2025, 1, 1), slots=slots).collect()} == {"a"}
 
 
 def test_spread_and_retirement(spark):
