@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.functions import expr
 from feedloom.operators import transitions
 
 
@@ -24,14 +23,19 @@ def beaten_tasks(tasks: DataFrame, beats: DataFrame) -> DataFrame:
     return held.groupBy(F.col("task_id").alias("id")).agg(F.max("ts").alias("heartbeat_at"))
 
 
-def released(tasks: DataFrame, reports: DataFrame, leases: DataFrame, as_of: dt.datetime) -> DataFrame:
+def released(tasks: DataFrame, reports: DataFrame, leases: DataFrame) -> DataFrame:
     """what (task or lease), task_id, resource_key and slot of all that accepted reports set free: a task goes when it has ended, its leases
     also when it is put back for another try."""
-    done = transitions.guarded(tasks, reports.where("status <> 'failed'")).where("accepted").select("task_id", F.lit(True).alias("ended"))
-    failed = transitions.fail(tasks, reports.where("status = 'failed'"), as_of).where("action <> 'lease_lost'").select("task_id", (F.col("action") == "dead").alias("ended"))
-    told = done.unionByName(failed).groupBy("task_id").agg(F.max("ended").alias("ended"))
-    gone = told.where("ended").select(F.lit("task").alias("what"), "task_id", F.lit(None).cast("string").alias("resource_key"), F.lit(None).cast("int").alias("slot"))
-    return gone.unionByName(leases.join(told, "task_id").select(F.lit("lease").alias("what"), "task_id", "resource_key", "slot"))
+    rows = transitions.guarded(tasks, reports.where("status IS NOT NULL")).where("accepted")
+    again = (F.col("status") == "failed") & expr.retryable(F.col("error_class"), F.col("task.attempts"), F.col("task.max_attempts"))
+    told = rows.groupBy("task_id").agg(F.max(~again).alias("ended"))
+    # not a union of what has ended and of leases: Spark 4.1 fails where a union of joins that stand by one key is joined by it again
+    held = told.join(leases.select("task_id", F.struct("resource_key", "slot").alias("lease")), "task_id", "left")
+    placed = held.withColumn("place", F.row_number().over(Window.partitionBy("task_id").orderBy("lease")))
+    freed = lambda what, key, slot: F.struct(F.lit(what).alias("what"), key.alias("resource_key"), slot.alias("slot"))
+    task = F.when((F.col("place") == 1) & F.col("ended"), freed("task", F.lit(None).cast("string"), F.lit(None).cast("int")))
+    lease = F.when(F.col("lease").isNotNull(), freed("lease", F.col("lease.resource_key"), F.col("lease.slot")))
+    return placed.select("task_id", F.explode(F.array_compact(F.array(task, lease))).alias("x")).select("x.what", "task_id", "x.resource_key", "x.slot")
 
 
 def capabilities(fetcher: Column, sink: Column, asset_store: Column, more: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.operators import changes
-from feedloom.plans.catalog import AS_OF, View, query
+from feedloom.plans.catalog import View, query
 from feedloom.plans.flows import BEATS
 from feedloom.sinks import versioned
 from feedloom.sources import catalogue, paged, registry
@@ -42,7 +42,7 @@ SELECT 'task' AS what, task_id, CAST(NULL AS VARCHAR) AS lease FROM told WHERE e
 def _(v: View):
     own = v("leased_v").where("status = 'running' AND id % 4 = 0").select(F.lit("domain:x").alias("resource_key"), (F.col("id") % 7).cast("int").alias("slot"), F.col("id").alias("task_id"))
     leases = v("leases_v").select("resource_key", "slot", F.col("task_id").cast("long").alias("task_id")).unionByName(own)
-    rows = changes.released(v("leased_v"), v("reports_v"), leases, AS_OF)
+    rows = changes.released(v("leased_v"), v("reports_v"), leases)
     return rows.select("what", "task_id", F.concat("resource_key", F.lit("="), F.col("slot").cast("string")).alias("lease"))
 
 
