@@ -64,10 +64,11 @@ def page_records(pages: DataFrame, config: PageConfig) -> DataFrame:
 
 
 def page_assets(pages: DataFrame, config: PageConfig) -> DataFrame:
-    """url, asset_key and asset_url of each element that the asset selector finds and that has the attribute; keys carry its place."""
-    raw = pages.select("url", F.posexplode(pages_html.selected(F.col("html"), config.asset, config.asset_attribute)).alias("pos", "raw")).where("raw <> ''")
+    """asset_key and asset_url, beside the page's own columns, of each element that the asset selector finds and that has the attribute; keys carry its place."""
+    rest = [c for c in pages.columns if c != "html"]
+    raw = pages.select(*rest, F.posexplode(pages_html.selected(F.col("html"), config.asset, config.asset_attribute)).alias("pos", "raw")).where("raw <> ''")
     whole = raw.withColumn("asset_url", expr.join_url(F.col("url"), F.col("raw")))
-    return whole.select("url", F.format_string("asset-%d-%s", "pos", F.left(expr.stable_id(F.col("asset_url")), F.lit(12))).alias("asset_key"), "asset_url")
+    return whole.select(*rest, F.format_string("asset-%d-%s", "pos", F.left(expr.stable_id(F.col("asset_url")), F.lit(12))).alias("asset_key"), "asset_url")
 
 
 def links(pages: DataFrame, most: int | None = None) -> DataFrame:
