@@ -43,7 +43,7 @@ class PageConfig:
     published: str | None = None
     external_id: str | None = None
     external_id_attribute: str | None = None
-    attributes: Mapping[str, str] = field(default_factory=dict)
+    attributes: Mapping[str, str | tuple[str, str]] = field(default_factory=dict)  # a selector, or one with an element's attribute
     asset: str | None = None
     asset_attribute: str = "href"
     kind: str = "web_page"
@@ -52,8 +52,9 @@ class PageConfig:
 def page_records(pages: DataFrame, config: PageConfig) -> DataFrame:
     """A record per page (url, html): the id falls back to the URL, attributes that aren't found are left out."""
     names = {f"a{i}": name for i, name in enumerate(config.attributes)}
+    asked = {k: (want, None) if isinstance(want, str) else want for k, want in zip(names, config.attributes.values())}
     wants = {"id": (config.external_id, config.external_id_attribute), "title": (config.title, None), "content": (config.content, None), "time": (config.published, None)}
-    once = pages.withColumn("__found", pages_html.firsts(F.col("html"), **wants, **{k: (config.attributes[name], None) for k, name in names.items()}))
+    once = pages.withColumn("__found", pages_html.firsts(F.col("html"), **wants, **asked))
     f = lambda name: F.col("__found")[name]
     held = [x for k, name in names.items() for x in (F.lit(name), f(k))]
     attributes = F.map_filter(F.create_map(*held), lambda k, v: v.isNotNull()) if held else F.create_map().cast("map<string,string>")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from feedloom.plans import catalog, flows  # noqa: F401
+from feedloom.sources import extract
 
 PAGE = "<html lang=\"en\"><body><nav><ul><li><a href=\"/a{0}\">A&amp;{0}</a></li><li><a href=\"/b\">b</a></li></ul></nav><article><h1>{1}</h1></article></body></html>"
 
@@ -27,3 +28,11 @@ def both(spark, tmp_path):
 def test_assets_of_pages_that_share_a_url(both):
     ours, theirs = both("page_asset_urls")
     assert ours == theirs and len(ours) == 14
+
+
+def test_records_of_pages_that_share_a_url_and_entities(both, spark):
+    ours, theirs = both("page_select")
+    assert ours == theirs and len(ours) == 7
+    pages = spark.createDataFrame([("u", "<h1 id=i>&quot;a&quot; &eacute;</h1>")], "url string, html string")  # the operator itself decodes them all
+    row = extract.page_records(pages, extract.PageConfig(title="h1", attributes={"id": ("h1", "id"), "no": ("h1", "no")})).first()
+    assert (row.title, row.attributes) == ('"a" é', {"id": "i"})
