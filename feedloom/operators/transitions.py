@@ -147,8 +147,11 @@ def batch_actions(batches: DataFrame, actions: DataFrame, tasks: DataFrame) -> D
 
 
 def guarded(tasks: DataFrame, reports: DataFrame) -> DataFrame:
-    """The reports (task_id, lease_token, ...) with their task's columns as `task` and whether they are accepted: same token, still running."""
-    held = tasks.select(F.col("id").alias("task_id"), F.struct(*tasks.columns).alias("task"))
+    """The reports (task_id, lease_token, ...) with their task's columns as `task` and whether they are accepted: same token, still running.
+
+    Reports pass by a hash table of the tasks, without being sorted: their messages make them far larger than tasks, and a task
+    that sorts them takes memory for all of them."""
+    held = tasks.select(F.col("id").alias("task_id"), F.struct(*tasks.columns).alias("task")).hint("shuffle_hash")
     ok = (F.col("task.status") == "running") & (F.col("task.lease_token") == F.col("lease_token"))
     return reports.join(held, "task_id", "left").withColumn("accepted", F.coalesce(ok, F.lit(False)))
 

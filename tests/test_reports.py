@@ -1,14 +1,16 @@
 """What reports do to tasks, at sizes where no join is by broadcast."""
 
 import contextlib
+import datetime as dt
 
 import duckdb
 import pytest
 
-from feedloom.operators import changes
+from feedloom.operators import changes, transitions
 from feedloom.plans import catalog
 from feedloom.plans import changes as queries  # noqa: F401
 
+NOW = dt.datetime(2025, 1, 1)
 SF = "/root/testdata/sf0.001"
 TASK = "id long, dedupe_key string, batch_id long, status string, lease_token string, attempts int, max_attempts int, locked_by string, locked_at timestamp_ntz, base_seconds int, max_seconds int, backoff string"
 REPORT = "task_id long, lease_token string, status string, added int, error_class string, message string, retry_after double"
@@ -51,3 +53,26 @@ def test_released_rows_by_report(large):
     again = got.groupBy("task_id").count().join(got, "task_id")  # what is read further stands by the same key
     want = [("lease", 0, "a", 1), ("lease", 0, "a", 1), ("lease", 1, "b", 2), ("lease", 5, None, None), ("task", 0, None, None), ("task", 2, None, None), ("task", 5, None, None), ("task", 6, None, None)]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and again.count() == len(want)
+
+
+def sorted_joins(frame):
+    """The joins of reports and tasks that sort both."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "SortMergeJoin" in line and "task_id" in line]
+
+
+@pytest.fixture
+def told(large):
+    """Tasks and their reports: twice alike, twice unlike, one key twice, in history, a key missing, a strange token, not running, failed, no such task."""
+    rows = [(1, "k1"), (2, "k2"), (3, "k3"), (4, "k3"), (5, "old"), (6, None), (7, "k7"), (8, "k8"), (9, "k9"), (10, "k10")]
+    tasks = large.createDataFrame([(i, k, None, "pending" if i == 8 else "running", f"t{i}", 1, 3, "w", None, 30, 60, "fixed") for i, k in rows], TASK)
+    sent = [(1, "succeeded", "a"), (1, "succeeded", "a"), (2, "partial", "x" * 16_010), (2, "skipped", "b"), (3, "succeeded", "c"), (4, "succeeded", "d"), (5, "succeeded", "e"), (6, "succeeded", None), (8, "succeeded", "f"), (9, "failed", "g" * 16_010), (10, "succeeded", "h" * 16_010), (11, "failed", "i")]
+    reports = large.createDataFrame([(i, f"t{i}", s, None, "timeout", m, None) for i, s, m in sent] + [(7, "other", "succeeded", 1, None, "j", None), (10, "other", "failed", 1, "timeout", "k", None)], REPORT)
+    return tasks, reports, large.createDataFrame([("old",), ("older",)], "dedupe_key string")
+
+
+def test_failures_without_sorting_messages(told):
+    tasks, reports, _ = told
+    failed = transitions.fail(tasks, reports.where("status = 'failed'"), NOW)
+    assert not sorted_joins(failed)
+    assert {(r.task_id, r.action, r.status, r.last_error) for r in failed.collect()} == {(9, "retry", "retry", "g" * 16_000), (10, "lease_lost", "running", None), (11, "lease_lost", None, None)}
