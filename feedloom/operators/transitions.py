@@ -156,26 +156,30 @@ def guarded(tasks: DataFrame, reports: DataFrame) -> DataFrame:
     return reports.join(held, "task_id", "left").withColumn("accepted", F.coalesce(ok, F.lit(False)))
 
 
-def archived(ended: DataFrame, history: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """The runs of ended tasks (task, final_status, added, error_class, message) whose key history doesn't hold yet."""
+def archived(ended: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """The runs of ended tasks (task, final_status, added, error_class, message)."""
     seconds = (F.unix_micros(at(as_of).cast("timestamp")) - F.unix_micros(F.col("task.locked_at").cast("timestamp"))) / 1e6
-    runs = ended.select(
+    return ended.select(
         F.col("task.id").alias("task_id"), F.col("task.dedupe_key").alias("dedupe_key"), F.col("task.batch_id").alias("batch_id"), "final_status", F.col("task.attempts").alias("attempts"),
         F.col("task.locked_by").alias("worker_id"), F.coalesce("added", F.lit(0)).alias("rows_added"), "error_class", F.left("message", F.lit(MESSAGE)).alias("error_message"),
         F.col("task.locked_at").alias("started_at"), seconds.alias("duration_seconds"),
     )
-    return runs.dropDuplicates(["dedupe_key"]).join(history.select("dedupe_key"), "dedupe_key", "left_anti")
 
 
 def complete(tasks: DataFrame, reports: DataFrame, history: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """The runs of tasks whose completion (status, added, message) is accepted; a completion doesn't carry an error class."""
-    done = guarded(tasks, reports.where(F.col("status") != "failed")).where("accepted")
-    return (
-        archived(
-            done.select("task", F.col("status").alias("final_status"), "added", F.lit(None).cast("string").alias("error_class"), "message"), history,
-            as_of
-        )
-    )
+    """The runs of tasks whose completion (status, added, message) is accepted and whose key history doesn't hold yet, one of each key; a
+    completion doesn't carry an error class.
+
+    Accepted completions are counted by key without their messages first; only those of keys with several are compared."""
+    told = reports.where(F.col("status") != "failed")
+    free = tasks.where("status = 'running'").join(history.select("dedupe_key"), "dedupe_key", "left_anti")
+    accepted = guarded(free, told.select("task_id", "lease_token")).where("accepted")
+    times = accepted.groupBy(F.col("task.dedupe_key").alias("dedupe_key")).agg(F.count(F.lit(1)).alias("times"))
+    counted = free.join(times.withColumnRenamed("dedupe_key", "key"), F.col("dedupe_key").eqNullSafe(F.col("key"))).drop("key")
+    done = guarded(counted, told).where("accepted")
+    ended = done.select("task", F.col("status").alias("final_status"), "added", F.lit(None).cast("string").alias("error_class"), "message")
+    several = archived(ended.where("task.times > 1"), as_of).dropDuplicates(["dedupe_key"])
+    return archived(ended.where("task.times = 1"), as_of).unionByName(several)
 
 
 def fail(tasks: DataFrame, reports: DataFrame, as_of: dt.datetime) -> DataFrame:

@@ -71,6 +71,16 @@ def told(large):
     return tasks, reports, large.createDataFrame([("old",), ("older",)], "dedupe_key string")
 
 
+def test_a_run_for_each_key_without_sorting_messages(told):
+    tasks, reports, history = told
+    runs = transitions.complete(tasks, reports, history, NOW)
+    assert not sorted_joins(runs)
+    got = {r.dedupe_key: r for r in runs.collect()}
+    assert runs.count() == len(got) and set(got) == {"k1", "k2", "k3", None, "k10"}
+    assert got["k1"].error_message == "a" and (got["k2"].final_status, got["k2"].error_message) in {("partial", "x" * 16_000), ("skipped", "b")}
+    assert (got["k3"].task_id, got["k3"].error_message) in {(3, "c"), (4, "d")} and got[None].error_message is None and got["k10"].error_message == "h" * 16_000
+
+
 def test_failures_without_sorting_messages(told):
     tasks, reports, _ = told
     failed = transitions.fail(tasks, reports.where("status = 'failed'"), NOW)
